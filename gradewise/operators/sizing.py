@@ -1,0 +1,31 @@
+"""Size-checked broadcast.
+
+A side is broadcast only when a bounded count proves it small; otherwise
+the join is left to the planner (sort-merge, with AQE switching to a
+broadcast at runtime if the shuffled side turns out small and splitting
+skewed partitions if it does not).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# Rows above which a dimension table (rules, references, cases) is not
+# broadcast. Rows of those tables are a few hundred bytes, so this keeps
+# the broadcast well under the default 8 GB hard limit and in practice
+# under a few hundred MB.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows (the limit stops the scan),
+    so it is cheap exactly when the answer is yes.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint when the size check passes; plain DataFrame otherwise."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
