@@ -100,3 +100,72 @@ def union_lcs_batch(ref: pd.Series, pred: pd.Series) -> pd.Series:
             continue
         out[i] = union_lcs_hits([list(s) for s in r], [list(s) for s in p])
     return pd.Series(out)
+
+
+def grader_alignment(t: str, r: str):
+    """Character alignment of a blank template against a response, with the
+    grader's own cell rules (kept exactly, scores depend on them):
+
+    * row 0 and column 0 hold 1 only on an equal character (no carry), so
+      the matched length can be one short of the true LCS;
+    * on a tie the later response index wins;
+    * the back-trace looks one character ahead on a miss and may step to
+      index -1 (which wraps to the last column).
+
+    Returns (matched length, response index per template position)."""
+    n, m = len(t), len(r)
+    if n == 0 or m == 0:
+        return 0, []
+    f_prev = s_prev = None
+    s_rows = []
+    for i in range(n):
+        ti = t[i]
+        fi = [0] * m
+        si = [0] * m
+        if i == 0:
+            for j in range(m):
+                if r[j] == ti:
+                    fi[j] = 1
+                    si[j] = j
+        else:
+            if r[0] == ti:
+                fi[0] = 1
+            for j in range(1, m):
+                if r[j] == ti:
+                    fi[j] = f_prev[j - 1] + 1
+                    si[j] = j
+                else:
+                    a, b = fi[j - 1], f_prev[j]
+                    if a == b:
+                        fi[j] = a
+                        x, y = si[j - 1], s_prev[j]
+                        si[j] = x if x > y else y
+                    elif a > b:
+                        fi[j] = a
+                        si[j] = si[j - 1]
+                    else:
+                        fi[j] = b
+                        si[j] = s_prev[j]
+        s_rows.append(si)
+        f_prev, s_prev = fi, si
+    s = [0] * n
+    p = s_rows[n - 1][m - 1]
+    for i in range(n - 1, -1, -1):
+        hit = t[i] == r[p]
+        s[i] = p if hit else p + 1
+        if i > 0 and hit:
+            p = s_rows[i - 1][p - 1]
+    return f_prev[m - 1], s
+
+
+def grader_alignment_batch(template: pd.Series, response: pd.Series) -> pd.DataFrame:
+    matched = np.zeros(len(template), dtype=np.int32)
+    spans = []
+    for i, (t, r) in enumerate(zip(template, response)):
+        if t is None or r is None:
+            spans.append(None)
+            continue
+        f, s = grader_alignment(t, r)
+        matched[i] = f
+        spans.append(s)
+    return pd.DataFrame({"matched": matched, "spans": spans})

@@ -124,6 +124,25 @@ def blank_v(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        response.alias("response"))
 
 
+def blank_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``blank_v`` with its case: doc_id, case_id, template, response."""
+    r = responses_v(spark, sf_dir)
+    c = cases_v(spark, sf_dir)
+    head = F.substring(c.ref_text, 1, 60)
+    response = F.concat(
+        F.lit('Use "'), F.split_part(c.ref_text, F.lit(" "), F.lit(2)), F.lit('" with '),
+        head, F.lit(" done."),
+        F.when(r.doc_id % 2 == 1, F.substring(r.text, 1, 20)).otherwise(F.lit("")))
+    return r.join(c, "case_id").select(r.doc_id, r.case_id, response.alias("response"))
+
+
+def blank_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One blank template per case (default blank string and escape)."""
+    c = cases_v(spark, sf_dir)
+    return c.select("case_id", F.concat(F.lit("Use [blank] with "), F.substring("ref_text", 1, 60),
+                                        F.lit(" done.")).alias("template"))
+
+
 # ---------------------------------------------------------------------------
 # The same views as SQL text for the DuckDB oracle (FIXTURES.md section 2).
 # ---------------------------------------------------------------------------

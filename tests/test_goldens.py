@@ -141,3 +141,29 @@ def test_exec_status(spark):
     got = [r.s for r in row.select(oc.exec_status(F.col("rc"), F.col("so"), F.col("se"), F.col("to"),
                                                   F.col("lang")).alias("s")).collect()]
     assert got == ["failed: returncode: 1 stderr: err", "passed stdout: out", "time out", "failed: o"]
+
+
+def test_grader_lcs_quirk():
+    from gradewise.functions.lcs import grader_alignment
+    # the true LCS of 'ab' and 'axb' is 2; the grader's first row does not
+    # carry, so its matched length is 1
+    assert grader_alignment("ab", "axb")[0] == 1
+    assert grader_alignment("abc", "abc") == (3, [0, 1, 2])
+
+
+def test_fill_handler(spark):
+    from gradewise.operators.blanks import fill_handler
+    main, subs = "navigator.clipboard.writeText", [".select()", 'document.execCommand("copy");']
+    fills = [main, main + ".select() document.execCommand(\"copy\");", '.select() document.execCommand("copy");']
+    df = spark.createDataFrame([(f,) for f in fills], "fill string")
+    sc, tot = fill_handler(F.col("fill"), main, subs)
+    got = [(r.s, r.t) for r in df.select(sc.alias("s"), tot.alias("t")).collect()]
+    assert got == [(2.0, 2.0), (2.0, 2.0), (1.0, 2.0)]
+
+
+def test_order_handler(spark):
+    from gradewise.operators.hooks import order_handler
+    texts = ["console.log(this.newIds)\n});", "});\nconsole.log(this.newIds)", "nothing"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    h = order_handler(F.col("t"), "console.log(this.newIds)", "});")
+    assert [r.s for r in df.select(h["score"].alias("s")).collect()] == [1.0, 0.0, 0.0]
