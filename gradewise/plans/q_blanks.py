@@ -63,8 +63,8 @@ def blank_match_regex(spark, sf):
     return s.select("doc_id", F.element_at("matched", 1).alias("matched"))
 
 
-@query("blank_score", _BASE + "SELECT doc_id, case_id, round(CASE WHEN fill = w2 THEN 2.0 ELSE 0.0 END, 6) AS score, "
-       "round(2.0, 6) AS tot FROM bf")
+@query("blank_score", _BASE + "SELECT doc_id, case_id, round(CAST(CASE WHEN fill = w2 THEN 2.0 ELSE 0.0 END AS DOUBLE), 6) AS score, "
+       "round(CAST(2.0 AS DOUBLE), 6) AS tot FROM bf")
 def blank_score(spark, sf):
     s = _scores(spark, sf, _w2(), weight=2.0)
     return s.select("doc_id", "case_id", rnd("score").alias("score"), rnd("tot").alias("tot"))
@@ -72,8 +72,8 @@ def blank_score(spark, sf):
 
 # Post-handler of the fixture (fixed values): +2 when the fill holds 'e',
 # +1 when it holds both 'a' and 'n', capped at 2.
-@query("fill_post_handler", _BASE + "SELECT doc_id, round(least(CASE WHEN contains(fill, 'e') THEN 2.0 ELSE 0.0 END + "
-       "CASE WHEN contains(fill, 'a') AND contains(fill, 'n') THEN 1.0 ELSE 0.0 END, 2.0), 6) AS score, round(2.0, 6) AS tot FROM bf")
+@query("fill_post_handler", _BASE + "SELECT doc_id, round(CAST(least(CASE WHEN contains(fill, 'e') THEN 2.0 ELSE 0.0 END + "
+       "CASE WHEN contains(fill, 'a') AND contains(fill, 'n') THEN 1.0 ELSE 0.0 END, 2.0) AS DOUBLE), 6) AS score, round(CAST(2.0 AS DOUBLE), 6) AS tot FROM bf")
 def fill_post_handler(spark, sf):
     f = bl.fills(fx.blank_responses(spark, sf), fx.blank_templates(spark, sf))
     score, tot = bl.fill_handler(F.element_at("fills", 1), "e", ["a", "n"])
@@ -82,7 +82,7 @@ def fill_post_handler(spark, sf):
 
 @query("custom_order_handler", fx.with_views("responses_v") +
        "SELECT doc_id, CASE WHEN contains(text, 'th') AND contains(text, ', ') AND strpos(text, 'th') < strpos(text, ', ') "
-       "THEN 1.0 ELSE 0.0 END AS score, 1.0 AS tot, CASE WHEN NOT (contains(text, 'th') AND contains(text, ', ')) "
+       "THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score, CAST(1.0 AS DOUBLE) AS tot, CASE WHEN NOT (contains(text, 'th') AND contains(text, ', ')) "
        "THEN 'keywords not found' WHEN strpos(text, 'th') < strpos(text, ', ') THEN 'good' "
        "ELSE 'all found but wrong placement' END AS detail FROM responses_v")
 def custom_order_handler(spark, sf):

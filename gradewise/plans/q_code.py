@@ -191,8 +191,8 @@ def exec_status(spark, sf):
 
 
 @query("unit_test_score", fx.with_views("outcomes_v", "cases_v", extra=_OUT_CTES) +
-       "SELECT case_id, sample_no, round(sum(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS score, "
-       "round(sum(1.0), 6) AS tot, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS pass_rate "
+       "SELECT case_id, sample_no, round(sum(CASE WHEN passed THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END), 6) AS score, "
+       "round(sum(CAST(1.0 AS DOUBLE)), 6) AS tot, round(avg(CASE WHEN passed THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END), 6) AS pass_rate "
        "FROM ps GROUP BY case_id, sample_no")
 def unit_test_score(spark, sf):
     s = oc.unit_test_scores(_outcomes(spark, sf))
@@ -200,8 +200,8 @@ def unit_test_score(spark, sf):
                     rnd("pass_rate").alias("pass_rate"))
 
 
-_PK_SQL = ("SELECT k, round(avg(CASE WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0 ELSE 1.0 - list_reduce("
-           "list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i), lambda a, b: a * b, 1.0) END), 6) AS pass_at_k "
+_PK_SQL = ("SELECT CAST(k AS BIGINT) AS k, round(avg(CASE WHEN n - c < k THEN CAST(1.0 AS DOUBLE) WHEN c = 0 THEN CAST(0.0 AS DOUBLE) ELSE 1.0 - list_reduce("
+           "list_transform(range(n - c + 1, n + 1), lambda i: CAST(1.0 AS DOUBLE) - k / i), lambda a, b: a * b, CAST(1.0 AS DOUBLE)) END), 6) AS pass_at_k "
            "FROM (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE passed) AS c FROM ps GROUP BY case_id) t, "
            "(VALUES " + ", ".join(f"({k})" for k in PASS_KS) + ") ks(k) GROUP BY k HAVING min(n) >= k")
 

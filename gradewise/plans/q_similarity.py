@@ -88,7 +88,7 @@ _SIM_RULES = [(0, "rouge1", 0.0, 0.1, 1.0), (1, "rouge2", None, None, 2.0)]
 _SIM_SQL = fx.with_views("responses_v", "cases_v", extra={
     **_rouge_n_ctes(1, sfx="_1"), **_rouge_n_ctes(2, sfx="_2")}) + (
     "SELECT a.doc_id, a.case_id, round(1.0 * greatest(least((a.f - 0.0) / (0.1 - 0.0), 1.0), 0.0) "
-    "+ 2.0 * greatest(least((b.f - 0.30) / (0.51 - 0.30), 1.0), 0.0), 6) AS score, round(3.0, 6) AS tot "
+    "+ 2.0 * greatest(least((b.f - 0.30) / (0.51 - 0.30), 1.0), 0.0), 6) AS score, round(CAST(3.0 AS DOUBLE), 6) AS tot "
     "FROM sc_1 a JOIN sc_2 b ON b.doc_id = a.doc_id")
 
 
