@@ -48,29 +48,57 @@ def _prf(hits: Column, n_pred: Column, n_ref: Column):
     return p, r, fmeasure(p, r)
 
 
+def _let(expr, fn) -> Column:
+    """Evaluate ``expr`` once and reuse it inside ``fn`` (lambda bodies would
+    otherwise re-evaluate a referenced expression for every element)."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
+def reference_grams(references: DataFrame, n: int, tokenizer=rouge_tokens) -> DataFrame:
+    """Per reference: map gram -> count and the number of grams."""
+    ref = references.select("case_id", "ref_no", tokenizer(F.col("text")).alias("t")) \
+        .select("case_id", "ref_no", ngrams(F.col("t"), n).alias("g"))
+    sizes = ref.select("case_id", "ref_no", F.size("g").alias("nr"))
+    counts = (ref.select("case_id", "ref_no", F.explode("g").alias("gram"))
+              .groupBy("case_id", "ref_no", "gram").agg(F.count(F.lit(1)).alias("rc"))
+              .groupBy("case_id", "ref_no")
+              .agg(F.map_from_entries(F.collect_list(F.struct("gram", "rc"))).alias("rmap")))
+    return sizes.join(counts, ["case_id", "ref_no"], "left").select(
+        "case_id", "ref_no", "nr",
+        F.coalesce("rmap", F.create_map().cast("map<string,bigint>")).alias("rmap"))
+
+
+def clipped_overlap(grams: Column, rmap: Column) -> Column:
+    """sum over distinct grams of least(count in grams, count in rmap).
+
+    Grams absent from the reference are dropped first with a hash lookup,
+    so the counting loop only sees the (few) shared grams."""
+    def count(kept):
+        return F.aggregate(F.array_distinct(kept), F.lit(0).cast("long"),
+                           lambda acc, x: acc + F.least(F.size(F.filter(kept, lambda y: y == x)).cast("long"),
+                                                        F.element_at(rmap, x)))
+    return _let(F.filter(grams, lambda x: F.map_contains_key(rmap, x)), count)
+
+
 def rouge_n(responses: DataFrame, references: DataFrame, n: int, tokenizer=rouge_tokens,
             key: str = "doc_id") -> DataFrame:
     """ROUGE-N of each response against each reference of its case.
 
     responses: key, case_id, text. references: case_id, ref_no, text.
-    Output: key, case_id, ref_no, precision, recall, f1."""
-    # Tokens become a column of their own before the n-gram lambda reads
-    # them; an expression inside a lambda would be re-evaluated per element.
-    resp = responses.select(key, "case_id", tokenizer(F.col("text")).alias("t")) \
-        .select(key, "case_id", ngrams(F.col("t"), n).alias("g"))
-    ref = references.select("case_id", "ref_no", tokenizer(F.col("text")).alias("t")) \
-        .select("case_id", "ref_no", ngrams(F.col("t"), n).alias("g"))
-    ref_sizes = ref.select("case_id", "ref_no", F.size("g").alias("nr"))
-    ref_counts = (ref.select("case_id", "ref_no", F.explode("g").alias("gram"))
-                  .groupBy("case_id", "ref_no", "gram").agg(F.count(F.lit(1)).alias("rc")))
-    hits = (resp.select(key, "case_id", F.explode("g").alias("gram"))
-            .join(maybe_broadcast(ref_counts), ["case_id", "gram"])
-            .groupBy(key, "ref_no", "gram").agg(F.count(F.lit(1)).alias("pc"), F.max("rc").alias("rc"))
-            .groupBy(key, "ref_no").agg(F.sum(F.least("pc", "rc")).alias("hits")))
-    pairs = resp.select(key, "case_id", F.size("g").alias("np")).join(
-        maybe_broadcast(ref_sizes), "case_id")
-    j = pairs.join(hits, [key, "ref_no"], "left")
-    p, r, f = _prf(F.coalesce(F.col("hits"), F.lit(0)), F.col("np"), F.col("nr"))
+    Output: key, case_id, ref_no, precision, recall, f1.
+
+    The reference side (one gram -> count map per reference) is small and
+    is broadcast after its size check; each response is scored in its own
+    row -- no explode, no shuffle of response n-grams."""
+    refs = maybe_broadcast(reference_grams(references, n, tokenizer))
+    resp = responses.select(key, "case_id", tokenizer(F.col("text")).alias("t"))
+    j = resp.join(refs, "case_id")
+
+    def score(g):
+        return F.struct(F.size(g).alias("np"), clipped_overlap(g, F.col("rmap")).alias("hits"))
+
+    j = j.select(key, "case_id", "ref_no", "nr", _let(ngrams(F.col("t"), n), score).alias("sc"))
+    p, r, f = _prf(F.col("sc.hits"), F.col("sc.np"), F.col("nr"))
     return j.select(key, "case_id", "ref_no", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 

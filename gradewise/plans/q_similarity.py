@@ -22,7 +22,7 @@ def _refs(spark, sf, multi=False):
 
 
 def _resp(spark, sf):
-    return fx.responses_v(spark, sf).select("doc_id", "case_id", "text")
+    return fx.responses_base(spark, sf).select("doc_id", "case_id", "text")
 
 
 def _out(d):

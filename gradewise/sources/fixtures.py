@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradewise.operators.indexing import ordered_index, previous_in_order
-from gradewise.sources.tables import table
+from gradewise.sources.tables import spread, table
 
 NL = "\n"
 BT3 = "```"
@@ -47,11 +47,19 @@ def n_cases(spark: SparkSession, sf_dir: str):
     return table(spark, sf_dir, "benchmark").select(F.count(F.lit(1))).scalar()
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def responses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``responses_v`` without the sample index (doc_id, case_id, model, text)."""
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", (F.col("doc_id") % n_cases(spark, sf_dir)).alias("case_id"),
+                    F.col("source").alias("model"), "text")
+
+
 def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    d = d.select("doc_id", (F.col("doc_id") % n_cases(spark, sf_dir)).alias("case_id"),
-                 F.col("source").alias("model"), "text")
-    d = ordered_index(d, ["case_id"], "doc_id", "sample_no")
+    d = ordered_index(responses_base(spark, sf_dir), ["case_id"], "doc_id", "sample_no")
     return d.select("doc_id", "case_id", F.col("sample_no").cast("long"), "model", "text")
 
 
@@ -126,7 +134,7 @@ def blank_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blank_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``blank_v`` with its case: doc_id, case_id, template, response."""
-    r = responses_v(spark, sf_dir)
+    r = responses_base(spark, sf_dir)
     c = cases_v(spark, sf_dir)
     head = F.substring(c.ref_text, 1, 60)
     response = F.concat(

@@ -26,3 +26,18 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         path = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(path):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
+    """Spread a small scan over the cluster before CPU-heavy per-row work.
+
+    A small table stored as one parquet row group is read by one task, so
+    tokenising or aligning its rows would use one core. When the scan has
+    fewer partitions than ``min_tasks`` (default: twice the default
+    parallelism), rows are repartitioned round-robin (deterministic on
+    retry: Spark sorts before a round-robin repartition). Large inputs
+    already scan in many tasks and are returned unchanged -- no shuffle."""
+    target = min_tasks or 2 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
