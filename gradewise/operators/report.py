@@ -111,7 +111,7 @@ def to_text(rows, models, csv: bool = False) -> str:
         name = SECTION_LABEL[r["dimension"]] + ("" if r["dimension"] == "total" else r["key"])
         line = [name]
         for m in models:
-            mean, std = r[f"{m}_mean"], r[f"{m}_std"]
+            mean, std = r.get(f"{m}_mean", r.get("mean")), r.get(f"{m}_std", r.get("std"))
             line += [f"{mean:.2f}", f"±{std:.2f}", f"{100 * mean / r['full_total']:.2f}%",
                      f"±{100 * std / r['full_total']:.2f}%"]
         line += [f"{r['full_total']:.2f}",
