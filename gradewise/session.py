@@ -45,19 +45,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder of the cluster.
 
-    On a cluster the launcher sets it to a shared file system. Only when it
-    is unset (tests, local runs) do we set a scratch folder of our own.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    Order: a folder already set on the context, then the launcher's
+    ``spark.checkpoint.dir`` (a static setting, read from the context's
+    configuration). Only when neither exists (tests, local runs) is a
+    scratch folder of our own set."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
-    local = tempfile.mkdtemp(prefix="gradewise-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    if conf_dir:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir() or conf_dir
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="gradewise-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df):
