@@ -63,6 +63,7 @@ def fills(responses: DataFrame, templates: DataFrame, key: str = "doc_id",
     j = responses.select(key, "case_id", text_col).join(t, "case_id")
     resp = F.concat(F.col("prefix"), F.col(text_col))
     j = j.withColumn("resp", F.when(resp == "", F.lit(" ")).otherwise(resp))
+    # One alignment per row (a column of its own; its fields are read many times).
     j = j.withColumn("al", align(F.col("template"), F.col("resp")))
     s = F.col("al.spans")
     n_t = F.length("template")
@@ -131,10 +132,11 @@ def blank_scores(responses: DataFrame, templates: DataFrame, targets: DataFrame,
                         (acc["tot"] + tg["weight"]).alias("tot"),
                         F.array_append(acc["flags"], m).alias("flags"))
 
-    r = F.aggregate(pairs, init, step)
-    return j.select(key, "case_id", r["score"].alias("score"), r["tot"].alias("tot"), "rate",
-                    r["flags"].alias("matched"), "fills", "end_blank",
-                    (F.col("n_blank") == F.size("targets")).alias("targets_fit"))
+    j = j.select(key, "case_id", "rate", "fills", "end_blank",
+                 (F.col("n_blank") == F.size("targets")).alias("targets_fit"),
+                 F.aggregate(pairs, init, step).alias("__r"))
+    return j.select(key, "case_id", F.col("__r.score").alias("score"), F.col("__r.tot").alias("tot"), "rate",
+                    F.col("__r.flags").alias("matched"), "fills", "end_blank", "targets_fit")
 
 
 def fill_handler(fill: Column, main: str, sub_all, main_points: float = 2.0,

@@ -92,10 +92,13 @@ def keyword_scores(responses: DataFrame, rules: DataFrame,
     Cases without keyword rules produce no row (the metric is absent)."""
     packed = maybe_broadcast(pack_rules(rules))
     j = responses.select(*keys, text_col).join(packed, "case_id")
-    text = F.col(text_col)
-    res = fold_rules(F.col("rules"), text, F.lower(text))
-    return j.select(*keys, res["score"].alias("score"), res["tot"].alias("tot"),
-                    res["statuses"].alias("statuses"))
+    # The lowered text and the fold result are columns of their own, so
+    # each is computed once per row (lambda bodies and repeated field
+    # accesses would otherwise re-evaluate them).
+    j = j.select(*keys, text_col, "rules", F.lower(F.col(text_col)).alias("__lt"))
+    j = j.select(*keys, fold_rules(F.col("rules"), F.col(text_col), F.col("__lt")).alias("__r"))
+    return j.select(*keys, F.col("__r.score").alias("score"), F.col("__r.tot").alias("tot"),
+                    F.col("__r.statuses").alias("statuses"))
 
 
 def rule_matches(responses: DataFrame, rules: DataFrame, match: Column | None = None,
