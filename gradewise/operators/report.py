@@ -126,3 +126,32 @@ def to_text(rows, models, csv: bool = False) -> str:
         out.append("|".join(cells))
     rule = "-" * len(out[0])
     return "\n".join([rule, out[0], rule] + out[1:] + [rule])
+
+
+def by_metric(metric_scores: DataFrame, cases: DataFrame, k: int) -> DataFrame:
+    """Per-metric section: for every bucket the best sample by raw total
+    (last wins ties, negatives never win) contributes its metric scores,
+    rescaled by full_score / case total, where the case total is the metric
+    total of the best sample of the case's last bucket (or max_score). The
+    metric's full score is that last best sample's metric total, rescaled;
+    it is not capped by max_score.
+
+    metric_scores: model, case_id, sample_no, metric, score, tot.
+    cases: case_id, full_score, max_score (nullable).
+    Output: model, metric, mean, std, n_buckets, full_total, freq."""
+    keys = ["model", "case_id"]
+    raw = metric_scores.groupBy(*keys, "sample_no").agg(F.sum("score").alias("raw"))
+    best = best_sample(raw, k, "raw", keys)
+    last = raw.groupBy(*keys).agg(F.max(F.floor(F.col("sample_no") / F.lit(k)).cast("long")).alias("last_bucket"))
+    bm = metric_scores.join(best.withColumnRenamed("best_sample_no", "sample_no"), keys + ["sample_no"])
+    c = maybe_broadcast(cases.select("case_id", "full_score", "max_score"))
+    lastbest = bm.join(last, keys).where(F.col("bucket") == F.col("last_bucket"))
+    tot_case = lastbest.groupBy(*keys).agg(F.sum("tot").alias("tc")).join(c, "case_id").select(
+        *keys, F.try_divide(F.col("full_score"), F.coalesce("max_score", "tc")).alias("factor"))
+    bm = bm.join(tot_case, keys)
+    per_bucket = bm.groupBy("model", "metric", "bucket").agg(
+        F.sum(F.col("score") * F.col("factor")).alias("bucket_total"))
+    stats = _mean_std(per_bucket, ["model", "metric"])
+    fulls = lastbest.join(tot_case, keys).groupBy("model", "metric").agg(
+        F.sum(F.col("tot") * F.col("factor")).alias("full_total"), F.count(F.lit(1)).alias("freq"))
+    return stats.join(fulls, ["model", "metric"])

@@ -13,6 +13,7 @@ from gradewise.operators.sizing import maybe_broadcast
 from gradewise.plans import common as cm
 from gradewise.plans.registry import big, query, rnd
 from gradewise.sources import fixtures as fx
+from gradewise.sources.tables import table
 
 RV = ("responses_v",)
 KEYS = ("model", "case_id", "sample_no")
@@ -252,3 +253,44 @@ def sample_index(spark, sf):
     r = fx.responses_v(spark, sf).select("doc_id", "model", "case_id")
     return ordered_index(r, ["model", "case_id"], "doc_id", "model_sample_no").select(
         "doc_id", "model", "case_id", big("model_sample_no").alias("model_sample_no"))
+
+
+def _metric_scores(spark, sf):
+    """Long metric table of the fixture: keywords for every response, and
+    unit_test (pass = quality 1 and not toxic) for labelled responses."""
+    k = cm.kw_scores(spark, sf).select(*KEYS, F.lit("keywords").alias("metric"), "score", "tot")
+    r = fx.responses_v(spark, sf).select("doc_id", *KEYS)
+    lab = table(spark, sf, "labels")
+    passed = (lab.quality == 1) & (lab.toxic == 0)
+    u = r.join(lab, "doc_id").select(*KEYS, F.lit("unit_test").alias("metric"),
+                                     F.when(passed, 1.0).otherwise(0.0).alias("score"), F.lit(1.0).alias("tot"))
+    return k.unionByName(u)
+
+
+_METRIC_CTES = {
+    "ms": "SELECT model, case_id, sample_no, 'keywords' AS metric, score, tot FROM kw_scores UNION ALL "
+          "SELECT r.model, r.case_id, r.sample_no, 'unit_test' AS metric, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END, CAST(1.0 AS DOUBLE) "
+          "FROM responses_v r JOIN labels l ON l.doc_id = r.doc_id",
+    "raw": "SELECT model, case_id, sample_no, sum(score) AS raw FROM ms GROUP BY ALL",
+    "best": f"SELECT model, case_id, bucket, sample_no FROM (SELECT *, CAST(floor(sample_no / {cm.K}) AS BIGINT) AS bucket, "
+            f"row_number() OVER (PARTITION BY model, case_id, floor(sample_no / {cm.K}) ORDER BY raw DESC, sample_no DESC) AS rn "
+            "FROM raw WHERE raw >= 0) t WHERE rn = 1",
+    "lastb": f"SELECT model, case_id, max(CAST(floor(sample_no / {cm.K}) AS BIGINT)) AS last_bucket FROM raw GROUP BY ALL",
+    "bm": "SELECT m.*, b.bucket FROM ms m JOIN best b ON b.model = m.model AND b.case_id = m.case_id AND b.sample_no = m.sample_no",
+    "lb": "SELECT bm.* FROM bm JOIN lastb l ON l.model = bm.model AND l.case_id = bm.case_id AND l.last_bucket = bm.bucket",
+    "tc": "SELECT lb.model, lb.case_id, c.full_score / coalesce(c.max_score, sum(lb.tot)) AS factor FROM lb JOIN case_params c ON c.case_id = lb.case_id "
+          "GROUP BY lb.model, lb.case_id, c.full_score, c.max_score",
+    "pbm": "SELECT bm.model, bm.metric, bm.bucket, sum(bm.score * tc.factor) AS bucket_total FROM bm JOIN tc ON tc.model = bm.model AND tc.case_id = bm.case_id GROUP BY ALL",
+    "stm": "SELECT model, metric, avg(bucket_total) AS mean, coalesce(stddev_samp(bucket_total), 0) AS std, count(*) AS n_buckets FROM pbm GROUP BY ALL",
+    "fum": "SELECT lb.model, lb.metric, sum(lb.tot * tc.factor) AS full_total, count(*) AS freq FROM lb JOIN tc ON tc.model = lb.model AND tc.case_id = lb.case_id GROUP BY ALL",
+}
+
+
+@query("report_by_metric", cm.sql_with("kw_scores", "case_params", views=("responses_v", "keyword_rules_v", "cases_v"),
+                                       extra=_METRIC_CTES) +
+       "SELECT s.model, s.metric, round(mean, 6) AS mean, round(std, 6) AS std, CAST(n_buckets AS BIGINT) AS n_buckets, "
+       "round(full_total, 6) AS full_total, CAST(freq AS BIGINT) AS freq FROM stm s JOIN fum f ON f.model = s.model AND f.metric = s.metric")
+def report_by_metric(spark, sf):
+    r = rp.by_metric(_metric_scores(spark, sf), cm.case_params(spark, sf), cm.K)
+    return r.select("model", "metric", rnd("mean").alias("mean"), rnd("std").alias("std"),
+                    big("n_buckets").alias("n_buckets"), rnd("full_total").alias("full_total"), big("freq").alias("freq"))
