@@ -15,9 +15,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations")
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table of a data directory. The schema is inferred once per
+    path and then passed explicitly, so later reads skip footer inference
+    (files are still listed at every read)."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    return spark.read.parquet(path)
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
