@@ -158,6 +158,68 @@ def grader_alignment(t: str, r: str):
     return f_prev[m - 1], s
 
 
+def _codes(x: str) -> np.ndarray:
+    return np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _segmented_cummax(values: np.ndarray, reset: np.ndarray) -> np.ndarray:
+    """Running max that restarts at every ``reset`` position (reset[0] True).
+    Values are >= -1 and below ``m``; segment k is lifted by k * big so a
+    global running max never crosses a segment start."""
+    seg = np.cumsum(reset, dtype=np.int64)
+    big = np.int64(values.shape[0] + 2)
+    lifted = values.astype(np.int64) + seg * big
+    return np.maximum.accumulate(lifted) - seg * big
+
+
+def grader_alignment_np(t: str, r: str):
+    """``grader_alignment`` with each DP row computed by NumPy.
+
+    Row i >= 1 of the matched-length table: a match cell takes
+    ``f[i-1][j-1] + 1``, a miss takes ``max(f[i][j-1], f[i-1][j])``, so the
+    row is a running max of ``c[j]`` restarted at match cells (and at
+    j = 0). The index table follows the same pattern: it restarts at match
+    cells (value j) and where the left value is smaller than the upper one
+    (value of the upper cell); on a tie the upper cell's index joins the
+    running max; otherwise the left index carries."""
+    n, m = len(t), len(r)
+    if n == 0 or m == 0:
+        return 0, []
+    rc = _codes(r)
+    tc = _codes(t)
+    idx = np.arange(m, dtype=np.int64)
+    s_rows = np.zeros((n, m), dtype=np.int64)
+    eq = rc == tc[0]
+    f_prev = eq.astype(np.int64)
+    s_rows[0] = np.where(eq, idx, 0)
+    for i in range(1, n):
+        eq = rc == tc[i]
+        s_prev = s_rows[i - 1]
+        c = np.empty(m, dtype=np.int64)
+        c[0] = 1 if eq[0] else 0
+        c[1:] = np.where(eq[1:], f_prev[:-1] + 1, f_prev[1:])
+        reset = eq.copy()
+        reset[0] = True
+        f = _segmented_cummax(c, reset)
+        a = f[:-1]          # f[i][j-1]
+        b = f_prev[1:]      # f[i-1][j]
+        vals = np.empty(m, dtype=np.int64)
+        vals[0] = 0
+        vals[1:] = np.where(eq[1:], idx[1:], np.where(a < b, s_prev[1:], np.where(a == b, s_prev[1:], -1)))
+        rs = reset.copy()
+        rs[1:] |= a < b
+        s_rows[i] = _segmented_cummax(vals, rs)
+        f_prev = f
+    s = [0] * n
+    p = int(s_rows[n - 1, m - 1])
+    for i in range(n - 1, -1, -1):
+        hit = t[i] == r[p]
+        s[i] = p if hit else p + 1
+        if i > 0 and hit:
+            p = int(s_rows[i - 1, p - 1])
+    return int(f_prev[m - 1]), s
+
+
 def grader_alignment_batch(template: pd.Series, response: pd.Series) -> pd.DataFrame:
     matched = np.zeros(len(template), dtype=np.int32)
     spans = []
@@ -165,7 +227,7 @@ def grader_alignment_batch(template: pd.Series, response: pd.Series) -> pd.DataF
         if t is None or r is None:
             spans.append(None)
             continue
-        f, s = grader_alignment(t, r)
+        f, s = grader_alignment_np(t, r)
         matched[i] = f
         spans.append(s)
     return pd.DataFrame({"matched": matched, "spans": spans})

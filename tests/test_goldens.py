@@ -167,3 +167,10 @@ def test_order_handler(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     h = order_handler(F.col("t"), "console.log(this.newIds)", "});")
     assert [r.s for r in df.select(h["score"].alias("s")).collect()] == [1.0, 0.0, 0.0]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab c", min_size=1, max_size=40), st.text(alphabet="abc ", min_size=1, max_size=60))
+def test_vectorised_alignment_equals_literal(t, r):
+    from gradewise.functions.lcs import grader_alignment, grader_alignment_np
+    assert grader_alignment_np(t, r) == grader_alignment(t, r)
