@@ -54,21 +54,47 @@ def _lcs_table(r, c):
     return t
 
 
+def _lcs_table_np(r, c):
+    """``_lcs_table`` by rows: with a zero first column, row i is a running
+    max of ``match ? up-left + 1 : up`` restarted at match cells."""
+    n, m = len(r), len(c)
+    t = np.zeros((n + 1, m + 1), dtype=np.int64)
+    if n == 0 or m == 0:
+        return t
+    vocab = {}
+    rc = np.array([vocab.setdefault(x, len(vocab)) for x in r], dtype=np.int64)
+    cc = np.array([vocab.get(x, -1) for x in c], dtype=np.int64)
+    big = np.int64(m + 3)
+    for i in range(1, n + 1):
+        eq = cc == rc[i - 1]
+        prev = t[i - 1]
+        vals = np.empty(m + 1, dtype=np.int64)
+        vals[0] = 0
+        vals[1:] = np.where(eq, prev[:-1] + 1, prev[1:])
+        reset = np.empty(m + 1, dtype=bool)
+        reset[0] = True
+        reset[1:] = eq
+        seg = np.cumsum(reset, dtype=np.int64)
+        t[i] = np.maximum.accumulate(vals + seg * big) - seg * big
+    return t
+
+
 def _lcs_indices(r, c):
     """Indices into ``r`` of one LCS: on equal take both, else go left when
     the left cell is strictly larger, otherwise up."""
-    t = _lcs_table(r, c)
+    t = _lcs_table_np(r, c)
     i, j = len(r), len(c)
     out = []
     while i > 0 and j > 0:
         if r[i - 1] == c[j - 1]:
-            out.insert(0, i - 1)
+            out.append(i - 1)
             i -= 1
             j -= 1
         elif t[i, j - 1] > t[i - 1, j]:
             j -= 1
         else:
             i -= 1
+    out.reverse()
     return out
 
 

@@ -174,3 +174,10 @@ def test_order_handler(spark):
 def test_vectorised_alignment_equals_literal(t, r):
     from gradewise.functions.lcs import grader_alignment, grader_alignment_np
     assert grader_alignment_np(t, r) == grader_alignment(t, r)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcde"), max_size=30))
+def test_vectorised_lcs_table_equals_loops(a, b):
+    from gradewise.functions.lcs import _lcs_table, _lcs_table_np
+    assert (_lcs_table(a, b) == _lcs_table_np(a, b)).all()
