@@ -114,3 +114,62 @@ def rule_matches(responses: DataFrame, rules: DataFrame, match: Column | None =
         t = F.when(F.col("to_lower"), F.lower(text)).otherwise(text)
         match = F.when(F.col("is_regex"), F.regexp_like(t, F.col("rx"))).otherwise(F.contains(t, F.col("pat")))
     return j.select(*keys, "rule_no", "weight", "neg", match.alias("matched"))
+
+
+def pack_rule_trees(nodes: DataFrame) -> DataFrame:
+    """Node table -> one row per case: array of rules (sorted by rule_no),
+    each with its post-ordered node array."""
+    pat = F.when(F.col("to_lower"), F.lower("pattern")).otherwise(F.col("pattern"))
+    n = nodes.select("case_id", "rule_no", "weight", "neg", "to_lower", F.struct(
+        "node_id", "parent_id", "op", pat.alias("pat"), py_regex(pat).alias("rx"),
+        F.coalesce("is_regex", F.lit(False)).alias("is_regex"), "cond").alias("node"))
+    per_rule = n.groupBy("case_id", "rule_no").agg(
+        F.first("weight").alias("weight"), F.first("neg").alias("neg"), F.first("to_lower").alias("to_lower"),
+        F.array_sort(F.collect_list("node")).alias("nodes"))
+    return per_rule.groupBy("case_id").agg(F.array_sort(F.collect_list(
+        F.struct("rule_no", "weight", "neg", "to_lower", "nodes"))).alias("rules"))
+
+
+def _tree_value(rule: Column, text: Column, ltext: Column, prev: Column) -> Column:
+    """Root value of one rule's node tree: fold over post-ordered nodes,
+    keeping node_id -> value in a map (children are decided before their
+    parent)."""
+    t = F.when(rule["to_lower"], ltext).otherwise(text)
+    nodes = rule["nodes"]
+
+    def step(m, nd):
+        kids = F.filter(nodes, lambda c: c["parent_id"] == nd["node_id"])
+        leaf = F.when(nd["is_regex"], F.regexp_like(t, nd["rx"])).otherwise(F.contains(t, nd["pat"]))
+        any_kid = F.exists(kids, lambda c: F.element_at(m, c["node_id"]))
+        all_kids = F.forall(kids, lambda c: F.element_at(m, c["node_id"]))
+        v = (F.when(nd["op"] == "leaf", leaf).when(nd["op"] == "and", all_kids).otherwise(any_kid))
+        ok = (F.when(nd["cond"].isNull(), F.lit(True)).when(nd["cond"] == "prev_match", prev)
+               .otherwise(~prev))
+        return F.map_concat(m, F.create_map(nd["node_id"], v & ok))
+
+    values = F.aggregate(nodes, F.create_map().cast("map<int,boolean>"), step)
+    return F.coalesce(F.element_at(values, F.element_at(nodes, -1)["node_id"]), F.lit(False))
+
+
+def keyword_tree_scores(responses: DataFrame, nodes: DataFrame,
+                        keys=("model", "case_id", "sample_no"), text_col: str = "text") -> DataFrame:
+    """Keyword score per response for rule trees of any depth (node table
+    from ``sources.readers.keyword_nodes``); same plan as ``keyword_scores``:
+    packed per case, broadcast after the size check, one fold per row."""
+    packed = maybe_broadcast(pack_rule_trees(nodes))
+    j = responses.select(*keys, text_col).join(packed, "case_id")
+    j = j.select(*keys, text_col, "rules", F.lower(F.col(text_col)).alias("__lt"))
+    init = F.struct(F.lit(False).alias("prev"), F.lit(0.0).alias("score"), F.lit(0.0).alias("tot"),
+                    F.array().cast("array<string>").alias("statuses"))
+
+    def step(acc, r):
+        m = _tree_value(r, F.col(text_col), F.col("__lt"), acc["prev"])
+        signed = F.when(r["neg"], -r["weight"]).otherwise(r["weight"])
+        return F.struct(m.alias("prev"),
+                        (acc["score"] + F.when(m, signed).otherwise(F.lit(0.0))).alias("score"),
+                        (acc["tot"] + F.when(r["neg"], F.lit(0.0)).otherwise(r["weight"])).alias("tot"),
+                        F.array_append(acc["statuses"], F.when(m, "match").otherwise("unmatch")).alias("statuses"))
+
+    j = j.select(*keys, F.aggregate(F.col("rules"), init, step).alias("__r"))
+    return j.select(*keys, F.col("__r.score").alias("score"), F.col("__r.tot").alias("tot"),
+                    F.col("__r.statuses").alias("statuses"))

@@ -20,8 +20,8 @@ def metric_scores(responses: DataFrame, cases: DataFrame) -> DataFrame:
     responses: model, case_path, sample_no, text."""
     c = maybe_broadcast(cases.select("case_path", "case_id"))
     r = responses.join(c, "case_path")
-    rules = readers.keyword_rules(cases)
-    k = kw.keyword_scores(r, rules)
+    nodes = readers.keyword_nodes(cases)
+    k = kw.keyword_tree_scores(r, nodes)
     return k.select("model", "case_id", "sample_no", F.lit("keywords").alias("metric"), "score", "tot")
 
 

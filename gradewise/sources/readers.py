@@ -165,3 +165,72 @@ def resolve_texts(rules: DataFrame, files: DataFrame, content: str = "content",
     f = files.select(F.col(path).alias("__p"), F.col("text").alias("__t"))
     j = rules.join(f, rules[path] == f["__p"], "left")
     return j.withColumn("text", F.coalesce(F.col(content), F.col("__t"))).drop("__p", "__t")
+
+
+NODE_SCHEMA = ("case_id string, rule_no int, node_id int, parent_id int, op string, pattern string, "
+               "is_regex boolean, cond string, weight double, to_lower boolean, neg boolean")
+
+
+def _flatten_rules(batches):
+    """Keyword rule lists -> post-ordered node rows (children before
+    parents, root last with parent -1). ``regex`` is inherited downwards
+    and may be overridden on any node."""
+    from gradewise.functions.keywords import normalise_cond
+    for pdf in batches:
+        out = []
+        for case_id, js in zip(pdf["case_id"], pdf["kw"]):
+            rules = json.loads(js) if js else []
+            rule_no = -1
+            for rule in rules:
+                rule_no += 1
+                if isinstance(rule, dict) and "post_handler" in rule:
+                    continue
+                if isinstance(rule, str):
+                    content, w, low, neg = rule, 1.0, False, False
+                else:
+                    content = rule.get("content")
+                    w = float(rule.get("weight", 1.0))
+                    low, neg = bool(rule.get("to_lower", False)), bool(rule.get("neg", False))
+                nodes = []
+
+                def walk(node, regex, parent_slot):
+                    if isinstance(node, str):
+                        nodes.append([None, parent_slot, "leaf", node, regex, None])
+                        return len(nodes) - 1
+                    regex = bool(node.get("regex", regex))
+                    op = "or" if "or" in node else "and" if "and" in node else "content"
+                    kids = node[op] if op != "content" else [node["content"]]
+                    me = len(nodes)
+                    nodes.append(None)  # placeholder, filled after the children
+                    child_slots = [walk(k, regex, me) for k in kids]
+                    nodes[me] = [child_slots, parent_slot, op, None, regex, normalise_cond(node.get("cond"))]
+                    return me
+
+                walk(content, False, -1)
+                # post-order numbering: children get smaller ids than parents
+                order, seen = [], set()
+
+                def post(slot):
+                    n = nodes[slot]
+                    if n[2] != "leaf":
+                        for c in n[0]:
+                            post(c)
+                    if slot not in seen:
+                        seen.add(slot)
+                        order.append(slot)
+
+                post(0)
+                new_id = {slot: k for k, slot in enumerate(order)}
+                for slot in order:
+                    n = nodes[slot]
+                    parent = -1 if n[1] == -1 else new_id[n[1]]
+                    out.append((case_id, rule_no, new_id[slot], parent, n[2], n[3], n[4], n[5], w, low, neg))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+
+
+def keyword_nodes(cases: DataFrame) -> DataFrame:
+    """Keyword rules of any nesting depth as a node table (see NODE_SCHEMA).
+    Parsing a rule list is a per-case Python helper; evaluation is native
+    (``operators.keywords.keyword_tree_scores``)."""
+    kw = cases.select("case_id", F.to_json(F.try_variant_get("grading", "$.keywords", "variant")).alias("kw"))
+    return kw.where(F.col("kw").isNotNull()).mapInPandas(_flatten_rules, NODE_SCHEMA)
