@@ -294,3 +294,32 @@ def report_by_metric(spark, sf):
     r = rp.by_metric(_metric_scores(spark, sf), cm.case_params(spark, sf), cm.K)
     return r.select("model", "metric", rnd("mean").alias("mean"), rnd("std").alias("std"),
                     big("n_buckets").alias("n_buckets"), rnd("full_total").alias("full_total"), big("freq").alias("freq"))
+
+
+def _tree_nodes(spark, sf):
+    """Node table of one rule per case: or(and(w0, w1), regex(w2)), weight 2,
+    post-ordered (leaves 0, 1 -> and 2; regex leaf 3; root or 4)."""
+    c = fx.cases_v(spark, sf)
+    w = [F.split_part("ref_text", F.lit(" "), F.lit(i + 1)) for i in range(3)]
+
+    def node(nid, parent, op, pat, regex):
+        return F.struct(F.lit(nid).alias("node_id"), F.lit(parent).alias("parent_id"), F.lit(op).alias("op"),
+                        pat.alias("pattern"), F.lit(regex).alias("is_regex"))
+
+    nodes = F.array(node(0, 2, "leaf", w[0], False), node(1, 2, "leaf", w[1], False),
+                    node(2, 4, "and", F.lit(None).cast("string"), False),
+                    node(3, 4, "leaf", _regex_of(w[2]), True),
+                    node(4, -1, "or", F.lit(None).cast("string"), False))
+    return c.select(F.col("case_id"), F.explode(nodes).alias("n")).select(
+        "case_id", F.lit(0).alias("rule_no"), "n.*", F.lit(None).cast("string").alias("cond"),
+        F.lit(2.0).alias("weight"), F.lit(False).alias("to_lower"), F.lit(False).alias("neg"))
+
+
+@query("kw_tree_fold", fx.with_views("responses_v", "cases_v") +
+       "SELECT r.model, r.case_id, r.sample_no, CASE WHEN ((contains(r.text, split_part(c.ref_text, ' ', 1)) "
+       "AND contains(r.text, split_part(c.ref_text, ' ', 2))) OR regexp_matches(r.text, "
+       + _SQL_REGEX.format(w="split_part(c.ref_text, ' ', 3)") + ")) THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score, "
+       "CAST(2.0 AS DOUBLE) AS tot FROM responses_v r JOIN cases_v c ON c.case_id = r.case_id")
+def kw_tree_fold(spark, sf):
+    s = kw.keyword_tree_scores(fx.responses_v(spark, sf), _tree_nodes(spark, sf))
+    return s.select(*KEYS, "score", "tot")
