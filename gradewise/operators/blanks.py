@@ -120,23 +120,33 @@ def blank_scores(responses: DataFrame, templates: DataFrame, targets: DataFrame,
     j = fl.join(maybe_broadcast(pack_targets(targets)), "case_id")
     pairs = F.arrays_zip(F.col("targets").alias("tg"), F.col("fills").alias("fill"))
     init = F.struct(F.lit(False).alias("prev"), F.lit(0.0).alias("score"), F.lit(0.0).alias("tot"),
-                    F.array().cast("array<boolean>").alias("flags"))
+                    F.array().cast("array<boolean>").alias("flags"),
+                    F.array().cast("array<string>").alias("details"))
     gate_ok = F.col("rate") >= F.lit(gate)
 
     def step(acc, x):
         tg, fill = x["tg"], x["fill"]
         m = gate_ok & F.exists(tg["alts"], lambda a: _alt_match(a, fill, tg, acc["prev"]))
         m = F.coalesce(m, F.lit(False))
+        # Detail string: the first matching alternative, else the last one.
+        hit = F.filter(tg["alts"], lambda a: gate_ok & _alt_match(a, fill, tg, acc["prev"]))
+        ans = F.when(m, F.element_at(hit, 1)["pattern"]).otherwise(F.element_at(tg["alts"], -1)["pattern"])
+        body = F.concat(F.lit("response string: "), fill, F.lit(", ans: "), ans)
+        detail = (F.when(~gate_ok, F.concat(F.lit("unmatched: match rate too low - "), F.col("rate").cast("string")))
+                   .when(m, F.concat(F.lit("matched: "), body))
+                   .otherwise(F.concat(F.lit("unmatched: "), body)))
         return F.struct(m.alias("prev"),
                         (acc["score"] + F.when(m, tg["weight"]).otherwise(0.0)).alias("score"),
                         (acc["tot"] + tg["weight"]).alias("tot"),
-                        F.array_append(acc["flags"], m).alias("flags"))
+                        F.array_append(acc["flags"], m).alias("flags"),
+                        F.array_append(acc["details"], detail).alias("details"))
 
     j = j.select(key, "case_id", "rate", "fills", "end_blank",
                  (F.col("n_blank") == F.size("targets")).alias("targets_fit"),
                  F.aggregate(pairs, init, step).alias("__r"))
     return j.select(key, "case_id", F.col("__r.score").alias("score"), F.col("__r.tot").alias("tot"), "rate",
-                    F.col("__r.flags").alias("matched"), "fills", "end_blank", "targets_fit")
+                    F.col("__r.flags").alias("matched"), F.col("__r.details").alias("details"),
+                    "fills", "end_blank", "targets_fit")
 
 
 def fill_handler(fill: Column, main: str, sub_all, main_points: float = 2.0,

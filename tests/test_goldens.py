@@ -181,3 +181,17 @@ def test_vectorised_alignment_equals_literal(t, r):
 def test_vectorised_lcs_table_equals_loops(a, b):
     from gradewise.functions.lcs import _lcs_table, _lcs_table_np
     assert (_lcs_table(a, b) == _lcs_table_np(a, b)).all()
+
+
+def test_blank_scores_details(spark):
+    from gradewise.operators.blanks import blank_scores
+    tpl = spark.createDataFrame([(0, "x = [blank];")], "case_id int, template string")
+    resp = spark.createDataFrame([(1, 0, "x = 42;"), (2, 0, "x = 7;"), (3, 0, "totally different text")],
+                                 "doc_id int, case_id int, response string")
+    tg = spark.createDataFrame([(0, 0, 1.0, False, False, [("41", False, None), ("4[0-9]", True, None)])],
+                               "case_id int, target_no int, weight double, to_lower boolean, substr_match boolean, "
+                               "alternatives array<struct<pattern string, is_regex boolean, cond string>>")
+    got = {r.doc_id: (r.score, r.fills, r.details) for r in blank_scores(resp, tpl, tg).collect()}
+    assert got[1] == (1.0, ["42"], ["matched: response string: 42, ans: 4[0-9]"])
+    assert got[2] == (0.0, ["7"], ["unmatched: response string: 7, ans: 4[0-9]"])
+    assert got[3][0] == 0.0 and got[3][2][0].startswith("unmatched: match rate too low - ")
