@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gradewise.functions.text import as_col, occurrences
+from gradewise.functions.text import as_col, let, occurrences
 
 # ---------------------------------------------------------------- fixed values
 # Fence markers.
@@ -91,13 +91,6 @@ WS = " \t\n\x0b\x0c\r"
 NONBLANK = "[^ \\t\\n\\x0B\\f\\r]"
 
 
-def let(expr, fn) -> Column:
-    """Bind ``expr`` once and use it many times in ``fn`` (a one-element
-    ``transform``), so nested helpers do not copy a large sub-expression
-    into the plan at every use."""
-    return F.element_at(F.transform(F.array(as_col(expr)), fn), 1)
-
-
 def marker_count(text) -> Column:
     t = as_col(text)
     total = occurrences(t, MARKERS[0])

@@ -246,6 +246,9 @@ def grader_alignment_np(t: str, r: str):
     return int(f_prev[m - 1]), s
 
 
+NUMPY_MIN_RESPONSE = 400
+
+
 def grader_alignment_batch(template: pd.Series, response: pd.Series) -> pd.DataFrame:
     matched = np.zeros(len(template), dtype=np.int32)
     spans = []
@@ -253,7 +256,9 @@ def grader_alignment_batch(template: pd.Series, response: pd.Series) -> pd.DataF
         if t is None or r is None:
             spans.append(None)
             continue
-        f, s = grader_alignment_np(t, r)
+        # Row-vectorised NumPy pays ~90 us per template character in call
+        # overhead; plain loops cost ~0.25 us per cell. Same results.
+        f, s = grader_alignment_np(t, r) if len(r) > NUMPY_MIN_RESPONSE else grader_alignment(t, r)
         matched[i] = f
         spans.append(s)
     return pd.DataFrame({"matched": matched, "spans": spans})

@@ -11,6 +11,14 @@ def as_col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(expr, fn) -> Column:
+    """Bind ``expr`` once and use it many times in ``fn`` (a one-element
+    ``transform``). Spark does not share repeated sub-expressions inside
+    lambda bodies, and nested helpers would otherwise copy a large
+    sub-expression into the plan at every use."""
+    return F.element_at(F.transform(F.array(as_col(expr)), fn), 1)
+
+
 def py_regex(pattern) -> Column:
     """Make a Java regex behave like Python ``re`` for search/fullmatch.
 

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from gradewise.session import ship_package
 
 from gradewise.functions import lcs as kernels
-from gradewise.functions.text import py_regex
+from gradewise.functions.text import let, py_regex
 from gradewise.operators.sizing import maybe_broadcast
 
 DEFAULT_BLANK = "[blank]"
@@ -24,6 +26,7 @@ RATE_GATE = 0.8
 
 @functools.cache
 def _align_udf():
+    ship_package(SparkSession.getActiveSession())
     return F.pandas_udf(kernels.grader_alignment_batch, "matched int, spans array<int>")
 
 
@@ -126,20 +129,24 @@ def blank_scores(responses: DataFrame, templates: DataFrame, targets: DataFrame,
 
     def step(acc, x):
         tg, fill = x["tg"], x["fill"]
-        m = gate_ok & F.exists(tg["alts"], lambda a: _alt_match(a, fill, tg, acc["prev"]))
-        m = F.coalesce(m, F.lit(False))
-        # Detail string: the first matching alternative, else the last one.
-        hit = F.filter(tg["alts"], lambda a: gate_ok & _alt_match(a, fill, tg, acc["prev"]))
-        ans = F.when(m, F.element_at(hit, 1)["pattern"]).otherwise(F.element_at(tg["alts"], -1)["pattern"])
-        body = F.concat(F.lit("response string: "), fill, F.lit(", ans: "), ans)
-        detail = (F.when(~gate_ok, F.concat(F.lit("unmatched: match rate too low - "), F.col("rate").cast("string")))
-                   .when(m, F.concat(F.lit("matched: "), body))
-                   .otherwise(F.concat(F.lit("unmatched: "), body)))
-        return F.struct(m.alias("prev"),
-                        (acc["score"] + F.when(m, tg["weight"]).otherwise(0.0)).alias("score"),
-                        (acc["tot"] + tg["weight"]).alias("tot"),
-                        F.array_append(acc["flags"], m).alias("flags"),
-                        F.array_append(acc["details"], detail).alias("details"))
+        # Position of the first alternative that matches (0: none), once.
+        first = F.array_position(F.transform(tg["alts"], lambda a: _alt_match(a, fill, tg, acc["prev"])), True)
+
+        def emit(pos):
+            m = gate_ok & (pos > 0)
+            ans = F.when(pos > 0, F.element_at(tg["alts"], F.greatest(pos, F.lit(1)).cast("int"))["pattern"]) \
+                .otherwise(F.element_at(tg["alts"], -1)["pattern"])
+            body = F.concat(F.lit("response string: "), fill, F.lit(", ans: "), ans)
+            detail = (F.when(~gate_ok, F.concat(F.lit("unmatched: match rate too low - "), F.col("rate").cast("string")))
+                       .when(m, F.concat(F.lit("matched: "), body))
+                       .otherwise(F.concat(F.lit("unmatched: "), body)))
+            return F.struct(m.alias("prev"),
+                            (acc["score"] + F.when(m, tg["weight"]).otherwise(0.0)).alias("score"),
+                            (acc["tot"] + tg["weight"]).alias("tot"),
+                            F.array_append(acc["flags"], m).alias("flags"),
+                            F.array_append(acc["details"], detail).alias("details"))
+
+        return let(F.when(gate_ok, first).otherwise(F.lit(0).cast("long")), emit)
 
     j = j.select(key, "case_id", "rate", "fills", "end_blank",
                  (F.col("n_blank") == F.size("targets")).alias("targets_fit"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradewise.functions.text import py_regex
+from gradewise.functions.text import let, py_regex
 from gradewise.operators.sizing import maybe_broadcast
 
 # Rule table columns: case_id, rule_no, pattern, and optionally weight
@@ -73,14 +73,13 @@ def fold_rules(rules: Column, text: Column, ltext: Column) -> Column:
         ok = (F.when(r["cond"].isNull(), F.lit(True))
                .when(r["cond"] == "prev_match", acc["prev"])
                .otherwise(~acc["prev"]))
-        m = raw & ok
         signed = F.when(r["neg"], -r["weight"]).otherwise(r["weight"])
-        return F.struct(
+        return let(raw & ok, lambda m: F.struct(
             m.alias("prev"),
             (acc["score"] + F.when(m, signed).otherwise(F.lit(0.0))).alias("score"),
             (acc["tot"] + F.when(r["neg"], F.lit(0.0)).otherwise(r["weight"])).alias("tot"),
             F.array_append(acc["statuses"], F.when(m, "match").otherwise("unmatch")).alias("statuses"),
-        )
+        ))
 
     return F.aggregate(rules, init, step)
 
@@ -163,12 +162,12 @@ def keyword_tree_scores(responses: DataFrame, nodes: DataFrame,
                     F.array().cast("array<string>").alias("statuses"))
 
     def step(acc, r):
-        m = _tree_value(r, F.col(text_col), F.col("__lt"), acc["prev"])
         signed = F.when(r["neg"], -r["weight"]).otherwise(r["weight"])
-        return F.struct(m.alias("prev"),
-                        (acc["score"] + F.when(m, signed).otherwise(F.lit(0.0))).alias("score"),
-                        (acc["tot"] + F.when(r["neg"], F.lit(0.0)).otherwise(r["weight"])).alias("tot"),
-                        F.array_append(acc["statuses"], F.when(m, "match").otherwise("unmatch")).alias("statuses"))
+        return let(_tree_value(r, F.col(text_col), F.col("__lt"), acc["prev"]), lambda m: F.struct(
+            m.alias("prev"),
+            (acc["score"] + F.when(m, signed).otherwise(F.lit(0.0))).alias("score"),
+            (acc["tot"] + F.when(r["neg"], F.lit(0.0)).otherwise(r["weight"])).alias("tot"),
+            F.array_append(acc["statuses"], F.when(m, "match").otherwise("unmatch")).alias("statuses")))
 
     j = j.select(*keys, F.aggregate(F.col("rules"), init, step).alias("__r"))
     return j.select(*keys, F.col("__r.score").alias("score"), F.col("__r.tot").alias("tot"),

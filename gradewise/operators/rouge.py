@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from gradewise.session import ship_package
 
 from gradewise.functions import lcs as lcs_kernels
 from gradewise.functions.text import rouge_tokens
@@ -105,6 +107,7 @@ def rouge_n(responses: DataFrame, references: DataFrame, n: int, tokenizer=rouge
 @functools.cache
 def _udfs():
     """Arrow UDFs, created once a session exists."""
+    ship_package(SparkSession.getActiveSession())
     return (F.pandas_udf(lcs_kernels.token_lcs_batch, "int"),
             F.pandas_udf(lcs_kernels.union_lcs_batch, "int"))
 

@@ -67,3 +67,24 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gradewise`` importable on the executors' Python workers (UDFs
+    and ``mapInPandas`` helpers are pickled by module reference). The
+    package is zipped once per context and distributed with ``addPyFile``,
+    as ``--py-files`` would do at submit time."""
+    import shutil
+
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    pkg_parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="gradewise-pyfiles-"), "gradewise")
+    archive = shutil.make_archive(out, "zip", root_dir=pkg_parent, base_dir="gradewise")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradewise.functions.text import path_stem
+from gradewise.session import ship_package
 
 _PARSED = "path string, json string, error string"
 
@@ -34,6 +35,7 @@ def _parse_yaml(batches):
 
 def read_yaml(spark: SparkSession, paths) -> DataFrame:
     """path, doc VARIANT, error (null when parsed)."""
+    ship_package(spark)
     raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parsed = raw.mapInPandas(_parse_yaml, _PARSED)
     return parsed.select("path", F.try_parse_json("json").alias("doc"), "error")
@@ -232,5 +234,6 @@ def keyword_nodes(cases: DataFrame) -> DataFrame:
     """Keyword rules of any nesting depth as a node table (see NODE_SCHEMA).
     Parsing a rule list is a per-case Python helper; evaluation is native
     (``operators.keywords.keyword_tree_scores``)."""
+    ship_package(cases.sparkSession)
     kw = cases.select("case_id", F.to_json(F.try_variant_get("grading", "$.keywords", "variant")).alias("kw"))
     return kw.where(F.col("kw").isNotNull()).mapInPandas(_flatten_rules, NODE_SCHEMA)
