@@ -51,15 +51,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-def responses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def responses_base(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -> DataFrame:
     """``responses_v`` without the sample index (doc_id, case_id, model, text)."""
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir) if spread_rows else table(spark, sf_dir, "documents")
     return d.select("doc_id", (F.col("doc_id") % n_cases(spark, sf_dir)).alias("case_id"),
                     F.col("source").alias("model"), "text")
 
 
 def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = ordered_index(responses_base(spark, sf_dir), ["case_id"], "doc_id", "sample_no")
+    # The index's (case, block) exchange already spreads the rows.
+    d = ordered_index(responses_base(spark, sf_dir, spread_rows=False), ["case_id"], "doc_id", "sample_no")
     return d.select("doc_id", "case_id", F.col("sample_no").cast("long"), "model", "text")
 
 
