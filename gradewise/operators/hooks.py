@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 CUSTOM: dict[str, Callable[..., Column]] = {}
 
@@ -37,3 +37,21 @@ def metric_label(metric: Column, real_metric_type: Column | None = None) -> Colu
     if real_metric_type is None:
         return metric
     return F.when(metric == "custom", F.coalesce(real_metric_type, F.lit("custom"))).otherwise(metric)
+
+
+def apply_post_handler(scores: DataFrame, handler: Callable[[Column, Column, Column], Column],
+                       score: str = "score", tot: str = "tot", statuses: str = "statuses") -> DataFrame:
+    """Replace (score, tot) by a post-handler's result computed from the
+    aggregated triple (score, tot, per-rule statuses); the handler returns
+    struct<score double, tot double, detail>."""
+    r = handler(F.col(score), F.col(tot), F.col(statuses))
+    return (scores.withColumn("__ph", r)
+            .withColumn(score, F.col("__ph.score")).withColumn(tot, F.col("__ph.tot"))
+            .withColumn("post_handler_detail", F.col("__ph.detail")).drop("__ph"))
+
+
+def require_all(score: Column, tot: Column, statuses: Column) -> Column:
+    """Example post-handler: full marks only when every rule matched."""
+    ok = F.forall(statuses, lambda s: s == "match")
+    return F.struct(F.when(ok, tot).otherwise(F.lit(0.0)).alias("score"), tot.alias("tot"),
+                    F.when(ok, F.lit("all matched")).otherwise(F.lit("missing keywords")).alias("detail"))

@@ -90,3 +90,8 @@ def pass_at_k(outcomes: DataFrame, ks=(1, 10, 100), task: str = "case_id") -> Da
     return (e.groupBy(F.col("e.k").alias("k"))
             .agg(F.avg("e.est").alias("pass_at_k"), F.min("n").alias("min_n"))
             .where(F.col("min_n") >= F.col("k")).select("k", "pass_at_k"))
+
+
+def preview(result, n: int = 40) -> Column:
+    """First ``n`` characters of an execution result (log preview)."""
+    return F.left(as_col(result), F.lit(n))

@@ -212,3 +212,10 @@ def similarity_scores(best: DataFrame, rules: DataFrame, key: str = "doc_id") ->
     norm = normalised(F.col("f1"), F.coalesce(F.col("min_score"), dmin),
                       F.coalesce(F.col("max_score"), dmax))
     return j.groupBy(key, "case_id").agg(F.sum(w * norm).alias("score"), F.sum(w).alias("tot"))
+
+
+def corpus_scores(scores: DataFrame) -> DataFrame:
+    """Aggregated form (``use_aggregator``): mean F1 per metric over all
+    (prediction, reference-set) pairs; for a single pair it equals the pair's
+    own score. Algebraic, so it is combined map-side."""
+    return scores.groupBy("metric").agg(F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("n_pairs"))

@@ -195,3 +195,14 @@ def test_blank_scores_details(spark):
     assert got[1] == (1.0, ["42"], ["matched: response string: 42, ans: 4[0-9]"])
     assert got[2] == (0.0, ["7"], ["unmatched: response string: 7, ans: 4[0-9]"])
     assert got[3][0] == 0.0 and got[3][2][0].startswith("unmatched: match rate too low - ")
+
+
+def test_post_handler_and_corpus_mean(spark):
+    from gradewise.operators.hooks import apply_post_handler, require_all
+    df = spark.createDataFrame([(2.0, 3.0, ["match", "match"]), (1.0, 3.0, ["match", "unmatch"])],
+                               "score double, tot double, statuses array<string>")
+    got = [(r.score, r.tot, r.post_handler_detail) for r in apply_post_handler(df, require_all).collect()]
+    assert got == [(3.0, 3.0, "all matched"), (0.0, 3.0, "missing keywords")]
+    s = spark.createDataFrame([("rouge1", 0.5), ("rouge1", 0.0)], "metric string, f1 double")
+    assert rg.corpus_scores(s).first().f1 == 0.25
+    assert _one(spark, oc.preview(F.lit("x" * 50))) == "x" * 40
