@@ -112,3 +112,20 @@ def test_writers_and_report_text(spark):
                                 "model string, total_score double, sum_of_case_std double, total_full double, n_cases long, n_with_response long")
     writers.write_summary(tot, f"{d}/summary")
     assert "Total cases: 135" in spark.read.json(f"{d}/summary").first().summary
+
+
+def test_manifest_roundtrip_and_resolve(spark):
+    d = tempfile.mkdtemp(prefix="gw-man-")
+    resp = spark.createDataFrame([("m1", "cases/eval_a.yaml", i, f"t{i}") for i in (2, 0, 1)] +
+                                 [("m2", "cases/eval_a.yaml", 0, "u0")],
+                                 "model string, case_path string, sample_no int, text string")
+    writers.write_responses(resp, f"{d}/responses")
+    back = spark.read.parquet(f"{d}/responses").where(F.col("model") == "m1")
+    assert back.count() == 3
+    m = {(r.model, r.case_path): r.files for r in writers.manifest(resp).collect()}
+    assert m[("m1", "cases/eval_a.yaml")] == ["eval_a_0.txt", "eval_a_1.txt", "eval_a_2.txt"]
+    rules = spark.createDataFrame([("c", 0, "inline text", None), ("c", 1, None, "refs/r1.txt")],
+                                  "case_id string, ref_no int, content string, path string")
+    files = spark.createDataFrame([("refs/r1.txt", "from file")], "path string, text string")
+    got = {r.ref_no: r.text for r in readers.resolve_texts(rules, files).collect()}
+    assert got == {0: "inline text", 1: "from file"}
