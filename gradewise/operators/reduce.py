@@ -85,6 +85,17 @@ def reduce_samples(scores: DataFrame, mode: str = "avg", value: str = "now",
         F.count(F.lit(1)).alias("n_samples"))
 
 
+def weighted_totals(case_scores: DataFrame, cases: DataFrame) -> DataFrame:
+    """Suite entries carry a weight that the published totals ignore; this
+    opt-in view weights each case's score and full score by it.
+
+    cases: case_id, full_score, case_weight."""
+    c = maybe_broadcast(cases.select("case_id", "full_score", F.coalesce("case_weight", F.lit(1.0)).alias("w")))
+    j = case_scores.join(c, "case_id")
+    return j.groupBy("model").agg(F.sum(F.col("now_score") * F.col("w")).alias("weighted_score"),
+                                  F.sum(F.col("full_score") * F.col("w")).alias("weighted_full"))
+
+
 def suite_totals(case_scores: DataFrame, cases: DataFrame, null_score: float = 0.0) -> DataFrame:
     """Per model: total score, total full score, sum of per-case stds,
     number of cases in the suite and number with a response.

@@ -206,3 +206,10 @@ def test_post_handler_and_corpus_mean(spark):
     s = spark.createDataFrame([("rouge1", 0.5), ("rouge1", 0.0)], "metric string, f1 double")
     assert rg.corpus_scores(s).first().f1 == 0.25
     assert _one(spark, oc.preview(F.lit("x" * 50))) == "x" * 40
+
+
+def test_weighted_totals(spark):
+    cs = spark.createDataFrame([("m", 0, 0.5), ("m", 1, 1.0)], "model string, case_id int, now_score double")
+    c = spark.createDataFrame([(0, 1.0, 2.0), (1, 1.0, None)], "case_id int, full_score double, case_weight double")
+    r = rd.weighted_totals(cs, c).first()
+    assert (r.weighted_score, r.weighted_full) == (2.0, 3.0)
