@@ -48,7 +48,9 @@ def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     parallelism), rows are repartitioned round-robin (deterministic on
     retry: Spark sorts before a round-robin repartition). Large inputs
     already scan in many tasks and are returned unchanged -- no shuffle."""
-    target = min_tasks or 2 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_tasks or 2 * df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
+        return df
+    return df.repartition(target) if n < target else df
