@@ -10,22 +10,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Rows above which a dimension table (rules, references, cases) is not
-# broadcast. Rows of those tables are a few hundred bytes, so this keeps
-# the broadcast well under the default 8 GB hard limit and in practice
-# under a few hundred MB.
+# Bounds for a broadcast side: rows, and bytes measured as the JSON length
+# of those rows (close to, and for packed arrays/maps above, their in-memory
+# size). Packed per-case tables can be wide (a reference's gram map), so the
+# row bound alone would not bound the bytes.
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+             max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows totalling at most
+    ``max_bytes`` (JSON length). The check reads at most ``max_rows + 1``
+    rows (the limit stops the scan), so it is cheap exactly when the answer
+    is yes."""
+    size = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    r = df.limit(max_rows + 1).select(F.count(F.lit(1)).alias("n"),
+                                      F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return r.n <= max_rows and r.b <= max_bytes
 
-    The check reads at most ``max_rows + 1`` rows (the limit stops the scan),
-    so it is cheap exactly when the answer is yes.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
 
-
-def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint when the size check passes; plain DataFrame otherwise."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df

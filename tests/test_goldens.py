@@ -213,3 +213,11 @@ def test_weighted_totals(spark):
     c = spark.createDataFrame([(0, 1.0, 2.0), (1, 1.0, None)], "case_id int, full_score double, case_weight double")
     r = rd.weighted_totals(cs, c).first()
     assert (r.weighted_score, r.weighted_full) == (2.0, 3.0)
+
+
+def test_size_checked_broadcast(spark):
+    from gradewise.operators.sizing import is_small
+    df = spark.range(100).select(F.col("id"), F.repeat(F.lit("x"), 1000).alias("s"))
+    assert is_small(df)
+    assert not is_small(df, max_rows=50)
+    assert not is_small(df, max_bytes=10_000)
