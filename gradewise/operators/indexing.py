@@ -15,9 +15,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 DEFAULT_BLOCK = 1 << 16
+# Rows per block aimed at by ``block_width="auto"``.
+AUTO_BLOCK_ROWS = 1 << 16
 
 
-def _block(order_col: str, block_width: int):
+def _block(order_col: str, block_width, df: DataFrame | None = None):
+    """Block number of the order key. A number is a fixed width (suits dense
+    integer ids). ``"auto"`` derives the width from the key range and the
+    row count (lazy scalar subqueries), so sparse keys such as hashes still
+    get blocks of about ``AUTO_BLOCK_ROWS`` rows."""
+    if block_width == "auto":
+        stats = df.select(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"),
+                          F.count(F.lit(1)).alias("n"))
+        lo = stats.select("lo").scalar()
+        span = stats.select((F.col("hi").cast("double") - F.col("lo").cast("double") + 1.0)
+                            * F.lit(float(AUTO_BLOCK_ROWS)) / F.greatest(F.col("n"), F.lit(1))).scalar()
+        width = F.greatest(span, F.lit(1.0))
+        return F.floor((F.col(order_col).cast("double") - lo.cast("double")) / width).cast("long")
     return F.floor(F.col(order_col) / F.lit(block_width)).cast("long")
 
 
@@ -37,7 +51,7 @@ def running_sum(df: DataFrame, group_cols, order_col: str, value_col,
     group_cols = list(group_cols)
     blk = "__blk"
     val = F.lit(1).cast("long") if value_col is None else F.col(value_col)
-    d = df.withColumn(blk, _block(order_col, block_width)).withColumn("__v", val)
+    d = df.withColumn(blk, _block(order_col, block_width, df)).withColumn("__v", val)
     inner = Window.partitionBy(*group_cols, blk).orderBy(order_col) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("__in", F.sum("__v").over(inner))

@@ -17,7 +17,7 @@ def data(spark):
     return spark.createDataFrame(rows, "id long, g long, v double")
 
 
-@pytest.mark.parametrize("width", [1, 7, 64, 1 << 16])
+@pytest.mark.parametrize("width", [1, 7, 64, 1 << 16, "auto"])
 def test_ordered_index_equals_row_number(data, width):
     w = Window.partitionBy("g").orderBy("id")
     want = {r.id: r.rn for r in data.select("id", (F.row_number().over(w) - 1).alias("rn")).collect()}
@@ -38,3 +38,17 @@ def test_previous_equals_lag(data):
     want = {r.id: r.p for r in data.select("id", F.lag("v").over(w).alias("p")).collect()}
     got = {r.id: r.prev_v for r in previous_in_order(data, ["g"], "id", ["v"], block_width=50).collect()}
     assert got == want
+
+
+def test_auto_blocks_on_sparse_keys(spark, data):
+    import gradewise.operators.indexing as ix
+    sparse = data.withColumn("id", F.col("id") * F.lit(10 ** 12) + F.lit(7))
+    w = Window.partitionBy("g").orderBy("id")
+    want = {r.id: r.rn for r in sparse.select("id", (F.row_number().over(w) - 1).alias("rn")).collect()}
+    old = ix.AUTO_BLOCK_ROWS
+    ix.AUTO_BLOCK_ROWS = 40  # many blocks on 600 rows
+    try:
+        got = {r.id: r.rn for r in ordered_index(sparse, ["g"], "id", "rn", block_width="auto").collect()}
+    finally:
+        ix.AUTO_BLOCK_ROWS = old
+    assert got == want
