@@ -237,3 +237,21 @@ def keyword_nodes(cases: DataFrame) -> DataFrame:
     ship_package(cases.sparkSession)
     kw = cases.select("case_id", F.to_json(F.try_variant_get("grading", "$.keywords", "variant")).alias("kw"))
     return kw.where(F.col("kw").isNotNull()).mapInPandas(_flatten_rules, NODE_SCHEMA)
+
+
+def unpack_batch_csv(rows: DataFrame) -> DataFrame:
+    """Batch CSV rows -> per-sample responses: the sample index of a case is
+    its arrival order among the rows of that case (``input_pos``), numbered
+    with the skew-safe blocked index. Output: case_path, sample_no, text,
+    was_null."""
+    from gradewise.operators.indexing import ordered_index
+    d = ordered_index(rows, ["filename"], "input_pos", "sample_no")
+    return d.select(F.col("filename").alias("case_path"), F.col("sample_no").cast("int").alias("sample_no"),
+                    F.col("completion").alias("text"), "was_null")
+
+
+def null_completion_stats(rows: DataFrame) -> DataFrame:
+    """Number of null completions and the set of cases they hit (the set is
+    bounded by the number of cases)."""
+    return rows.agg(F.count_if("was_null").alias("n_null"),
+                    F.array_sort(F.collect_set(F.when(F.col("was_null"), F.col("filename")))).alias("cases"))

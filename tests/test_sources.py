@@ -129,3 +129,13 @@ def test_manifest_roundtrip_and_resolve(spark):
     files = spark.createDataFrame([("refs/r1.txt", "from file")], "path string, text string")
     got = {r.ref_no: r.text for r in readers.resolve_texts(rules, files).collect()}
     assert got == {0: "inline text", 1: "from file"}
+
+
+def test_unpack_batch_csv(spark):
+    d = tempfile.mkdtemp(prefix="gw-csv2-")
+    open(f"{d}/b.csv", "w").write("filename,completion\na.yaml,x0\nb.yaml,y0\na.yaml,\na.yaml,x2\n")
+    rows = readers.read_batch_csv(spark, f"{d}/b.csv")
+    got = sorted((r.case_path, r.sample_no, r.text) for r in readers.unpack_batch_csv(rows).collect())
+    assert got == [("a.yaml", 0, "x0"), ("a.yaml", 1, ""), ("a.yaml", 2, "x2"), ("b.yaml", 0, "y0")]
+    s = readers.null_completion_stats(rows).first()
+    assert s.n_null == 1 and s.cases == ["a.yaml"]
