@@ -8,6 +8,7 @@ local runs; it only fills in settings that are still unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,8 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Order: a folder already set on the context, then the launcher's
     ``spark.checkpoint.dir`` (a static setting, read from the context's
-    configuration). Only when neither exists (tests, local runs) is a
-    scratch folder of our own set."""
+    configuration). With neither, a single-machine session (tests) gets a
+    scratch folder of its own; on a cluster that folder would not be shared,
+    so a missing setting is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -59,17 +61,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="gradewise-ckpt-"))
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -83,7 +81,7 @@ def ship_package(spark: SparkSession) -> None:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Connect sessions ship code with addArtifacts
         return
-    key = id(sc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg_parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
