@@ -3,9 +3,11 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from gradewise.llm import sharding
+from gradewise.llm import packing, sharding, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op9_minimax_sharding": sharding.op9_minimax_sharding,
 }
 
