@@ -3,12 +3,14 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from gradewise.llm import packing, sharding, token_files
+from gradewise.llm import language, packing, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op7_naive_bayes_language": language.op7_naive_bayes_language,
     "op9_minimax_sharding": sharding.op9_minimax_sharding,
+    "op10_gru_toxicity": toxicity.op10_gru_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
