@@ -50,7 +50,7 @@ class Encoder:
                 stems[p] = (stem.lower(), tail)
             else:
                 whole.append(p)
-        need = list({part for pair in stems.values() for part in pair} - self.words.keys())
+        need = [w for w in {part for pair in stems.values() for part in pair} if w not in self.words]
         self.words.update(zip(need, self._ids(need)))
         self.known.update((p, self.words[stem] + self.words[tail]) for p, (stem, tail) in stems.items())
         self.known.update(zip(whole, self._ids(whole)))
@@ -65,7 +65,7 @@ class Encoder:
             except KeyError:
                 if len(self.known) + len(self.words) > self.limit:
                     self.known, self.words = {"": b""}, {"": b""}
-                self.learn(set(pieces) - self.known.keys())
+                self.learn({p for p in pieces if p not in self.known})
                 ids = b"".join(map(self.known.__getitem__, pieces))
             out.append(ids + end)
         return out

@@ -2,9 +2,10 @@
 over word and character inputs, trained in numpy, scoring all overlapping
 windows of every whole text.
 
-A word's input is its hashed word embedding beside the mean of its hashed
-character-trigram embeddings. A window's states of both directions are pooled
-by attention into one logit; a text's score is that of its highest window.
+A word's input is its hashed word embedding beside the means of its hashed
+character n-gram embeddings. A window's states of both directions are pooled
+by attention into one logit; a text's score is a logistic function of the
+logits of its three highest windows (fewer windows: the lowest repeats).
 
 Training is bounded by documented parameters: at most ``TRAIN_DOCS`` labelled
 documents, chosen by a hash of their id, and ``TRAIN_WINDOWS`` windows of each,
@@ -25,31 +26,53 @@ from gradewise.llm.words import ascii_words
 WINDOW, STRIDE = 64, 48
 THRESHOLD = 0.3
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH = 6000, 24, 6, 128
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 12
-WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 6, 8, 8
+WORD_BUCKETS, CHAR_BITS, CHAR_ORDERS = 1 << 14, 15, (3, 5)
+WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 4, 4, 8, 8
+TOP_WINDOWS = 3
 KNOWN_WORDS = 200_000
 SCORE_WINDOWS = 1024
 
 
 # ---------------------------------------------------------------- inputs
-def word_inputs(words: list[bytes]):
-    """Word bucket of each word, the flat trigram buckets of all words (their
-    bytes between a start and an end mark), and where each word's begin."""
+def word_inputs(words: list[bytes]) -> dict:
+    """Numeric inputs of words: ``word`` bucket; per character order n the
+    flat n-gram buckets of all words (their bytes between two start and two
+    end marks), where each word's n-grams begin and how many it has."""
     bucket = np.fromiter((zlib.crc32(w) % WORD_BUCKETS for w in words), np.int64, len(words))
-    flat = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint32)
-    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    flat = np.frombuffer(b"".join(b"\x02\x02" + w + b"\x03\x03" for w in words), np.uint8).astype(np.uint32)
+    size = np.fromiter((len(w) + 4 for w in words), np.int64, len(words))
     end = np.cumsum(size)
-    tri = (flat[:-2] * np.uint32(0x9E3779B1) + flat[1:-1] * np.uint32(0x85EBCA77)) ^ (flat[2:] * np.uint32(0xC2B2AE3D))
-    tri = ((tri ^ (tri >> np.uint32(15))) * np.uint32(0x27D4EB2F)) >> np.uint32(20)  # 12 bits
-    inside = np.ones(len(flat), bool)
-    inside[end - 1] = inside[end - 2] = False
-    return bucket, tri[inside[:len(tri)]].astype(np.int64), np.concatenate([[0], np.cumsum(size - 2)[:-1]])
+    out = {"word": bucket}
+    for n in CHAR_ORDERS:
+        gram = np.zeros(len(flat) - n + 1, np.uint32)
+        for k in range(n):
+            gram = (gram ^ flat[k:len(flat) - n + 1 + k]) * np.uint32(0x01000193) + np.uint32(n)
+        gram = ((gram ^ (gram >> np.uint32(15))) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - CHAR_BITS)
+        inside = np.ones(len(flat), bool)
+        for k in range(1, n):
+            inside[end - k] = False
+        count = size - n + 1
+        out[n] = (gram[inside[:len(gram)]].astype(np.int64), np.cumsum(count) - count, count)
+    return out
+
+
+def take_words(inputs: dict, i: np.ndarray) -> dict:
+    """The inputs of words number i (from 0) of a list of words."""
+    out = {"word": inputs["word"][i]}
+    for n in CHAR_ORDERS:
+        chars, begin, count = inputs[n]
+        count = count[i]
+        at = np.cumsum(count) - count
+        out[n] = (chars[np.repeat(begin[i] - at, count) + np.arange(count.sum())], at, count)
+    return out
 
 
-def embed(p: dict, bucket, chars, begin) -> np.ndarray:
-    count = np.diff(np.concatenate([begin, [len(chars)]]))
-    mean = np.add.reduceat(p["Ec"][chars], begin, axis=0) / count[:, None]
-    return np.concatenate([p["Ew"][bucket], mean], axis=1).astype(np.float32)
+def embed(p: dict, inputs: dict) -> np.ndarray:
+    parts = [p["Ew"][inputs["word"]]]
+    for n in CHAR_ORDERS:
+        chars, begin, count = inputs[n]
+        parts.append(np.add.reduceat(p[f"E{n}"][chars], begin, axis=0) / count[:, None])
+    return np.concatenate(parts, axis=1).astype(p["Ew"].dtype)
 
 
 def window_starts(n: int) -> list[int]:
@@ -71,14 +94,14 @@ def windows(rows: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------- network
 def new_model(seed: int = 7) -> dict:
     g = np.random.default_rng(seed)
-    d, h, k = WORD_DIM + CHAR_DIM, HIDDEN, ATTENTION
+    d, h, k = WORD_DIM + CHAR_DIM * len(CHAR_ORDERS), HIDDEN, ATTENTION
     def init(*shape, scale):
         return (g.standard_normal(shape) * scale).astype(np.float32)
-    return {"Ew": init(WORD_BUCKETS, WORD_DIM, scale=0.1), "Ec": init(CHAR_BUCKETS, CHAR_DIM, scale=0.3),
-            "W": init(2, d, 3 * h, scale=d ** -0.5), "c": np.zeros((2, 3 * h), np.float32),
+    return {"Ew": init(WORD_BUCKETS, WORD_DIM, scale=0.1),
+            **{f"E{n}": init(1 << CHAR_BITS, CHAR_DIM, scale=0.2) for n in CHAR_ORDERS}, "W": init(2, d, 3 * h, scale=d ** -0.5), "c": np.zeros((2, 3 * h), np.float32),
             "U": init(2, h, 3 * h, scale=h ** -0.5), "A": init(2 * h, k, scale=(2 * h) ** -0.5),
             "a": np.zeros(k, np.float32), "v": init(k, scale=1.0), "w": init(2 * h, scale=(2 * h) ** -0.5),
-            "b": np.zeros(1, np.float32)}
+            "b": np.zeros(1, np.float32), "top": np.asarray([1.0] + [0.0] * TOP_WINDOWS)}
 
 
 def _sigmoid(x):
@@ -152,9 +175,9 @@ def loss_and_gradients(p: dict, batch: np.ndarray, labels: np.ndarray, words) ->
     mask = (batch.T > 0).astype(np.float32)
     used, place = np.unique(batch.T, return_inverse=True)
     place = place.reshape(batch.T.shape)
-    bucket, chars, begin = words(np.maximum(used, 1))
-    x = embed(p, bucket, chars, begin)
-    proj = np.einsum("md,gdk->gmk", x, p["W"]) + p["c"][:, None]
+    inputs = words(np.maximum(used, 1))
+    x = embed(p, inputs)
+    proj = x @ p["W"] + p["c"][:, None]
     logit, kept = forward(p, proj[:, place], mask, keep=True)
     prob = _sigmoid(logit)
     loss = float(-np.mean(labels * np.log(prob + 1e-7) + (1 - labels) * np.log(1 - prob + 1e-7)))
@@ -164,28 +187,43 @@ def loss_and_gradients(p: dict, batch: np.ndarray, labels: np.ndarray, words) ->
     first = np.searchsorted(place.ravel()[order], np.arange(len(used)))
     for d in (0, 1):
         d_proj[d] = np.add.reduceat(d_in[d].reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-    g["W"] = np.einsum("md,gmk->gdk", x, d_proj)
+    g["W"] = x.T @ d_proj
     g["c"] = d_proj.sum(axis=1)
-    d_x = np.einsum("gmk,gdk->md", d_proj, p["W"])
-    g["Ew"], g["Ec"] = np.zeros_like(p["Ew"]), np.zeros_like(p["Ec"])
-    np.add.at(g["Ew"], bucket, d_x[:, :WORD_DIM])
-    count = np.diff(np.concatenate([begin, [len(chars)]]))
-    np.add.at(g["Ec"], chars, np.repeat(d_x[:, WORD_DIM:] / count[:, None], count, axis=0))
+    d_x = (d_proj @ p["W"].transpose(0, 2, 1)).sum(axis=0)
+    g["Ew"] = _summed(inputs["word"], d_x[:, :WORD_DIM], p["Ew"])
+    for i, n in enumerate(CHAR_ORDERS):
+        chars, _, count = inputs[n]
+        at = WORD_DIM + CHAR_DIM * i
+        each = np.repeat(d_x[:, at:at + CHAR_DIM] / count[:, None], count, axis=0)
+        g[f"E{n}"] = _summed(chars, each, p[f"E{n}"])
     return loss, g
 
 
-def _evidence(docs: list[np.ndarray], labels: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Per word bucket: how far its document count among the positive
-    documents exceeds its share, in standard deviations, squashed."""
-    have, pos = np.zeros(WORD_BUCKETS), np.zeros(WORD_BUCKETS)
-    for rows, y in zip(docs, labels):
-        seen = np.unique(bucket[np.unique(rows) - 1]) if len(rows) else []
-        have[seen] += 1
-        pos[seen] += y
+def _summed(rows: np.ndarray, values: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Rows of values added up by row number, in the shape of ``like``."""
+    columns = [np.bincount(rows, values[:, k], len(like)) for k in range(values.shape[1])]
+    return np.stack(columns, axis=1).astype(like.dtype)
+
+
+def _evidence(features: list[np.ndarray], labels: np.ndarray, buckets: int) -> np.ndarray:
+    """Per bucket: how far its document count among the positive documents
+    exceeds its share, in standard deviations, squashed."""
+    have, pos = np.zeros(buckets), np.zeros(buckets)
+    for f, y in zip(features, labels):
+        have[f] += 1
+        pos[f] += y
     share = labels.mean()
     return np.tanh((pos - have * share) / np.sqrt(have * share * (1 - share) + 1) / 6) * 2
 
 
+def _top(logits: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """(docs, TOP_WINDOWS) highest window logits of each document, falling."""
+    order = np.lexsort((-logits, owner))
+    first = np.searchsorted(owner[order], np.arange(docs))
+    count = np.bincount(owner, minlength=docs)
+    return logits[order[first[:, None] + np.minimum(np.arange(TOP_WINDOWS), count[:, None] - 1)]]
+
+
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> dict:
     """Model from labelled texts. The first word dimension starts as each
     bucket's evidence in the training documents; Adam trains everything."""
@@ -198,18 +236,17 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
     number: dict[bytes, int] = {}
     docs = [np.asarray([number.setdefault(w, len(number) + 1) for w in ascii_words(t)], np.int64) for t in texts]
     names = list(number) or [b"-"]
-    bucket, chars, begin = word_inputs(names)
-    ends = np.concatenate([begin[1:], [len(chars)]])
-    p["Ew"][:, 0] = _evidence(docs, y, bucket)
-    p["b"][0] = np.log(y.mean() / (1 - y.mean()))
+    inputs = word_inputs(names)
 
     def words(numbers):
-        i = numbers - 1
-        size = ends[i] - begin[i]
-        at = np.concatenate([[0], np.cumsum(size)[:-1]])
-        flat = np.repeat(begin[i] - at, size) + np.arange(size.sum())
-        return bucket[i], chars[flat], at
+        return take_words(inputs, numbers - 1)
 
+    uniques = [np.unique(rows) - 1 for rows in docs]
+    p["Ew"][:, 0] = _evidence([np.unique(inputs["word"][u]) for u in uniques], y, WORD_BUCKETS)
+    for n in CHAR_ORDERS:
+        grams = [np.unique(take_words(inputs, u)[n][0]) if len(u) else u for u in uniques]
+        p[f"E{n}"][:, 0] = _evidence(grams, y, 1 << CHAR_BITS)
+    p["b"][0] = np.log(y.mean() / (1 - y.mean()))
     rng = np.random.default_rng(seed)
     parts, owner = [], []
     for d, rows in enumerate(docs):
@@ -236,31 +273,35 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             _, g = loss_and_gradients(p, parts[some], y[owner[some]], words)
             step += 1
             rate = 0.01 * min(1.0, step / 20) * (1 - 0.9 * step / max(steps, step))
-            for k in p:
+            for k in g:
                 m[k] += 0.1 * (g[k] - m[k])
                 s[k] += 0.001 * (g[k] * g[k] - s[k])
                 p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.999 ** step)) + 1e-6)
-    # calibrate the last two steps (scale and shift) on the texts' own maxima
-    top = np.full(len(docs), -np.inf)
-    np.maximum.at(top, owner, _window_logits(p, parts, words))
-    scale, shift = 1.0, 0.0
-    for _ in range(200):
-        err = _sigmoid(scale * top + shift) - y
-        scale -= 0.3 * float(np.mean(err * top)) / max(1.0, float(np.mean(top * top)))
-        shift -= 0.3 * float(np.mean(err))
-    scale = max(scale, 0.05)
-    p["w"] *= np.float32(scale)
-    p["b"][0] = p["b"][0] * scale + shift
+    top = _top(_window_logits(p, parts, words), owner, len(docs))
+    p["top"] = _logistic(top, y)
     return p
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights and shift of a ridge logistic regression (Newton steps)."""
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(float)
+    w = np.zeros(x.shape[1])
+    w[0] = 1.0
+    hold = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+    for _ in range(25):
+        q = _sigmoid(x @ w)
+        grad = x.T @ (q - y) + hold @ w
+        w -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + hold, grad)
+    return w
+
+
 def _window_logits(p, parts, words) -> np.ndarray:
     out = np.zeros(len(parts), np.float32)
     for at in range(0, len(parts), SCORE_WINDOWS):
         part = parts[at:at + SCORE_WINDOWS].T
         used, place = np.unique(part, return_inverse=True)
-        x = embed(p, *words(np.maximum(used, 1)))
-        proj = np.einsum("md,gdk->gmk", x, p["W"]) + p["c"][:, None]
+        x = embed(p, words(np.maximum(used, 1)))
+        proj = x @ p["W"] + p["c"][:, None]
         out[at:at + SCORE_WINDOWS] = forward(p, proj[:, place.reshape(part.shape)], (part > 0).astype(np.float32))
     return out
 
@@ -279,22 +320,20 @@ class Scorer:
         self.table = np.zeros((2, 1024, 3 * HIDDEN), np.float32)
 
     def _learn(self, new: list[bytes]):
-        x = embed(self.p, *word_inputs(new))
+        x = embed(self.p, word_inputs(new))
         at = len(self.row) + 1
         while at + len(new) > self.table.shape[1]:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
-        self.table[:, at:at + len(new)] = np.einsum("md,gdk->gmk", x, self.p["W"]) + self.p["c"][:, None]
+        self.table[:, at:at + len(new)] = x @ self.p["W"] + self.p["c"][:, None]
         self.row.update(zip(new, range(at, at + len(new))))
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
-        if not all(map(self.row.__contains__, words)):
-            self._learn(list(set(words) - self.row.keys()))
         return np.fromiter(map(self.row.__getitem__, words), np.int32, len(words))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Highest window probability of each text (no words: the model's
-        probability of a window without words)."""
-        out = np.full(len(texts), -np.inf)
+        """Probability of each text from its highest windows (no words: a
+        window without words)."""
+        best = np.full((len(texts), TOP_WINDOWS), -np.inf)
         parts, owner, held = [], [], 0
 
         def flush():
@@ -302,24 +341,39 @@ class Scorer:
             if not held:
                 return
             every, own = np.concatenate(parts), np.concatenate(owner)
+            size = (every > 0).sum(axis=1)
+            order = np.argsort(size, kind="stable")  # windows of like length share a batch
+            logits = np.zeros(len(every), np.float32)
             for at in range(0, len(every), SCORE_WINDOWS):
-                part = np.ascontiguousarray(every[at:at + SCORE_WINDOWS].T)
-                logit = forward(self.p, self.table[:, part], (part > 0).astype(np.float32))
-                np.maximum.at(out, own[at:at + SCORE_WINDOWS], logit)
+                some = order[at:at + SCORE_WINDOWS]
+                part = np.ascontiguousarray(every[some, :max(1, size[some[-1]])].T)
+                logits[some] = forward(self.p, self.table[:, part], (part > 0).astype(np.float32))
+            ids, place = np.unique(own, return_inverse=True)
+            new = _top(logits, place, len(ids))
+            count = np.bincount(place)
+            new[np.arange(TOP_WINDOWS) >= count[:, None]] = -np.inf
+            best[ids] = -np.sort(-np.concatenate([best[ids], new], axis=1), axis=1)[:, :TOP_WINDOWS]
             parts, owner, held = [], [], 0
 
-        for i, text in enumerate(texts):
+        for at in range(0, len(texts), 64):
+            lists = [ascii_words(t) for t in texts[at:at + 64]]
             if len(self.row) > self.limit:
                 flush()  # row numbers change with the reset
                 self._reset()
-            w = windows(self._rows(ascii_words(text)))
-            parts.append(w)
-            owner.append(np.full(len(w), i))
-            held += len(w)
-            if held >= SCORE_WINDOWS:
-                flush()
+            new = [w for w in set().union(*lists) if w not in self.row]
+            if new:
+                self._learn(new)
+            for i, words in enumerate(lists, at):
+                w = windows(self._rows(words))
+                parts.append(w)
+                owner.append(np.full(len(w), i))
+                held += len(w)
+                if held >= 4 * SCORE_WINDOWS:
+                    flush()
         flush()
-        return _sigmoid(out)
+        for k in range(1, TOP_WINDOWS):
+            best[:, k] = np.where(np.isinf(best[:, k]), best[:, k - 1], best[:, k])
+        return _sigmoid(best @ self.p["top"][:-1] + self.p["top"][-1])
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:

@@ -9,29 +9,23 @@ from gradewise.llm import toxicity as tx
 from gradewise.llm.words import ascii_words, blank_words
 
 
-def tiny(rng, words):
-    names = [f"w{i}".encode() * (1 + i % 3) for i in range(words)]
-    bucket, chars, begin = tx.word_inputs(names)
-    ends = np.concatenate([begin[1:], [len(chars)]])
+def tiny(words):
+    inputs = tx.word_inputs([f"w{i}".encode() * (1 + i % 3) for i in range(words)])
+    return lambda numbers: tx.take_words(inputs, numbers - 1)
 
-    def get(numbers):
-        i = numbers - 1
-        flat = np.concatenate([np.arange(begin[k], ends[k]) for k in i])
-        at = np.concatenate([[0], np.cumsum(ends[i] - begin[i])[:-1]])
-        return bucket[i], chars[flat], at
-    return get
 
-
-def test_trigrams_per_word():
-    _, chars, begin = tx.word_inputs([b"ab", b"xyz"])
-    assert len(chars) == 5 and begin.tolist() == [0, 2]
-    assert chars[:2].tolist() == tx.word_inputs([b"ab"])[1].tolist()
-    assert chars[2:].tolist() == tx.word_inputs([b"xyz"])[1].tolist()
+def test_ngrams_per_word():
+    both = tx.word_inputs([b"ab", b"xyz"])
+    for n, sizes in ((3, [4, 5]), (5, [2, 3])):
+        chars, begin, count = both[n]
+        assert count.tolist() == sizes and begin.tolist() == [0, sizes[0]] and len(chars) == sum(sizes)
+        for i, w in enumerate([b"ab", b"xyz"]):
+            assert tx.take_words(both, np.asarray([i]))[n][0].tolist() == tx.word_inputs([w])[n][0].tolist()
 
 
 def test_gradients(monkeypatch):
     rng = np.random.default_rng(0)
-    words = tiny(rng, 9)
+    words = tiny(9)
     p = {k: v.astype(np.float64) * 1.5 for k, v in tx.new_model().items()}
     batch = rng.integers(1, 10, (4, 6))
     batch[1, 3:] = 0
@@ -39,8 +33,8 @@ def test_gradients(monkeypatch):
     y = np.asarray([1, 0, 1, 0.0])
     _, g = tx.loss_and_gradients(p, batch, y, words)
     used = words(np.arange(1, 10))
-    spots = {"Ew": used[0][:4], "Ec": used[1][:6]}
-    for k in p:
+    spots = {"Ew": used["word"][:4], "E3": used[3][0][:6], "E5": used[5][0][:6]}
+    for k in g:
         flat = p[k].reshape(len(p[k]), -1) if p[k].ndim > 1 else p[k][:, None]
         rows = spots.get(k, range(min(3, len(flat))))
         for r in rows:
@@ -74,7 +68,10 @@ def test_batches_do_not_matter():
     one = " ".join(f"v{i % 40}" for i in range(1000))
     words = one.split()
     parts = [" ".join(words[s:s + tx.WINDOW]) for s in tx.window_starts(1000)]
-    assert np.isclose(tx.Scorer(p).score([one])[0], tx.Scorer(p).score(parts).max(), atol=1e-5)
+    for top in ([1, 0, 0, 0], [0, 1, 0, 0.5], [0.2, 0.3, 0.5, -1]):
+        each = np.sort(-np.log(1 / tx.Scorer(p | {"top": np.asarray([1, 0, 0, 0])}).score(parts) - 1))[::-1]
+        want = tx._sigmoid(each[:3] @ np.asarray(top[:3]) + top[3])
+        assert np.isclose(tx.Scorer(p | {"top": np.asarray(top)}).score([one])[0], want, atol=1e-4)
 
 
 def test_words():
