@@ -16,3 +16,48 @@ def ascii_words(text: str | None) -> list[bytes]:
 def blank_words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, cut at ASCII white space: ``[^\\x20\\x09-\\x0D]+``."""
     return text.encode("utf-8", "replace").lower().split() if text else []
+
+
+class _Memo(dict):
+    """Word -> 64-bit hash, kept for up to ``limit`` words per Python worker."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_MEMO = _Memo(400_000)
+
+
+def word_hashes(words: list[bytes]):
+    """64-bit hashes of words, in order (uint64 array)."""
+    import numpy as np
+    return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
+
+
+def mix(x):
+    """A 64-bit finalizer over a uint64 array."""
+    import numpy as np
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_hashes(hashes, k: int):
+    """Hashes of the runs of k consecutive words (empty with fewer words)."""
+    import numpy as np
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return hashes[:0]
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = (out + hashes[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
