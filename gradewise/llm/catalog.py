@@ -3,12 +3,13 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from gradewise.llm import fingerprints, language, packing, sharding, token_files, toxicity
+from gradewise.llm import fingerprints, language, near_dup, packing, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_consistent_sampling": fingerprints.op3_consistent_sampling,
+    "op4_sketch_near_dup": near_dup.op4_sketch_near_dup,
     "op7_naive_bayes_language": language.op7_naive_bayes_language,
     "op9_minimax_sharding": sharding.op9_minimax_sharding,
     "op10_gru_toxicity": toxicity.op10_gru_toxicity,
