@@ -3,7 +3,7 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from gradewise.llm import fingerprints, language, near_dup, packing, sharding, token_files, toxicity
+from gradewise.llm import fingerprints, language, licenses, near_dup, packing, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_consistent_sampling": fingerprints.op3_consistent_sampling,
     "op4_sketch_near_dup": near_dup.op4_sketch_near_dup,
     "op7_naive_bayes_language": language.op7_naive_bayes_language,
+    "op8_diagonal_license_scan": licenses.op8_diagonal_license_scan,
     "op9_minimax_sharding": sharding.op9_minimax_sharding,
     "op10_gru_toxicity": toxicity.op10_gru_toxicity,
 }
