@@ -1,7 +1,7 @@
 """Token ids of whole texts, with the public tokenizer files.
 
 The tokenizer file is a parameter (a local path that exists on every worker,
-as an installed package gives it). Text is cut at blanks and newlines, which
+as an installed package gives it). A text is cut at blanks and newlines, which
 no token of a tokenizer with a white-space-dropping pre-tokenizer crosses, and
 each distinct piece is encoded once by the library and remembered per Python
 worker, up to a fixed number of pieces. The ids equal those of encoding the
@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -23,52 +23,61 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Later(bytes):
+    """A piece that has to be encoded first."""
+
+
+class _Known(dict):
+    """Piece -> id bytes. Letters with one full stop or comma behind them are
+    put together from the two parts, which the pre-tokenizer always separates;
+    pieces that have to be encoded first are noted in ``wanted``."""
+
+    def __init__(self):
+        super().__init__({b"": b""})
+        self.wanted: set[bytes] = set()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        stem, stop = piece[:-1], piece[-1:]
+        if (stop == b"," or stop == b".") and stem.isalpha():
+            if stem in self and stop in self:
+                return self[stem] + self[stop]
+            self.wanted.update((stem, stop))
+        else:
+            self.wanted.add(piece)
+        return _Later(piece)
+
+
 class Encoder:
-    """Encodes texts to little-endian uint32 id bytes."""
+    """Encodes texts to little-endian uint32 id bytes. For tokenizers that
+    lower-case, drop white space and part letters from punctuation."""
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         self.limit = cache_pieces
-        self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces not yet known. A piece of ASCII letters with one full
-        stop or comma behind them is encoded as its two parts: the
-        pre-tokenizer always parts letters from punctuation."""
-        stems: dict[str, tuple[str, str]] = {}
-        whole = []
-        for p in pieces:
-            stem, tail = (p[:-1], p[-1]) if p[-1] in ".," else (p, "")
-            if stem.isascii() and stem.isalpha():
-                stems[p] = (stem.lower(), tail)
-            else:
-                whole.append(p)
-        need = [w for w in {part for pair in stems.values() for part in pair} if w not in self.words]
-        self.words.update(zip(need, self._ids(need)))
-        self.known.update((p, self.words[stem] + self.words[tail]) for p, (stem, tail) in stems.items())
-        self.known.update(zip(whole, self._ids(whole)))
+        self.known = _Known()
+
+    def _learn(self) -> None:
+        pieces = [p for p in self.known.wanted if p not in self.known]
+        got = self.lib.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        self.known.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(pieces, got))
+        self.known.wanted.clear()
 
     def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
         """Id bytes of each text (null: empty), each followed by ``end``."""
-        out = []
+        if len(self.known) > self.limit:
+            self.known = _Known()
+        lists, get = [], self.known.__getitem__
         for text in texts:
-            pieces = text.replace("\n", " ").split(" ") if text else ()
-            try:
-                ids = b"".join(map(self.known.__getitem__, pieces))
-            except KeyError:
-                if len(self.known) + len(self.words) > self.limit:
-                    self.known, self.words = {"": b""}, {"": b""}
-                self.learn({p for p in pieces if p not in self.known})
-                ids = b"".join(map(self.known.__getitem__, pieces))
-            out.append(ids + end)
-        return out
+            raw = (text or "").encode("utf-8", "replace")
+            if b"<|" not in raw:  # else a special token's name might arise
+                raw = raw.lower()
+            lists.append(list(map(get, raw.replace(b"\n", b" ").split(b" "))))
+        if self.known.wanted:
+            self._learn()
+            lists = [[x if x.__class__ is bytes else get(bytes(x)) for x in ids] for ids in lists]
+        return [b"".join(ids) + end for ids in lists]
 
 
 def encoder(path: str) -> Encoder:
