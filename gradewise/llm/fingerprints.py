@@ -8,9 +8,9 @@ a and its t are the sample. Two texts agree on a sample with the probability of
 their generalised Jaccard similarity, sum of minima over sum of maxima, so the
 share of equal samples estimates it (standard error at most 0.5 / sqrt(K)).
 
-The draws of (term, k) come from a fixed pool of 2**20 triples, picked by a
+The draws of (term, k) come from a fixed pool of 2**18 triples, picked by a
 multiplicative hash of the term that differs for each k; two terms meet in a
-pool place for one k with probability 2**-20. A sample is kept as 16 bits, so
+pool place for one k with probability 2**-18. A sample is kept as 16 bits, so
 unlike samples look alike with probability 2**-16.
 """
 
@@ -23,11 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradewise.llm import common
-from gradewise.llm.words import blank_words, gram_hashes, mix, word_hashes
+from gradewise.llm.words import gram_hashes, lowered, mix, word_hashes
 
 SAMPLES = 64
-POOL_BITS = 20
-TERM_BLOCK = 4096
+POOL_BITS = 18
+TERM_BLOCK = 1024
 _EDGE = np.asarray([0x5851F42D4C957F2D], np.uint64)
 
 
@@ -43,10 +43,10 @@ def _pool(samples: int):
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct term hashes and their weights (none without words)."""
-    words = blank_words(text)
-    if not words:
+    words = word_hashes(lowered(text))
+    if not len(words):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    pairs = gram_hashes(np.concatenate([_EDGE, word_hashes(words), _EDGE + np.uint64(1)]), 2)
+    pairs = gram_hashes(np.concatenate([_EDGE, words, _EDGE + np.uint64(1)]), 2)
     return np.unique(pairs, return_counts=True)
 
 
@@ -60,19 +60,19 @@ def signature(hashes: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -
     every = np.arange(samples)
     for at in range(0, len(hashes), TERM_BLOCK):
         h, w = hashes[at:at + TERM_BLOCK], weights[at:at + TERM_BLOCK]
-        place = (h[:, None] * odd) >> np.uint64(64 - POOL_BITS)
-        ln_a = ln_a1[place]
+        place = ((h * odd[:, None]) >> np.uint64(64 - POOL_BITS)).view(np.int64)  # (samples, terms)
+        ln_a = ln_a1.take(place, mode="clip")
         many = np.flatnonzero(w > 1)
-        t = np.zeros((len(many), samples), np.float32)
+        t = np.zeros((samples, len(many)), np.float32)
         if len(many):
-            p = place[many]
-            t = np.floor(np.log(w[many]).astype(np.float32)[:, None] / r[p] + b[p])
-            ln_a[many] = ln_c[p] - r[p] * (t - b[p]) - r[p]
-        low = ln_a.argmin(axis=0)
-        value = ln_a[low, every]
-        row = np.full(len(h), -1)
-        row[many] = np.arange(len(many))
-        at_level = np.where(row[low] >= 0, t[row[low], every] if len(many) else 0, 0)
+            p = place[:, many]
+            t = np.floor(np.log(w[many]).astype(np.float32) / r[p] + b[p])
+            ln_a[:, many] = ln_c[p] - r[p] * (t - b[p]) - r[p]
+        low = ln_a.argmin(axis=1)
+        value = ln_a[every, low]
+        column = np.full(len(h), -1)
+        column[many] = np.arange(len(many))
+        at_level = np.where(column[low] >= 0, t[every, column[low]] if len(many) else 0, 0)
         better = value < best
         best = np.where(better, value, best)
         pick = np.where(better, h[low], pick)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gradewise.llm import common
-from gradewise.llm.words import ascii_words, gram_hashes, word_hashes
+from gradewise.llm.words import ascii_words, folded, gram_hashes, word_hashes
 
 K = 2
 SLACK = 2            # diagonals this near are one span
@@ -61,7 +61,7 @@ def template_places(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -
         for label, text in group:
             words = ascii_words(text)
             for at in range(0, len(words), PIECE_WORDS):
-                h = gram_hashes(word_hashes(words[at:at + PIECE_WORDS]), K).view(np.int64).tolist()
+                h = gram_hashes(word_hashes(b" ".join(words[at:at + PIECE_WORDS])), K).view(np.int64).tolist()
                 rows += [(v, number, i, label, base, len(h)) for i, v in enumerate(h)]
                 number += 1
     rows.append((_COUNT, -1, 0, None, False, 0))
@@ -79,8 +79,8 @@ def _grams(batches):
         for first in range(0, batch.num_rows, 128):
             rows, places, hashes, doc = [], [], [], []
             for doc_id, text in zip(ids.slice(first, 128).to_pylist(), texts.slice(first, 128).to_pylist()):
-                words = ascii_words(text)
-                h = gram_hashes(word_hashes(words), K).view(np.int64)
+                words = word_hashes(folded(text))
+                h = gram_hashes(words, K).view(np.int64)
                 rows.append(np.full(len(h) + 1, row, np.int64))
                 places.append(np.append(np.arange(len(h)), len(words)).astype(np.int32))
                 hashes.append(np.append(h, _COUNT))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gradewise.llm import common
 from gradewise.llm.components import connected_components
-from gradewise.llm.words import blank_words, gram_hashes, mix, word_hashes
+from gradewise.llm.words import blank_words, gram_hashes, lowered, mix, word_hashes
 
 SHINGLE = 5
 COORDINATES, ROWS = 128, 4
@@ -37,7 +37,7 @@ BLOCK_SHINGLES = 400_000
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Distinct shingle hashes: of k words, or of all words when fewer."""
-    h = word_hashes(blank_words(text))
+    h = word_hashes(lowered(text))
     return np.unique(gram_hashes(h, k if len(h) >= k else len(h))) if len(h) else h
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 # A-Z to a-z; bytes 00-2F, 3A-60 (after lower-casing) and 7B-7F to a blank.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b
               for b in range(256))
@@ -18,28 +20,60 @@ def blank_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-class _Memo(dict):
-    """Word -> 64-bit hash, kept for up to ``limit`` words per Python worker."""
+def folded(text: str | None) -> bytes:
+    """The text's bytes after the folding of ``ascii_words``."""
+    return text.encode("utf-8", "replace").translate(_FOLD) if text else b""
 
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def lowered(text: str | None) -> bytes:
+    """The text's bytes after the folding of ``blank_words``."""
+    return text.encode("utf-8", "replace").lower() if text else b""
 
 
-_MEMO = _Memo(400_000)
+_SEGMENT = 1 << 19
+_STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
-def word_hashes(words: list[bytes]):
-    """64-bit hashes of words, in order (uint64 array)."""
+@cache
+def _tables():
+    import numpy as np
+    byte = np.random.default_rng(64).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    power, inverse = (np.full(_SEGMENT + 1, x, np.uint64) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
+    power[0] = inverse[0] = 1
+    power, inverse = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+    blank = np.zeros(256, bool)
+    blank[[0x20, *range(9, 14)]] = True
+    return byte, power, inverse, blank
+
+
+def _segments(raw: bytes):
+    """Parts of bounded size, cut at white space. A word longer than a part is
+    cut too, into words of its own: only texts with half a megabyte between
+    blanks are concerned, and they stay deterministic."""
+    while len(raw) > _SEGMENT:
+        cut = max(raw.rfind(c, 0, _SEGMENT) for c in (b" ", b"\n", b"\t")) + 1 or _SEGMENT
+        yield raw[:cut]
+        raw = raw[cut:]
+    yield raw
+
+
+def word_hashes(raw: bytes):
+    """64-bit hashes, in order, of the words between ASCII white space
+    (uint64 array): random values of a word's bytes, each times a power by its
+    place in the word, summed over running sums, and mixed."""
     import numpy as np
-    return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
+    byte, power, inverse, blank = _tables()
+    parts = []
+    for part in _segments(raw):
+        codes = np.frombuffer(part, np.uint8)
+        inside = np.zeros(len(codes) + 2, bool)
+        np.logical_not(blank[codes], out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(byte[codes] * power[:len(codes)], out=sums[1:])
+        parts.append(mix((sums[end] - sums[start]) * inverse[start]))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def mix(x):
