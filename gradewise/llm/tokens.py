@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 900_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
