@@ -3,13 +3,14 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from gradewise.llm import decontamination, fingerprints, language, licenses, near_dup, packing, sharding, token_files, toxicity
+from gradewise.llm import decontamination, fingerprints, language, licenses, lm_scores, near_dup, packing, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_consistent_sampling": fingerprints.op3_consistent_sampling,
     "op4_sketch_near_dup": near_dup.op4_sketch_near_dup,
+    "op5_stupid_backoff": lm_scores.op5_stupid_backoff,
     "op6_template_decontamination": decontamination.op6_template_decontamination,
     "op7_naive_bayes_language": language.op7_naive_bayes_language,
     "op8_diagonal_license_scan": licenses.op8_diagonal_license_scan,
@@ -17,4 +18,6 @@ QUERIES = {
     "op10_gru_toxicity": toxicity.op10_gru_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_stupid_backoff": lm_scores.OP5_SQL,
+}
