@@ -142,20 +142,26 @@ def score_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.nda
     return names, np.where(letters, share[np.arange(len(texts)), best], 0.0)
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1). A null text or
-    one without a letter is ``und`` with score 0. Whole texts count, in blocks
-    of bounded size; ties go to the first language by name; every other column
-    passes unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict_column(spark, model: dict):
+    """Column function text -> (lang_pred, lang_score), the model broadcast."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred string, lang_score double>")
     def udf(text):
         import pandas as pd
         names, scores = score_texts([t if isinstance(t, str) else None for t in text], shared.value)
         return pd.DataFrame({"lang_pred": names, "lang_score": scores})
+    return udf
+
 
-    return docs.select("*", udf("text").alias("__lang")).select("*", "__lang.*").drop("__lang")
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1; columns of these
+    names are replaced). A null text or one without a letter is ``und`` with
+    score 0. Whole texts count, in blocks of bounded size; ties go to the first
+    language by name; every other column passes unchanged."""
+    found = docs.withColumn("__lang", predict_column(docs.sparkSession, model)("text"))
+    return (found.withColumn("lang_pred", F.col("__lang.lang_pred"))
+            .withColumn("lang_score", F.col("__lang.lang_score")).drop("__lang"))
 
 
 def train_documents(docs: DataFrame) -> dict:
@@ -167,8 +173,8 @@ def train_documents(docs: DataFrame) -> dict:
 def keep_identified(docs: DataFrame, model: dict, min_score: float = MIN_SCORE) -> DataFrame:
     """Documents whose language is told with at least ``min_score``; others
     (no letters, or no language likelier than all others together) go."""
-    return (predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score))
-            .drop("lang_pred", "lang_score"))
+    found = docs.withColumn("__lang", predict_column(docs.sparkSession, model)("text"))
+    return found.where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.lang_score") >= min_score)).drop("__lang")
 
 
 def op7_naive_bayes_language(spark, sf_dir: str) -> DataFrame:

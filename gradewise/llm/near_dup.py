@@ -199,6 +199,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     a null id stands behind all others (null component only when a group has
     no id at all, and such rows are not kept unless that is so). Columns
     besides doc_id and text are ignored; an empty table gives an empty result."""
+    return _labelled(docs, percent).drop("tkey")
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = common.written(
         docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(_sketch_batches, SKETCHED), "dup-rows")
@@ -212,18 +216,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_class = named.join(least, "comp").select("cls", "component_id")
-    return (rows.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(of_class, "cls", "left")
+    return (rows.select("doc_id", "tkey", "cls", F.col("n").alias("n_shingles")).join(of_class, "cls", "left")
             .withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id",
+            .select("doc_id", "tkey", "n_shingles", "component_id",
                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each group: the one whose id is the
-    component's, once. A document without words is alone in its group."""
-    keep = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    mine = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
-    return mine.dropDuplicates(["doc_id"]) if docs_repeat(docs) else mine
+    component's, once. A document without words is alone in its group. Rows are
+    told apart by id and text; all columns stay as they came."""
+    keep = _labelled(docs, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
+    mine = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (F.xxhash64(docs["text"]) == keep["__key"]), "left_semi")
+    return mine.dropDuplicates(["doc_id", "text"]) if docs_repeat(docs) else mine
 
 
 def op4_sketch_near_dup(spark, sf_dir: str) -> DataFrame:

@@ -376,11 +376,9 @@ class Scorer:
         return _sigmoid(best @ self.p["top"][:-1] + self.p["top"][-1])
 
 
-def score_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``tox_score`` (0 to 1). Null and empty texts get the score
-    of a window without words; very long texts are scored in all their
-    windows, a bounded number at a time; other columns pass unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_column(spark, model: dict):
+    """Column function text -> score (0 to 1), with the model broadcast."""
+    shared = spark.sparkContext.broadcast(model)
     scorers: dict[int, Scorer] = {}
 
     @F.pandas_udf("double")
@@ -389,8 +387,15 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
         if 0 not in scorers:
             scorers[0] = Scorer(shared.value)
         return pd.Series(scorers[0].score([t if isinstance(t, str) else None for t in text]), dtype=float)
+    return udf
 
-    return docs.withColumn("tox_score", udf("text"))
+
+def score_documents(docs: DataFrame, model: dict, name: str = "tox_score") -> DataFrame:
+    """``docs`` with a score column (0 to 1; a column of that name is
+    replaced). Null and empty texts get the score of a window without words;
+    very long texts are scored in all their windows, a bounded number at a
+    time; other columns pass unchanged, repeated rows stay."""
+    return docs.withColumn(name, score_column(docs.sparkSession, model)("text"))
 
 
 def train_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, **options) -> dict:
@@ -409,8 +414,8 @@ def train_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
 
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents that score below the threshold."""
-    return score_documents(docs, model).where(F.col("tox_score") < threshold).drop("tox_score")
+    """Documents that score below the threshold, columns as they came."""
+    return score_documents(docs, model, "__tox").where(F.col("__tox") < threshold).drop("__tox")
 
 
 def op10_gru_toxicity(spark, sf_dir: str) -> DataFrame:

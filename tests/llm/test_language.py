@@ -73,9 +73,10 @@ def test_model_and_prediction(spark):
         post = np.exp(np.asarray(logs) - max(logs))
         assert name == model["langs"][int(np.argmax(logs))]
         assert abs(score[0] - post.max() / post.sum()) < 1e-3
-    out = lg.predict(spark.createDataFrame([(1, None, "en", 3), (1, None, "en", 3), (None, "the cat", None, 4)], SCHEMA)
-                     .drop("lang_pred"), model).collect()
-    assert sorted(r.lang_pred for r in out) == ["en", "und", "und"]
+    df = spark.createDataFrame([(1, None, "en", 3), (1, None, "en", 3), (None, "the cat", None, 4)], SCHEMA)
+    assert sorted(r.lang_pred for r in lg.predict(df, model).collect()) == ["en", "und", "und"]
+    (kept,) = lg.keep_identified(df, model).collect()
+    assert kept.asDict() == {"doc_id": None, "text": "the cat", "lang": None, "lang_pred": 4}
 
 
 def test_empty(spark):
