@@ -10,12 +10,13 @@
    no bucket with probability (1 - 0.75**4)**32, about 5e-6.
 4. Exact verification on full shingle sets. Only shingles that occur in two or
    more classes that share buckets can be common to a pair, so sets are kept
-   without the others; a class with fewer than 3/4 of its shingles left has no
+   without the others; a class with fewer than the threshold's share of its shingles left has no
    partner at all (an exact bound, not a cap).
 5. Buckets are searched by pivots, not by all pairs: members are ranked by the
    share of their shingles that occur elsewhere; in a round the next pivots (1,
    then 4, 16, ...) meet the members behind them that are still in another
-   component and can reach the threshold by their counts. Rounds end when every
+   component and can reach the threshold by their counts, each pair in the first
+   band that it shares. Rounds end when every
    pair of a bucket was met or lies in one component: no link between
    different components is lost, and inside a group of mutual copies the first
    pivots link everything.
@@ -113,7 +114,7 @@ def _set_batches(batches):
                 ["node", "shingles"])
 
 
-def _shared_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+def _shared_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(node, n, c, shared) of the classes in ``members`` that can have a
     partner: shared are its shingles that occur in another of these classes."""
     reps = members.select("node").distinct().join(classes, "node").select("node", "n", "rep.*")
@@ -128,7 +129,7 @@ def _shared_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> Dat
     often = rows.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
     kept = rows.join(often, "s").groupBy("node").agg(F.collect_list("s").alias("shared"))
     return kept.join(members.select("node", "n").distinct(), "node").select(
-        "node", "n", F.size("shared").cast("long").alias("c"), "shared").where("4 * c >= 3 * n")
+        "node", "n", F.size("shared").cast("long").alias("c"), "shared").where(f"100 * c >= {percent} * n")
 
 
 def docs_repeat(docs: DataFrame) -> bool:
@@ -136,17 +137,21 @@ def docs_repeat(docs: DataFrame) -> bool:
     return not (docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty())
 
 
-def _pairs(ranked: DataFrame, comps: DataFrame, low: int, high: int) -> DataFrame:
+def _pairs(ranked: DataFrame, comps: DataFrame, bands: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs (a, b) between the pivots of ranks low..high-1 of each bucket and
-    the members behind them, in other components and within reach by counts."""
+    the members behind them, in other components and within reach by counts.
+    A pair belongs to the first band that both share, so it appears once."""
     now = ranked.where(F.col("last") > low).join(comps, "node")
+    both = now.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    now = now.join(both.where("least <> most").select("bucket"), "bucket").join(bands, "node")
     pivot = now.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
         "bucket", F.col("rank").alias("p_rank"), F.col("node").alias("p"), F.col("n").alias("p_n"),
-        F.col("c").alias("p_c"), F.col("comp").alias("p_comp"))
+        F.col("c").alias("p_c"), F.col("comp").alias("p_comp"), F.col("bands").alias("p_bands"))
+    earlier = F.arrays_overlap(F.slice("bands", 1, F.col("band")), F.slice("p_bands", 1, F.col("band")))
     met = now.where(F.col("rank") > low).join(pivot, "bucket").where(
         (F.col("rank") > F.col("p_rank")) & (F.col("comp") != F.col("p_comp"))
-        & (7 * F.least("c", "p_c") >= 3 * (F.col("n") + F.col("p_n"))))
-    return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        & ((100 + percent) * F.least("c", "p_c") >= percent * (F.col("n") + F.col("p_n"))) & ~earlier)
+    return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,21 +166,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame | None]:
     """(node, comp) of the classes that have links, and the links found (a
     subset of all links with the same components); see the module's steps."""
-    buckets = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    buckets = classes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     several = buckets.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     members = common.written(buckets.join(several, "bucket"), "dup-members")
-    sets = common.written(_shared_sets(docs, classes, members), "dup-shared")
+    sets = common.written(_shared_sets(docs, classes, members, percent), "dup-shared")
     able = members.join(sets.select("node", "c"), "node")
     order = Window.partitionBy("bucket").orderBy((F.col("n") - F.col("c")) / F.col("n"), "node")
     size = Window.partitionBy("bucket")
     ranked = common.written(
-        able.select("bucket", "node", "n", "c", (F.row_number().over(order) - 1).alias("rank"),
+        able.select("bucket", "band", "node", "n", "c", (F.row_number().over(order) - 1).alias("rank"),
                     (F.count("*").over(size) - 1).alias("last")).where("last > 0"), "dup-ranked")
     most = ranked.agg(F.max("last")).first()[0] or 0
-    comps = common.written(ranked.select("node").distinct().withColumn("comp", F.col("node")), "dup-comps")
+    bands = common.written(classes.select("node", "bands").join(ranked.select("node").distinct(), "node"), "dup-bands")
+    comps = common.written(bands.select("node", F.col("node").alias("comp")), "dup-comps")
     links, low, width = None, 0, 1
     while low < most:
-        found = common.written(_verified(_pairs(ranked, comps, low, low + width), sets, percent), "dup-links")
+        found = common.written(_verified(_pairs(ranked, comps, bands, low, low + width, percent), sets, percent), "dup-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             # components of components: links between labels, then one step back
