@@ -15,8 +15,8 @@
 5. Buckets are searched by pivots, not by all pairs: members are ranked by the
    share of their shingles that occur elsewhere; in a round the next pivots (1,
    then 4, 16, ...) meet the members behind them that are still in another
-   component and can reach the threshold by their counts, each pair in the first
-   band that it shares. Rounds end when every
+   component and can reach the threshold by the shingles that they share with
+   other components, each pair in the first band that it shares. Rounds end when every
    pair of a bucket was met or lies in one component: no link between
    different components is lost, and inside a group of mutual copies the first
    pivots link everything.
@@ -137,11 +137,21 @@ def docs_repeat(docs: DataFrame) -> bool:
     return not (docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty())
 
 
-def _pairs(ranked: DataFrame, comps: DataFrame, bands: DataFrame, low: int, high: int, percent: int) -> DataFrame:
+def _reach(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(node, comp, c): c counts the shingles that a class of another component
+    has too, a bound on what any link out of the component can have in common.
+    Classes that cannot reach the threshold with it are left out."""
+    rows = sets.select("node", "n", F.explode("shared").alias("s")).join(comps, "node")
+    spread = rows.groupBy("s").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    return (rows.join(spread.select("s"), "s").groupBy("node", "comp", "n").agg(F.count("*").alias("c"))
+            .where(f"100 * c >= {percent} * n").select("node", "comp", "c"))
+
+
+def _pairs(ranked: DataFrame, reach: DataFrame, bands: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs (a, b) between the pivots of ranks low..high-1 of each bucket and
     the members behind them, in other components and within reach by counts.
     A pair belongs to the first band that both share, so it appears once."""
-    now = ranked.where(F.col("last") > low).join(comps, "node")
+    now = ranked.where(F.col("last") > low).drop("c").join(reach, "node")
     both = now.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
     now = now.join(both.where("least <> most").select("bucket"), "bucket").join(bands, "node")
     pivot = now.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
@@ -179,9 +189,20 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = 75) -> tupl
     most = ranked.agg(F.max("last")).first()[0] or 0
     bands = common.written(classes.select("node", "bands").join(ranked.select("node").distinct(), "node"), "dup-bands")
     comps = common.written(bands.select("node", F.col("node").alias("comp")), "dup-comps")
-    links, low, width = None, 0, 1
+    # the first pivots meet band by band, so that what links early is not met again
+    count = COORDINATES // ROWS
+    rounds = [(0, 1, F.col("band").between(b, b + count // 4 - 1)) for b in range(0, count, count // 4)]
+    low, width = 1, 4
     while low < most:
-        found = common.written(_verified(_pairs(ranked, comps, bands, low, low + width, percent), sets, percent), "dup-links")
+        rounds.append((low, low + width, F.lit(True)))
+        low, width = low + width, width * 4
+    links = None
+    for low, high, some in rounds if most else []:
+        reach = common.written(_reach(sets, comps, percent), "dup-reach")
+        if reach.isEmpty():
+            break
+        pairs = _pairs(ranked.where(some), reach, bands, low, high, percent)
+        found = common.written(_verified(pairs, sets, percent), "dup-links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             # components of components: links between labels, then one step back
@@ -191,7 +212,6 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = 75) -> tupl
             merged = connected_components(over).toDF("comp", "top")
             comps = common.written(comps.join(merged, "comp", "left").select(
                 "node", F.coalesce("top", "comp").alias("comp")), "dup-comps")
-        low, width = low + width, width * 4
     return comps, links
 
 
