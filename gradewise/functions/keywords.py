@@ -10,36 +10,49 @@ as in the original grader). Nested ``to_lower`` keys are ignored.
 
 Conditions are a closed set -- text is never evaluated:
 ``prev_match`` (the previous rule of the case matched) and ``prev_unmatch``.
-The string forms ``context[-1] == 'match'`` / ``'unmatch'`` map onto them.
+``normalise_cond`` and ``cond_kind`` map the forms in use onto them:
+``context[-1]`` or ``grading_details[-1]``, either ``.startswith('match')`` or
+``== 'match'`` (likewise ``'unmatch'``), in either kind of quotes. Any other
+text is ``invalid``: the case gets an error row, never a meaning.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from gradewise.functions.text import as_col, regex_search
 
-COND_ALIASES = {
-    "prev_match": "prev_match",
-    "prev_unmatch": "prev_unmatch",
-    "context[-1] == 'match'": "prev_match",
-    'context[-1] == "match"': "prev_match",
-    "context[-1] == 'unmatch'": "prev_unmatch",
-    'context[-1] == "unmatch"': "prev_unmatch",
-}
+INVALID = "invalid"
+_BEFORE = r"^\s*(?:prev_|(?:context|grading_details)\s*\[\s*-1\s*\]\s*(?:==\s*|\.startswith\(\s*)(?:'(?=[a-z]+'\s*\)?\s*$)|\"(?=[a-z]+\"\s*\)?\s*$)))"
+_COND = _BEFORE + r"(match|unmatch)(?:['\"]\s*\)?)?\s*$"
 
 
-def normalise_cond(cond):
+def normalise_cond(cond: str | None) -> str | None:
+    """``prev_match``, ``prev_unmatch``, ``invalid``, or None without one."""
     if cond is None:
         return None
-    key = " ".join(str(cond).split())
-    if key not in COND_ALIASES:
-        raise ValueError(f"unsupported rule condition: {cond!r}")
-    return COND_ALIASES[key]
+    m = re.match(_COND, str(cond))
+    return f"prev_{m.group(1)}" if m else INVALID
+
+
+def cond_kind(cond: Column) -> Column:
+    """``normalise_cond`` as a Column."""
+    word = F.regexp_extract(cond, _COND, 1)
+    return F.when(cond.isNull(), F.lit(None)).when(word == "", F.lit(INVALID)).otherwise(F.concat(F.lit("prev_"), word))
+
+
+def cond_holds(kind: Column, prev: Column) -> Column:
+    """Whether a rule of this condition kind may count; null when invalid."""
+    return (F.when(kind.isNull(), F.lit(True)).when(kind == "prev_match", prev)
+            .when(kind == "prev_unmatch", ~prev))
 
 
 def cond_column(cond: str | None, prev: Column) -> Column:
     c = normalise_cond(cond)
+    if c == INVALID:
+        raise ValueError(f"unsupported rule condition: {cond!r}")
     if c is None:
         return F.lit(True)
     return prev if c == "prev_match" else ~prev

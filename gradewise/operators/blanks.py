@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gradewise.session import ship_package
 
 from gradewise.functions import lcs as kernels
+from gradewise.functions.keywords import INVALID, cond_holds, cond_kind
 from gradewise.functions.text import let, py_regex
-from gradewise.operators.sizing import maybe_broadcast
 
 DEFAULT_BLANK = "[blank]"
 DEFAULT_ESCAPE = " '\"`"
@@ -26,12 +26,12 @@ RATE_GATE = 0.8
 
 @functools.cache
 def _align_udf():
-    ship_package(SparkSession.getActiveSession())
     return F.pandas_udf(kernels.grader_alignment_batch, "matched int, spans array<int>")
 
 
 def align(template: Column, response: Column) -> Column:
-    """struct<matched int, spans array<int>> (see ``grader_alignment``)."""
+    """struct<matched int, spans array<int>> (see ``lcs.align_chars``)."""
+    ship_package(SparkSession.getActiveSession())
     return _align_udf()(template, response)
 
 
@@ -62,7 +62,7 @@ def fills(responses: DataFrame, templates: DataFrame, key: str = "doc_id",
 
     A blank that ends the template takes the rest of the response
     (``end_blank`` flags it)."""
-    t = maybe_broadcast(prepare_templates(templates))
+    t = prepare_templates(templates)
     j = responses.select(key, "case_id", text_col).join(t, "case_id")
     resp = F.concat(F.col("prefix"), F.col(text_col))
     j = j.withColumn("resp", F.when(resp == "", F.lit(" ")).otherwise(resp))
@@ -98,7 +98,7 @@ def pack_targets(targets: DataFrame) -> DataFrame:
         F.coalesce(F.col("substr_match"), F.lit(False)).alias("substr_match"),
         F.transform("alternatives", lambda a: F.struct(
             a["pattern"].alias("pattern"), F.coalesce(a["is_regex"], F.lit(False)).alias("is_regex"),
-            a["cond"].alias("cond"))).alias("alts"))
+            cond_kind(a["cond"]).alias("cond"))).alias("alts"))
     return t.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(
         "target_no", "weight", "to_lower", "substr_match", "alts"))).alias("targets"))
 
@@ -110,17 +110,17 @@ def _alt_match(a: Column, fill: Column, tg: Column, prev_matched: Column) -> Col
     search = F.regexp_like(f, py_regex(p))
     exact = F.when(a["is_regex"], full).otherwise(f == p)
     sub = F.when(a["is_regex"], search).otherwise(F.contains(f, p))
-    ok = (F.when(a["cond"].isNull(), F.lit(True)).when(a["cond"] == "prev_match", prev_matched)
-           .otherwise(~prev_matched))
+    ok = F.coalesce(cond_holds(a["cond"], prev_matched), F.lit(False))
     return F.when(tg["substr_match"], sub).otherwise(exact) & ok
 
 
 def blank_scores(responses: DataFrame, templates: DataFrame, targets: DataFrame,
                  key: str = "doc_id", text_col: str = "response", gate: float = RATE_GATE) -> DataFrame:
     """Weighted blank score per response: key, case_id, score, tot, rate,
-    matched flags, fills."""
+    matched flags, fills. A case whose blanks and targets differ in number, or
+    that has an unknown condition, is an error: no score, total or flags."""
     fl = fills(responses, templates, key, text_col)
-    j = fl.join(maybe_broadcast(pack_targets(targets)), "case_id")
+    j = fl.join(pack_targets(targets), "case_id")
     pairs = F.arrays_zip(F.col("targets").alias("tg"), F.col("fills").alias("fill"))
     init = F.struct(F.lit(False).alias("prev"), F.lit(0.0).alias("score"), F.lit(0.0).alias("tot"),
                     F.array().cast("array<boolean>").alias("flags"),
@@ -149,11 +149,16 @@ def blank_scores(responses: DataFrame, templates: DataFrame, targets: DataFrame,
         return let(F.when(gate_ok, first).otherwise(F.lit(0).cast("long")), emit)
 
     j = j.select(key, "case_id", "rate", "fills", "end_blank",
-                 (F.col("n_blank") == F.size("targets")).alias("targets_fit"),
+                 F.when(F.col("n_blank") != F.size("targets"), F.lit("blanks and targets differ in number"))
+                 .when(F.exists("targets", lambda t: F.exists(t["alts"], lambda a: F.coalesce(
+                     a["cond"] == INVALID, F.lit(False)))), F.lit("unsupported rule condition")).alias("error"),
                  F.aggregate(pairs, init, step).alias("__r"))
-    return j.select(key, "case_id", F.col("__r.score").alias("score"), F.col("__r.tot").alias("tot"), "rate",
-                    F.col("__r.flags").alias("matched"), F.col("__r.details").alias("details"),
-                    "fills", "end_blank", "targets_fit")
+
+    def sound(c):
+        return F.when(F.col("error").isNull(), F.col(c))
+    return j.select(key, "case_id", sound("__r.score").alias("score"), sound("__r.tot").alias("tot"), "rate",
+                    sound("__r.flags").alias("matched"), sound("__r.details").alias("details"),
+                    "fills", "end_blank", "error")
 
 
 def fill_handler(fill: Column, main: str, sub_all, main_points: float = 2.0,

@@ -2,8 +2,8 @@
 
 Plan: the rule table (small: a few rules per case) is packed into one
 ordered array per case and joined to the responses -- a broadcast hash join
-when the size check passes -- so every response row meets its case's rules
-without exploding responses x rules and without a shuffle. One
+where the planner finds it small -- so every response row meets its case's
+rules without exploding responses x rules and without a shuffle. One
 ``aggregate`` fold per row evaluates the rules in order, carrying the
 previous rule's outcome for conditional rules, the signed score, the total
 and the match/unmatch statuses.
@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gradewise.functions.keywords import INVALID, cond_holds, cond_kind
 from gradewise.functions.text import let, py_regex
-from gradewise.operators.sizing import maybe_broadcast
 
 # Rule table columns: case_id, rule_no, pattern, and optionally weight
-# (default 1.0), neg, to_lower, is_regex (default false), cond
-# (null | 'prev_match' | 'prev_unmatch').
+# (default 1.0), neg, to_lower, is_regex (default false), cond (null or any
+# condition text that ``functions.keywords.cond_kind`` knows).
 RULE_DEFAULTS = {
     "weight": (1.0, "double"),
     "neg": (False, "boolean"),
@@ -43,7 +43,7 @@ def normalise_rules(rules: DataFrame) -> DataFrame:
         F.col("neg").cast("boolean").alias("neg"),
         F.col("to_lower").cast("boolean").alias("to_lower"),
         F.col("is_regex").cast("boolean").alias("is_regex"),
-        F.col("cond").cast("string").alias("cond"),
+        cond_kind(F.col("cond").cast("string")).alias("cond"),
     )
 
 
@@ -70,9 +70,7 @@ def fold_rules(rules: Column, text: Column, ltext: Column) -> Column:
 
     def step(acc, r):
         raw = _match(r, text, ltext)
-        ok = (F.when(r["cond"].isNull(), F.lit(True))
-               .when(r["cond"] == "prev_match", acc["prev"])
-               .otherwise(~acc["prev"]))
+        ok = F.coalesce(cond_holds(r["cond"], acc["prev"]), F.lit(False))
         signed = F.when(r["neg"], -r["weight"]).otherwise(r["weight"])
         return let(raw & ok, lambda m: F.struct(
             m.alias("prev"),
@@ -89,15 +87,38 @@ def keyword_scores(responses: DataFrame, rules: DataFrame,
     """Per response: keyword score (signed), total, statuses.
 
     Cases without keyword rules produce no row (the metric is absent)."""
-    packed = maybe_broadcast(pack_rules(rules))
+    packed = pack_rules(rules)
     j = responses.select(*keys, text_col).join(packed, "case_id")
     # The lowered text and the fold result are columns of their own, so
     # each is computed once per row (lambda bodies and repeated field
     # accesses would otherwise re-evaluate them).
     j = j.select(*keys, text_col, "rules", F.lower(F.col(text_col)).alias("__lt"))
-    j = j.select(*keys, fold_rules(F.col("rules"), F.col(text_col), F.col("__lt")).alias("__r"))
-    return j.select(*keys, F.col("__r.score").alias("score"), F.col("__r.tot").alias("tot"),
-                    F.col("__r.statuses").alias("statuses"))
+    bad = F.exists("rules", lambda r: F.coalesce(r["cond"] == INVALID, F.lit(False)))
+    j = j.select(*keys, bad.alias("__bad"), fold_rules(F.col("rules"), F.col(text_col), F.col("__lt")).alias("__r"))
+    return j.select(*keys, *_result())
+
+
+BAD_CONDITION = "unsupported rule condition"
+
+
+def _result():
+    """Score columns of a folded row; a case with an unknown condition has no
+    score but an error."""
+    def sound(c):
+        return F.when(~F.col("__bad"), F.col(c))
+    return (sound("__r.score").alias("score"), sound("__r.tot").alias("tot"), sound("__r.statuses").alias("statuses"),
+            F.when(F.col("__bad"), F.lit(BAD_CONDITION)).alias("error"))
+
+
+def rule_flags(responses: DataFrame, rules: DataFrame, keys, text_col: str = "text") -> DataFrame:
+    """One row per response: ``flags``, an array of (rule_no, weight, neg,
+    matched) in rule order, conditions left aside. Texts go no further than
+    this row, so what follows (numbering, exploding) moves narrow rows."""
+    j = responses.select(*keys, text_col).join(pack_rules(rules), "case_id")
+    j = j.select(*keys, text_col, "rules", F.lower(F.col(text_col)).alias("__lt"))
+    return j.select(*keys, F.transform("rules", lambda r: F.struct(
+        r["rule_no"].alias("rule_no"), r["weight"].alias("weight"), r["neg"].alias("neg"),
+        _match(r, F.col(text_col), F.col("__lt")).alias("matched"))).alias("flags"))
 
 
 def rule_matches(responses: DataFrame, rules: DataFrame, match: Column | None = None,
@@ -107,7 +128,7 @@ def rule_matches(responses: DataFrame, rules: DataFrame, match: Column | None =
     ``responses x rules`` equi-joined on case_id; the rule side is broadcast
     after its size check."""
     r = normalise_rules(rules)
-    j = responses.select(*keys, text_col).join(maybe_broadcast(r), "case_id")
+    j = responses.select(*keys, text_col).join(r, "case_id")
     text = F.col(text_col)
     if match is None:
         t = F.when(F.col("to_lower"), F.lower(text)).otherwise(text)
@@ -121,7 +142,7 @@ def pack_rule_trees(nodes: DataFrame) -> DataFrame:
     pat = F.when(F.col("to_lower"), F.lower("pattern")).otherwise(F.col("pattern"))
     n = nodes.select("case_id", "rule_no", "weight", "neg", "to_lower", F.struct(
         "node_id", "parent_id", "op", pat.alias("pat"), py_regex(pat).alias("rx"),
-        F.coalesce("is_regex", F.lit(False)).alias("is_regex"), "cond").alias("node"))
+        F.coalesce("is_regex", F.lit(False)).alias("is_regex"), cond_kind(F.col("cond")).alias("cond")).alias("node"))
     per_rule = n.groupBy("case_id", "rule_no").agg(
         F.first("weight").alias("weight"), F.first("neg").alias("neg"), F.first("to_lower").alias("to_lower"),
         F.array_sort(F.collect_list("node")).alias("nodes"))
@@ -142,8 +163,7 @@ def _tree_value(rule: Column, text: Column, ltext: Column, prev: Column) -> Colu
         any_kid = F.exists(kids, lambda c: F.element_at(m, c["node_id"]))
         all_kids = F.forall(kids, lambda c: F.element_at(m, c["node_id"]))
         v = (F.when(nd["op"] == "leaf", leaf).when(nd["op"] == "and", all_kids).otherwise(any_kid))
-        ok = (F.when(nd["cond"].isNull(), F.lit(True)).when(nd["cond"] == "prev_match", prev)
-               .otherwise(~prev))
+        ok = F.coalesce(cond_holds(nd["cond"], prev), F.lit(False))
         return F.map_concat(m, F.create_map(nd["node_id"], v & ok))
 
     values = F.aggregate(nodes, F.create_map().cast("map<int,boolean>"), step)
@@ -155,7 +175,7 @@ def keyword_tree_scores(responses: DataFrame, nodes: DataFrame,
     """Keyword score per response for rule trees of any depth (node table
     from ``sources.readers.keyword_nodes``); same plan as ``keyword_scores``:
     packed per case, broadcast after the size check, one fold per row."""
-    packed = maybe_broadcast(pack_rule_trees(nodes))
+    packed = pack_rule_trees(nodes)
     j = responses.select(*keys, text_col).join(packed, "case_id")
     j = j.select(*keys, text_col, "rules", F.lower(F.col(text_col)).alias("__lt"))
     init = F.struct(F.lit(False).alias("prev"), F.lit(0.0).alias("score"), F.lit(0.0).alias("tot"),
@@ -169,6 +189,6 @@ def keyword_tree_scores(responses: DataFrame, nodes: DataFrame,
             (acc["tot"] + F.when(r["neg"], F.lit(0.0)).otherwise(r["weight"])).alias("tot"),
             F.array_append(acc["statuses"], F.when(m, "match").otherwise("unmatch")).alias("statuses")))
 
-    j = j.select(*keys, F.aggregate(F.col("rules"), init, step).alias("__r"))
-    return j.select(*keys, F.col("__r.score").alias("score"), F.col("__r.tot").alias("tot"),
-                    F.col("__r.statuses").alias("statuses"))
+    bad = F.exists("rules", lambda r: F.exists(r["nodes"], lambda n: F.coalesce(n["cond"] == INVALID, F.lit(False))))
+    j = j.select(*keys, bad.alias("__bad"), F.aggregate(F.col("rules"), init, step).alias("__r"))
+    return j.select(*keys, *_result())

@@ -12,11 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradewise.functions.text import as_col
 
 # ---------------------------------------------------------------- fixed values
-# Default test timeout (seconds) and worker count per language.
+# Default test timeout (seconds) per language.
 DEFAULT_TIMEOUT = {"python": 10, "cpp": 60, "javascript": 10, "typescript": 20, "java": 10,
                    "go": 20, "rust": 300, "sql": 10, "c#": 20, "r": 20}
-WORKERS = {"python": 4, "cpp": 4, "javascript": 4, "typescript": 4, "java": 1, "go": 4,
-           "rust": 1, "sql": 1, "c#": 4, "r": 4}
 # Language aliases accepted by the unit-test grader, and their canonical name.
 LANG_ALIASES = {
     "python": "python",
@@ -45,15 +43,17 @@ def default_timeout(lang) -> Column:
 def exec_status(return_code, stdout, stderr, timed_out, lang) -> Column:
     """Status string of one run: ``time out``, ``failed: returncode: N msg``
     or ``passed msg`` where msg prefers stderr over stdout; Go reports only
-    ``passed`` / ``failed: <stderr or stdout>``."""
+    ``passed`` / ``failed: <stderr or stdout>``. A run without a return code
+    that did not time out proves nothing: ``error: no return code``."""
     rc, out, err = as_col(return_code), F.coalesce(as_col(stdout), F.lit("")), F.coalesce(as_col(stderr), F.lit(""))
     msg = (F.when(err != "", F.concat(F.lit("stderr: "), err))
             .when(out != "", F.concat(F.lit("stdout: "), out)).otherwise(F.lit("")))
-    generic = F.when(rc != 0, F.concat(F.lit("failed: returncode: "), rc.cast("string"), F.lit(" "), msg)) \
-        .otherwise(F.concat(F.lit("passed "), msg))
+    generic = F.when(rc == 0, F.concat(F.lit("passed "), msg)) \
+        .otherwise(F.concat(F.lit("failed: returncode: "), rc.cast("string"), F.lit(" "), msg))
     go = F.when(rc == 0, F.lit("passed")).otherwise(
         F.concat(F.lit("failed: "), F.when(err != "", err).otherwise(out)))
-    return F.when(as_col(timed_out), F.lit("time out")).when(as_col(lang) == "go", go).otherwise(generic)
+    return (F.when(as_col(timed_out), F.lit("time out")).when(rc.isNull(), F.lit("error: no return code"))
+            .when(as_col(lang) == "go", go).otherwise(generic))
 
 
 def passed(status) -> Column:

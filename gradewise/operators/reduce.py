@@ -17,7 +17,6 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from gradewise.operators.indexing import running_sum
-from gradewise.operators.sizing import maybe_broadcast
 
 SAMPLE_KEYS = ("model", "case_id", "sample_no")
 CASE_KEYS = ("model", "case_id")
@@ -40,7 +39,7 @@ def clip_normalise(sample_scores: DataFrame, cases: DataFrame, keys=SAMPLE_KEYS)
     mn = F.col("min_score") if "min_score" in cols else F.lit(None).cast("double")
     c = cases.select("case_id", F.col("full_score").cast("double").alias("full_score"),
                      mx.cast("double").alias("max_score"), mn.cast("double").alias("min_score"))
-    j = sample_scores.join(maybe_broadcast(c), "case_id")
+    j = sample_scores.join(c, "case_id")
     tot = F.coalesce(F.col("max_score"), F.col("tot"))
     ans = F.when(F.col("max_score").isNotNull(), F.least(F.col("ans"), F.col("max_score"))).otherwise(F.col("ans"))
     ans = F.when(F.col("min_score").isNotNull(), F.greatest(ans, F.col("min_score"))).otherwise(ans)
@@ -90,7 +89,7 @@ def weighted_totals(case_scores: DataFrame, cases: DataFrame) -> DataFrame:
     opt-in view weights each case's score and full score by it.
 
     cases: case_id, full_score, case_weight."""
-    c = maybe_broadcast(cases.select("case_id", "full_score", F.coalesce("case_weight", F.lit(1.0)).alias("w")))
+    c = cases.select("case_id", "full_score", F.coalesce("case_weight", F.lit(1.0)).alias("w"))
     j = case_scores.join(c, "case_id")
     return j.groupBy("model").agg(F.sum(F.col("now_score") * F.col("w")).alias("weighted_score"),
                                   F.sum(F.col("full_score") * F.col("w")).alias("weighted_full"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gradewise.operators.sizing import maybe_broadcast
 
 SECTION_ORDER = {"total": 0, "lang": 1, "type": 2, "metric": 3}
 SECTION_LABEL = {"total": "Overall Score", "lang": "Lang: ", "type": "Type: ", "metric": "Metric: "}
@@ -27,7 +26,7 @@ def by_attribute(bucket_best: DataFrame, case_scores: DataFrame, cases: DataFram
                  attr: str) -> DataFrame:
     """Mean/std over buckets of the per-bucket sum, full score and frequency
     per (model, attr)."""
-    attrs = maybe_broadcast(cases.select("case_id", attr, "full_score"))
+    attrs = cases.select("case_id", attr, "full_score")
     b = bucket_best.join(attrs, "case_id")
     per_bucket = b.groupBy("model", attr, "bucket").agg(F.sum("best").alias("bucket_total"))
     stats = _mean_std(per_bucket, ["model", attr])
@@ -40,7 +39,7 @@ def rollup(bucket_best: DataFrame, case_scores: DataFrame, cases: DataFrame) ->
     """Total, per-language and per-type sections in one GROUPING SETS pass.
 
     Output: model, dimension ('total'|'lang'|'type'), key, mean, std, full, freq."""
-    attrs = maybe_broadcast(cases.select("case_id", "lang", "qtype", "full_score"))
+    attrs = cases.select("case_id", "lang", "qtype", "full_score")
 
     def label(df):
         dim = (F.when(F.grouping("lang") == 0, F.lit("lang"))
@@ -144,7 +143,7 @@ def by_metric(metric_scores: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     best = best_sample(raw, k, "raw", keys)
     last = raw.groupBy(*keys).agg(F.max(F.floor(F.col("sample_no") / F.lit(k)).cast("long")).alias("last_bucket"))
     bm = metric_scores.join(best.withColumnRenamed("best_sample_no", "sample_no"), keys + ["sample_no"])
-    c = maybe_broadcast(cases.select("case_id", "full_score", "max_score"))
+    c = cases.select("case_id", "full_score", "max_score")
     lastbest = bm.join(last, keys).where(F.col("bucket") == F.col("last_bucket"))
     tot_case = lastbest.groupBy(*keys).agg(F.sum("tot").alias("tc")).join(c, "case_id").select(
         *keys, F.try_divide(F.col("full_score"), F.coalesce("max_score", "tc")).alias("factor"))

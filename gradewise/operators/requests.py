@@ -27,14 +27,19 @@ def coverage(cases: DataFrame, have: DataFrame, key: str = "case_id") -> DataFra
     return present, missing
 
 
-def done_cases(samples: DataFrame, n: int, key: str = "case_id") -> DataFrame:
-    """Cases that already have at least ``n`` distinct samples."""
-    return samples.groupBy(key).agg(F.count_distinct("sample_no").alias("n_done")).where(F.col("n_done") >= n)
+def missing_samples(cases: DataFrame, samples: DataFrame, n: int, key: str = "case_id") -> DataFrame:
+    """``cases`` with one row per sample number of 0..n-1 that was not
+    collected: the wanted (case, sample_no) less those at hand. Numbers
+    outside that range neither count nor matter."""
+    wanted = cases.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    have = samples.select(key, F.col("sample_no").cast("int").alias("sample_no"))
+    return wanted.join(have, [key, "sample_no"], "left_anti")
 
 
 def to_resume(cases: DataFrame, samples: DataFrame, n: int, key: str = "case_id") -> DataFrame:
-    """Cases still missing samples (anti join against the done set)."""
-    return cases.join(done_cases(samples, n, key).select(key), key, "left_anti")
+    """Cases that miss at least one of the samples 0..n-1."""
+    missing = missing_samples(cases.select(key), samples, n, key).select(key).distinct()
+    return cases.join(missing, key, "left_semi")
 
 
 def request_table(cases: DataFrame, samples: DataFrame, n: int = SAMPLES_PER_CASE,
@@ -44,11 +49,7 @@ def request_table(cases: DataFrame, samples: DataFrame, n: int = SAMPLES_PER_CAS
     are grouped into request batches of ``batch``.
 
     cases: key, is_qa. samples: key, sample_no (already collected)."""
-    have = samples.groupBy(key).agg(F.count_distinct("sample_no").alias("n_have"))
-    c = to_resume(cases, samples, n, key).join(have, key, "left")
-    c = c.withColumn("n_have", F.coalesce("n_have", F.lit(0)).cast("int"))
-    # n_have < n here, so the sequence counts up.
-    r = c.select(key, "is_qa", F.explode(F.sequence(F.col("n_have"), F.lit(n - 1))).alias("sample_no"))
+    r = missing_samples(cases.select(key, "is_qa"), samples, n, key)
     return r.select(
         key, "sample_no",
         F.floor(F.col("sample_no") / F.lit(batch)).cast("long").alias("batch_no"),

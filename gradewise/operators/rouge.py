@@ -19,7 +19,6 @@ from gradewise.session import ship_package
 
 from gradewise.functions import lcs as lcs_kernels
 from gradewise.functions.text import rouge_tokens
-from gradewise.operators.sizing import maybe_broadcast
 
 DEFAULT_TYPES = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
@@ -92,7 +91,7 @@ def rouge_n(responses: DataFrame, references: DataFrame, n: int, tokenizer=rouge
     The reference side (one gram -> count map per reference) is small and
     is broadcast after its size check; each response is scored in its own
     row -- no explode, no shuffle of response n-grams."""
-    refs = maybe_broadcast(reference_grams(references, n, tokenizer))
+    refs = reference_grams(references, n, tokenizer)
     resp = responses.select(key, "case_id", tokenizer(F.col("text")).alias("t"))
     j = resp.join(refs, "case_id")
 
@@ -125,7 +124,7 @@ def rouge_l(responses: DataFrame, references: DataFrame, tokenizer=rouge_tokens,
     """ROUGE-L (token LCS) of each response against each reference."""
     resp = responses.select(key, "case_id", tokenizer(F.col("text")).alias("pt"))
     ref = references.select("case_id", "ref_no", tokenizer(F.col("text")).alias("rt"))
-    j = resp.join(maybe_broadcast(ref), "case_id")
+    j = resp.join(ref, "case_id")
     # Tokens absent from the reference cannot be in a common subsequence.
     kept = F.filter("pt", lambda x: F.array_contains(F.col("rt"), x))
     j = j.select(key, "case_id", "ref_no", F.size("pt").alias("np"), F.size("rt").alias("nr"),
@@ -149,7 +148,7 @@ def rouge_lsum(responses: DataFrame, references: DataFrame, tokenizer=rouge_toke
     sentence, hits clipped by token counts."""
     resp = responses.select(key, "case_id", _sentences(F.col("text"), tokenizer).alias("ps"))
     ref = references.select("case_id", "ref_no", _sentences(F.col("text"), tokenizer).alias("rs"))
-    j = resp.join(maybe_broadcast(ref), "case_id")
+    j = resp.join(ref, "case_id")
     n_tok = lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + F.size(s))
     j = j.select(key, "case_id", "ref_no", n_tok(F.col("ps")).alias("np"),
                  n_tok(F.col("rs")).alias("nr"), _union_lcs(F.col("rs"), F.col("ps")).alias("hits"))
@@ -206,7 +205,7 @@ def similarity_scores(best: DataFrame, rules: DataFrame, key: str = "doc_id") ->
     best: key, case_id, metric, f1 (after best_over_references).
     rules: case_id, rule_no, metric, min_score, max_score, weight (nullable)."""
     r = rules.select("case_id", "rule_no", "metric", "min_score", "max_score", "weight")
-    j = best.join(maybe_broadcast(r), ["case_id", "metric"])
+    j = best.join(r, ["case_id", "metric"])
     dmin, dmax = default_bounds(F.col("metric"))
     w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0))
     norm = normalised(F.col("f1"), F.coalesce(F.col("min_score"), dmin),

@@ -19,7 +19,9 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kw_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return kw.keyword_scores(fx.responses_v(spark, sf), rules(spark, sf))
+    """Scored in the scan stage; only the narrow scores are numbered."""
+    s = kw.keyword_scores(fx.responses_base(spark, sf), rules(spark, sf), keys=("doc_id", "model", "case_id"))
+    return fx.numbered(s)
 
 
 def case_params(spark: SparkSession, sf: str) -> DataFrame:

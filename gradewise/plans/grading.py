@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradewise.operators import keywords as kw
 from gradewise.operators import reduce as rd
-from gradewise.operators.sizing import maybe_broadcast
 from gradewise.sources import readers
 
 
@@ -18,7 +17,7 @@ def metric_scores(responses: DataFrame, cases: DataFrame) -> DataFrame:
     """Long table model, case_id, sample_no, metric, score, tot (keywords).
 
     responses: model, case_path, sample_no, text."""
-    c = maybe_broadcast(cases.select("case_path", "case_id"))
+    c = cases.select("case_path", "case_id")
     r = responses.join(c, "case_path")
     nodes = readers.keyword_nodes(cases)
     k = kw.keyword_tree_scores(r, nodes)
@@ -35,7 +34,7 @@ def grade(spark: SparkSession, suite_path: str, case_paths, responses: DataFrame
     base = re.escape(os.path.dirname(os.path.abspath(suite_path)).strip("/"))
     cases = cases.withColumn("case_path", F.regexp_extract("case_path", base + "/(.*)$", 1))
     sel = suite_cases.select("case_path", "case_no")
-    cases = cases.join(maybe_broadcast(sel), "case_path", "left_semi")
+    cases = cases.join(sel, "case_path", "left_semi")
     s = suite.first()  # one row: the suite's settings
     mode = mode or s.attempt_reduce_mode
     full = F.coalesce(F.col("full_score"), F.lit(s.full_score_per_question))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gradewise.functions import code as cd
 from gradewise.operators import outcomes as oc
-from gradewise.operators.sizing import maybe_broadcast
 from gradewise.plans.registry import big, query, rnd
 from gradewise.sources import fixtures as fx
 
@@ -15,7 +14,7 @@ PASS_KS = (1, 2, 5)
 
 def _with_lang(df, spark, sf):
     c = fx.cases_v(spark, sf).select("case_id", "lang")
-    return df.join(maybe_broadcast(c), "case_id")
+    return df.join(c, "case_id")
 
 
 # ----------------------------------------------------------- DuckDB helpers
@@ -63,10 +62,11 @@ def _sql_extract_ctes(src, only_longest=False, fenced=True, p="x"):
                   f"pairs[list_position(list_transform(pairs, lambda q: q[2] - q[1]), list_max(list_transform(pairs, lambda q: q[2] - q[1])))] AS best FROM {p}3"),
         f"{p}5": (f"SELECT *, CASE WHEN len(pairs) > 0 THEN array_to_string(list_slice(lines, best[1] + 2, best[2]), chr(10)) ELSE '' END AS f_long, "
                   f"{stop} AS st, {start} AS start FROM {p}4"),
-        f"{p}6": (f"SELECT *, string_split(st, chr(10)) AS sl, list_transform(string_split(st, ''), lambda ch: CASE ch WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) AS steps, "
+        f"{p}6": (f"SELECT *, string_split(st, chr(10)) AS sl, string_split(st, '}}') AS bp, "
                   f"strpos(st, 'public static void main') AS mp FROM {p}5"),
         f"{p}7": (f"SELECT *, list_position(list_transform(sl, lambda l: regexp_matches(l, {_q(cd.NONBLANK)}) AND left(l, 1) NOT IN (' ', chr(9))), true) AS pyp, "
-                  f"list_position(list_transform(range(1, len(steps) + 1), lambda i: start + list_sum(list_slice(steps, 1, i)) = 0), true) AS zp, "
+                  f"CASE WHEN start = 0 AND st <> '' AND left(st, 1) NOT IN ('{{', '}}') THEN 1 ELSE length(array_to_string(list_slice(bp, 1, "
+                  f"list_position(list_transform(range(1, len(bp)), lambda i: start + {_sql_count("array_to_string(list_slice(bp, 1, i), '}')", '{')} = i), true)), '}}')) + 1 END AS zp, "
                   f"{_sql_last_brace('(CASE WHEN mp > 0 THEN left(st, mp - 1) || ' + _q('}') + ' ELSE st END)')} AS jv FROM {p}6"),
         f"{p}8": (f"SELECT *, CASE WHEN lang = 'python' THEN (CASE WHEN pyp IS NOT NULL THEN array_to_string(list_slice(sl, 1, pyp - 1), chr(10)) ELSE st END) "
                   f"WHEN start IS NOT NULL THEN (CASE WHEN zp IS NOT NULL THEN left(st, zp) WHEN lang = 'java' THEN "
@@ -114,11 +114,11 @@ _STOP_SQL = "split_part(r.text, chr(10), 1) || chr(10) || 'print(x)' || chr(10)
     f"SELECT r.doc_id, {_STOP_SQL} AS t, c.lang FROM responses_v r JOIN cases_v c ON c.case_id = r.case_id", fenced=False)) +
        "SELECT doc_id, CAST(length(st) AS BIGINT) AS n_kept FROM x9")
 def stopword_cut(spark, sf):
-    d = _with_lang(fx.responses_v(spark, sf), spark, sf)
+    d = _with_lang(fx.responses_base(spark, sf), spark, sf)
     return d.select("doc_id", big(F.length(cd.stop_word_cut(_STOP_SPARK(F.col("text")), F.col("lang")))).alias("n_kept"))
 
 
-_FUT_SQL_IN = "'x = 1' || chr(10) || 'from __future__ import annotations' || chr(10) || substr(f.txt, 1, 30) || chr(10) || 'from __future__ import division'"
+_FUT_SQL_IN = "'x = 1' || chr(10) || 'from __future__ import annotations' || chr(10) || f.txt || chr(10) || 'from __future__ import division'"
 
 
 @query("future_hoist", fx.with_views("fenced_v") + "SELECT f.doc_id, array_to_string(list_concat(list_filter(string_split(" + _FUT_SQL_IN +
@@ -126,7 +126,7 @@ _FUT_SQL_IN = "'x = 1' || chr(10) || 'from __future__ import annotations' || chr
        ", chr(10)), lambda l: NOT starts_with(l, 'from __future__'))), chr(10)) AS program FROM fenced_v f")
 def future_hoist(spark, sf):
     d = fx.fenced_v(spark, sf)
-    src = F.concat(F.lit("x = 1\nfrom __future__ import annotations\n"), F.substring("txt", 1, 30),
+    src = F.concat(F.lit("x = 1\nfrom __future__ import annotations\n"), F.col("txt"),
                    F.lit("\nfrom __future__ import division"))
     return d.select("doc_id", cd.hoist_future(src).alias("program"))
 

@@ -94,7 +94,7 @@ def array_responses(spark, sf):
        "CAST(count(DISTINCT conv_id) FILTER (WHERE completion IS NULL) AS BIGINT) AS n_conv_null, "
        "CAST(sum(length(coalesce(completion, ''))) AS BIGINT) AS n_chars FROM turns_v")
 def null_completion_stats(spark, sf):
-    t = fx.turns_v(spark, sf)
+    t = fx.completions(spark, sf)
     return t.agg(big(F.count(F.lit(1))).alias("n_rows"), big(F.count_if(F.col("completion").isNull())).alias("n_null"),
                  big(F.count_distinct(F.when(F.col("completion").isNull(), F.col("conv_id")))).alias("n_conv_null"),
                  big(F.sum(F.length(F.coalesce("completion", F.lit(""))))).alias("n_chars"))
@@ -132,7 +132,7 @@ def prompt_token_stats(spark, sf):
 
 
 def _labelled(spark, sf):
-    r = fx.responses_v(spark, sf).select("doc_id", "case_id", "sample_no")
+    r = fx.sample_keys(spark, sf).select("doc_id", "case_id", "sample_no")
     return r, table(spark, sf, "labels").select("doc_id")
 
 
@@ -152,25 +152,24 @@ def coverage_semi_anti(spark, sf):
 
 
 RESUME_N = 10
-_DONE_SQL = ("SELECT case_id, count(DISTINCT sample_no) AS n_have FROM responses_v WHERE doc_id IN (SELECT doc_id FROM labels) "
-             "GROUP BY case_id")
+# Wanted samples that no labelled response has.
+_MISSING_SQL = (f"SELECT c.case_id, w.sample_no FROM cases_v c, (SELECT unnest(range({RESUME_N})) AS sample_no) w WHERE NOT EXISTS "
+                "(SELECT 1 FROM responses_v r JOIN labels l ON l.doc_id = r.doc_id WHERE r.case_id = c.case_id AND r.sample_no = w.sample_no)")
 
 
-@query("resume_anti", fx.with_views("responses_v", "cases_v", extra={"hv": _DONE_SQL}) +
-       f"SELECT case_id, lang FROM cases_v WHERE case_id NOT IN (SELECT case_id FROM hv WHERE n_have >= {RESUME_N})")
+@query("resume_anti", fx.with_views("responses_v", "cases_v", extra={"ms": _MISSING_SQL}) +
+       "SELECT case_id, lang FROM cases_v WHERE case_id IN (SELECT case_id FROM ms)")
 def resume_anti(spark, sf):
     r, l = _labelled(spark, sf)
     have = r.join(l, "doc_id", "left_semi")
     return rq.to_resume(fx.cases_v(spark, sf).select("case_id", "lang"), have, RESUME_N)
 
 
-@query("request_table", fx.with_views("responses_v", "cases_v", extra={"hv": _DONE_SQL}) +
+@query("request_table", fx.with_views("responses_v", "cases_v", extra={"ms": _MISSING_SQL}) +
        "SELECT c.case_id, CAST(s.sample_no AS BIGINT) AS sample_no, CAST(floor(s.sample_no / 2) AS BIGINT) AS batch_no, "
        f"CASE WHEN c.qtype = 'knowledge question-answering' THEN '{rq.QA_SYSTEM_PROMPT}' ELSE '{rq.CODE_SYSTEM_PROMPT}' END AS system_prompt, "
        f"round(CAST({rq.TEMPERATURE} AS DOUBLE), 6) AS temperature, round(CAST({rq.TOP_P} AS DOUBLE), 6) AS top_p "
-       "FROM cases_v c LEFT JOIN hv ON hv.case_id = c.case_id, "
-       f"LATERAL (SELECT unnest(range(coalesce(hv.n_have, 0), {RESUME_N})) AS sample_no) s "
-       f"WHERE coalesce(hv.n_have, 0) < {RESUME_N}")
+       "FROM cases_v c JOIN ms s ON s.case_id = c.case_id")
 def request_table(spark, sf):
     r, l = _labelled(spark, sf)
     have = r.join(l, "doc_id", "left_semi")

@@ -9,7 +9,6 @@ from gradewise.operators import keywords as kw
 from gradewise.operators import reduce as rd
 from gradewise.operators import report as rp
 from gradewise.operators.indexing import ordered_index
-from gradewise.operators.sizing import maybe_broadcast
 from gradewise.plans import common as cm
 from gradewise.plans.registry import big, query, rnd
 from gradewise.sources import fixtures as fx
@@ -34,17 +33,17 @@ _SQL_REGEX = "'(^|[^a-z])' || lower(substr(regexp_replace({w}, '[^A-Za-z]', '',
        "WHERE case_id IN (SELECT case_id FROM cases_v WHERE lang IN ('python', 'go'))")
 def case_select(spark, sf):
     sel = fx.cases_v(spark, sf).where(F.col("lang").isin("python", "go")).select("case_id")
-    r = fx.responses_v(spark, sf)
-    return r.join(maybe_broadcast(sel), "case_id", "left_semi").select(
-        *KEYS, big(F.length("text")).alias("n_chars"))
+    r = fx.responses_base(spark, sf).join(sel, "case_id", "left_semi")
+    return fx.numbered(r.select("doc_id", "model", "case_id", big(F.length("text")).alias("n_chars"))).select(*KEYS, "n_chars")
 
 
 def _matches(spark, sf, **overrides):
     rules = cm.rules(spark, sf)
     for k, v in overrides.items():
         rules = rules.withColumn(k, v)
-    m = kw.rule_matches(fx.responses_v(spark, sf), rules)
-    return m.select(*KEYS, big("rule_no").alias("rule_no"), "matched")
+    m = kw.rule_flags(fx.responses_base(spark, sf), rules, keys=("doc_id", "model", "case_id"))
+    return fx.numbered(m).select(*KEYS, F.explode("flags").alias("f")).select(
+        *KEYS, big("f.rule_no").alias("rule_no"), "f.matched")
 
 
 @query("kw_contains", fx.with_views("responses_v", "keyword_rules_v") +
@@ -81,9 +80,10 @@ def kw_clause_tree(spark, sf):
                                   for i in range(3)])
     tree = {"or": [{"and": [F.col("w0"), F.col("w1")]},
                    {"content": _regex_of(F.col("w2")), "regex": True}]}
-    r = fx.responses_v(spark, sf).join(maybe_broadcast(words), "case_id")
+    r = fx.responses_base(spark, sf).join(words, "case_id")
     text = F.col("text")
-    return r.select(*KEYS, compile_clause(tree, text, F.lower(text)).alias("matched"))
+    m = r.select("doc_id", "model", "case_id", compile_clause(tree, text, F.lower(text)).alias("matched"))
+    return fx.numbered(m).select(*KEYS, "matched")
 
 
 @query("kw_conditional", cm.sql_with("kw_eff") +
@@ -100,7 +100,7 @@ def kw_conditional(spark, sf):
        "round(sum(CASE WHEN m THEN -weight ELSE 0.0 END), 6) AS penalty FROM kw_eff WHERE neg GROUP BY case_id")
 def kw_negative(spark, sf):
     rules = cm.rules(spark, sf).where(F.col("neg"))
-    m = kw.rule_matches(fx.responses_v(spark, sf), rules)
+    m = kw.rule_matches(fx.responses_base(spark, sf), rules, keys=("doc_id", "model", "case_id"))
     return m.groupBy("case_id").agg(
         big(F.count_if("matched")).alias("n_neg_hits"), big(F.count(F.lit(1))).alias("n_samples"),
         rnd(F.sum(F.when(F.col("matched"), -F.col("weight")).otherwise(0.0))).alias("penalty"))
@@ -125,12 +125,9 @@ def score_clip_normalise(spark, sf):
        "round(min(now), 6) AS min_now, CAST(count(*) AS BIGINT) AS n_samples FROM sample_now GROUP BY model, case_id")
 def reduce_avg_max_min(spark, sf):
     s = cm.sample_now(spark, sf)
-    a = rd.reduce_samples(s, "avg").select("model", "case_id", "now_score", "n_samples")
-    mx = rd.reduce_samples(s, "max").select("model", "case_id", F.col("now_score").alias("mx"))
-    mn = rd.reduce_samples(s, "min").select("model", "case_id", F.col("now_score").alias("mn"))
-    j = a.join(mx, ["model", "case_id"]).join(mn, ["model", "case_id"])
-    return j.select("model", "case_id", rnd("now_score").alias("avg_now"), rnd("mx").alias("max_now"),
-                    rnd("mn").alias("min_now"), big("n_samples").alias("n_samples"))
+    return s.groupBy("model", "case_id").agg(
+        rnd(F.avg("now")).alias("avg_now"), rnd(F.max("now")).alias("max_now"), rnd(F.min("now")).alias("min_now"),
+        big(F.count(F.lit(1))).alias("n_samples"))
 
 
 @query("reduce_avg_max_k", cm.sql_with("case_scores") +
@@ -160,7 +157,7 @@ def suite_totals(spark, sf):
        "WINDOW w AS (PARTITION BY s.model ORDER BY s.case_id ROWS UNBOUNDED PRECEDING)")
 def running_total(spark, sf):
     cs = cm.case_scores(spark, sf).join(
-        maybe_broadcast(fx.cases_v(spark, sf).select("case_id", "full_score")), "case_id")
+        fx.cases_v(spark, sf).select("case_id", "full_score"), "case_id")
     r = rd.running_totals(cs, "case_id")
     return r.select("model", "case_id", rnd("running_score").alias("running_score"),
                     rnd("running_full").alias("running_full"))
@@ -250,7 +247,7 @@ def best_sample_last_tie(spark, sf):
 @query("sample_index", fx.with_views("responses_v") +
        "SELECT doc_id, model, case_id, row_number() OVER (PARTITION BY model, case_id ORDER BY doc_id) - 1 AS model_sample_no FROM responses_v")
 def sample_index(spark, sf):
-    r = fx.responses_v(spark, sf).select("doc_id", "model", "case_id")
+    r = fx.responses_base(spark, sf, spread_rows=False).select("doc_id", "model", "case_id")
     return ordered_index(r, ["model", "case_id"], "doc_id", "model_sample_no").select(
         "doc_id", "model", "case_id", big("model_sample_no").alias("model_sample_no"))
 
@@ -259,7 +256,7 @@ def _metric_scores(spark, sf):
     """Long metric table of the fixture: keywords for every response, and
     unit_test (pass = quality 1 and not toxic) for labelled responses."""
     k = cm.kw_scores(spark, sf).select(*KEYS, F.lit("keywords").alias("metric"), "score", "tot")
-    r = fx.responses_v(spark, sf).select("doc_id", *KEYS)
+    r = fx.sample_keys(spark, sf)
     lab = table(spark, sf, "labels")
     passed = (lab.quality == 1) & (lab.toxic == 0)
     u = r.join(lab, "doc_id").select(*KEYS, F.lit("unit_test").alias("metric"),
@@ -321,5 +318,5 @@ def _tree_nodes(spark, sf):
        + _SQL_REGEX.format(w="split_part(c.ref_text, ' ', 3)") + ")) THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score, "
        "CAST(2.0 AS DOUBLE) AS tot FROM responses_v r JOIN cases_v c ON c.case_id = r.case_id")
 def kw_tree_fold(spark, sf):
-    s = kw.keyword_tree_scores(fx.responses_v(spark, sf), _tree_nodes(spark, sf))
-    return s.select(*KEYS, "score", "tot")
+    s = kw.keyword_tree_scores(fx.responses_base(spark, sf), _tree_nodes(spark, sf), keys=("doc_id", "model", "case_id"))
+    return fx.numbered(s).select(*KEYS, "score", "tot")

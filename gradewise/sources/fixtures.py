@@ -58,12 +58,24 @@ def responses_base(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -
                     F.col("source").alias("model"), "text")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of ``responses_base`` (one per doc_id, any columns besides) with
+    their sample number. Numbering shuffles: project texts away before."""
+    return ordered_index(rows, ["case_id"], "doc_id", "sample_no")
+
+
 def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The index's (case, block) exchange already spreads the rows.
-    d = ordered_index(responses_base(spark, sf_dir, spread_rows=False), ["case_id"], "doc_id", "sample_no")
+    """All responses with text and number. Only for what keeps the texts
+    (files, arrays): scoring takes ``responses_base`` and numbers its result."""
+    d = numbered(responses_base(spark, sf_dir, spread_rows=False))
     return d.select("doc_id", "case_id", F.col("sample_no").cast("long"), "model", "text")
 
 
+def sample_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, model, case_id, sample_no: the numbers alone."""
+    return numbered(responses_base(spark, sf_dir, spread_rows=False).drop("text"))
+
+
 def keyword_rules_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cases_v(spark, sf_dir)
     r = c.select("case_id", "ref_text",
@@ -79,7 +91,7 @@ def keyword_rules_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = responses_v(spark, sf_dir)
+    r = sample_keys(spark, sf_dir)
     l = table(spark, sf_dir, "labels")
     return r.join(l, "doc_id").select(
         r.case_id, r.sample_no, F.lit(0).alias("test_no"),
@@ -88,68 +100,65 @@ def outcomes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _completion():
+    return F.when(F.length("text") % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("text"))
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, completion of ``turns_v``, without the turn before."""
+    c = table(spark, sf_dir, "conversations")
+    return c.where(F.col("role") == "assistant").select("conv_id", "turn", _completion().alias("completion"))
+
+
 def turns_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     t = previous_in_order(c.select("conv_id", "turn", "role", "text"),
                           ["conv_id"], "turn", ["text"])
     return t.where(F.col("role") == "assistant").select(
         "conv_id", "turn", F.col("prev_text").alias("prompt"),
-        F.when(F.length("text") % 5 == 0, F.lit(None).cast("string"))
-         .otherwise(F.col("text")).alias("completion"),
+        _completion().alias("completion"),
     )
 
 
 def fenced_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = responses_v(spark, sf_dir)
+    r = responses_base(spark, sf_dir)
     bt = F.lit(BT3)
     nl = F.lit(NL)
+    half = F.floor(F.length("text") / 2).cast("int")
     odd_tail = F.when(F.col("doc_id") % 3 == 0,
                       F.concat(nl, bt, nl, F.lit("odd tail"))).otherwise(F.lit(""))
     txt = F.concat(
-        F.lit("intro"), nl, bt, F.lit("py"), nl, F.substring("text", 1, 40), nl,
-        bt, nl, F.lit("mid"), nl, bt, nl, F.substring("text", 41, 80), nl,
+        F.lit("intro"), nl, bt, F.lit("py"), nl, F.left("text", half), nl,
+        bt, nl, F.lit("mid"), nl, bt, nl, F.substring(F.col("text"), half + 1, F.length("text")), nl,
         F.lit("x = "), (F.col("doc_id") % 7).cast("string"), nl, bt, odd_tail)
-    return r.select("doc_id", "case_id", "sample_no", txt.alias("txt"))
+    return r.select("doc_id", "case_id", txt.alias("txt"))
 
 
 def braced_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = responses_v(spark, sf_dir)
-    txt = F.concat(F.lit("if (a) { "), F.substring("text", 1, 30), F.lit(" }"),
+    r = responses_base(spark, sf_dir)
+    txt = F.concat(F.lit("if (a) { "), F.col("text"), F.lit(" }"),
                    F.when(F.col("doc_id") % 2 == 0, F.lit(" } rest { x }"))
                     .otherwise(F.lit(" tail")))
-    return r.select("doc_id", "case_id", "sample_no", txt.alias("txt"))
-
-
-def blank_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = responses_v(spark, sf_dir)
-    c = cases_v(spark, sf_dir)
-    head = F.substring(c.ref_text, 1, 60)
-    template = F.concat(F.lit("Use [blank] with "), head, F.lit(" done."))
-    response = F.concat(
-        F.lit('Use "'), F.split_part(c.ref_text, F.lit(" "), F.lit(2)), F.lit('" with '),
-        head, F.lit(" done."),
-        F.when(r.doc_id % 2 == 1, F.substring(r.text, 1, 20)).otherwise(F.lit("")))
-    return r.join(c, "case_id").select(r.doc_id, template.alias("template"),
-                                       response.alias("response"))
+    return r.select("doc_id", "case_id", txt.alias("txt"))
 
 
-def blank_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``blank_v`` with its case: doc_id, case_id, template, response."""
+def blank_responses(spark: SparkSession, sf_dir: str, whole_text: bool = False) -> DataFrame:
+    """doc_id, case_id, response to the case's blank template: the reference's
+    second word in the blank and, for odd ids, the model's name behind the
+    end -- or, with ``whole_text``, the response's own text."""
     r = responses_base(spark, sf_dir)
     c = cases_v(spark, sf_dir)
-    head = F.substring(c.ref_text, 1, 60)
+    tail = F.concat(F.lit("\n"), r.text) if whole_text else r.model
     response = F.concat(
         F.lit('Use "'), F.split_part(c.ref_text, F.lit(" "), F.lit(2)), F.lit('" with '),
-        head, F.lit(" done."),
-        F.when(r.doc_id % 2 == 1, F.substring(r.text, 1, 20)).otherwise(F.lit("")))
+        c.ref_text, F.lit(" done."), F.when(r.doc_id % 2 == 1, tail).otherwise(F.lit("")))
     return r.join(c, "case_id").select(r.doc_id, r.case_id, response.alias("response"))
 
 
 def blank_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One blank template per case (default blank string and escape)."""
     c = cases_v(spark, sf_dir)
-    return c.select("case_id", F.concat(F.lit("Use [blank] with "), F.substring("ref_text", 1, 60),
-                                        F.lit(" done.")).alias("template"))
+    return c.select("case_id", F.concat(F.lit("Use [blank] with "), F.col("ref_text"), F.lit(" done.")).alias("template"))
 
 
 # ---------------------------------------------------------------------------
@@ -161,9 +170,9 @@ SQL_VIEWS = {
     "keyword_rules_v": "SELECT c.case_id, r.rule_no, split_part(c.ref_text, ' ', r.rule_no + 1) AS pattern, 1 + r.rule_no % 2 AS weight, r.rule_no = 3 AS neg, r.rule_no IN (1, 3) AS to_lower, r.rule_no = 2 AS cond_prev_match FROM cases_v c CROSS JOIN (VALUES (0), (1), (2), (3)) r(rule_no)",
     "outcomes_v": "SELECT r.case_id, r.sample_no, 0 AS test_no, 1 - l.quality AS return_code, l.toxic = 1 AS timed_out FROM responses_v r JOIN labels l ON l.doc_id = r.doc_id",
     "turns_v": "SELECT conv_id, turn, prompt, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE text END AS completion FROM (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt FROM conversations) t WHERE role = 'assistant'",
-    "fenced_v": "SELECT doc_id, case_id, sample_no, concat('intro', chr(10), repeat(chr(96),3), 'py', chr(10), substr(text,1,40), chr(10), repeat(chr(96),3), chr(10), 'mid', chr(10), repeat(chr(96),3), chr(10), substr(text,41,80), chr(10), 'x = ', doc_id % 7, chr(10), repeat(chr(96),3), CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), repeat(chr(96),3), chr(10), 'odd tail') ELSE '' END) AS txt FROM responses_v",
-    "braced_v": "SELECT doc_id, case_id, sample_no, concat('if (a) { ', substr(text,1,30), ' }', CASE WHEN doc_id % 2 = 0 THEN ' } rest { x }' ELSE ' tail' END) AS txt FROM responses_v",
-    "blank_v": "SELECT r.doc_id, concat('Use [blank] with ', substr(c.ref_text,1,60), ' done.') AS template, concat('Use ', chr(34), split_part(c.ref_text,' ',2), chr(34), ' with ', substr(c.ref_text,1,60), ' done.', CASE WHEN r.doc_id % 2 = 1 THEN substr(r.text,1,20) ELSE '' END) AS response FROM responses_v r JOIN cases_v c ON c.case_id = r.case_id",
+    "fenced_v": "SELECT doc_id, case_id, sample_no, concat('intro', chr(10), repeat(chr(96),3), 'py', chr(10), left(text, length(text) // 2), chr(10), repeat(chr(96),3), chr(10), 'mid', chr(10), repeat(chr(96),3), chr(10), substr(text, length(text) // 2 + 1), chr(10), 'x = ', doc_id % 7, chr(10), repeat(chr(96),3), CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), repeat(chr(96),3), chr(10), 'odd tail') ELSE '' END) AS txt FROM responses_v",
+    "braced_v": "SELECT doc_id, case_id, sample_no, concat('if (a) { ', text, ' }', CASE WHEN doc_id % 2 = 0 THEN ' } rest { x }' ELSE ' tail' END) AS txt FROM responses_v",
+    "blank_v": "SELECT r.doc_id, concat('Use [blank] with ', c.ref_text, ' done.') AS template, concat('Use ', chr(34), split_part(c.ref_text,' ',2), chr(34), ' with ', c.ref_text, ' done.', CASE WHEN r.doc_id % 2 = 1 THEN r.model ELSE '' END) AS response FROM responses_v r JOIN cases_v c ON c.case_id = r.case_id",
 }
 
 _DEPENDS = {

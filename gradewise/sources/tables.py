@@ -15,28 +15,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations")
 
 
-_SCHEMAS: dict[str, object] = {}
+# A scan of fewer tasks than this is a table of a few gigabytes at most.
+SPREAD_BELOW = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table of a data directory. The schema is inferred once per
-    path and then passed explicitly, so later reads skip footer inference
-    (files are still listed at every read)."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register the tables as temp views (for ``spark.sql`` users)."""
-    for name in names:
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(path):
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    """Parquet table of a data directory."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
@@ -45,11 +30,12 @@ def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     A small table stored as one parquet row group is read by one task, so
     tokenising or aligning its rows would use one core. When the scan has
     fewer partitions than ``min_tasks`` (default: twice the default
-    parallelism), rows are repartitioned round-robin (deterministic on
-    retry: Spark sorts before a round-robin repartition). Large inputs
-    already scan in many tasks and are returned unchanged -- no shuffle."""
+    parallelism, at most ``SPREAD_BELOW``), rows are repartitioned round-robin
+    (deterministic on retry: Spark sorts before a round-robin repartition).
+    Whatever the cluster's size, only tables of fewer than ``SPREAD_BELOW``
+    scan tasks are moved; all others are returned unchanged -- no shuffle."""
     try:
-        target = min_tasks or 2 * df.sparkSession.sparkContext.defaultParallelism
+        target = min(SPREAD_BELOW, min_tasks or 2 * df.sparkSession.sparkContext.defaultParallelism)
         n = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
         return df
