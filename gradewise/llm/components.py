@@ -13,8 +13,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     neighbours and then the label of that label, so paths shorten by halves;
     every round is a written table. No links give no rows."""
     both = common.written(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "cc-links")
+        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-links")
     labels = common.written(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")),
         "cc-labels")

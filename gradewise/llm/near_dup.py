@@ -14,7 +14,7 @@
    partner at all (an exact bound, not a cap).
 5. Buckets are searched by pivots, not by all pairs: members are ranked by the
    share of their shingles that occur elsewhere; in a round the next pivots (1,
-   then 4, 16, ...) meet the members behind them that are still in another
+   then 8, 64, ...) meet the members behind them that are still in another
    component and can reach the threshold by the shingles that they share with
    other components, each pair in the first band that it shares. Rounds end when every
    pair of a bucket was met or lies in one component: no link between
@@ -33,6 +33,7 @@ from gradewise.llm.words import blank_words, gram_hashes, lowered, mix, word_has
 
 SHINGLE = 5
 COORDINATES, ROWS = 128, 4
+FIRST_BANDS, WIDER = 4, 8
 BLOCK_SHINGLES = 400_000
 
 
@@ -189,18 +190,18 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = 75) -> tupl
     most = ranked.agg(F.max("last")).first()[0] or 0
     bands = common.written(classes.select("node", "bands").join(ranked.select("node").distinct(), "node"), "dup-bands")
     comps = common.written(bands.select("node", F.col("node").alias("comp")), "dup-comps")
-    # the first pivots meet band by band, so that what links early is not met again
-    count = COORDINATES // ROWS
-    rounds = [(0, 1, F.col("band").between(b, b + count // 4 - 1)) for b in range(0, count, count // 4)]
-    low, width = 1, 4
+    # the first pivots meet in a few bands first, so that what links there is not met again
+    few = F.col("band") < FIRST_BANDS
+    rounds, low, width = [(0, 1, few), (0, 1, ~few)], 1, WIDER
     while low < most:
         rounds.append((low, low + width, F.lit(True)))
-        low, width = low + width, width * 4
-    links = None
+        low, width = low + width, width * WIDER
+    links, reach = None, ranked.select("node", F.col("node").alias("comp"), "c").distinct()
     for low, high, some in rounds if most else []:
-        reach = common.written(_reach(sets, comps, percent), "dup-reach")
-        if reach.isEmpty():
-            break
+        if links is not None:
+            reach = common.written(_reach(sets, comps, percent), "dup-reach")
+            if low and reach.isEmpty():
+                break
         pairs = _pairs(ranked.where(some), reach, bands, low, high, percent)
         found = common.written(_verified(pairs, sets, percent), "dup-links")
         if not found.isEmpty():
