@@ -1,47 +1,213 @@
 """End-to-end grading of a run from files: suite -> cases -> responses ->
-per-metric scores -> clip/normalise -> sample reduction -> totals/report."""
+scores of all five grading kinds -> clip/normalise -> sample reduction ->
+totals, with a row for every case that cannot be graded."""
 
 from __future__ import annotations
 
-import os
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradewise.operators import blanks as bl
 from gradewise.operators import keywords as kw
+from gradewise.operators import outcomes as oc
 from gradewise.operators import reduce as rd
+from gradewise.operators import rouge as rg
 from gradewise.sources import readers
 
+KEYS = ("model", "case_id", "sample_no")
 
-def metric_scores(responses: DataFrame, cases: DataFrame) -> DataFrame:
-    """Long table model, case_id, sample_no, metric, score, tot (keywords).
-
-    responses: model, case_path, sample_no, text."""
-    c = cases.select("case_path", "case_id")
-    r = responses.join(c, "case_path")
-    nodes = readers.keyword_nodes(cases)
-    k = kw.keyword_tree_scores(r, nodes)
-    return k.select("model", "case_id", "sample_no", F.lit("keywords").alias("metric"), "score", "tot")
-
-
-def grade(spark: SparkSession, suite_path: str, case_paths, responses: DataFrame,
-          mode: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(case_scores, totals) for the responses of one or more models."""
-    suite, suite_cases = readers.read_suite(spark, suite_path)
-    cases, _errors = readers.read_cases(spark, case_paths)
-    # Suite entries are relative to the suite's folder; file sources carry
-    # full URIs, so key cases by the path below that folder.
-    base = re.escape(os.path.dirname(os.path.abspath(suite_path)).strip("/"))
-    cases = cases.withColumn("case_path", F.regexp_extract("case_path", base + "/(.*)$", 1))
-    sel = suite_cases.select("case_path", "case_no")
-    cases = cases.join(sel, "case_path", "left_semi")
+
+class Graded(NamedTuple):
+    """case_scores: model, case_id, now_score, now_std, ... of answered cases;
+    totals: one row per model; metric_scores: model, case_id, sample_no, metric,
+    score, tot, error; errors: case_path, case_id, stage, reason."""
+
+    case_scores: DataFrame
+    totals: DataFrame
+    metric_scores: DataFrame
+    errors: DataFrame
+
+
+def _metric(scores: DataFrame, name: str, error: Column | None = None) -> DataFrame:
+    return scores.select(*KEYS, F.lit(name).alias("metric"), F.col("score").cast("double").alias("score"),
+                         F.col("tot").cast("double").alias("tot"),
+                         (F.lit(None) if error is None else error).cast("string").alias("error"))
+
+
+def _similarity(r: DataFrame, cases: DataFrame, files: DataFrame | None) -> DataFrame:
+    rules = readers.similarity_rules(cases).where("error is null").withColumn(
+        "rule", F.concat_ws("#", "case_id", "rule_no"))
+    if files is not None:
+        rules = rules.join(files.select(F.col("path"), F.col("text").alias("__text")), "path", "left").withColumn(
+            "content", F.coalesce("content", "__text"))
+    lost = F.max(F.when(F.col("content").isNull(), F.lit("reference text not found")))
+    params = rules.groupBy("case_id", "rule", "rule_no", "metric", "min_score", "max_score", "weight").agg(lost.alias("lost"))
+    # a rule has references of its own, so a (response, rule) pair is the scored unit
+    unit = r.join(params.select("case_id", "rule", "metric"), "case_id").select(
+        F.struct(*KEYS).alias("unit"), F.col("rule").alias("case_id"), "metric", "text")
+    parts = []
+    for m in rg.DEFAULT_TYPES:
+        refs = rules.where((F.col("metric") == m) & F.col("content").isNotNull()).select(
+            F.col("rule").alias("case_id"), "ref_no", F.col("content").alias("text"))
+        parts.append(rg.rouge(unit.where(F.col("metric") == m), refs, (m,), key="unit"))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    best = rg.best_over_references(long, key="unit").select("unit", F.col("case_id").alias("rule"), "metric", "f1")
+    j = unit.select("unit", F.col("case_id").alias("rule")).join(params, "rule").join(best, ["unit", "rule", "metric"], "left")
+    low, high = rg.default_bounds(F.col("metric"))
+    norm = rg.normalised(F.coalesce("f1", F.lit(0.0)), F.coalesce("min_score", low), F.coalesce("max_score", high))
+    unknown = F.when(~F.col("metric").isin(*rg.DEFAULT_TYPES), F.concat(F.lit("unknown metric: "), "metric"))
+    scored = j.groupBy("unit").agg(F.sum(F.col("weight") * norm).alias("score"), F.sum("weight").alias("tot"),
+                                   F.max(F.coalesce(unknown, F.col("lost"))).alias("error")).select("unit.*", "score", "tot", "error")
+    return _metric(scored, "similarity", F.col("error"))
+
+
+def _unit_tests(r: DataFrame, cases: DataFrame, outcomes: DataFrame | None) -> DataFrame:
+    """Tests of each response with the sandbox's outcome; a test without one is
+    an error, a language without a runner too."""
+    rules = readers.test_rules(cases).where("error is null").join(
+        cases.select("case_id", F.col("lang").alias("case_lang")), "case_id")
+    tests = r.drop("text").join(rules.select(
+        "case_id", "test_no", "weight", oc.canonical_lang(F.coalesce("lang", "case_lang")).alias("lang")), "case_id")
+    if outcomes is None:
+        tests = tests.select("*", F.lit(None).cast("int").alias("return_code"), F.lit("").alias("stdout"),
+                             F.lit("").alias("stderr"), F.lit(False).alias("timed_out"))
+    else:
+        tests = tests.join(outcomes, [*KEYS, "test_no"], "left")
+    status = oc.exec_status(F.col("return_code"), F.col("stdout"), F.col("stderr"),
+                            F.coalesce("timed_out", F.lit(False)), F.col("lang"))
+    tests = tests.withColumn("status", status).withColumn("passed", oc.passed(F.col("status")))
+    error = F.max(F.when(F.col("lang").isNull(), F.lit("unsupported language"))
+                  .when(F.startswith("status", F.lit("error")), F.col("status")))
+    scored = oc.unit_test_scores(tests, KEYS).join(tests.groupBy(*KEYS).agg(error.alias("error")), list(KEYS))
+    return _metric(scored, "unit_test", F.col("error"))
+
+
+def _customized(r: DataFrame, cases: DataFrame, custom: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    j = r.join(readers.custom_rules(cases).where("error is null"), "case_id")
+    none = F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("tot"),
+                    F.lit(None).cast("string").alias("detail"))
+    result = none
+    for name, fn in custom.items():
+        result = F.when(F.col("func") == name, fn(F.col("text"))).otherwise(result)
+    j = j.withColumn("result", result).select(*KEYS, "result.*", F.when(
+        ~F.col("func").isin(*custom), F.concat(F.lit("unknown handler: "), "func")).alias("error"))
+    return _metric(j, "custom", F.col("error"))
+
+
+def metric_scores(responses: DataFrame, cases: DataFrame, outcomes: DataFrame | None = None,
+                  files: DataFrame | None = None, custom: dict | None = None) -> DataFrame:
+    """Long table model, case_id, sample_no, metric, score, tot, error over
+    all grading kinds of the cases.
+
+    responses: model, case_path, sample_no, text. outcomes (unit tests): model,
+    case_id, sample_no, test_no, return_code, stdout, stderr, timed_out. files
+    (references by path): path, text. custom: handler name -> Column function
+    of the text giving struct(score, tot, detail)."""
+    r = responses.join(cases.select("case_path", "case_id"), "case_path").select(*KEYS, "text")
+    keywords = kw.keyword_tree_scores(r, readers.keyword_nodes(cases))
+    blanks = bl.blank_scores(
+        r.select(F.struct(*KEYS).alias("unit"), "case_id", F.col("text").alias("response")),
+        readers.blank_templates(cases).where("error is null"), readers.blank_targets(cases).where("error is null"),
+        key="unit").select("unit.*", "score", "tot", "error")
+    out = _metric(keywords, "keywords", F.col("error")).unionByName(_metric(blanks, "blank_filling", F.col("error")))
+    out = out.unionByName(_similarity(r, cases, files)).unionByName(_unit_tests(r, cases, outcomes))
+    return out.unionByName(_customized(r, cases, custom)) if custom else out
+
+
+def spec_errors(cases: DataFrame, custom: dict | None = None) -> DataFrame:
+    """case_id, reason of cases whose grading spec cannot be used."""
+    parts = [read(cases).where(F.col("error").isNotNull()).select("case_id", F.col("error").alias("reason"))
+             for read in (readers.blank_templates, readers.blank_targets, readers.similarity_rules, readers.test_rules,
+                          readers.custom_rules)]
+    parts.append(cases.where(F.size("grading_keys") == 0).select("case_id", F.lit("no grading kind").alias("reason")))
+    if not custom:
+        parts.append(cases.where(F.array_contains("grading_keys", "customized")).select(
+            "case_id", F.lit("no handlers for customized grading").alias("reason")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def _below(path: str) -> str:
+    """The folder of a suite file, as files report it: scheme, host and all,
+    without its first slashes."""
+    return re.escape(re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "", path.rsplit("/", 1)[0] if "/" in path else "").strip("/"))
+
+
+def grade_suite(spark: SparkSession, suite_path: str, case_paths, responses: DataFrame, mode: str | None = None,
+                select: list[str] | None = None, **inputs) -> Graded:
+    """Grade the responses of one or more models against a suite.
+
+    Every suite entry counts as a case. A case that cannot be loaded, read or
+    graded is an error row; it adds neither score nor full score, as do all
+    samples of a (model, case) with an erroneous one. A case without responses
+    gives its own ``null_score``, or else the suite's. ``select``: case paths of
+    the suite to keep. ``inputs``: see ``metric_scores``."""
+    suite, entries = readers.read_suite(spark, suite_path)
+    if select:
+        entries = entries.where(F.col("case_path").isin(*select))
+    loaded, load_errors = readers.read_cases(spark, case_paths)
+    base = _below(suite_path)
+    # every grading kind reads the parsed cases; without the cache each would parse the files anew
+    loaded = loaded.cache()
+    below = F.regexp_extract("case_path", f"{base}/(.*)$" if base else "([^/]+(?:/[^/]+)?)$", 1)
+    loaded, load_errors = loaded.withColumn("case_path", below), load_errors.withColumn("case_path", below)
     s = suite.first()  # one row: the suite's settings
-    mode = mode or s.attempt_reduce_mode
-    full = F.coalesce(F.col("full_score"), F.lit(s.full_score_per_question))
-    cases = cases.withColumn("full_score", full)
-    ms = metric_scores(responses, cases)
-    per_sample = rd.combine_metrics(ms)
-    now = rd.clip_normalise(per_sample, cases)
-    case_scores = rd.reduce_samples(now, mode)
-    totals = rd.suite_totals(case_scores, cases, s.null_score_per_question)
-    return case_scores, totals
+    cases = (loaded.join(entries.select("case_path", "case_no", "case_weight"), "case_path")
+             .withColumn("full_score", F.coalesce("full_score", F.lit(s.full_score_per_question)))
+             .withColumn("null_score", F.coalesce("null_score", F.lit(s.null_score_per_question))))
+    custom = inputs.get("custom")
+    bad = spec_errors(cases, custom)
+    sound = cases.join(bad.select("case_id"), "case_id", "left_anti")
+    metrics = metric_scores(responses, sound, **inputs).cache()  # narrow rows, read for errors and for scores
+    failed = metrics.where(F.col("error").isNotNull()).select("model", "case_id", "error").distinct()
+    per_sample = rd.combine_metrics(metrics.join(failed.select("model", "case_id").distinct(), ["model", "case_id"], "left_anti"))
+    scores = rd.reduce_samples(rd.clip_normalise(per_sample, sound), mode or s.attempt_reduce_mode)
+    missing = entries.join(loaded.select("case_path"), "case_path", "left_anti").join(
+        load_errors, "case_path", "left").select(
+        "case_path", F.lit(None).cast("string").alias("case_id"), F.coalesce("stage", F.lit("load")).alias("stage"),
+        F.coalesce("reason", F.lit("case file not found")).alias("reason"))
+    paths = cases.select("case_path", "case_id")
+    errors = (missing.unionByName(paths.join(bad, "case_id").select("case_path", "case_id", F.lit("spec").alias("stage"), "reason"))
+              .unionByName(paths.join(failed, "case_id").select(
+                  "case_path", "case_id", F.lit("grade").alias("stage"), F.concat_ws(": ", "model", "error").alias("reason"))))
+    return Graded(scores, _totals(scores, failed, sound, entries, responses), metrics, errors)
+
+
+def _totals(scores: DataFrame, failed: DataFrame, cases: DataFrame, entries: DataFrame, responses: DataFrame) -> DataFrame:
+    """Totals per model. What all cases would give unanswered, less what the
+    answered ones would, is what the unanswered ones give: no grid of models
+    and cases is built."""
+    null_all = cases.select(F.coalesce(F.sum("null_score"), F.lit(0.0))).scalar()
+    full_all = cases.select(F.coalesce(F.sum("full_score"), F.lit(0.0))).scalar()
+    n_cases = entries.select(F.count("*")).scalar()
+    worth = cases.select("case_id", "full_score", "null_score")
+    lost = failed.select("model", "case_id").distinct().join(worth, "case_id").groupBy("model").agg(
+        F.sum("full_score").alias("lost_full"), F.sum("null_score").alias("lost_null"))
+    got = scores.join(worth.select("case_id", "null_score"), "case_id").groupBy("model").agg(
+        F.sum("now_score").alias("now"), F.sum("now_std").alias("std"), F.sum("null_score").alias("null_answered"))
+    answered = responses.join(entries.select("case_path"), "case_path", "left_semi").groupBy("model").agg(
+        F.count_distinct("case_path").alias("n_with_response"))
+    j = responses.select("model").distinct()
+    for part in (got, lost, answered):
+        j = j.join(part, "model", "left")
+
+    def or_0(c):
+        return F.coalesce(c, F.lit(0.0))
+    return j.select(
+        "model", (or_0("now") + null_all - or_0("null_answered") - or_0("lost_null")).alias("total_score"),
+        (full_all - or_0("lost_full")).alias("total_full"), or_0("std").alias("sum_of_case_std"),
+        n_cases.alias("n_cases"), F.coalesce("n_with_response", F.lit(0)).alias("n_with_response"))
+
+
+def grade(spark: SparkSession, suite_path: str, case_paths, responses: DataFrame, mode: str | None = None,
+          **inputs) -> tuple[DataFrame, DataFrame]:
+    """(case_scores, totals) of ``grade_suite``."""
+    g = grade_suite(spark, suite_path, case_paths, responses, mode, **inputs)
+    return g.case_scores, g.totals

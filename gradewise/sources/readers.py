@@ -239,6 +239,104 @@ def keyword_nodes(cases: DataFrame) -> DataFrame:
     return kw.where(F.col("kw").isNotNull()).mapInPandas(_flatten_rules, NODE_SCHEMA)
 
 
+def _specs(cases: DataFrame, kind: str) -> DataFrame:
+    """case_id and the JSON of one grading kind, where a case has it."""
+    spec = F.to_json(F.try_variant_get("grading", f"$.{kind}", "variant"))
+    return cases.select("case_id", spec.alias("spec")).where(F.col("spec").isNotNull())
+
+
+def _rows_of(fn, schema: str):
+    """``mapInPandas`` body: fn(spec) -> rows without the case id. A spec that
+    cannot be read becomes one row that holds the reason in ``error``."""
+    names = [c.split()[0] for c in schema.replace("array<struct<pattern string, is_regex boolean, cond string>>", "x").split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for case_id, js in zip(pdf["case_id"], pdf["spec"]):
+                try:
+                    out += [(case_id, *r, None) for r in fn(json.loads(js))]
+                except Exception as e:  # noqa: BLE001 - bad spec -> error row
+                    out.append((case_id, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=names).astype(object)
+    return run
+
+
+def _read_specs(cases: DataFrame, kind: str, fn, schema: str) -> DataFrame:
+    ship_package(cases.sparkSession)
+    return _specs(cases, kind).mapInPandas(_rows_of(fn, schema), schema)
+
+
+BLANK_TEMPLATE = "case_id string, template string, blank_str string, escape string, prefix string, error string"
+BLANK_TARGET = ("case_id string, target_no int, weight double, to_lower boolean, substr_match boolean, "
+                "alternatives array<struct<pattern string, is_regex boolean, cond string>>, error string")
+SIMILARITY_RULE = ("case_id string, rule_no int, metric string, min_score double, max_score double, weight double, "
+                   "ref_no int, content string, path string, error string")
+TEST_RULE = ("case_id string, test_no int, content string, path string, prefix string, prefix_path string, "
+             "cleanup_path string, weight double, timeout double, only_longest boolean, lang string, error string")
+CUSTOM_RULE = "case_id string, module string, func string, error string"
+
+
+def _template_rows(spec):
+    return [(spec["template"], spec.get("blank_str"), spec.get("escape"), spec.get("prefix"))]
+
+
+def _target_rows(spec):
+    for no, target in enumerate(spec["targets"]):
+        rule = target if isinstance(target, dict) else {"content": target}
+        content = rule["content"]
+        alts = [x if isinstance(x, dict) else {"content": x} for x in (content if isinstance(content, list) else [content])]
+        yield (no, float(rule.get("weight", 1.0)), bool(rule.get("to_lower", False)), bool(rule.get("substr_match", False)),
+               [(str(x["content"]), bool(x.get("regex", False)), x.get("cond")) for x in alts])
+
+
+def _similarity_rows(spec):
+    def number(x):
+        return None if x is None else float(x)
+    for no, rule in enumerate(spec):
+        for ref_no, ref in enumerate(rule["references"]):
+            text, path = (None, ref["path"]) if isinstance(ref, dict) else (str(ref), None)
+            yield (no, rule["metric"], number(rule.get("min_score")), number(rule.get("max_score")),
+                   float(rule.get("weight", 1.0)), ref_no, text, path)
+
+
+def _test_rows(spec):
+    for no, test in enumerate(spec["tests"]):
+        rule = test if isinstance(test, dict) else {"content": test}
+        timeout = rule.get("timeout")
+        yield (no, rule.get("content"), rule.get("path"), rule.get("prefix"), rule.get("prefix_path"), rule.get("cleanup_path"),
+               float(rule.get("weight", 1.0)), None if timeout is None else float(timeout),
+               bool(rule.get("only_longest", False)), spec.get("lang"))
+
+
+def _custom_rows(spec):
+    return [(spec["module"], spec["func"])]
+
+
+def blank_templates(cases: DataFrame) -> DataFrame:
+    """One blank template per case with ``blank_filling`` (BLANK_TEMPLATE)."""
+    return _read_specs(cases, "blank_filling", _template_rows, BLANK_TEMPLATE)
+
+
+def blank_targets(cases: DataFrame) -> DataFrame:
+    """The targets of those templates in order (BLANK_TARGET)."""
+    return _read_specs(cases, "blank_filling", _target_rows, BLANK_TARGET)
+
+
+def similarity_rules(cases: DataFrame) -> DataFrame:
+    """One row per similarity rule and reference, text inline or by path."""
+    return _read_specs(cases, "similarity", _similarity_rows, SIMILARITY_RULE)
+
+
+def test_rules(cases: DataFrame) -> DataFrame:
+    """One row per unit test (TEST_RULE); ``lang`` overrides the case's."""
+    return _read_specs(cases, "unit_test", _test_rows, TEST_RULE)
+
+
+def custom_rules(cases: DataFrame) -> DataFrame:
+    return _read_specs(cases, "customized", _custom_rows, CUSTOM_RULE)
+
+
 def unpack_batch_csv(rows: DataFrame) -> DataFrame:
     """Batch CSV rows -> per-sample responses: the sample index of a case is
     its arrival order among the rows of that case (``input_pos``), numbered

@@ -89,6 +89,62 @@ def test_suite_cases_manifest_and_grade(spark):
     assert (t.n_cases, t.n_with_response, t.total_score, t.total_full) == (2, 2, 2.0, 2.0)
 
 
+ALL_KINDS = {
+    "kw.yaml": 'id: kw\nlang: python\ngrading:\n  keywords:\n    - alpha\n    - content: {content: beta, cond: "context[-1].startswith(\'match\')"}\n',
+    "blank.yaml": 'id: blank\nlang: go\ngrading:\n  blank_filling:\n    template: "x = [blank];"\n    targets:\n'
+                  '      - content: ["41", {content: "4[0-9]", regex: true}]\n        weight: 2\n',
+    "sim.yaml": 'id: sim\nfull_score: 2.0\ngrading:\n  similarity:\n    - metric: rouge1\n      references: [{path: ref.txt}, other words]\n'
+                '    - metric: rougeL\n      references: [one two three four]\n      weight: 3\n',
+    "test.yaml": 'id: test\nlang: js\ngrading:\n  unit_test:\n    tests:\n      - "assert 1"\n      - {content: "assert 2", weight: 3}\n',
+    "mixed.yaml": 'id: mixed\nlang: python\ngrading:\n  keywords: [alpha]\n  unit_test:\n    tests: ["t"]\n',
+    "custom.yaml": 'id: custom\ngrading:\n  customized: {module: m, func: has_end}\n',
+    "quiet.yaml": 'id: quiet\nnull_score: 0.25\ngrading:\n  keywords: [x]\n',
+    "cond.yaml": 'id: cond\ngrading:\n  keywords:\n    - {content: {content: a, cond: "len(context) > 3"}}\n',
+    "badspec.yaml": 'id: badspec\ngrading:\n  blank_filling: {template: "a [blank]"}\n',
+    "broken.yaml": "id: [unclosed\n",
+}
+
+
+def test_all_kinds_end_to_end(spark):
+    from gradewise.plans.grading import grade_suite
+    d = tempfile.mkdtemp(prefix="gw-all-")
+    os.makedirs(f"{d}/cases")
+    for name, text in ALL_KINDS.items():
+        open(f"{d}/cases/{name}", "w").write(text)
+    names = [*ALL_KINDS, "absent.yaml"]
+    open(f"{d}/suite.yaml", "w").write("cases:\n" + "".join(f"  - cases/{n}\n" for n in names) + "null_score_per_question: 0.1\n")
+    answers = [("kw.yaml", 0, "alpha beta"), ("kw.yaml", 1, "beta"), ("blank.yaml", 0, "x = 42;"), ("sim.yaml", 0, "one two three four"),
+               ("test.yaml", 0, "code"), ("mixed.yaml", 0, "alpha"), ("custom.yaml", 0, "the end"), ("cond.yaml", 0, "a"),
+               ("badspec.yaml", 0, "a b"), ("broken.yaml", 0, "z")]
+    resp = spark.createDataFrame([("m", f"cases/{n}", i, t) for n, i, t in answers],
+                                 "model string, case_path string, sample_no int, text string")
+    runs = spark.createDataFrame([("m", "test", 0, 0, 0, "", "", False), ("m", "test", 0, 1, 1, "", "bad", False),
+                                  ("m", "mixed", 0, 0, None, "", "", False)],
+                                 "model string, case_id string, sample_no int, test_no int, return_code int, stdout string, "
+                                 "stderr string, timed_out boolean")
+    files = spark.createDataFrame([("ref.txt", "one two three four")], "path string, text string")
+
+    def has_end(text):
+        return F.struct(F.when(F.endswith(text, F.lit("end")), 1.0).otherwise(0.0).alias("score"), F.lit(2.0).alias("tot"),
+                        F.lit("").alias("detail"))
+
+    g = grade_suite(spark, f"file://{d}/suite.yaml", f"{d}/cases/*.yaml", resp, outcomes=runs, files=files,
+                    custom={"has_end": has_end})
+    got = {r.case_id: round(r.now_score, 6) for r in g.case_scores.collect()}
+    # keywords: samples 1 and 0 averaged; the mixed case fails for lack of a return code
+    assert got == {"kw": 0.5, "blank": 1.0, "sim": 2.0, "test": 0.25, "custom": 0.5}
+    t = g.totals.first()
+    # quiet gives its own null score; full scores: kw, blank, sim (2), test, custom, quiet
+    assert round(t.total_score, 6) == 4.25 + 0.25 and t.total_full == 7.0
+    assert (t.n_cases, t.n_with_response) == (11, 9)
+    errors = {(r.case_path.split("/")[-1], r.stage) for r in g.errors.collect()}
+    assert errors == {("broken.yaml", "load"), ("absent.yaml", "load"), ("badspec.yaml", "spec"), ("mixed.yaml", "grade"),
+                      ("cond.yaml", "grade")}
+    kinds = {(r.case_id, r.metric) for r in g.metric_scores.where("error is null").collect()}
+    assert kinds == {("kw", "keywords"), ("blank", "blank_filling"), ("sim", "similarity"), ("test", "unit_test"),
+                     ("mixed", "keywords"), ("custom", "custom")}
+
+
 def test_batch_csv_and_parquet(spark):
     d = tempfile.mkdtemp(prefix="gw-csv-")
     open(f"{d}/b.csv", "w").write('filename,completion\ncases/eval_a.yaml,"x, ""y"""\ncases/eval_a.yaml,\n')
