@@ -36,12 +36,6 @@ def regex_search(text, pattern) -> Column:
     return F.regexp_like(as_col(text), py_regex(pattern))
 
 
-def regex_fullmatch(text, pattern) -> Column:
-    """``re.fullmatch(pattern, text) is not None``."""
-    p = F.concat(F.lit("^(?:"), as_col(pattern), F.lit(r")\z"))
-    return F.regexp_like(as_col(text), py_regex(p))
-
-
 def rouge_tokens(text) -> Column:
     """Default ROUGE tokenizer: lower case, every run of characters other
     than a-z/0-9 is a separator, empty tokens dropped."""
@@ -55,11 +49,6 @@ def path_stem(path) -> Column:
     return F.split_part(base, F.lit("."), F.lit(1))
 
 
-def strip_chars(text, chars: str) -> Column:
-    """Python ``str.strip(chars)``: SQL TRIM with a character set."""
-    return F.btrim(as_col(text), F.lit(chars))
-
-
 def occurrences(text, literal: str) -> Column:
     """Non-overlapping count of a literal, like Python ``str.count``."""
     t = as_col(text)

@@ -32,13 +32,6 @@ def order_handler(text: Column, first: str, second: str) -> Column:
     return F.struct(score.alias("score"), F.lit(1.0).alias("tot"), detail.alias("detail"))
 
 
-def metric_label(metric: Column, real_metric_type: Column | None = None) -> Column:
-    """Report label of a metric: custom metrics may carry their real type."""
-    if real_metric_type is None:
-        return metric
-    return F.when(metric == "custom", F.coalesce(real_metric_type, F.lit("custom"))).otherwise(metric)
-
-
 def apply_post_handler(scores: DataFrame, handler: Callable[[Column, Column, Column], Column],
                        score: str = "score", tot: str = "tot", statuses: str = "statuses") -> DataFrame:
     """Replace (score, tot) by a post-handler's result computed from the

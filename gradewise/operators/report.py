@@ -22,11 +22,15 @@ def _mean_std(per_bucket: DataFrame, keys) -> DataFrame:
         F.count(F.lit(1)).alias("n_buckets"))
 
 
+# Key of cases whose language or type is not given.
+UNKNOWN = "unknown"
+
+
 def by_attribute(bucket_best: DataFrame, case_scores: DataFrame, cases: DataFrame,
                  attr: str) -> DataFrame:
     """Mean/std over buckets of the per-bucket sum, full score and frequency
-    per (model, attr)."""
-    attrs = cases.select("case_id", attr, "full_score")
+    per (model, attr); a case without the attribute counts as ``unknown``."""
+    attrs = cases.select("case_id", F.coalesce(attr, F.lit(UNKNOWN)).alias(attr), "full_score")
     b = bucket_best.join(attrs, "case_id")
     per_bucket = b.groupBy("model", attr, "bucket").agg(F.sum("best").alias("bucket_total"))
     stats = _mean_std(per_bucket, ["model", attr])
@@ -38,8 +42,10 @@ def by_attribute(bucket_best: DataFrame, case_scores: DataFrame, cases: DataFram
 def rollup(bucket_best: DataFrame, case_scores: DataFrame, cases: DataFrame) -> DataFrame:
     """Total, per-language and per-type sections in one GROUPING SETS pass.
 
-    Output: model, dimension ('total'|'lang'|'type'), key, mean, std, full, freq."""
-    attrs = cases.select("case_id", "lang", "qtype", "full_score")
+    Output: model, dimension ('total'|'lang'|'type'), key, mean, std, full, freq.
+    Cases without a language or type have the key ``unknown`` there."""
+    attrs = cases.select("case_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
+                         F.coalesce("qtype", F.lit(UNKNOWN)).alias("qtype"), "full_score")
 
     def label(df):
         dim = (F.when(F.grouping("lang") == 0, F.lit("lang"))

@@ -180,6 +180,18 @@ def _aligned_by_definition(t, r):
     return cell(n - 1, m - 1)[0], places[::-1]
 
 
+def test_missing_language_and_type(spark):
+    from gradewise.operators.report import by_attribute, rollup
+    best = spark.createDataFrame([("m", 1, 0, 0.5), ("m", 2, 0, 1.0)], "model string, case_id int, bucket long, best double")
+    scores = spark.createDataFrame([("m", 1), ("m", 2)], "model string, case_id int")
+    cases = spark.createDataFrame([(1, None, "code debugging", 1.0), (2, "go", None, 1.0)],
+                                  "case_id int, lang string, qtype string, full_score double")
+    got = {(r.dimension, r.key): r["mean"] for r in rollup(best, scores, cases).collect()}
+    assert got == {("total", "Overall"): 1.5, ("lang", "unknown"): 0.5, ("lang", "go"): 1.0,
+                   ("type", "code debugging"): 0.5, ("type", "unknown"): 1.0}
+    assert {r.lang for r in by_attribute(best, scores, cases, "lang").collect()} == {"unknown", "go"}
+
+
 def test_fill_handler(spark):
     from gradewise.operators.blanks import fill_handler
     main, subs = "navigator.clipboard.writeText", [".select()", 'document.execCommand("copy");']
