@@ -65,7 +65,7 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-ASK = "kind int, part int, block long, n_words long, grams binary, counts binary"
+ASK = "kind int, part int, block long, grams binary, counts binary"
 
 
 def _ask(parts: int):
@@ -80,12 +80,11 @@ def _ask(parts: int):
                 part = _part(grams, parts)
                 first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
                 for a, b in zip(first, [*first[1:], len(part)]):
-                    out.append((kind, int(part[a]), block, len(words) if not out else 0, _pack(grams[a:b]),
-                                counts[a:b].astype("<u4").tobytes()))
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            cols = zip(*out) if out else [()] * 6
+                    out.append((kind, int(part[a]), block, _pack(grams[a:b]), counts[a:b].astype("<u4").tobytes()))
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            cols = zip(*out) if out else [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                              ["kind", "part", "block", "n_words", "grams", "counts"])
+                                              ["kind", "part", "block", "grams", "counts"])
 
         for batch in batches:
             for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -99,6 +98,12 @@ def _ask(parts: int):
     return run
 
 
+def _count_words(batches):
+    import pyarrow as pa
+    n = sum(len(word_hashes(folded(t.as_py()))) for batch in batches for t in batch.column(0))
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+
 def _answer(key, pdf):
     """One partition of a count table: totals of every n-gram, given back to
     each block in the order it asked."""
@@ -186,9 +191,10 @@ def score_documents(docs: DataFrame, block_bits: int = BLOCK_BITS, part_bytes: i
         "block", F.shiftright("row_id", block_bits))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    asked = common.written(rows.select("block", "text").mapInArrow(_ask(parts), ASK), "lm-asked")
-    words = asked.agg(F.sum("n_words")).first()[0] or 0
-    answers = asked.drop("n_words").groupBy("kind", "part").applyInPandas(
+    # counted apart: writing the questions down to read them twice would double their disk
+    words = docs.select("text").mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
+    asked = rows.select("block", "text").mapInArrow(_ask(parts), ASK)
+    answers = asked.groupBy("kind", "part").applyInPandas(
         _answer, "block long, kind int, part int, totals binary")
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(words), OUT)
     return scored.select(
