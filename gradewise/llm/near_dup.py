@@ -1,7 +1,8 @@
 """Near-duplicate documents by word shingles.
 
-1. Documents with the same word sequence form one class; everything after
-   works on classes, so exact copies, however many, cost one class.
+1. Documents with the same word sequence, or with the same single shingle (one
+   word repeated), form one class; everything after works on classes, so exact
+   copies, however many, cost one class.
 2. Fast similarity sketching: in round i every shingle is hashed to a bin and a
    value, the bin keeps its least i + value; after T rounds, round T + j hashes
    everything into bin j, so that every coordinate fills. Coordinates agree with
@@ -77,8 +78,8 @@ SKETCHED = "doc_id long, tkey long, cls binary, n long, bands array<long>"
 
 def _sketch_batches(batches):
     """One row per document: class key of its word sequence (null without
-    words), shingle count and bands. A single shingle can only equal another
-    single shingle, which is then the same class: no bands."""
+    words), shingle count and bands. A set of one shingle belongs to its first
+    words: one word repeated any number of times is one class."""
     import pyarrow as pa
     import xxhash
     for batch in batches:
@@ -89,11 +90,12 @@ def _sketch_batches(batches):
             while at < batch.num_rows and total < BLOCK_SHINGLES:
                 text = texts[at].as_py()
                 words = blank_words(text)
-                cls.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sets.append(shingles(text))
+                own = words[:SHINGLE] if len(sets[-1]) == 1 else words
+                cls.append(xxhash.xxh3_128_digest(b" ".join(own)) if words else None)
                 total += len(sets[-1])
                 at += 1
-            some = [i for i, s in enumerate(sets) if len(s) > 1]
+            some = [i for i, s in enumerate(sets) if len(s)]
             bands = [None] * len(sets)
             if some:
                 for i, b in zip(some, band_values(sketches([sets[i] for i in some]))):

@@ -89,6 +89,14 @@ def test_repeated_rows_and_null_ids(spark):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_one_word_repeated(spark):
+    texts = ["a " * n for n in (1, 4, 5, 7, 12, 300)] + ["A a\tA a a a", "0 " * 9, "0 " * 6, "a a a a b", "a a a a a b", "b a a a a a"]
+    rows = [(i, t, 0, "", 0) for i, t in enumerate(texts, 3)]
+    got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    assert {r.component_id for r in got if r.doc_id in (5, 6, 7, 8, 9)} == {5}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for size in (2, 20, 200, 3000):
