@@ -46,34 +46,39 @@ def _tables():
     return byte, power, inverse, blank
 
 
-def _segments(raw: bytes):
-    """Parts of bounded size, cut at white space. A word longer than a part is
-    cut too, into words of its own: only texts with half a megabyte between
-    blanks are concerned, and they stay deterministic."""
-    while len(raw) > _SEGMENT:
-        cut = max(raw.rfind(c, 0, _SEGMENT) for c in (b" ", b"\n", b"\t")) + 1 or _SEGMENT
-        yield raw[:cut]
-        raw = raw[cut:]
-    yield raw
-
-
 def word_hashes(raw: bytes):
     """64-bit hashes, in order, of the words between ASCII white space
     (uint64 array): random values of a word's bytes, each times a power by its
-    place in the word, summed over running sums, and mixed."""
+    place in the word, summed over running sums, and mixed. The bytes go through
+    in segments of bounded size; a word that a segment's end cuts keeps its sum
+    and the power of its next place for the segments behind."""
     import numpy as np
     byte, power, inverse, blank = _tables()
-    parts = []
-    for part in _segments(raw):
-        codes = np.frombuffer(part, np.uint8)
+    every = np.frombuffer(raw, np.uint8)
+    parts, held, scale = [], 0, 0  # scale 0: no word is open
+    for at in range(0, len(every), _SEGMENT):
+        codes = every[at:at + _SEGMENT]
         inside = np.zeros(len(codes) + 2, bool)
         np.logical_not(blank[codes], out=inside[1:-1])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = edge[::2], edge[1::2]
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(byte[codes] * power[:len(codes)], out=sums[1:])
-        parts.append(mix((sums[end] - sums[start]) * inverse[start]))
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        own = (sums[end] - sums[start]) * inverse[start]
+        if scale:
+            if inside[1]:
+                own[0] = (held + scale * int(own[0])) % (1 << 64)
+            else:
+                own = np.append(np.uint64(held), own)
+        length = int(end[-1] - start[-1]) if len(end) else 0
+        before, scale = scale, 0
+        if inside[-2] and at + _SEGMENT < len(every):
+            held, own = int(own[-1]), own[:-1]
+            scale = (before if before and length == len(codes) else 1) * pow(_STEP, length, 1 << 64) % (1 << 64)
+        parts.append(own)
+    if not parts:
+        return np.zeros(0, np.uint64)
+    return mix(parts[0] if len(parts) == 1 else np.concatenate(parts))
 
 
 def mix(x):
