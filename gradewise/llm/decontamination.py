@@ -9,7 +9,13 @@ grouped by (document, item, diagonal). Inside a group every slot of the item
 must be filled alike wherever its value occurs (the same number of the item is
 always the same number of the document); groups that fail are no copies of the
 question with new parameters. A document is contaminated by an item when the
-windows of its consistent groups cover enough of the item.
+windows of its consistent groups cover enough of the item: ``contaminated``.
+
+``leaked``, which the query and the pipeline use, adds to this template rule
+what is copied word for word. Windows of few literal words match on their raw
+tokens; windows without a changed slot count whatever the other slots of the
+group are; changed slots need to be filled alike among themselves only; and a
+run of ``RUN`` tokens is enough whatever share of the item it is.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from gradewise.llm import common
 WINDOW = 8
 MIN_LITERALS = 4      # words that are no placeholders, for a window to count
 MIN_COVER = 0.3
+RUN = 13              # tokens in a row that are a copy whatever their share
 BROADCAST_WINDOWS = 500_000
 
 # Tokens, sentence marks and units.
@@ -122,15 +129,111 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
             .select("row_id", "doc_id", "tkey", "item_id", "windows", "item_windows", "cover", "first_token", "new_slots"))
 
 
+def _keyed(rows: DataFrame, size, min_literals: int) -> DataFrame:
+    """``rows`` (raw, canon, low, flags, pos) with the window's key ``h`` and
+    ``few``: windows of few literals are keyed by their raw tokens."""
+    def cut(c):
+        return F.slice(c, F.col("pos") + 1, size)
+
+    few = F.length(F.array_join(cut("flags"), "")) < min_literals
+    return rows.withColumn("few", few).withColumn(
+        "h", F.when(F.col("few"), F.xxhash64(cut("low"))).otherwise(F.xxhash64(cut("canon"))))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """``tokens`` plus lower-cased raw tokens and a mark for each literal."""
+    return tokens(rows).withColumn("low", F.transform("raw", F.lower)).withColumn(
+        "flags", F.transform("canon", lambda w: F.when(w.startswith("<"), "").otherwise("1")))
+
+
+def _placed(rows: DataFrame, size) -> DataFrame:
+    last = F.size("canon") - size
+    return rows.withColumn("pos", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
+        F.array().cast("array<int>"))))
+
+
+def leaked(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_cover: float = MIN_COVER,
+           min_literals: int = MIN_LITERALS, run: int = RUN) -> DataFrame:
+    """The columns of ``contaminated`` by its rule and those for verbatim
+    copies (see the module). ``windows`` and ``item_windows`` count all windows
+    of the item; an item counts as found by its share of them, by its share of
+    those with ``min_literals``, or by a run. Rows as in ``contaminated``."""
+    spark = docs.sparkSession
+    own = _marked(benchmark.where("text is not null").select("item_id", "text")).where(F.size("canon") > 0)
+    own = own.withColumn("len", F.least(F.size("canon"), F.lit(size)))
+    length = F.col("len")
+    items = common.written(
+        _keyed(_placed(own, length), length, min_literals).select(
+            "item_id", F.col("pos").alias("item_pos"), "len", "h", F.col("few").alias("item_few"),
+            F.slice("canon", F.col("pos") + 1, length).alias("item_canon"),
+            F.slice("low", F.col("pos") + 1, length).alias("item_low")).distinct(), "leak-windows")
+    sizes = [(r.len, r.n) for r in items.groupBy("len").agg(F.count("*").alias("n")).collect()]
+    if not sizes:
+        return spark.createDataFrame(
+            [], "row_id long, doc_id long, tkey long, item_id long, windows int, item_windows long, cover double, "
+                "first_token int, new_slots long")
+    literal = F.countDistinct(F.when(~F.col("item_few"), F.col("item_pos")))
+    per_item = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), literal.alias("item_literal"))
+    small = sum(n for _, n in sizes) <= BROADCAST_WINDOWS
+    rows = _marked(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
+                   .withColumn("row_id", F.monotonically_increasing_id())).drop("text", "raw")
+    met = None
+    for n, _ in sizes:  # at most ``size`` different lengths
+        mine = items.where(F.col("len") == n)
+        mine = F.broadcast(mine) if small else mine
+        at = _keyed(_placed(rows, n), n, min_literals).select(
+            "row_id", "doc_id", "tkey", "pos", "h", F.slice("canon", F.col("pos") + 1, n).alias("canon"),
+            F.slice("low", F.col("pos") + 1, n).alias("low"))
+        got = at.join(mine, "h").where((F.col("canon") == F.col("item_canon")) & (~F.col("item_few") | (F.col("low") == F.col("item_low"))))
+        met = got if met is None else met.unionByName(got)
+    slots = F.filter(F.arrays_zip("item_canon", "item_low", "low"),
+                     lambda s: s["item_canon"].startswith("<") & (s["item_low"] != s["low"]))
+    changed = F.transform(slots, lambda s: F.struct(s["item_canon"].alias("kind"), s["item_low"].alias("was"), s["low"].alias("now")))
+    # a group has a window for each place of the item at most
+    groups = (met.withColumn("changed", changed)
+              .groupBy("row_id", "doc_id", "tkey", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+              .agg(F.collect_set(F.struct("item_pos", "item_few", "len", (F.size("changed") == 0).alias("same"))).alias("met"),
+                   F.array_distinct(F.flatten(F.collect_set("changed"))).alias("slots")))
+    filled = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"])))
+    groups = groups.withColumn("alike", F.size(filled) == F.size("slots"))
+    groups = groups.withColumn("met", F.array_sort(F.filter("met", lambda w: F.col("alike") | w["same"]))).where(F.size("met") > 0)
+    # places less their number are equal in a run; its tokens are its windows and the rest of the last one
+    places = F.transform("met", lambda w: w["item_pos"])
+    starts = F.transform(places, lambda p, i: p - i)
+    longest = F.array_max(F.transform(F.array_distinct(starts), lambda a: F.size(F.filter(starts, lambda b: a == b))))
+    found = (groups.select("row_id", "doc_id", "tkey", "item_id", places.alias("places"),
+                           F.transform(F.filter("met", lambda w: ~w["item_few"]), lambda w: w["item_pos"]).alias("literal"),
+                           (F.element_at("met", 1)["item_pos"] + F.col("diagonal")).alias("first_token"),
+                           F.when(F.col("alike"), F.size("slots")).otherwise(0).alias("new_slots"),
+                           (longest + F.element_at("met", 1)["len"] - 1).alias("run"))
+             .groupBy("row_id", "doc_id", "tkey", "item_id")
+             .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("windows"),
+                  F.size(F.array_distinct(F.flatten(F.collect_set("literal")))).alias("literal"),
+                  F.min("first_token").alias("first_token"), F.sum("new_slots").alias("new_slots"), F.max("run").alias("run")))
+    return (found.join(per_item, "item_id").withColumn("cover", F.col("windows") / F.col("item_windows"))
+            .where((F.col("cover") >= min_cover) | (F.col("run") >= run)
+                   | F.coalesce(F.try_divide("literal", "item_literal") >= min_cover, F.lit(False)))
+            .select("row_id", "doc_id", "tkey", "item_id", "windows", "item_windows", "cover", "first_token", "new_slots"))
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents that contain a benchmark item, whole or
+    in part, verbatim or with other parameters."""
+    return _without(docs, leaked(docs, benchmark, **options))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item."""
-    bad = contaminated(docs, benchmark, **options).select(
-        F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
+    """``docs`` without the documents that the template rule alone finds."""
+    return _without(docs, contaminated(docs, benchmark, **options))
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    bad = found.select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__key"]), "left_anti")
 
 
 def op6_template_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = contaminated(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
+    found = leaked(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), "item_windows",
                         F.round("cover", 6).alias("cover"), F.col("first_token").cast("long").alias("first_token"),
                         F.col("new_slots").cast("long").alias("new_slots"))

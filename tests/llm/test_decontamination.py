@@ -109,3 +109,70 @@ def test_shuffle_path_agrees(spark, monkeypatch):
     both = found(spark, docs, ITEMS)
     monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
     assert found(spark, docs, ITEMS) == both and len(both) == 8
+
+
+def plain_leaks(docs, items):
+    out = []
+    for item in {i[0] for i in items if i[1]}:
+        raw, canon = plain_tokens(next(i[1] for i in items if i[0] == item))
+        low, n = [r.lower() for r in raw], min(dc.WINDOW, len(raw))
+        if not n:
+            continue
+        many = [sum(not c.startswith("<") for c in canon[p:p + n]) >= dc.MIN_LITERALS for p in range(len(raw) - n + 1)]
+        for doc, text, *_ in docs:
+            d_raw, d_canon = plain_tokens(text)
+            d_low = [r.lower() for r in d_raw]
+            good, new, first, run = set(), 0, [], 0
+            for diagonal in range(-len(raw), len(d_raw)):
+                met, slots = {}, set()
+                for p in range(len(many)):
+                    q = p + diagonal
+                    if q < 0 or d_canon[q:q + n] != canon[p:p + n] or not (many[p] or d_low[q:q + n] == low[p:p + n]):
+                        continue
+                    now = {(c, a, b) for c, a, b in zip(canon[p:p + n], low[p:p + n], d_low[q:q + n]) if a != b}
+                    met[p] = not now
+                    slots |= now
+                if len({s[:2] for s in slots}) == len(slots):
+                    new += len(slots)
+                else:
+                    met = {p: same for p, same in met.items() if same}
+                for p in met:
+                    first.append(p + diagonal)
+                    length = next(k for k in range(1, len(many) + 1) if p + k not in met)
+                    run = max(run, length + n - 1)
+                good |= set(met)
+            literal = sum(many) and sum(many[p] for p in good) / sum(many)
+            if good and (len(good) / len(many) >= dc.MIN_COVER or literal >= dc.MIN_COVER or run >= dc.RUN):
+                out.append((doc, item, len(good), len(many), round(len(good) / len(many), 6), min(first), new))
+    return sorted(out, key=str)
+
+
+def test_verbatim_copies(spark):
+    a, b = ITEMS[0][1], ITEMS[1][1]
+    long = " ".join(f"{w}{i}x" for i, w in enumerate(["term"] * 59)).translate(str.maketrans("0123456789", "abcdefghij"))
+    twice = ("Yesterday Anna gave 3 books to her teacher before the school closed its old doors and 3 friends of Anna "
+             "were waiting outside with her younger brother for a ride home")
+    items = ITEMS + [(7, "What is 3 + 4?", 0), (8, long, 0), (9, twice, 0)]
+    words = long.split()
+    docs = [(i, t, 0, "x", 1) for i, t in enumerate([
+        a, b, "12 13 14 15 16 17 18 19 20", "see 12 13 14 15 16 17 18 19 20 21", "12 13 14 15 99 17 18 19 20", "he asked: what is 3 + 4?", "what is 3 + 5?",
+        "so " + " ".join(words[20:33]) + " so", "so " + " ".join(words[20:32]) + " so", " ".join(words[30:52]),
+        twice.replace("gave 3", "gave 7"), twice.replace("of Anna", "of Berta"), twice.replace("3", "8"),
+        twice.replace("gave 3", "gave 7").replace("and 3", "and 9"), a.replace("Anna pay", "Berta pay"), None, "", a[:60] + " " + a])]
+    docs += [docs[2], (None, "so " + b, 0, "x", 1)]
+    rnd = random.Random(8)
+    for i in range(20):
+        mixed = (a + " " + twice).split()
+        for _ in range(rnd.randrange(12)):
+            mixed[rnd.randrange(len(mixed))] = rnd.choice(["Clara", "8", "km", "word", "."])
+        docs.append((100 + i, " ".join(mixed), 0, "x", 1))
+    d, b_ = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
+    got = sorted(((r.doc_id, r.item_id, r.windows, r.item_windows, round(r.cover, 6), r.first_token, r.new_slots)
+                  for r in dc.leaked(d, b_).collect()), key=str)
+    assert got == plain_leaks(docs, items)
+    hit = {(r[0], r[1]) for r in got}
+    assert {(2, 6), (3, 6), (5, 7), (7, 8), (9, 8), (10, 9), (11, 9), (12, 9), (13, 9), (14, 1)} <= hit
+    assert not {(4, 6), (6, 7), (8, 8)} & hit
+    assert {r.doc_id for r in dc.drop_leaked(d, b_).collect()} == {x[0] for x in docs} - {r[0] for r in got}
+    assert {r[:2] for r in found(spark, docs, items)} <= hit  # nothing of the template rule is lost
+    assert dc.leaked(d, spark.createDataFrame([], ITEM)).isEmpty() and dc.leaked(d.limit(0), b_).isEmpty()
