@@ -89,6 +89,54 @@ def fill_post_handler(spark, sf):
     return f.select("doc_id", rnd(score).alias("score"), rnd(tot).alias("tot"))
 
 
+# The same queries on whole response texts, every id; tests/test_goldens.py
+# holds them against the cell rules on a small table.
+def _text_fills(spark, sf):
+    return bl.fills(fx.blank_texts(spark, sf), fx.blank_templates(spark, sf))
+
+
+def _text_scores(spark, sf, pattern, **kw):
+    return bl.blank_scores(fx.blank_texts(spark, sf), fx.blank_templates(spark, sf), _targets(spark, sf, pattern, **kw))
+
+
+@query("blank_align_lcs_text")
+def blank_align_lcs_text(spark, sf):
+    f = _text_fills(spark, sf)
+    return f.select("doc_id", big("matched_len").alias("matched_len"), big("n_blank").alias("n_blank"),
+                    F.element_at("fills", 1).alias("fill"))
+
+
+@query("blank_rate_gate_text")
+def blank_rate_gate_text(spark, sf):
+    f = _text_fills(spark, sf)
+    return f.select("doc_id", rnd("rate").alias("rate"), (F.col("rate") >= bl.RATE_GATE).alias("follows_template"))
+
+
+@query("blank_match_exact_text")
+def blank_match_exact_text(spark, sf):
+    s = _text_scores(spark, sf, _w2())
+    return s.select("doc_id", F.element_at("fills", 1).alias("fill"), F.element_at("matched", 1).alias("matched"))
+
+
+@query("blank_match_regex_text")
+def blank_match_regex_text(spark, sf):
+    rx = F.concat(F.lower(F.substring(F.regexp_replace(_w2(), "[^A-Za-z]", ""), 1, 2)), F.lit('[^"]*'))
+    s = _text_scores(spark, sf, rx, is_regex=True, to_lower=True)
+    return s.select("doc_id", F.element_at("matched", 1).alias("matched"))
+
+
+@query("blank_score_text")
+def blank_score_text(spark, sf):
+    s = _text_scores(spark, sf, _w2(), weight=2.0)
+    return s.select("doc_id", "case_id", rnd("score").alias("score"), rnd("tot").alias("tot"))
+
+
+@query("fill_post_handler_text")
+def fill_post_handler_text(spark, sf):
+    score, tot = bl.fill_handler(F.element_at("fills", 1), "e", ["a", "n"])
+    return _text_fills(spark, sf).select("doc_id", rnd(score).alias("score"), rnd(tot).alias("tot"))
+
+
 @query("custom_order_handler", fx.with_views("responses_v") +
        "SELECT doc_id, CASE WHEN contains(text, 'th') AND contains(text, ', ') AND strpos(text, 'th') < strpos(text, ', ') "
        "THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS score, CAST(1.0 AS DOUBLE) AS tot, CASE WHEN NOT (contains(text, 'th') AND contains(text, ', ')) "

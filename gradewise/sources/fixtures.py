@@ -155,6 +155,17 @@ def blank_responses(spark: SparkSession, sf_dir: str, whole_text: bool = False)
     return r.join(c, "case_id").select(r.doc_id, r.case_id, response.alias("response"))
 
 
+def blank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``blank_responses`` with the whole response text behind the end, for
+    every id. No SQL: it is beyond what the oracle can align."""
+    r = responses_base(spark, sf_dir)
+    c = cases_v(spark, sf_dir)
+    response = F.concat(
+        F.lit('Use "'), F.split_part(c.ref_text, F.lit(" "), F.lit(2)), F.lit('" with '),
+        c.ref_text, F.lit(" done.\n"), F.coalesce(r.text, F.lit("")))
+    return r.join(c, "case_id").select(r.doc_id, r.case_id, response.alias("response"))
+
+
 def blank_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One blank template per case (default blank string and escape)."""
     c = cases_v(spark, sf_dir)

@@ -300,6 +300,40 @@ def test_whole_text_alignment_query(spark, tmp_path):
         assert got[d.doc_id] == (matched, response[at[3] + 1:max(at[11], at[3] + 1)].strip(" '\"`"))
 
 
+def test_whole_text_blank_queries(spark, tmp_path):
+    """Alignment, gate, matches, score and post-handler over the whole text of
+    every id, against the cell rules."""
+    import re
+    from gradewise.plans.catalog import QUERIES
+    words = ["Use", "with", "done.", "alpha", "beta", "[", "an x"]
+    spark.createDataFrame([(i, " ".join(words[(i * 3 + k) % 7] for k in range(12))) for i in range(3)],
+                          "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, None if i == 10 else " ".join(words[(i + k * k) % 7] for k in range(i % 9)), "en", f"src{i}", 1)
+                           for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    refs = {r.item_id: r.text for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()}
+    want = {n: {} for n in ("blank_align_lcs_text", "blank_rate_gate_text", "blank_match_exact_text", "blank_match_regex_text",
+                            "blank_score_text", "fill_post_handler_text")}
+    for d in spark.read.parquet(f"{tmp_path}/documents.parquet").collect():
+        ref = refs[d.doc_id % 3]
+        word, template = ref.split(" ")[1], f"Use [blank] with {ref} done."
+        response = f'Use "{word}" with {ref} done.\n{d.text or ""}'
+        matched, at = _aligned_by_definition(template, response)
+        fill = response[at[3] + 1:max(at[11], at[3] + 1)].strip(" '\"`")
+        rate = matched / (len(template) - len("[blank]"))
+        good = rate >= 0.8
+        rx = re.sub("[^A-Za-z]", "", word)[:2].lower() + '[^"]*'
+        points = min(2.0 * ("e" in fill) + ("a" in fill and "n" in fill), 2.0)
+        row = [(matched, 1, fill), (round(rate, 6), good), (fill, good and fill == word),
+               (good and re.fullmatch(rx, fill.lower()) is not None,),
+               (d.doc_id % 3, 2.0 * (good and fill == word), 2.0), (points, 2.0)]
+        for name, value in zip(want, row):
+            want[name][d.doc_id] = value
+    for name, rows in want.items():
+        assert {r[0]: tuple(r)[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()} == rows, name
+    assert len({v[0] for v in want["blank_align_lcs_text"].values()}) > 1
+
+
 def test_blank_scores_details(spark):
     from gradewise.operators.blanks import blank_scores
     tpl = spark.createDataFrame([(0, "x = [blank];")], "case_id int, template string")
