@@ -91,12 +91,13 @@ def pivot_models(report: DataFrame, models, value: str = "mean") -> DataFrame:
 
 
 def best_sample(sample_scores: DataFrame, k: int, score: str = "score",
-                keys=("model", "case_id")) -> DataFrame:
+                keys=("model", "case_id"), negatives: bool = False) -> DataFrame:
     """Best sample per bucket by raw score; the last sample wins ties and
-    negative scores never win (the best starts at 0)."""
+    negative scores never win (the best starts at 0), unless ``negatives``:
+    then every bucket has its true maximum."""
     b = F.floor(F.col("sample_no") / F.lit(k)).cast("long")
     best = F.max(F.struct(F.col(score).alias("s"), F.col("sample_no").alias("n")))
-    return (sample_scores.where(F.col(score) >= 0)
+    return (sample_scores.where(F.lit(True) if negatives else F.col(score) >= 0)
             .groupBy(*keys, b.alias("bucket")).agg(best.alias("b"))
             .select(*keys, "bucket", F.col("b.n").alias("best_sample_no"),
                     F.col("b.s").alias("best_score")))
@@ -133,9 +134,10 @@ def to_text(rows, models, csv: bool = False) -> str:
     return "\n".join([rule, out[0], rule] + out[1:] + [rule])
 
 
-def by_metric(metric_scores: DataFrame, cases: DataFrame, k: int) -> DataFrame:
+def by_metric(metric_scores: DataFrame, cases: DataFrame, k: int, negatives: bool = False) -> DataFrame:
     """Per-metric section: for every bucket the best sample by raw total
-    (last wins ties, negatives never win) contributes its metric scores,
+    (last wins ties; negatives win only with ``negatives``, without it a case
+    whose last bucket has no other drops out) contributes its metric scores,
     rescaled by full_score / case total, where the case total is the metric
     total of the best sample of the case's last bucket (or max_score). The
     metric's full score is that last best sample's metric total, rescaled;
@@ -146,7 +148,7 @@ def by_metric(metric_scores: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     Output: model, metric, mean, std, n_buckets, full_total, freq."""
     keys = ["model", "case_id"]
     raw = metric_scores.groupBy(*keys, "sample_no").agg(F.sum("score").alias("raw"))
-    best = best_sample(raw, k, "raw", keys)
+    best = best_sample(raw, k, "raw", keys, negatives)
     last = raw.groupBy(*keys).agg(F.max(F.floor(F.col("sample_no") / F.lit(k)).cast("long")).alias("last_bucket"))
     bm = metric_scores.join(best.withColumnRenamed("best_sample_no", "sample_no"), keys + ["sample_no"])
     c = cases.select("case_id", "full_score", "max_score")

@@ -293,6 +293,18 @@ def report_by_metric(spark, sf):
                     big("n_buckets").alias("n_buckets"), rnd("full_total").alias("full_total"), big("freq").alias("freq"))
 
 
+@query("report_by_metric_max", cm.sql_with("kw_scores", "case_params", views=("responses_v", "keyword_rules_v", "cases_v"), extra={
+    **_METRIC_CTES,
+    "best": f"SELECT model, case_id, CAST(floor(sample_no / {cm.K}) AS BIGINT) AS bucket, arg_max(sample_no, (raw, sample_no)) AS sample_no FROM raw GROUP BY ALL"}) +
+       "SELECT s.model, s.metric, round(mean, 6) AS mean, round(std, 6) AS std, CAST(n_buckets AS BIGINT) AS n_buckets, "
+       "round(full_total, 6) AS full_total, CAST(freq AS BIGINT) AS freq FROM stm s JOIN fum f ON f.model = s.model AND f.metric = s.metric")
+def report_by_metric_max(spark, sf):
+    """``report_by_metric`` with the true maximum of every bucket (T10)."""
+    r = rp.by_metric(_metric_scores(spark, sf), cm.case_params(spark, sf), cm.K, negatives=True)
+    return r.select("model", "metric", rnd("mean").alias("mean"), rnd("std").alias("std"),
+                    big("n_buckets").alias("n_buckets"), rnd("full_total").alias("full_total"), big("freq").alias("freq"))
+
+
 def _tree_nodes(spark, sf):
     """Node table of one rule per case: or(and(w0, w1), regex(w2)), weight 2,
     post-ordered (leaves 0, 1 -> and 2; regex leaf 3; root or 4)."""

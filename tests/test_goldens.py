@@ -300,6 +300,17 @@ def test_whole_text_alignment_query(spark, tmp_path):
         assert got[d.doc_id] == (matched, response[at[3] + 1:max(at[11], at[3] + 1)].strip(" '\"`"))
 
 
+def test_by_metric_negative_last_bucket(spark):
+    from gradewise.operators.report import by_metric
+    scores = spark.createDataFrame([("m", "a", 0, "kw", 2.0, 4.0), ("m", "a", 1, "kw", 1.0, 4.0),
+                                    ("m", "a", 2, "kw", -3.0, 4.0), ("m", "a", 3, "kw", -1.0, 4.0)],
+                                   "model string, case_id string, sample_no int, metric string, score double, tot double")
+    cases = spark.createDataFrame([("a", 1.0, None)], "case_id string, full_score double, max_score double")
+    r = by_metric(scores, cases, 2, negatives=True).collect()
+    assert [(x.mean, x.n_buckets, x.full_total, x.freq) for x in r] == [((0.5 - 0.25) / 2, 2, 1.0, 1)]
+    assert by_metric(scores, cases, 2).isEmpty()
+
+
 def test_whole_text_blank_queries(spark, tmp_path):
     """Alignment, gate, matches, score and post-handler over the whole text of
     every id, against the cell rules."""
