@@ -3,7 +3,8 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from gradewise.llm import decontamination, fingerprints, language, licenses, lm_scores, near_dup, packing, sharding, token_files, toxicity
+from gradewise.llm import (decontamination, fingerprints, language, licenses, lm_scores, near_dup, packing, quality_rules,
+                           sharding, token_files, toxicity)
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +17,7 @@ QUERIES = {
     "op8_diagonal_license_scan": licenses.op8_diagonal_license_scan,
     "op9_minimax_sharding": sharding.op9_minimax_sharding,
     "op10_gru_toxicity": toxicity.op10_gru_toxicity,
+    "op11_compression_bands": quality_rules.op11_compression_bands,
 }
 
 ORACLE: dict[str, str] = {
