@@ -18,6 +18,7 @@ QUERIES = {
     "op9_minimax_sharding": sharding.op9_minimax_sharding,
     "op10_gru_toxicity": toxicity.op10_gru_toxicity,
     "op11_compression_bands": quality_rules.op11_compression_bands,
+    "op12_refined_whitening": whitening.op12_refined_whitening,
 }
 
 ORACLE: dict[str, str] = {
