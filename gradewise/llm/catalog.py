@@ -4,7 +4,7 @@ DuckDB SQL of those that SQL can express."""
 from __future__ import annotations
 
 from gradewise.llm import (decontamination, fingerprints, language, licenses, lm_scores, near_dup, packing, quality_rules,
-                           sharding, token_files, toxicity)
+                           sharding, token_files, toxicity, whitening)
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
