@@ -3,7 +3,7 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from gradewise.llm import (decontamination, fingerprints, language, licenses, lm_scores, near_dup, packing, quality_rules,
+from gradewise.llm import (decontamination, fingerprints, language, licenses, lm_scores, merkle, near_dup, packing, quality_rules,
                            sharding, token_files, toxicity, whitening)
 
 QUERIES = {
@@ -19,8 +19,10 @@ QUERIES = {
     "op10_gru_toxicity": toxicity.op10_gru_toxicity,
     "op11_compression_bands": quality_rules.op11_compression_bands,
     "op12_refined_whitening": whitening.op12_refined_whitening,
+    "op13_interval_manifest": merkle.op13_interval_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op5_stupid_backoff": lm_scores.OP5_SQL,
+    "op13_interval_manifest": merkle.OP13_SQL,
 }
