@@ -104,12 +104,13 @@ def build(rows: DataFrame, order: list[str]) -> Tree:
 
 def paths(tree: Tree, above: DataFrame | None = None) -> DataFrame:
     """The leaves with ``path``: per level from the own one to the top, the digests of the
-    siblings before and behind. ``above``: tree, path beyond a tree's top."""
+    siblings before and behind; and with ``top``, the digest of their tree, handed down
+    likewise. ``above``: tree, path beyond a tree's top."""
     whole = F.col("hi") - F.col("lo") == F.col("n")
     parents = None
     for at in range(len(tree.levels), -1, -1):
         nodes = tree.levels[at - 1] if at else tree.leaves
-        tops = nodes.where(whole)
+        tops = nodes.where(whole).withColumn("top", F.col("digest"))
         tops = tops.withColumn("path", F.array().cast(PATH)) if above is None else tops.join(above, "tree")
         if parents is None:
             parents = tops
@@ -118,7 +119,7 @@ def paths(tree: Tree, above: DataFrame | None = None) -> DataFrame:
         inner = nodes.where(~whole).withColumn("__bucket", F.floor(F.col("lo") / width))
         outer = parents.select(F.col("tree").alias("__tree"), F.floor(F.col("lo") / width).alias("__of"),
                                F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("kids").alias("__kids"),
-                               F.col("path").alias("__path"))
+                               F.col("path").alias("__path"), "top")
         within = (F.col("__lo") <= F.col("lo")) & (F.col("hi") <= F.col("__hi"))
         met = inner.join(outer, (F.col("tree") == F.col("__tree")) & (F.col("__bucket") == F.col("__of")) & within)
 
@@ -127,7 +128,7 @@ def paths(tree: Tree, above: DataFrame | None = None) -> DataFrame:
         step = F.struct(beside(lambda k: k["hi"] <= F.col("lo")).alias("left"),
                         beside(lambda k: k["lo"] >= F.col("hi")).alias("right"))
         met = met.withColumn("path", F.concat(F.array(step), "__path"))
-        parents = met.select(*nodes.columns, "path").unionByName(tops)
+        parents = met.select(*nodes.columns, "top", "path").unionByName(tops)
     return parents
 
 
@@ -188,10 +189,10 @@ def proofs(m: Manifest) -> DataFrame:
     if m.root is None:
         return spark.createDataFrame([], OUT)
     above = paths(m.all).select(F.col("language").alias("tree"), "path")
-    rows = paths(m.languages, above).join(m.languages.tops.select("tree", F.col("digest").alias("subroot")), "tree")
-    d = rows.select("doc_id", F.col("digest").alias("leaf"), "subroot", F.lit(m.root).alias("root"),
-                    path_digest(F.col("path")).alias("proof_sha256"),
-                    folded(F.coalesce("changed", "digest"), F.col("path")).alias("folded_root"))
+    d = paths(m.languages, above).select(
+        "doc_id", F.col("digest").alias("leaf"), F.col("top").alias("subroot"), F.lit(m.root).alias("root"),
+        path_digest(F.col("path")).alias("proof_sha256"),
+        folded(F.coalesce("changed", "digest"), F.col("path")).alias("folded_root"))
     return d.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
