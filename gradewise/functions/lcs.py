@@ -1,9 +1,8 @@
 """Alignment kernels that SQL cannot express, run inside Arrow-batched
 pandas UDFs (one call per batch of rows, never per row over the wire).
 
-* ``token_lcs``: length of the longest common subsequence of two token
-  arrays, bit-parallel (one machine-word step per token of the longer side,
-  Allison-Dix / Hyyro): O(n * ceil(m / 64)) instead of O(n * m).
+* ``lcs_length``, ``lcs_positions``: longest common subsequence of two token
+  arrays over position lists of the shared tokens; work follows the matches.
 * ``union_lcs_hits``: ROUGE-Lsum hits (summary-level union LCS).
 * ``align_chars``: the character alignment of the blank-filling grader, with
   the grader's own cell rules; memory is bounded by ``KEPT_BYTES`` a row.
@@ -11,79 +10,96 @@ pandas UDFs (one call per batch of rows, never per row over the wire).
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 
 
 def lcs_length(a, b) -> int:
-    """LCS length of sequences ``a`` and ``b`` (bit-parallel over ``a``)."""
-    m = len(a)
-    if m == 0 or len(b) == 0:
-        return 0
-    masks: dict = {}
-    for i, tok in enumerate(a):
-        masks[tok] = masks.get(tok, 0) | (1 << i)
-    full = (1 << m) - 1
-    v = full
-    for tok in b:
-        u = v & masks.get(tok, 0)
-        if u:
-            v = ((v + u) | (v - u)) & full
-    return m - v.bit_count()
-
-
-def token_lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a), dtype=np.int32)
-    for i, (x, y) in enumerate(zip(a, b)):
-        if x is None or y is None:
-            continue
-        out[i] = lcs_length(list(x), list(y))
-    return pd.Series(out)
-
-
-def _codes_of(ref, pred):
-    """Token arrays as integers; predicted tokens that the reference lacks
-    are -1 and match nothing."""
-    known: dict = {}
-    r = np.fromiter((known.setdefault(x, len(known)) for x in ref), np.int64, len(ref))
-    return r, np.fromiter((known.get(x, -1) for x in pred), np.int64, len(pred))
-
-
-def lcs_positions(ref, pred):
+    """LCS length of two sequences, by their matches: for every item of ``b`` the
+    places in ``a`` from the last to the first; ``ends[k]`` is the least place that
+    ends a common subsequence of k + 1 items (Hunt and Szymanski)."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    ends: list[int] = []
+    for x in b:
+        for i in reversed(places.get(x, ())):
+            k = bisect_left(ends, i)
+            if k == len(ends):
+                ends.append(i)
+            else:
+                ends[k] = i
+    return len(ends)
+
+
+def token_lcs_batch(refs: pd.Series, pred: pd.Series) -> pd.Series:
+    """Per row the LCS length of every reference with the prediction."""
+    out = []
+    for some, p in zip(refs, pred):
+        p = [] if p is None else p.tolist()
+        out.append(None if some is None else np.array([lcs_length(r.tolist(), p) for r in some], np.int32))
+    return pd.Series(out, dtype=object)
+
+
+def lcs_positions(ref, pred) -> list[int]:
     """Reference positions of one longest common subsequence. Walking from
-    the ends, equal last tokens pair up; else the shorter prefix of ``pred``
+    the ends, equal last items pair up; else the shorter prefix of ``pred``
     is taken if it alone still holds a longer subsequence, otherwise the
     shorter prefix of ``ref``.
 
-    Only where the table rises matters for the walk, so a row is kept as
-    packed bits (cell greater than its left neighbour): one bit a cell."""
-    r, c = _codes_of(ref, pred)
-    if not len(r) or not len(c):
-        return []
-    row = np.zeros(len(c) + 1, np.int32)
-    rises = []
-    for token in r:
-        # a match lifts everything from here up to where the row above rises anyway
-        best = np.maximum(row[1:], np.where(c == token, row[:-1] + 1, 0))
-        row = np.concatenate([[0], np.maximum.accumulate(best)]).astype(np.int32)
-        rises.append(np.packbits(np.diff(row) > 0))
-    levels = [np.zeros(len(c) + 1, np.int64)]
-
-    def value(i):
-        return np.concatenate([[0], np.cumsum(np.unpackbits(rises[i - 1], count=len(c)))]) if i else levels[0]
-
-    out, j, i = [], len(c), len(r)
-    here, above = value(i), value(i - 1)
-    while i and j:
-        if r[i - 1] == c[j - 1]:
-            out.append(i - 1)
-            j -= 1
-        elif here[j - 1] > above[j]:
+    Work and memory follow the matches. Reference items without a match never
+    change a length, so the walk passes them and they are left out; predicted items
+    without one behave alike, so the first of a run stands for it. Of the table
+    only the rises are held: ``ends[k]`` is the least prefix of ``pred`` with a common
+    subsequence of k + 1 items; what a reference item changes there is noted
+    and taken back when the walk leaves it."""
+    known = set(ref)
+    kept: list = []
+    places: dict = {}
+    for x in pred:
+        if x in known:
+            kept.append(x)
+            places.setdefault(x, []).append(len(kept))
+        elif not kept or kept[-1] is not None:
+            kept.append(None)
+    rows = [(i, x) for i, x in enumerate(ref) if x in places]
+    ends: list = []
+    before = []  # per row: k -> its value without the row (None: there was none)
+    for _, x in rows:
+        was: dict = {}
+        for j in reversed(places[x]):
+            k = bisect_left(ends, j)
+            if k == len(ends):
+                was[k] = None
+                ends.append(j)
+            elif ends[k] != j:
+                was.setdefault(k, ends[k])
+                ends[k] = j
+        before.append(was)
+    out, j = [], len(kept)
+    while rows and j:
+        i, x = rows[-1]
+        was = before[-1]
+        paired = kept[j - 1] == x
+        if not paired:
+            length = bisect_right(ends, j)
+            old = was.get(length - 1, ends[length - 1]) if length else None
+            above = length if old is not None and old <= j else max(length - 1, 0)
+            if bisect_right(ends, j - 1) > above:
+                j -= 1
+                continue
+        else:
+            out.append(i)
             j -= 1
-            continue
-        i -= 1
-        if i:
-            here, above = above, value(i - 1)
+        rows.pop()
+        for k, value in before.pop().items():
+            if value is not None:
+                ends[k] = value
+        if None in was.values():
+            ends.pop()
     return out[::-1]
 
 
@@ -91,7 +107,6 @@ def union_lcs_hits(ref_sents, pred_sents) -> int:
     """Summary-level LCS hits: for each reference sentence, the union of its
     LCS token positions with every predicted sentence; a token counts while
     both sides still have unused occurrences of it."""
-    from collections import Counter
     ref_cnt = Counter(t for s in ref_sents for t in s)
     pred_cnt = Counter(t for s in pred_sents for t in s)
     hits = 0
@@ -108,13 +123,13 @@ def union_lcs_hits(ref_sents, pred_sents) -> int:
     return hits
 
 
-def union_lcs_batch(ref: pd.Series, pred: pd.Series) -> pd.Series:
-    out = np.zeros(len(ref), dtype=np.int32)
-    for i, (r, p) in enumerate(zip(ref, pred)):
-        if r is None or p is None:
-            continue
-        out[i] = union_lcs_hits([list(s) for s in r], [list(s) for s in p])
-    return pd.Series(out)
+def union_lcs_batch(refs: pd.Series, pred: pd.Series) -> pd.Series:
+    """Per row the hits of every reference (an array of sentences each)."""
+    out = []
+    for some, p in zip(refs, pred):
+        p = [] if p is None else [s.tolist() for s in p]
+        out.append(None if some is None else np.array([union_lcs_hits([s.tolist() for s in r], p) for r in some], np.int32))
+    return pd.Series(out, dtype=object)
 
 
 KEPT_BYTES = 32 << 20

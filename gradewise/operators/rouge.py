@@ -1,12 +1,15 @@
 """ROUGE-1/2/N, ROUGE-L and ROUGE-Lsum between responses and references.
 
-ROUGE-N is relational: response n-grams are exploded and equi-joined on
-(case_id, gram) with the reference n-gram counts (a broadcast join after a
-size check), so only grams that occur in a reference survive to the
-(doc, ref, gram) aggregation; overlap = sum(least(count_pred, count_ref)).
-ROUGE-L keeps everything in the row: predicted tokens are first filtered
-natively to those present in the reference (others cannot be part of an
-LCS), then a bit-parallel LCS runs in an Arrow UDF.
+The references of a case are tokenised once, packed into one row (per reference
+the distinct grams with their counts, the tokens and the sentences, all as 64-bit
+hashes) and written as a table in the shared folder. The planner knows the size of
+that table, so it builds the side of the references wherever that fits its broadcast
+threshold; beyond it the join is a shuffle with AQE's skew handling. Every response
+meets the references of its case in one row, whatever the number of metrics: no
+grams are exploded and no text or token is shuffled or broadcast.
+
+ROUGE-N counts clipped overlap natively. ROUGE-L and ROUGE-Lsum send the hashes to
+sparse kernels (``functions.lcs``) in an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -18,167 +21,189 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gradewise.session import ship_package
 
 from gradewise.functions import lcs as lcs_kernels
-from gradewise.functions.text import rouge_tokens
+from gradewise.functions.text import let, rouge_tokens
+from gradewise.sources.tables import stored
 
 DEFAULT_TYPES = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams of a token array; empty when shorter than n.
+def gram_size(rouge_type: str) -> int | None:
+    """n of ``rouge<n>``, None for the two LCS metrics; others are an error."""
+    if rouge_type in ("rougeL", "rougeLsum"):
+        return None
+    if rouge_type.startswith("rouge") and rouge_type[5:].isdigit():
+        return int(rouge_type[5:])
+    raise ValueError(f"unknown rouge type {rouge_type}")
 
-    Built by zipping the array with its shifted slices (``zip_with`` pads
-    with nulls, so the tail is cut to ``size - n + 1``). This form stays a
-    flat loop per row; a ``transform`` over ``sequence`` indices explodes
-    orders of magnitude slower."""
+
+def hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
+
+
+def ngrams(hashed: Column, n: int) -> Column:
+    """Hashes of the n-grams of a hashed token array; empty when shorter than n.
+
+    Built by zipping the array with its shifted slices (``zip_with`` pads with
+    nulls, so the tail is cut to ``size - n + 1``): a flat loop per row."""
     if n == 1:
-        return tokens
-    acc = tokens
+        return hashed
+    acc = hashed
     for k in range(1, n):
-        acc = F.zip_with(acc, F.slice(tokens, k + 1, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
-    size = F.size(tokens)
-    return F.when(size >= n, F.slice(acc, 1, size - (n - 1))).otherwise(F.array().cast("array<string>"))
+        acc = F.zip_with(acc, F.slice(hashed, k + 1, 1 << 30), lambda a, b: F.xxhash64(a, b))
+    size = F.size(hashed)
+    return F.when(size >= n, F.slice(acc, 1, size - (n - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
 def fmeasure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def _prf(hits: Column, n_pred: Column, n_ref: Column):
+def _prf(hits: Column, n_pred: Column, n_ref: Column) -> list[Column]:
+    """f1, precision, recall; all 0 where one side is empty."""
     p = hits / F.greatest(n_pred, F.lit(1)).cast("double")
     r = hits / F.greatest(n_ref, F.lit(1)).cast("double")
-    return p, r, fmeasure(p, r)
+    return [fmeasure(p, r).alias("f1"), p.alias("precision"), r.alias("recall")]
 
 
-def _let(expr, fn) -> Column:
-    """Evaluate ``expr`` once and reuse it inside ``fn`` (lambda bodies would
-    otherwise re-evaluate a referenced expression for every element)."""
-    return F.element_at(F.transform(F.array(expr), fn), 1)
+def gram_counts(grams: Column) -> Column:
+    """struct(keys, counts, n) of a gram array, by runs of the sorted array."""
+    def runs(s):
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return let(first, lambda at: F.struct(
+            F.transform(at, lambda i: F.get(s, i)).alias("keys"),
+            F.zip_with(at, F.concat(F.slice(at, 2, 1 << 30), F.array(F.size(s))), lambda a, b: b - a).alias("counts"),
+            F.size(s).alias("n")))
+    return let(F.array_sort(grams), runs)
 
 
-def reference_grams(references: DataFrame, n: int, tokenizer=rouge_tokens) -> DataFrame:
-    """Per reference: map gram -> count and the number of grams."""
-    ref = references.select("case_id", "ref_no", tokenizer(F.col("text")).alias("t")) \
-        .select("case_id", "ref_no", ngrams(F.col("t"), n).alias("g"))
-    sizes = ref.select("case_id", "ref_no", F.size("g").alias("nr"))
-    counts = (ref.select("case_id", "ref_no", F.explode("g").alias("gram"))
-              .groupBy("case_id", "ref_no", "gram").agg(F.count(F.lit(1)).alias("rc"))
-              .groupBy("case_id", "ref_no")
-              .agg(F.map_from_entries(F.collect_list(F.struct("gram", "rc"))).alias("rmap")))
-    return sizes.join(counts, ["case_id", "ref_no"], "left").select(
-        "case_id", "ref_no", "nr",
-        F.coalesce("rmap", F.create_map().cast("map<string,bigint>")).alias("rmap"))
+def clipped_overlap(grams: Column, ref: Column) -> Column:
+    """sum over distinct grams of least(count in grams, count in ``ref``).
 
+    Grams become their places among the reference's keys (the others drop
+    out); in the sorted places a gram counts as long as its run is no longer
+    than the reference's count."""
+    places = F.array_sort(F.filter(F.transform(grams, lambda x: F.array_position(ref["keys"], x).cast("int")), lambda p: p > 0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("hits"))
 
-def clipped_overlap(grams: Column, rmap: Column) -> Column:
-    """sum over distinct grams of least(count in grams, count in rmap).
+    def step(acc, p):
+        return let(F.when(p == acc["at"], acc["run"] + 1).otherwise(F.lit(1)), lambda run: F.struct(
+            p.alias("at"), run.alias("run"),
+            (acc["hits"] + F.when(run <= F.element_at(ref["counts"], p), 1).otherwise(0)).alias("hits")))
+    return F.aggregate(places, start, step)["hits"]
 
-    Grams absent from the reference are dropped first with a hash lookup,
-    so the counting loop only sees the (few) shared grams."""
-    def count(kept):
-        return F.aggregate(F.array_distinct(kept), F.lit(0).cast("long"),
-                           lambda acc, x: acc + F.least(F.size(F.filter(kept, lambda y: y == x)).cast("long"),
-                                                        F.element_at(rmap, x)))
-    return _let(F.filter(grams, lambda x: F.map_contains_key(rmap, x)), count)
 
+def _sentences(text: Column, tokenizer) -> Column:
+    """Hashed tokens of the non-empty lines."""
+    lines = F.filter(F.split(text, "\n"), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(lines, lambda s: hashes(tokenizer(s))), lambda t: F.size(t) > 0)
 
-def rouge_n(responses: DataFrame, references: DataFrame, n: int, tokenizer=rouge_tokens,
-            key: str = "doc_id") -> DataFrame:
-    """ROUGE-N of each response against each reference of its case.
 
-    responses: key, case_id, text. references: case_id, ref_no, text.
-    Output: key, case_id, ref_no, precision, recall, f1.
+def _hashed(table: DataFrame, keep: list[str], rouge_types, tokenizer) -> DataFrame:
+    """``keep``, the hashed tokens ``t`` and, for rougeLsum, the sentences ``s``; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    cols = [hashes(tokenizer(text)).alias("t")]
+    if "rougeLsum" in rouge_types:
+        cols.append(_sentences(text, tokenizer).alias("s"))
+    return table.select(*keep, *cols)
 
-    The reference side (one gram -> count map per reference) is small and
-    is broadcast after its size check; each response is scored in its own
-    row -- no explode, no shuffle of response n-grams."""
-    refs = reference_grams(references, n, tokenizer)
-    resp = responses.select(key, "case_id", tokenizer(F.col("text")).alias("t"))
-    j = resp.join(refs, "case_id")
 
-    def score(g):
-        return F.struct(F.size(g).alias("np"), clipped_overlap(g, F.col("rmap")).alias("hits"))
+def pack_references(references: DataFrame, rouge_types=DEFAULT_TYPES, tokenizer=rouge_tokens) -> DataFrame:
+    """One row per case: ``refs``, an array over its references (in order of
+    ref_no) of what the metrics need. Written, so its size is known.
 
-    j = j.select(key, "case_id", "ref_no", "nr", _let(ngrams(F.col("t"), n), score).alias("sc"))
-    p, r, f = _prf(F.col("sc.hits"), F.col("sc.np"), F.col("nr"))
-    return j.select(key, "case_id", "ref_no", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    references: case_id, ref_no, text."""
+    ref = _hashed(references, ["case_id", "ref_no"], rouge_types, tokenizer)
+    fields = ["ref_no"]
+    for n in sorted({gram_size(t) for t in rouge_types} - {None}):
+        ref = ref.withColumn(f"g{n}", gram_counts(ngrams(F.col("t"), n)))
+        fields.append(f"g{n}")
+    fields += [c for c, m in (("t", "rougeL"), ("s", "rougeLsum")) if m in rouge_types]
+    return stored(ref.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("refs")), "references")
 
 
 @functools.cache
 def _udfs():
     """Arrow UDFs, created once a session exists."""
     ship_package(SparkSession.getActiveSession())
-    return (F.pandas_udf(lcs_kernels.token_lcs_batch, "int"),
-            F.pandas_udf(lcs_kernels.union_lcs_batch, "int"))
+    return (F.pandas_udf(lcs_kernels.token_lcs_batch, "array<int>"),
+            F.pandas_udf(lcs_kernels.union_lcs_batch, "array<int>"))
+
+
+def _in_row(responses: DataFrame, references: DataFrame, rouge_types, tokenizer, key: str) -> DataFrame:
+    """key, case_id and per metric a column of its name: an array over the
+    references of the case of struct(f1, precision, recall, ref_no)."""
+    packed = pack_references(references, rouge_types, tokenizer)
+    sizes = sorted({gram_size(t) for t in rouge_types} - {None})
+    resp = _hashed(responses, [key, "case_id"], rouge_types, tokenizer)
+    resp = resp.select("*", *[ngrams(F.col("t"), n).alias(f"p{n}") for n in sizes if n > 1])
+    j = resp.join(packed, "case_id")
+    if "rougeL" in rouge_types:
+        j = j.withColumn("__L", _udfs()[0](F.col("refs.t"), F.col("t")))
+    if "rougeLsum" in rouge_types:
+        j = j.withColumn("__Lsum", _udfs()[1](F.col("refs.s"), F.col("s")))
+
+    def total(sentences):
+        return F.aggregate(sentences, F.lit(0), lambda a, s: a + F.size(s))
+
+    def scores(metric):
+        n = gram_size(metric)
+
+        def one(r, i):
+            if n is not None:
+                grams = F.col("t" if n == 1 else f"p{n}")
+                hits, n_pred, n_ref = clipped_overlap(grams, r[f"g{n}"]), F.size(grams), r[f"g{n}"]["n"]
+            elif metric == "rougeL":
+                hits, n_pred, n_ref = F.get("__L", i), F.size("t"), F.size(r["t"])
+            else:
+                hits, n_pred, n_ref = F.get("__Lsum", i), total(F.col("s")), total(r["s"])
+            return let(hits, lambda h: F.struct(*_prf(h, n_pred, n_ref), r["ref_no"].alias("ref_no")))
+        return F.transform("refs", one).alias(metric)
+    return j.select(key, "case_id", *[scores(m) for m in rouge_types])
 
 
-def _token_lcs(a, b):
-    return _udfs()[0](a, b)
+def rouge(responses: DataFrame, references: DataFrame, rouge_types=DEFAULT_TYPES,
+          tokenizer=rouge_tokens, key: str = "doc_id") -> DataFrame:
+    """Long form (key, case_id, ref_no, metric, precision, recall, f1).
 
+    responses: key, case_id, text. references: case_id, ref_no, text. All
+    metrics come from one pass over the responses."""
+    j = _in_row(responses, references, rouge_types, tokenizer, key)
 
-def _union_lcs(a, b):
-    return _udfs()[1](a, b)
+    def named(metric):
+        return F.transform(metric, lambda s: F.struct(
+            s["ref_no"].alias("ref_no"), F.lit(metric).alias("metric"), s["precision"].alias("precision"),
+            s["recall"].alias("recall"), s["f1"].alias("f1")))
+    return j.select(key, "case_id", F.inline(F.flatten(F.array(*[named(m) for m in rouge_types]))))
 
 
-def rouge_l(responses: DataFrame, references: DataFrame, tokenizer=rouge_tokens,
-            key: str = "doc_id") -> DataFrame:
-    """ROUGE-L (token LCS) of each response against each reference."""
-    resp = responses.select(key, "case_id", tokenizer(F.col("text")).alias("pt"))
-    ref = references.select("case_id", "ref_no", tokenizer(F.col("text")).alias("rt"))
-    j = resp.join(ref, "case_id")
-    # Tokens absent from the reference cannot be in a common subsequence.
-    kept = F.filter("pt", lambda x: F.array_contains(F.col("rt"), x))
-    j = j.select(key, "case_id", "ref_no", F.size("pt").alias("np"), F.size("rt").alias("nr"),
-                 _token_lcs(F.col("rt"), kept).alias("lcs"))
-    p, r, f = _prf(F.col("lcs").cast("double"), F.col("np"), F.col("nr"))
-    zero = (F.col("np") == 0) | (F.col("nr") == 0)
-    return j.select(key, "case_id", "ref_no",
-                    F.when(zero, 0.0).otherwise(p).alias("precision"),
-                    F.when(zero, 0.0).otherwise(r).alias("recall"),
-                    F.when(zero, 0.0).otherwise(f).alias("f1"))
+def rouge_n(responses: DataFrame, references: DataFrame, n: int, tokenizer=rouge_tokens, key: str = "doc_id") -> DataFrame:
+    """ROUGE-N of each response against each reference of its case: key,
+    case_id, ref_no, precision, recall, f1."""
+    return rouge(responses, references, (f"rouge{n}",), tokenizer, key).drop("metric")
 
 
-def _sentences(text: Column, tokenizer) -> Column:
-    sents = F.filter(F.split(text, "\n"), lambda s: F.length(s) > 0)
-    return F.filter(F.transform(sents, lambda s: tokenizer(s)), lambda t: F.size(t) > 0)
+def rouge_l(responses: DataFrame, references: DataFrame, tokenizer=rouge_tokens, key: str = "doc_id") -> DataFrame:
+    """ROUGE-L (token LCS), columns as ``rouge_n``."""
+    return rouge(responses, references, ("rougeL",), tokenizer, key).drop("metric")
 
 
-def rouge_lsum(responses: DataFrame, references: DataFrame, tokenizer=rouge_tokens,
-               key: str = "doc_id") -> DataFrame:
+def rouge_lsum(responses: DataFrame, references: DataFrame, tokenizer=rouge_tokens, key: str = "doc_id") -> DataFrame:
     """ROUGE-Lsum: newline-separated sentences, union LCS per reference
-    sentence, hits clipped by token counts."""
-    resp = responses.select(key, "case_id", _sentences(F.col("text"), tokenizer).alias("ps"))
-    ref = references.select("case_id", "ref_no", _sentences(F.col("text"), tokenizer).alias("rs"))
-    j = resp.join(ref, "case_id")
-    n_tok = lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + F.size(s))
-    j = j.select(key, "case_id", "ref_no", n_tok(F.col("ps")).alias("np"),
-                 n_tok(F.col("rs")).alias("nr"), _union_lcs(F.col("rs"), F.col("ps")).alias("hits"))
-    p, r, f = _prf(F.col("hits").cast("double"), F.col("np"), F.col("nr"))
-    zero = (F.col("np") == 0) | (F.col("nr") == 0)
-    return j.select(key, "case_id", "ref_no",
-                    F.when(zero, 0.0).otherwise(p).alias("precision"),
-                    F.when(zero, 0.0).otherwise(r).alias("recall"),
-                    F.when(zero, 0.0).otherwise(f).alias("f1"))
+    sentence, hits clipped by token counts; columns as ``rouge_n``."""
+    return rouge(responses, references, ("rougeLsum",), tokenizer, key).drop("metric")
 
 
-def rouge(responses: DataFrame, references: DataFrame, rouge_types=DEFAULT_TYPES,
-          tokenizer=rouge_tokens, key: str = "doc_id") -> DataFrame:
-    """Long form (key, case_id, ref_no, metric, precision, recall, f1) for the
-    requested metrics; only the requested branches are planned."""
-    parts = []
-    for t in rouge_types:
-        if t == "rougeL":
-            d = rouge_l(responses, references, tokenizer, key)
-        elif t == "rougeLsum":
-            d = rouge_lsum(responses, references, tokenizer, key)
-        elif t.startswith("rouge") and t[5:].isdigit():
-            d = rouge_n(responses, references, int(t[5:]), tokenizer, key)
-        else:
-            raise ValueError(f"unknown rouge type {t}")
-        parts.append(d.withColumn("metric", F.lit(t)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def best_scores(responses: DataFrame, references: DataFrame, rouge_types=DEFAULT_TYPES,
+                tokenizer=rouge_tokens, key: str = "doc_id") -> DataFrame:
+    """``best_over_references`` of ``rouge``, taken in the row: key, case_id, metric,
+    precision, recall, f1, n_refs."""
+    j = _in_row(responses, references, rouge_types, tokenizer, key)
+
+    def best(metric):
+        return let(F.array_max(metric), lambda b: F.struct(
+            F.lit(metric).alias("metric"), b["precision"].alias("precision"), b["recall"].alias("recall"), b["f1"].alias("f1"),
+            F.size(metric).cast("long").alias("n_refs")))
+    return j.select(key, "case_id", F.inline(F.array(*[best(m) for m in rouge_types])))
 
 
 def best_over_references(scores: DataFrame, key: str = "doc_id") -> DataFrame:

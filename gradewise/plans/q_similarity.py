@@ -74,10 +74,8 @@ _MULTI_REFS = ("SELECT case_id, 0 AS ref_no, ref_text AS text FROM cases_v UNION
 @query("rouge_multi_ref", _rouge_n_sql(1, _MULTI_REFS,
        "SELECT doc_id, case_id, round(max(f), 6) AS f1, CAST(count(*) AS BIGINT) AS n_refs FROM sc GROUP BY doc_id, case_id"))
 def rouge_multi_ref(spark, sf):
-    s = rg.rouge_n(_resp(spark, sf), _refs(spark, sf, multi=True), 1).withColumn("metric", F.lit("rouge1"))
-    b = rg.best_over_references(s)
-    n = s.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("n_refs"))
-    return b.join(n, "doc_id").select("doc_id", "case_id", rnd("f1").alias("f1"), "n_refs")
+    b = rg.best_scores(_resp(spark, sf), _refs(spark, sf, multi=True), ("rouge1",))
+    return b.select("doc_id", "case_id", rnd("f1").alias("f1"), "n_refs")
 
 
 # Similarity rules of the fixture, the same for every case (fixed values):
@@ -95,7 +93,7 @@ _SIM_SQL = fx.with_views("responses_v", "cases_v", extra={
 @query("rouge_normalised_score", _SIM_SQL)
 def rouge_normalised_score(spark, sf):
     resp, refs = _resp(spark, sf), _refs(spark, sf)
-    best = rg.best_over_references(rg.rouge(resp, refs, ("rouge1", "rouge2")))
+    best = rg.best_scores(resp, refs, ("rouge1", "rouge2"))
     rule_structs = [F.struct(F.lit(r).alias("rule_no"), F.lit(m).alias("metric"),
                              F.lit(lo).cast("double").alias("min_score"),
                              F.lit(hi).cast("double").alias("max_score"),

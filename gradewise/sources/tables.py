@@ -7,9 +7,12 @@ into the parquet scan, so callers just select what they need.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradewise.session import checkpoint_dir
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations")
@@ -40,3 +43,11 @@ def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
         return df
     return df.repartition(target) if n < target else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the cluster's shared folder and read
+    back: its lineage ends there, and the planner knows its size."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -102,7 +102,7 @@ def _dp_lcs(a, b):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("abcde"), max_size=90), st.lists(st.sampled_from("abcde"), max_size=90))
-def test_bitparallel_lcs_matches_dp(a, b):
+def test_lcs_length_matches_dp(a, b):
     assert lcs_length(a, b) == _dp_lcs(a, b)
 
 
