@@ -2,9 +2,9 @@
 stands in each blank, and match it against the target answers.
 
 Plan: blank positions are found once per case on the (small) template
-table; templates join the responses (broadcast after a size check); the
-character alignment runs in an Arrow UDF (one call per batch); fills,
-strip, gate and the ordered target fold are native expressions.
+table; templates join the responses; the character alignment runs in an Arrow
+UDF (one call per batch); fills, strip, gate and the ordered target fold are
+native expressions.
 """
 
 from __future__ import annotations
@@ -55,17 +55,14 @@ def prepare_templates(templates: DataFrame) -> DataFrame:
         "denom", F.length("template") - F.col("n_blank") * F.length("blank_str"))
 
 
-def fills(responses: DataFrame, templates: DataFrame, key: str = "doc_id",
-          text_col: str = "response") -> DataFrame:
-    """Per response: matched length, template-following rate and the
-    stripped text standing in each blank (array, in blank order).
+def fill_columns(j: DataFrame, text: Column) -> DataFrame:
+    """``j`` (the columns of ``prepare_templates`` beside a response) with
+    ``matched_len``, ``rate``, ``fills`` and ``end_blank``; null without a template.
 
     A blank that ends the template takes the rest of the response
     (``end_blank`` flags it)."""
-    t = prepare_templates(templates)
-    j = responses.select(key, "case_id", text_col).join(t, "case_id")
-    resp = F.concat(F.col("prefix"), F.col(text_col))
-    j = j.withColumn("resp", F.when(resp == "", F.lit(" ")).otherwise(resp))
+    resp = F.concat(F.col("prefix"), text)
+    j = j.withColumn("resp", F.when(F.col("template").isNull(), F.lit(None)).when(resp == "", F.lit(" ")).otherwise(resp))
     # One alignment per row (a column of its own; its fields are read many times).
     j = j.withColumn("al", align(F.col("template"), F.col("resp")))
     s = F.col("al.spans")
@@ -79,12 +76,23 @@ def fills(responses: DataFrame, templates: DataFrame, key: str = "doc_id",
         raw = F.substring(F.col("resp"), start + 1, F.greatest(end - start, F.lit(0)))
         return F.btrim(raw, F.col("escape"))
 
-    return j.select(
-        key, "case_id", F.col("al.matched").alias("matched_len"),
-        F.try_divide(F.col("al.matched"), F.col("denom")).alias("rate"),
-        F.transform("places", cut).alias("fills"),
-        F.exists("places", lambda bp: bp + lb >= n_t).alias("end_blank"),
-        "n_blank")
+    return j.withColumns({
+        "matched_len": F.col("al.matched"), "rate": F.try_divide(F.col("al.matched"), F.col("denom")),
+        "fills": F.transform("places", cut), "end_blank": F.exists("places", lambda bp: bp + lb >= n_t)}).drop("al", "resp")
+
+
+def fills(responses: DataFrame, templates: DataFrame, key: str = "doc_id",
+          text_col: str = "response") -> DataFrame:
+    """Per response: matched length, template-following rate and the
+    stripped text standing in each blank (array, in blank order)."""
+    j = responses.select(key, "case_id", text_col).join(prepare_templates(templates), "case_id")
+    return fill_columns(j, F.col(text_col)).select(key, "case_id", "matched_len", "rate", "fills", "end_blank", "n_blank")
+
+
+def prepared_alternatives(alternatives: Column) -> Column:
+    return F.transform(alternatives, lambda a: F.struct(
+        a["pattern"].alias("pattern"), F.coalesce(a["is_regex"], F.lit(False)).alias("is_regex"),
+        cond_kind(a["cond"]).alias("cond")))
 
 
 def pack_targets(targets: DataFrame) -> DataFrame:
@@ -96,9 +104,7 @@ def pack_targets(targets: DataFrame) -> DataFrame:
         F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"),
         F.coalesce(F.col("to_lower"), F.lit(False)).alias("to_lower"),
         F.coalesce(F.col("substr_match"), F.lit(False)).alias("substr_match"),
-        F.transform("alternatives", lambda a: F.struct(
-            a["pattern"].alias("pattern"), F.coalesce(a["is_regex"], F.lit(False)).alias("is_regex"),
-            cond_kind(a["cond"]).alias("cond"))).alias("alts"))
+        prepared_alternatives(F.col("alternatives")).alias("alts"))
     return t.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(
         "target_no", "weight", "to_lower", "substr_match", "alts"))).alias("targets"))
 
@@ -114,18 +120,14 @@ def _alt_match(a: Column, fill: Column, tg: Column, prev_matched: Column) -> Col
     return F.when(tg["substr_match"], sub).otherwise(exact) & ok
 
 
-def blank_scores(responses: DataFrame, templates: DataFrame, targets: DataFrame,
-                 key: str = "doc_id", text_col: str = "response", gate: float = RATE_GATE) -> DataFrame:
-    """Weighted blank score per response: key, case_id, score, tot, rate,
-    matched flags, fills. A case whose blanks and targets differ in number, or
-    that has an unknown condition, is an error: no score, total or flags."""
-    fl = fills(responses, templates, key, text_col)
-    j = fl.join(pack_targets(targets), "case_id")
-    pairs = F.arrays_zip(F.col("targets").alias("tg"), F.col("fills").alias("fill"))
+def fold_targets(targets: Column, fills: Column, rate: Column, gate: float = RATE_GATE) -> Column:
+    """Ordered evaluation of packed targets against the fills: struct(prev,
+    score, tot, flags, details)."""
+    pairs = F.arrays_zip(targets.alias("tg"), fills.alias("fill"))
     init = F.struct(F.lit(False).alias("prev"), F.lit(0.0).alias("score"), F.lit(0.0).alias("tot"),
                     F.array().cast("array<boolean>").alias("flags"),
                     F.array().cast("array<string>").alias("details"))
-    gate_ok = F.col("rate") >= F.lit(gate)
+    gate_ok = rate >= F.lit(gate)
 
     def step(acc, x):
         tg, fill = x["tg"], x["fill"]
@@ -137,7 +139,7 @@ def blank_scores(responses: DataFrame, templates: DataFrame, targets: DataFrame,
             ans = F.when(pos > 0, F.element_at(tg["alts"], F.greatest(pos, F.lit(1)).cast("int"))["pattern"]) \
                 .otherwise(F.element_at(tg["alts"], -1)["pattern"])
             body = F.concat(F.lit("response string: "), fill, F.lit(", ans: "), ans)
-            detail = (F.when(~gate_ok, F.concat(F.lit("unmatched: match rate too low - "), F.col("rate").cast("string")))
+            detail = (F.when(~gate_ok, F.concat(F.lit("unmatched: match rate too low - "), rate.cast("string")))
                        .when(m, F.concat(F.lit("matched: "), body))
                        .otherwise(F.concat(F.lit("unmatched: "), body)))
             return F.struct(m.alias("prev"),
@@ -147,12 +149,25 @@ def blank_scores(responses: DataFrame, templates: DataFrame, targets: DataFrame,
                             F.array_append(acc["details"], detail).alias("details"))
 
         return let(F.when(gate_ok, first).otherwise(F.lit(0).cast("long")), emit)
+    return F.aggregate(pairs, init, step)
+
 
-    j = j.select(key, "case_id", "rate", "fills", "end_blank",
-                 F.when(F.col("n_blank") != F.size("targets"), F.lit("blanks and targets differ in number"))
-                 .when(F.exists("targets", lambda t: F.exists(t["alts"], lambda a: F.coalesce(
-                     a["cond"] == INVALID, F.lit(False)))), F.lit("unsupported rule condition")).alias("error"),
-                 F.aggregate(pairs, init, step).alias("__r"))
+def target_error(targets: Column, n_blank: Column) -> Column:
+    """Why a case's targets cannot be graded, or null."""
+    return (F.when(n_blank != F.size(targets), F.lit("blanks and targets differ in number"))
+            .when(F.exists(targets, lambda t: F.exists(t["alts"], lambda a: F.coalesce(a["cond"] == INVALID, F.lit(False)))),
+                  F.lit("unsupported rule condition")))
+
+
+def blank_scores(responses: DataFrame, templates: DataFrame, targets: DataFrame,
+                 key: str = "doc_id", text_col: str = "response", gate: float = RATE_GATE) -> DataFrame:
+    """Weighted blank score per response: key, case_id, score, tot, rate,
+    matched flags, fills. A case whose blanks and targets differ in number, or
+    that has an unknown condition, is an error: no score, total or flags."""
+    fl = fills(responses, templates, key, text_col)
+    j = fl.join(pack_targets(targets), "case_id")
+    j = j.select(key, "case_id", "rate", "fills", "end_blank", target_error(F.col("targets"), F.col("n_blank")).alias("error"),
+                 fold_targets(F.col("targets"), F.col("fills"), F.col("rate"), gate).alias("__r"))
 
     def sound(c):
         return F.when(F.col("error").isNull(), F.col(c))

@@ -93,11 +93,12 @@ def keyword_scores(responses: DataFrame, rules: DataFrame,
     # each is computed once per row (lambda bodies and repeated field
     # accesses would otherwise re-evaluate them).
     j = j.select(*keys, text_col, "rules", F.lower(F.col(text_col)).alias("__lt"))
-    bad = F.exists("rules", lambda r: F.coalesce(r["cond"] == INVALID, F.lit(False)))
+    bad = F.exists("rules", lambda r: F.coalesce(r["cond"] == INVALID, F.lit(False)) | r["pat"].isNull())
     j = j.select(*keys, bad.alias("__bad"), fold_rules(F.col("rules"), F.col(text_col), F.col("__lt")).alias("__r"))
     return j.select(*keys, *_result())
 
 
+# An unknown condition, or a rule without pattern (nested, in a flat rule table).
 BAD_CONDITION = "unsupported rule condition"
 
 
@@ -125,8 +126,7 @@ def rule_matches(responses: DataFrame, rules: DataFrame, match: Column | None =
                  keys=("model", "case_id", "sample_no"), text_col: str = "text") -> DataFrame:
     """Long form: one row per (response, rule) with the raw match flag.
 
-    ``responses x rules`` equi-joined on case_id; the rule side is broadcast
-    after its size check."""
+    ``responses x rules`` equi-joined on case_id."""
     r = normalise_rules(rules)
     j = responses.select(*keys, text_col).join(r, "case_id")
     text = F.col(text_col)
@@ -170,25 +170,48 @@ def _tree_value(rule: Column, text: Column, ltext: Column, prev: Column) -> Colu
     return F.coalesce(F.element_at(values, F.element_at(nodes, -1)["node_id"]), F.lit(False))
 
 
-def keyword_tree_scores(responses: DataFrame, nodes: DataFrame,
-                        keys=("model", "case_id", "sample_no"), text_col: str = "text") -> DataFrame:
-    """Keyword score per response for rule trees of any depth (node table
-    from ``sources.readers.keyword_nodes``); same plan as ``keyword_scores``:
-    packed per case, broadcast after the size check, one fold per row."""
-    packed = pack_rule_trees(nodes)
-    j = responses.select(*keys, text_col).join(packed, "case_id")
-    j = j.select(*keys, text_col, "rules", F.lower(F.col(text_col)).alias("__lt"))
+def prepared_rules(rules: Column) -> Column:
+    """A packed rule array as it comes from case files (``sources.specs``) in
+    the form that ``fold_trees`` reads: effective patterns and condition kinds."""
+    def node(n, low):
+        pat = F.when(low, F.lower(n["pattern"])).otherwise(n["pattern"])
+        return F.struct(n["node_id"].alias("node_id"), n["parent_id"].alias("parent_id"), n["op"].alias("op"),
+                        pat.alias("pat"), py_regex(pat).alias("rx"), n["is_regex"].alias("is_regex"),
+                        cond_kind(n["cond"]).alias("cond"))
+    return F.transform(rules, lambda r: F.struct(
+        r["rule_no"].alias("rule_no"), r["weight"].alias("weight"), r["neg"].alias("neg"), r["to_lower"].alias("to_lower"),
+        F.transform(r["nodes"], lambda n: node(n, r["to_lower"])).alias("nodes")))
+
+
+def bad_trees(rules: Column) -> Column:
+    """Whether a rule of a packed array has an unknown condition."""
+    return F.exists(rules, lambda r: F.exists(r["nodes"], lambda n: F.coalesce(n["cond"] == INVALID, F.lit(False))))
+
+
+def fold_trees(rules: Column, text: Column, ltext: Column) -> Column:
+    """Ordered evaluation of packed rule trees against one text: struct(prev,
+    score, tot, statuses)."""
     init = F.struct(F.lit(False).alias("prev"), F.lit(0.0).alias("score"), F.lit(0.0).alias("tot"),
                     F.array().cast("array<string>").alias("statuses"))
 
     def step(acc, r):
         signed = F.when(r["neg"], -r["weight"]).otherwise(r["weight"])
-        return let(_tree_value(r, F.col(text_col), F.col("__lt"), acc["prev"]), lambda m: F.struct(
+        return let(_tree_value(r, text, ltext, acc["prev"]), lambda m: F.struct(
             m.alias("prev"),
             (acc["score"] + F.when(m, signed).otherwise(F.lit(0.0))).alias("score"),
             (acc["tot"] + F.when(r["neg"], F.lit(0.0)).otherwise(r["weight"])).alias("tot"),
             F.array_append(acc["statuses"], F.when(m, "match").otherwise("unmatch")).alias("statuses")))
+    return F.aggregate(rules, init, step)
+
 
-    bad = F.exists("rules", lambda r: F.exists(r["nodes"], lambda n: F.coalesce(n["cond"] == INVALID, F.lit(False))))
-    j = j.select(*keys, bad.alias("__bad"), F.aggregate(F.col("rules"), init, step).alias("__r"))
+def keyword_tree_scores(responses: DataFrame, nodes: DataFrame,
+                        keys=("model", "case_id", "sample_no"), text_col: str = "text") -> DataFrame:
+    """Keyword score per response for rule trees of any depth (node table
+    from ``sources.readers.keyword_nodes``); same plan as ``keyword_scores``:
+    packed per case, one fold per row."""
+    packed = pack_rule_trees(nodes)
+    j = responses.select(*keys, text_col).join(packed, "case_id")
+    j = j.select(*keys, text_col, "rules", F.lower(F.col(text_col)).alias("__lt"))
+    j = j.select(*keys, bad_trees(F.col("rules")).alias("__bad"),
+                 fold_trees(F.col("rules"), F.col(text_col), F.col("__lt")).alias("__r"))
     return j.select(*keys, *_result())

@@ -23,9 +23,11 @@ CASE_KEYS = ("model", "case_id")
 
 
 def combine_metrics(metric_scores: DataFrame, keys=SAMPLE_KEYS) -> DataFrame:
-    """Sum of metric scores and of metric totals per sample."""
+    """Sum of metric scores and of metric totals per sample; with an ``error``
+    of its metrics where the column exists."""
+    error = [F.max("error").alias("error")] if "error" in metric_scores.columns else []
     return metric_scores.groupBy(*keys).agg(
-        F.sum("score").alias("ans"), F.sum("tot").alias("tot"))
+        F.sum("score").alias("ans"), F.sum("tot").alias("tot"), *error)
 
 
 def clip_normalise(sample_scores: DataFrame, cases: DataFrame, keys=SAMPLE_KEYS) -> DataFrame:
@@ -33,7 +35,8 @@ def clip_normalise(sample_scores: DataFrame, cases: DataFrame, keys=SAMPLE_KEYS)
     floors it, then ``now = ans / tot * full_score``.
 
     ``cases`` carries case_id, full_score and optional max_score/min_score.
-    A zero total yields ``now = null`` and ``error = 'zero_total'``."""
+    A zero total yields ``now = null`` and ``error = 'zero_total'``; an
+    ``error`` that the samples have already stays."""
     cols = set(cases.columns)
     mx = F.col("max_score") if "max_score" in cols else F.lit(None).cast("double")
     mn = F.col("min_score") if "min_score" in cols else F.lit(None).cast("double")
@@ -44,8 +47,10 @@ def clip_normalise(sample_scores: DataFrame, cases: DataFrame, keys=SAMPLE_KEYS)
     ans = F.when(F.col("max_score").isNotNull(), F.least(F.col("ans"), F.col("max_score"))).otherwise(F.col("ans"))
     ans = F.when(F.col("min_score").isNotNull(), F.greatest(ans, F.col("min_score"))).otherwise(ans)
     now = F.try_divide(ans, tot) * F.col("full_score")
-    return j.select(*keys, ans.alias("ans"), tot.alias("tot"), now.alias("now"), "full_score",
-                    F.when(tot == 0, F.lit("zero_total")).alias("error"))
+    error = F.when(tot == 0, F.lit("zero_total"))
+    if "error" in sample_scores.columns:
+        error = F.coalesce(F.col("error"), error)
+    return j.select(*keys, ans.alias("ans"), tot.alias("tot"), now.alias("now"), "full_score", error.alias("error"))
 
 
 def parse_mode(mode: str):
@@ -70,18 +75,26 @@ def bucket_best(scores: DataFrame, k: int, value: str = "now", keys=CASE_KEYS) -
 
 def reduce_samples(scores: DataFrame, mode: str = "avg", value: str = "now",
                    keys=CASE_KEYS) -> DataFrame:
-    """Reduce per-sample scores to one score and std per case."""
+    """Reduce per-sample scores to one score and std per case. Where the samples
+    have an ``error``, so has their case (the last by name), and no score or std."""
     kind, k = parse_mode(mode)
+    failed = "error" in scores.columns
+    error = [F.max("error").alias("error")] if failed else []
     if kind == "avg_max":
-        b = bucket_best(scores, k, value, keys)
-        return b.groupBy(*keys).agg(
+        b = scores.groupBy(*keys, bucket_col(k).alias("bucket")).agg(F.max(value).alias("best"), *error)
+        out = b.groupBy(*keys).agg(
             F.avg("best").alias("now_score"),
             F.coalesce(F.stddev_samp("best"), F.lit(0.0)).alias("now_std"),
-            F.count(F.lit(1)).alias("n_buckets"))
-    agg = {"avg": F.avg, "max": F.max, "min": F.min}[kind]
-    return scores.groupBy(*keys).agg(
-        agg(value).alias("now_score"), F.lit(0.0).alias("now_std"),
-        F.count(F.lit(1)).alias("n_samples"))
+            F.count(F.lit(1)).alias("n_buckets"), *error)
+    else:
+        agg = {"avg": F.avg, "max": F.max, "min": F.min}[kind]
+        out = scores.groupBy(*keys).agg(
+            agg(value).alias("now_score"), F.lit(0.0).alias("now_std"),
+            F.count(F.lit(1)).alias("n_samples"), *error)
+    if not failed:
+        return out
+    sound = F.col("error").isNull()
+    return out.withColumns({c: F.when(sound, F.col(c)) for c in ("now_score", "now_std")})
 
 
 def weighted_totals(case_scores: DataFrame, cases: DataFrame) -> DataFrame:

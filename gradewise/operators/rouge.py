@@ -206,6 +206,65 @@ def best_scores(responses: DataFrame, references: DataFrame, rouge_types=DEFAULT
     return j.select(key, "case_id", F.inline(F.array(*[best(m) for m in rouge_types])))
 
 
+RULE_TYPES = DEFAULT_TYPES
+
+
+def pack_rule_references(references: DataFrame, tokenizer=rouge_tokens) -> DataFrame:
+    """references of similarity rules (case_id, rule_no, metric, ref_no, text) ->
+    one row per case with ``refs``: in order of rule and reference, each with what
+    its metric needs and null elsewhere; ``lost`` where there is no text."""
+    t = _hashed(references, ["case_id", "rule_no", "metric", "ref_no", "text"], RULE_TYPES, tokenizer)
+    for n in (1, 2):
+        t = t.withColumn(f"g{n}", F.when(F.col("metric") == f"rouge{n}", gram_counts(ngrams(F.col("t"), n))))
+    t = t.withColumn("s", F.when(F.col("metric") == "rougeLsum", F.col("s"))).withColumn(
+        "t", F.when(F.col("metric") == "rougeL", F.col("t")))
+    return t.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rule_no", "ref_no", "metric", F.col("text").isNull().alias("lost"), "g1", "g2", "t", "s"))).alias("refs"))
+
+
+def rules_in_row(j: DataFrame, text: Column, tokenizer=rouge_tokens) -> DataFrame:
+    """``j`` with ``sim``: struct(score, tot, error) of the similarity rules in
+    ``sims`` (array of metric, bounds, weight) against the packed ``refs`` of a case;
+    null where ``refs`` is null. The texts of other cases are not tokenised."""
+    here = F.col("refs").isNotNull()
+    j = j.withColumn("__t", F.when(here, hashes(tokenizer(text))))
+    j = j.withColumn("__p2", F.when(here, ngrams(F.col("__t"), 2))).withColumn("__s", F.when(here, _sentences(text, tokenizer)))
+
+    def of(metric, field):
+        return F.transform("refs", lambda r: F.when(r["metric"] == metric, r[field]).otherwise(F.array()))
+    j = j.withColumn("__L", _udfs()[0](of("rougeL", "t"), F.col("__t"))).withColumn(
+        "__Lsum", _udfs()[1](of("rougeLsum", "s"), F.col("__s")))
+
+    def total(sentences):
+        return F.aggregate(sentences, F.lit(0), lambda a, s: a + F.size(s))
+
+    def f1(r, i):
+        def by(hits, n_pred, n_ref):
+            return let(hits, lambda h: _prf(h, n_pred, n_ref)[0])
+        value = (F.when(r["metric"] == "rouge1", by(clipped_overlap(F.col("__t"), r["g1"]), F.size("__t"), r["g1"]["n"]))
+                 .when(r["metric"] == "rouge2", by(clipped_overlap(F.col("__p2"), r["g2"]), F.size("__p2"), r["g2"]["n"]))
+                 .when(r["metric"] == "rougeL", by(F.get("__L", i), F.size("__t"), F.size(r["t"])))
+                 .when(r["metric"] == "rougeLsum", by(F.get("__Lsum", i), total(F.col("__s")), total(r["s"]))))
+        return F.struct(r["rule_no"].alias("rule_no"), value.alias("f1"))
+
+    j = j.withColumn("__f", F.transform("refs", f1))
+
+    def rule(sim, k):
+        best = F.array_max(F.transform(F.filter("__f", lambda f: f["rule_no"] == k), lambda f: f["f1"]))
+        low, high = default_bounds(sim["metric"])
+        return F.struct((sim["weight"] * normalised(F.coalesce(best, F.lit(0.0)), F.coalesce(sim["min_score"], low),
+                                                    F.coalesce(sim["max_score"], high))).alias("score"), sim["weight"].alias("tot"))
+
+    def add(name):
+        return F.aggregate("__r", F.lit(0.0), lambda a, x: a + x[name])
+    unknown = F.filter("sims", lambda x: ~x["metric"].isin(*RULE_TYPES))
+    error = (F.when(F.size(unknown) > 0, F.concat(F.lit("unknown metric: "), F.get(unknown, F.lit(0))["metric"]))
+             .when(F.exists("refs", lambda r: r["lost"]), F.lit("reference text not found")))
+    j = j.withColumn("__r", F.transform("sims", rule))
+    return j.withColumn("sim", F.when(here, F.struct(add("score").alias("score"), add("tot").alias("tot"), error.alias("error")))) \
+        .drop("__t", "__p2", "__s", "__L", "__Lsum", "__f", "__r")
+
+
 def best_over_references(scores: DataFrame, key: str = "doc_id") -> DataFrame:
     """Multi-reference score: the reference with the highest F1 per metric."""
     best = F.max(F.struct("f1", "precision", "recall"))

@@ -103,8 +103,9 @@ def warnings(cases: DataFrame) -> DataFrame:
 
 def keyword_rules(cases: DataFrame) -> DataFrame:
     """Flat keyword rules of leaf-only rules (string, or content string):
-    case_id, rule_no, pattern, weight, to_lower, neg, cond, is_regex.
-    Nested and/or contents are left to ``functions.keywords.compile_rule_list``."""
+    case_id, rule_no, pattern, weight, to_lower, neg, cond, is_regex, error. A rule
+    with nested contents has no pattern here but an error (``keyword_nodes`` takes
+    rules of any depth), and ``keyword_scores`` gives its case that error."""
     rules = cases.select("case_id", F.posexplode(
         F.try_variant_get("grading", "$.keywords", "array<variant>")).alias("rule_no", "r"))
     is_obj = F.startswith(F.schema_of_variant("r"), F.lit("OBJECT"))
@@ -119,19 +120,21 @@ def keyword_rules(cases: DataFrame) -> DataFrame:
         F.coalesce(_v("r", "$.neg", "boolean"), F.lit(False)).alias("neg"),
         _v("r", "$.content.cond", "string").alias("cond"),
         F.coalesce(_v("r", "$.content.regex", "boolean"), F.lit(False)).alias("is_regex"),
-    ).where(F.col("pattern").isNotNull())
+        F.when(content.isNull(), F.lit("nested rule")).alias("error"))
 
 
 def read_responses(spark: SparkSession, responses_dir: str, manifest: DataFrame, model: str) -> DataFrame:
     """Response files joined to the manifest (case_path -> ordered file list).
 
     manifest: case_path, files array<string>. Output: model, case_path,
-    sample_no, text; files listed but absent simply do not join."""
+    sample_no, text, error. A file that is listed but absent is a row without text
+    and with an error."""
     files = spark.read.text(f"{responses_dir.rstrip('/')}/*.txt", wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     m = manifest.select("case_path", F.posexplode("files").alias("sample_no", "file"))
-    return m.join(files, "file").select(F.lit(model).alias("model"), "case_path",
-                                        F.col("sample_no").cast("int").alias("sample_no"), "text")
+    lost = F.when(F.col("text").isNull(), F.concat(F.lit("response file not found: "), "file"))
+    return m.join(files, "file", "left").select(F.lit(model).alias("model"), "case_path",
+                                                F.col("sample_no").cast("int").alias("sample_no"), "text", lost.alias("error"))
 
 
 def read_manifest(spark: SparkSession, params_path: str) -> DataFrame:
@@ -174,169 +177,26 @@ NODE_SCHEMA = ("case_id string, rule_no int, node_id int, parent_id int, op stri
 
 
 def _flatten_rules(batches):
-    """Keyword rule lists -> post-ordered node rows (children before
-    parents, root last with parent -1). ``regex`` is inherited downwards
-    and may be overridden on any node."""
-    from gradewise.functions.keywords import normalise_cond
+    """Keyword rule lists -> post-ordered node rows (``specs.flatten``)."""
+    from gradewise.sources.specs import keyword_rules as parse
     for pdf in batches:
         out = []
         for case_id, js in zip(pdf["case_id"], pdf["kw"]):
-            rules = json.loads(js) if js else []
-            rule_no = -1
-            for rule in rules:
-                rule_no += 1
-                if isinstance(rule, dict) and "post_handler" in rule:
-                    continue
-                if isinstance(rule, str):
-                    content, w, low, neg = rule, 1.0, False, False
-                else:
-                    content = rule.get("content")
-                    w = float(rule.get("weight", 1.0))
-                    low, neg = bool(rule.get("to_lower", False)), bool(rule.get("neg", False))
-                nodes = []
-
-                def walk(node, regex, parent_slot):
-                    if isinstance(node, str):
-                        nodes.append([None, parent_slot, "leaf", node, regex, None])
-                        return len(nodes) - 1
-                    regex = bool(node.get("regex", regex))
-                    op = "or" if "or" in node else "and" if "and" in node else "content"
-                    kids = node[op] if op != "content" else [node["content"]]
-                    me = len(nodes)
-                    nodes.append(None)  # placeholder, filled after the children
-                    child_slots = [walk(k, regex, me) for k in kids]
-                    nodes[me] = [child_slots, parent_slot, op, None, regex, normalise_cond(node.get("cond"))]
-                    return me
-
-                walk(content, False, -1)
-                # post-order numbering: children get smaller ids than parents
-                order, seen = [], set()
-
-                def post(slot):
-                    n = nodes[slot]
-                    if n[2] != "leaf":
-                        for c in n[0]:
-                            post(c)
-                    if slot not in seen:
-                        seen.add(slot)
-                        order.append(slot)
-
-                post(0)
-                new_id = {slot: k for k, slot in enumerate(order)}
-                for slot in order:
-                    n = nodes[slot]
-                    parent = -1 if n[1] == -1 else new_id[n[1]]
-                    out.append((case_id, rule_no, new_id[slot], parent, n[2], n[3], n[4], n[5], w, low, neg))
+            rules, _ = parse([r for r in json.loads(js) if not (isinstance(r, dict) and "post_handler" in r)], [])
+            out += [(case_id, r["rule_no"], n["node_id"], n["parent_id"], n["op"], n["pattern"], n["is_regex"], n["cond"],
+                     r["weight"], r["to_lower"], r["neg"]) for r in rules for n in r["nodes"]]
         yield pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
 
 def keyword_nodes(cases: DataFrame) -> DataFrame:
-    """Keyword rules of any nesting depth as a node table (see NODE_SCHEMA).
-    Parsing a rule list is a per-case Python helper; evaluation is native
-    (``operators.keywords.keyword_tree_scores``)."""
+    """Keyword rules of any nesting depth as a node table (NODE_SCHEMA), without
+    the post-handler, which ``sources.specs`` reads. Parsing a rule list is a per-case
+    Python helper; evaluation is native (``operators.keywords.keyword_tree_scores``)."""
     ship_package(cases.sparkSession)
     kw = cases.select("case_id", F.to_json(F.try_variant_get("grading", "$.keywords", "variant")).alias("kw"))
     return kw.where(F.col("kw").isNotNull()).mapInPandas(_flatten_rules, NODE_SCHEMA)
 
 
-def _specs(cases: DataFrame, kind: str) -> DataFrame:
-    """case_id and the JSON of one grading kind, where a case has it."""
-    spec = F.to_json(F.try_variant_get("grading", f"$.{kind}", "variant"))
-    return cases.select("case_id", spec.alias("spec")).where(F.col("spec").isNotNull())
-
-
-def _rows_of(fn, schema: str):
-    """``mapInPandas`` body: fn(spec) -> rows without the case id. A spec that
-    cannot be read becomes one row that holds the reason in ``error``."""
-    names = [c.split()[0] for c in schema.replace("array<struct<pattern string, is_regex boolean, cond string>>", "x").split(", ")]
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for case_id, js in zip(pdf["case_id"], pdf["spec"]):
-                try:
-                    out += [(case_id, *r, None) for r in fn(json.loads(js))]
-                except Exception as e:  # noqa: BLE001 - bad spec -> error row
-                    out.append((case_id, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=names).astype(object)
-    return run
-
-
-def _read_specs(cases: DataFrame, kind: str, fn, schema: str) -> DataFrame:
-    ship_package(cases.sparkSession)
-    return _specs(cases, kind).mapInPandas(_rows_of(fn, schema), schema)
-
-
-BLANK_TEMPLATE = "case_id string, template string, blank_str string, escape string, prefix string, error string"
-BLANK_TARGET = ("case_id string, target_no int, weight double, to_lower boolean, substr_match boolean, "
-                "alternatives array<struct<pattern string, is_regex boolean, cond string>>, error string")
-SIMILARITY_RULE = ("case_id string, rule_no int, metric string, min_score double, max_score double, weight double, "
-                   "ref_no int, content string, path string, error string")
-TEST_RULE = ("case_id string, test_no int, content string, path string, prefix string, prefix_path string, "
-             "cleanup_path string, weight double, timeout double, only_longest boolean, lang string, error string")
-CUSTOM_RULE = "case_id string, module string, func string, error string"
-
-
-def _template_rows(spec):
-    return [(spec["template"], spec.get("blank_str"), spec.get("escape"), spec.get("prefix"))]
-
-
-def _target_rows(spec):
-    for no, target in enumerate(spec["targets"]):
-        rule = target if isinstance(target, dict) else {"content": target}
-        content = rule["content"]
-        alts = [x if isinstance(x, dict) else {"content": x} for x in (content if isinstance(content, list) else [content])]
-        yield (no, float(rule.get("weight", 1.0)), bool(rule.get("to_lower", False)), bool(rule.get("substr_match", False)),
-               [(str(x["content"]), bool(x.get("regex", False)), x.get("cond")) for x in alts])
-
-
-def _similarity_rows(spec):
-    def number(x):
-        return None if x is None else float(x)
-    for no, rule in enumerate(spec):
-        for ref_no, ref in enumerate(rule["references"]):
-            text, path = (None, ref["path"]) if isinstance(ref, dict) else (str(ref), None)
-            yield (no, rule["metric"], number(rule.get("min_score")), number(rule.get("max_score")),
-                   float(rule.get("weight", 1.0)), ref_no, text, path)
-
-
-def _test_rows(spec):
-    for no, test in enumerate(spec["tests"]):
-        rule = test if isinstance(test, dict) else {"content": test}
-        timeout = rule.get("timeout")
-        yield (no, rule.get("content"), rule.get("path"), rule.get("prefix"), rule.get("prefix_path"), rule.get("cleanup_path"),
-               float(rule.get("weight", 1.0)), None if timeout is None else float(timeout),
-               bool(rule.get("only_longest", False)), spec.get("lang"))
-
-
-def _custom_rows(spec):
-    return [(spec["module"], spec["func"])]
-
-
-def blank_templates(cases: DataFrame) -> DataFrame:
-    """One blank template per case with ``blank_filling`` (BLANK_TEMPLATE)."""
-    return _read_specs(cases, "blank_filling", _template_rows, BLANK_TEMPLATE)
-
-
-def blank_targets(cases: DataFrame) -> DataFrame:
-    """The targets of those templates in order (BLANK_TARGET)."""
-    return _read_specs(cases, "blank_filling", _target_rows, BLANK_TARGET)
-
-
-def similarity_rules(cases: DataFrame) -> DataFrame:
-    """One row per similarity rule and reference, text inline or by path."""
-    return _read_specs(cases, "similarity", _similarity_rows, SIMILARITY_RULE)
-
-
-def test_rules(cases: DataFrame) -> DataFrame:
-    """One row per unit test (TEST_RULE); ``lang`` overrides the case's."""
-    return _read_specs(cases, "unit_test", _test_rows, TEST_RULE)
-
-
-def custom_rules(cases: DataFrame) -> DataFrame:
-    return _read_specs(cases, "customized", _custom_rows, CUSTOM_RULE)
-
-
 def unpack_batch_csv(rows: DataFrame) -> DataFrame:
     """Batch CSV rows -> per-sample responses: the sample index of a case is
     its arrival order among the rows of that case (``input_pos``), numbered

@@ -72,7 +72,10 @@ def test_suite_cases_manifest_and_grade(spark):
     cs = cs.withColumn("case_path", F.regexp_extract("case_path", r"(cases/[^/]+)$", 1))
     m = readers.read_manifest(spark, f"{d}/resp/params.yaml")
     resp = readers.read_responses(spark, f"{d}/resp", m, "m1")
-    assert resp.count() == 5  # the listed-but-missing file does not join
+    lost = resp.where("error is not null").collect()  # listed but missing
+    assert [(r.case_path, r.sample_no, r.error) for r in lost] == [("cases/eval_b.yaml", 2, "response file not found: eval_b_9.txt")]
+    resp = resp.where("error is null")
+    assert resp.count() == 5
     rules = readers.keyword_rules(cs)
     assert rules.count() == 4
     from gradewise.operators import keywords as kw
