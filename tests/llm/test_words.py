@@ -19,7 +19,7 @@ def test_equal_words_equal_hashes(monkeypatch):
     monkeypatch.setattr(w, "_SEGMENT", 700)
     assert np.array_equal(h, w.word_hashes(w.lowered(text)))
     assert len(w.word_hashes(b"")) == len(w.word_hashes(b" \n ")) == 0
-    assert len(w.word_hashes(b"x" * 2000)) == 3  # a word beyond a segment is cut
+    assert len(w.word_hashes(b"x" * 2000)) == 1  # a word beyond a segment stays whole
 
 
 def test_words_beyond_a_segment():
