@@ -71,6 +71,27 @@ def running_sum(df: DataFrame, group_cols, order_col: str, value_col,
     return d.withColumn(out_col, res).drop(blk, "__v", "__in", "__off")
 
 
+def arrival_index(df: DataFrame, group_cols, out_col: str, place: str = "place") -> DataFrame:
+    """Add ``out_col`` = position (from 0) of the row in its group by arrival.
+    ``place`` is the struct (file, block, row) that ``sources.readers.arrival`` gives:
+    files by path, in a file the blocks by their start, in a block the rows as read.
+
+    Rows are numbered inside (group, file, block, stretch of rows); a stretch's offset is the
+    running total of the counts before it, a table thousands of times smaller. No group, file
+    or block has to fit one task."""
+    group_cols = list(group_cols)
+    at = [F.col(place)[c].alias(f"__{c}") for c in ("file", "block", "row")]
+    d = df.select("*", *at).withColumn("__stretch", F.floor(F.col("__row") / F.lit(DEFAULT_BLOCK)))
+    part = ["__file", "__block", "__stretch"]
+    inside = Window.partitionBy(*group_cols, *part).orderBy("__row")
+    d = d.withColumn("__in", F.row_number().over(inside))
+    before = Window.partitionBy(*group_cols).orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = d.groupBy(*group_cols, *part).agg(F.count("*").alias("__n")).withColumn(
+        "__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    d = d.join(offsets, on=group_cols + part)
+    return d.withColumn(out_col, F.col("__off") + F.col("__in") - 1).drop("__row", "__in", "__off", *part)
+
+
 def previous_in_order(df: DataFrame, group_cols, order_col: str, value_cols,
                       prefix: str = "prev_", block_width: int = DEFAULT_BLOCK) -> DataFrame:
     """``lag(value) OVER (PARTITION BY g ORDER BY o)`` for each value column,

@@ -15,6 +15,9 @@ from gradewise.functions.text import as_col
 # Default test timeout (seconds) per language.
 DEFAULT_TIMEOUT = {"python": 10, "cpp": 60, "javascript": 10, "typescript": 20, "java": 10,
                    "go": 20, "rust": 300, "sql": 10, "c#": 20, "r": 20}
+# Default number of parallel test workers per language.
+DEFAULT_WORKERS = {"python": 4, "cpp": 4, "javascript": 4, "typescript": 4, "java": 1,
+                   "go": 4, "rust": 1, "sql": 1, "c#": 4, "r": 4}
 # Language aliases accepted by the unit-test grader, and their canonical name.
 LANG_ALIASES = {
     "python": "python",
@@ -40,6 +43,11 @@ def default_timeout(lang) -> Column:
     return F.element_at(m, as_col(lang)).cast("double")
 
 
+def default_workers(lang) -> Column:
+    m = F.create_map(*[F.lit(x) for kv in DEFAULT_WORKERS.items() for x in kv])
+    return F.element_at(m, as_col(lang))
+
+
 def exec_status(return_code, stdout, stderr, timed_out, lang) -> Column:
     """Status string of one run: ``time out``, ``failed: returncode: N msg``
     or ``passed msg`` where msg prefers stderr over stdout; Go reports only
@@ -92,6 +100,23 @@ def pass_at_k(outcomes: DataFrame, ks=(1, 10, 100), task: str = "case_id") -> Da
             .where(F.col("min_n") >= F.col("k")).select("k", "pass_at_k"))
 
 
+COMPLETION_BLOCK = 1 << 12
+
+
+def completions_in_order(outcomes: DataFrame, task: str = "case_id", completion: str = "sample_no",
+                         value: str = "passed", block: int = COMPLETION_BLOCK) -> DataFrame:
+    """The completions of each task in order of their id, in lists of at most
+    ``block`` ids: task, block, first_id, last_id, completions (array of struct(id, value)).
+
+    Ids are cut into ranges of ``block`` values; a (task, range) is a group of its own, so a
+    task with most of the completions is many rows, sorted in many tasks, never one."""
+    at = F.floor(F.col(completion) / F.lit(block)).cast("long").alias("block")
+    item = F.struct(F.col(completion).alias("id"), F.col(value).alias(value))
+    d = outcomes.groupBy(task, at).agg(F.array_sort(F.collect_list(item)).alias("completions"))
+    return d.select(task, "block", F.element_at("completions", 1)["id"].alias("first_id"),
+                    F.element_at("completions", -1)["id"].alias("last_id"), "completions")
+
+
 def preview(result, n: int = 40) -> Column:
     """First ``n`` characters of an execution result (log preview)."""
     return F.left(as_col(result), F.lit(n))

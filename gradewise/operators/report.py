@@ -8,7 +8,7 @@ sections in a single pass over the bucket table; the second level works on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 SECTION_ORDER = {"total": 0, "lang": 1, "type": 2, "metric": 3}
@@ -42,10 +42,12 @@ def by_attribute(bucket_best: DataFrame, case_scores: DataFrame, cases: DataFram
 def rollup(bucket_best: DataFrame, case_scores: DataFrame, cases: DataFrame) -> DataFrame:
     """Total, per-language and per-type sections in one GROUPING SETS pass.
 
-    Output: model, dimension ('total'|'lang'|'type'), key, mean, std, full, freq.
-    Cases without a language or type have the key ``unknown`` there."""
+    Output: model, dimension ('total'|'lang'|'type'), key, mean, std, full, freq, and
+    where ``cases`` has ``case_no`` also ``first_case``, the first of the key's cases in
+    the suite. Cases without a language or type have the key ``unknown`` there."""
+    numbered = ["case_no"] if "case_no" in cases.columns else []
     attrs = cases.select("case_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
-                         F.coalesce("qtype", F.lit(UNKNOWN)).alias("qtype"), "full_score")
+                         F.coalesce("qtype", F.lit(UNKNOWN)).alias("qtype"), "full_score", *numbered)
 
     def label(df):
         dim = (F.when(F.grouping("lang") == 0, F.lit("lang"))
@@ -68,7 +70,7 @@ def rollup(bucket_best: DataFrame, case_scores: DataFrame, cases: DataFrame) ->
                         "model", "lang", "qtype")
     dim2, key2 = label(fc)
     fulls = fc.agg(F.sum("full_score").alias("full_total"), F.count(F.lit(1)).alias("freq"),
-                   dim2.alias("dimension"), key2.alias("key"))
+                   *[F.min("case_no").alias("first_case") for _ in numbered], dim2.alias("dimension"), key2.alias("key"))
     return stats.join(fulls, ["model", "dimension", "key"])
 
 
@@ -83,9 +85,35 @@ def ratios(report: DataFrame) -> DataFrame:
         F.try_divide(F.col("full_total"), total_full).alias("allocation"))
 
 
-def pivot_models(report: DataFrame, models, value: str = "mean") -> DataFrame:
-    """Side-by-side columns, one per model of the given list."""
-    models = list(models)
+def section_order(dimension) -> Column:
+    order = F.lit(len(SECTION_ORDER))
+    for name, place in SECTION_ORDER.items():
+        order = F.when(dimension == name, place).otherwise(order)
+    return order
+
+
+def in_order(report: DataFrame) -> DataFrame:
+    """The report with ``place``: its order within a model, sections as in
+    SECTION_ORDER, then full score descending, ties by first appearance in the suite."""
+    w = Window.partitionBy("model").orderBy(section_order(F.col("dimension")), F.desc("full_total"), "first_case", "key")
+    return report.withColumn("place", F.row_number().over(w))
+
+
+# Models that a side-by-side report takes as columns at most.
+MAX_MODELS = 1000
+
+
+def model_names(report: DataFrame) -> list[str]:
+    """The models of a report by name; more than MAX_MODELS are an error."""
+    names = [r.model for r in report.select("model").distinct().orderBy("model").limit(MAX_MODELS + 1).collect()]
+    if len(names) > MAX_MODELS:
+        raise ValueError(f"over {MAX_MODELS} models: name those to set side by side")
+    return names
+
+
+def pivot_models(report: DataFrame, models=None, value: str = "mean") -> DataFrame:
+    """Side-by-side columns, one per model of the given list, or of all models."""
+    models = model_names(report) if models is None else list(models)
     return (report.where(F.col("model").isin(models))
             .groupBy("dimension", "key").pivot("model", models).agg(F.max(value)))
 
@@ -134,10 +162,10 @@ def to_text(rows, models, csv: bool = False) -> str:
     return "\n".join([rule, out[0], rule] + out[1:] + [rule])
 
 
-def by_metric(metric_scores: DataFrame, cases: DataFrame, k: int, negatives: bool = False) -> DataFrame:
+def by_metric(metric_scores: DataFrame, cases: DataFrame, k: int, negatives: bool = True) -> DataFrame:
     """Per-metric section: for every bucket the best sample by raw total
-    (last wins ties; negatives win only with ``negatives``, without it a case
-    whose last bucket has no other drops out) contributes its metric scores,
+    (its true maximum, last wins ties; without ``negatives``, as once, a case whose
+    last bucket has only negative totals drops out) contributes its metric scores,
     rescaled by full_score / case total, where the case total is the metric
     total of the best sample of the case's last bucket (or max_score). The
     metric's full score is that last best sample's metric total, rescaled;

@@ -64,8 +64,17 @@ def is_qa(grading_keys) -> F.Column:
 
 def prompt_table(cases: DataFrame, qa: F.Column, content: F.Column, end_newline: bool = False,
                  tokenizer=rouge_tokens) -> DataFrame:
-    """Prompt rows: system prompt + newline + content (+ newline), token count."""
+    """Prompt rows for CSV: system prompt, ``content_prompt`` (the content alone),
+    ``prompt`` = system prompt + newline + content (+ newline), and the number of
+    tokens of system prompt + newline + content."""
+    d = bare_prompt_table(cases, qa, content, tokenizer).withColumnRenamed("prompt", "content_prompt")
+    prompt = F.concat("system_prompt", F.lit("\n"), "content_prompt", F.lit("\n" if end_newline else ""))
+    return d.select(*cases.columns, "system_prompt", "content_prompt", prompt.alias("prompt"), "n_token")
+
+
+def bare_prompt_table(cases: DataFrame, qa: F.Column, content: F.Column, tokenizer=rouge_tokens) -> DataFrame:
+    """Prompt rows for Parquet: the system prompt apart and ``prompt`` the bare
+    content; ``n_token`` counts both."""
     system = F.when(qa, F.lit(QA_SYSTEM_PROMPT)).otherwise(F.lit(CODE_SYSTEM_PROMPT))
-    prompt = F.concat(system, F.lit("\n"), content, F.lit("\n" if end_newline else ""))
-    return cases.select("*", system.alias("system_prompt"), prompt.alias("prompt")).withColumn(
-        "n_token", F.size(tokenizer(F.col("prompt"))))
+    d = cases.select(*cases.columns, system.alias("system_prompt"), content.alias("prompt"))
+    return d.withColumn("n_token", F.size(tokenizer(F.concat("system_prompt", F.lit("\n"), "prompt"))))

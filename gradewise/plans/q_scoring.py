@@ -288,7 +288,8 @@ _METRIC_CTES = {
        "SELECT s.model, s.metric, round(mean, 6) AS mean, round(std, 6) AS std, CAST(n_buckets AS BIGINT) AS n_buckets, "
        "round(full_total, 6) AS full_total, CAST(freq AS BIGINT) AS freq FROM stm s JOIN fum f ON f.model = s.model AND f.metric = s.metric")
 def report_by_metric(spark, sf):
-    r = rp.by_metric(_metric_scores(spark, sf), cm.case_params(spark, sf), cm.K)
+    """Legacy form: negative totals never win. ``report_by_metric_max`` is the right one."""
+    r = rp.by_metric(_metric_scores(spark, sf), cm.case_params(spark, sf), cm.K, negatives=False)
     return r.select("model", "metric", rnd("mean").alias("mean"), rnd("std").alias("std"),
                     big("n_buckets").alias("n_buckets"), rnd("full_total").alias("full_total"), big("freq").alias("freq"))
 
@@ -300,7 +301,7 @@ def report_by_metric(spark, sf):
        "round(full_total, 6) AS full_total, CAST(freq AS BIGINT) AS freq FROM stm s JOIN fum f ON f.model = s.model AND f.metric = s.metric")
 def report_by_metric_max(spark, sf):
     """``report_by_metric`` with the true maximum of every bucket (T10)."""
-    r = rp.by_metric(_metric_scores(spark, sf), cm.case_params(spark, sf), cm.K, negatives=True)
+    r = rp.by_metric(_metric_scores(spark, sf), cm.case_params(spark, sf), cm.K)
     return r.select("model", "metric", rnd("mean").alias("mean"), rnd("std").alias("std"),
                     big("n_buckets").alias("n_buckets"), rnd("full_total").alias("full_total"), big("freq").alias("freq"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradewise.functions.text import path_stem
 from gradewise.session import ship_package
@@ -101,6 +101,13 @@ def warnings(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", w.alias("warning")).where(F.col("warning").isNotNull())
 
 
+def score_warnings(samples: DataFrame) -> DataFrame:
+    """A warning for every sample whose score, after its bounds, is negative
+    (samples: model, case_id, sample_no, ans as from ``reduce.clip_normalise``)."""
+    text = F.concat(F.lit("negative score: "), F.round("ans", 6).cast("string"))
+    return samples.where(F.col("ans") < 0).select("model", "case_id", "sample_no", text.alias("warning"))
+
+
 def keyword_rules(cases: DataFrame) -> DataFrame:
     """Flat keyword rules of leaf-only rules (string, or content string):
     case_id, rule_no, pattern, weight, to_lower, neg, cond, is_regex, error. A rule
@@ -147,14 +154,24 @@ def read_manifest(spark: SparkSession, params_path: str) -> DataFrame:
 CSV_SCHEMA = "filename string, completion string"
 
 
-def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Batch-inference CSV (filename, completion); ``input_pos`` keeps file
-    order for the sample index; a null completion becomes ''."""
+def arrival() -> Column:
+    """The place of a row of a file source: struct(file, block, row). The path of
+    its file, the start of its block in there, and a number that grows with the rows of
+    a block. Ordering by it is arrival order over any number of files, however they
+    are dealt to tasks."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def read_batch_csv(spark: SparkSession, path) -> DataFrame:
+    """Batch-inference CSV (filename, completion), one file or several; ``place``
+    (see ``arrival``) keeps the order of files and rows for the sample index, and
+    ``input_pos`` that of the rows of a file; a null completion becomes ''."""
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
           .schema(CSV_SCHEMA).csv(path))
     return df.select("filename", F.coalesce("completion", F.lit("")).alias("completion"),
                      F.col("completion").isNull().alias("was_null"),
-                     F.monotonically_increasing_id().alias("input_pos"))
+                     F.monotonically_increasing_id().alias("input_pos"), arrival().alias("place"))
 
 
 def read_batch_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -199,11 +216,10 @@ def keyword_nodes(cases: DataFrame) -> DataFrame:
 
 def unpack_batch_csv(rows: DataFrame) -> DataFrame:
     """Batch CSV rows -> per-sample responses: the sample index of a case is
-    its arrival order among the rows of that case (``input_pos``), numbered
-    with the skew-safe blocked index. Output: case_path, sample_no, text,
-    was_null."""
-    from gradewise.operators.indexing import ordered_index
-    d = ordered_index(rows, ["filename"], "input_pos", "sample_no")
+    its arrival order (``place``) among the rows of that case. Output: case_path,
+    sample_no, text, was_null."""
+    from gradewise.operators.indexing import arrival_index
+    d = arrival_index(rows, ["filename"], "sample_no")
     return d.select(F.col("filename").alias("case_path"), F.col("sample_no").cast("int").alias("sample_no"),
                     F.col("completion").alias("text"), "was_null")
 

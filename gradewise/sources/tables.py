@@ -45,9 +45,14 @@ def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     return df.repartition(target) if n < target else df
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder path in the cluster's shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the cluster's shared folder and read
     back: its lineage ends there, and the planner knows its size."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

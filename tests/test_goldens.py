@@ -306,9 +306,9 @@ def test_by_metric_negative_last_bucket(spark):
                                     ("m", "a", 2, "kw", -3.0, 4.0), ("m", "a", 3, "kw", -1.0, 4.0)],
                                    "model string, case_id string, sample_no int, metric string, score double, tot double")
     cases = spark.createDataFrame([("a", 1.0, None)], "case_id string, full_score double, max_score double")
-    r = by_metric(scores, cases, 2, negatives=True).collect()
+    r = by_metric(scores, cases, 2).collect()
     assert [(x.mean, x.n_buckets, x.full_total, x.freq) for x in r] == [((0.5 - 0.25) / 2, 2, 1.0, 1)]
-    assert by_metric(scores, cases, 2).isEmpty()
+    assert by_metric(scores, cases, 2, negatives=False).isEmpty()
 
 
 def test_whole_text_blank_queries(spark, tmp_path):
