@@ -5,22 +5,17 @@ A text becomes a row of tokens in which numbers, units behind numbers and names
 are typed placeholders and every other word is lower-cased; punctuation only
 tells where sentences start. All windows of ``WINDOW`` tokens of all documents
 are hashed and joined to the windows of the benchmark items. Matches are
-grouped by (document, item, diagonal). Inside a group every slot of the item
+grouped by (document, item, diagonal). Inside a group every changed slot of the item
 must be filled alike wherever its value occurs (the same number of the item is
-always the same number of the document); groups that fail are no copies of the
-question with new parameters. A document is contaminated by an item when the
-windows of its consistent groups cover enough of the item: ``contaminated``.
-
-``leaked``, which the query and the pipeline use, adds to this template rule
-what is copied word for word. Windows of few literal words match on their raw
-tokens; windows without a changed slot count whatever the other slots of the
-group are; changed slots need to be filled alike among themselves only; and a
-run of ``RUN`` tokens is enough whatever share of the item it is.
+always the same number of the document); of other groups only the windows without a
+changed slot count. A document contains an item when the windows of its groups cover
+enough of it, or when a run of ``RUN`` tokens is copied, whatever share of the item
+that is. Windows of few literal words match on their raw tokens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradewise.llm import common
 
@@ -28,166 +23,112 @@ WINDOW = 8
 MIN_LITERALS = 4      # words that are no placeholders, for a window to count
 MIN_COVER = 0.3
 RUN = 13              # tokens in a row that are a copy whatever their share
-BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 # Tokens, sentence marks and units.
-TOKEN = r"\p{L}+|\p{N}+(?:[.,]\p{N}+)*|[.!?:;\n%$€£]"
+WORD, NUMBER = r"\p{L}+", r"\p{N}+(?:[.,]\p{N}+)*"
 MARKS = [".", "!", "?", ":", ";", "\n"]
-UNITS = ["%", "$", "€", "£", "mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "min", "h", "hr", "hours",
+SIGNS = ["%", "$", "€", "£"]
+UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "min", "h", "hr", "hours",
          "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "dollars", "euros", "cents",
          "percent", "degrees", "meters", "metres", "liters", "litres", "grams", "pounds", "ounces"]
+# Placeholders and the mark before a sentence's first word: characters for private use, blank in texts.
+NUM, UNIT, NAME, START = "\ue000", "\ue001", "\ue002", "\ue003"
+KINDS = [NUM, UNIT, NAME]
+# What stands between tokens.
+_GAP = rf"[^\p{{L}}\p{{N}}.!?:;\n{NUM}{UNIT}{NAME}{START}]*"
 
 
 def tokens(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``text``) plus ``raw`` and ``canon`` token arrays."""
-    all_ = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN), F.lit(0))
-    marks, units = F.array(*map(F.lit, MARKS)), F.array(*map(F.lit, UNITS))
-
-    def one(w, i):
-        before = F.when(i > 0, F.get(F.col("__all"), i - 1))
-        low = F.lower(w)
-        number = w.rlike(r"^\p{N}")
-        after_number = before.rlike(r"^\p{N}")
-        unit = F.array_contains(units, low) & (after_number | w.rlike(r"^[%$€£]"))
-        starts = before.isNull() | F.array_contains(marks, before)
-        name = (w != low) & (F.length(w) > 1) & (F.substring(w, 2, 1 << 30) == F.substring(low, 2, 1 << 30)) & ~starts
-        return F.when(number, "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(low)
-
-    kept = F.filter(F.arrays_zip(F.col("__all").alias("raw"), F.col("__canon").alias("canon")),
-                    lambda p: ~F.array_contains(marks, p["raw"]))
-    return (rows.withColumn("__all", all_).withColumn("__canon", F.transform("__all", one))
-            .withColumn("__kept", kept).withColumn("raw", F.col("__kept.raw")).withColumn("canon", F.col("__kept.canon"))
-            .drop("__all", "__canon", "__kept"))
-
-
-def windows(rows: DataFrame, size: int, *keep: str) -> DataFrame:
-    """One row per window of ``size`` tokens: place, hash, raw tokens."""
-    last = F.size("canon") - size
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    at = rows.select(*keep, "raw", "canon", F.explode(places).alias("pos"))
-    return at.select(*keep, "pos", F.xxhash64(F.slice("canon", F.col("pos") + 1, size)).alias("h"),
-                     F.slice("raw", F.col("pos") + 1, size).alias("raw"),
-                     F.slice("canon", F.col("pos") + 1, size).alias("canon"))
-
-
-def item_windows(benchmark: DataFrame, size: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """Windows of the items that hold at least ``min_literals`` literal words;
-    an item shorter than ``size`` is one window of its own length."""
-    own = tokens(benchmark.where("text is not null").select("item_id", "text")).where(F.size("canon") > 0)
-    whole = own.where(F.size("canon") < size).select(
-        "item_id", F.lit(0).alias("pos"), F.size("canon").alias("len"), F.xxhash64("canon").alias("h"), "raw", "canon")
-    rows = windows(own, size, "item_id").select("item_id", "pos", F.lit(size).alias("len"), "h", "raw", "canon")
-    literals = F.size(F.filter("canon", lambda w: ~w.startswith("<")))
-    return rows.unionByName(whole).where(literals >= min_literals)
+    """``rows`` (with ``text``) plus, token by token, ``low`` (lower case) and
+    ``canon`` (lower case or a placeholder). Tokens are runs of letters, numbers and signs;
+    a unit is a sign, or a unit's name behind a number; a name is a capitalised word
+    (a capital and then letters that are none) that starts no sentence. Whole texts are
+    rewritten by patterns, one after another; no token is looked at on its own."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\u0130"), F.lit("I"))  # its lower case is two characters
+    for c in (*KINDS, START):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    low = F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}|{NUMBER}|[{''.join(SIGNS)}]"), F.lit(0))
+    t = F.regexp_replace(text, NUMBER, NUM)
+    t = F.regexp_replace(t, f"[{''.join(SIGNS)}]", UNIT)
+    t = F.regexp_replace(t, rf"(?iu){NUM}({_GAP})(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})", f"{NUM}$1{UNIT}")
+    t = F.regexp_replace(t, rf"(^|[.!?:;\n])({_GAP})(?=\p{{L}})", f"$1$2{START}")
+    t = F.regexp_replace(t, rf"[\p{{Lu}}\p{{Lt}}](?<![\p{{L}}{START}].)[^\P{{L}}\p{{Lu}}\p{{Lt}}]++(?!\p{{L}})", NAME)
+    canon = F.regexp_extract_all(F.lower(t), F.lit(rf"{WORD}|[{''.join(KINDS)}]"), F.lit(0))
+    return rows.withColumn("low", low).withColumn("canon", canon)
+
+
+def _windows(rows: DataFrame, sizes: list[int], min_literals: int) -> DataFrame:
+    """``rows`` (from ``tokens``) once for every window of every size: ``len``,
+    ``pos``, ``few`` (under ``min_literals`` literals) and the key ``h``, a hash of the
+    canonical tokens, or of the lower-cased ones in windows of few literals."""
+    def places(n):
+        last = F.size("canon") - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda p: F.struct(F.lit(n).alias("len"), p.alias("pos")))) \
+            .otherwise(F.array().cast("array<struct<len:int,pos:int>>"))
+    if len(sizes) == 1:  # the usual case: plain numbers instead of pairs
+        last = F.size("canon") - sizes[0]
+        at = rows.select("*", F.lit(sizes[0]).alias("len"), F.explode(
+            F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))).alias("pos"))
+    else:
+        at = rows.select("*", F.explode(F.flatten(F.array(*[places(n) for n in sizes]))).alias("__at")).select(
+            "*", "__at.len", "__at.pos").drop("__at")
+    words = F.array_join(cut("canon"), "")
+    literal = words
+    for c in KINDS:
+        literal = F.replace(literal, F.lit(c), F.lit(""))
+    few = F.col("len") - (F.length(words) - F.length(literal)) < min_literals
+    return at.withColumn("few", few).withColumn("h", F.xxhash64(F.when(F.col("few"), cut("low")).otherwise(cut("canon"))))
+
+
+def cut(c: str) -> Column:
+    """The window's part of a token array."""
+    return F.slice(c, F.col("pos") + 1, F.col("len"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_cover: float = MIN_COVER,
-                 min_literals: int = MIN_LITERALS) -> DataFrame:
+def leaked(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_cover: float = MIN_COVER,
+           min_literals: int = MIN_LITERALS, run: int = RUN) -> DataFrame:
     """(row id, doc_id, tkey, item_id, windows, item_windows, cover,
     first_token, new_slots): one row per document and item that it contains.
 
-    ``new_slots`` counts slots whose value differs from the item's: 0 means a
+    ``windows`` and ``item_windows`` count all windows of the item; an item counts as
+    found by its share of them, by its share of those with ``min_literals``, or by a
+    run. ``new_slots`` counts slots whose value differs from the item's: 0 means a
     verbatim copy, more a copy with other parameters. Null and empty texts and
-    items match nothing; repeated rows give repeated results (``row_id``
-    tells them apart); null doc_ids pass; other columns are ignored; an empty
-    table on either side gives an empty result."""
+    items match nothing; an item shorter than ``size`` is one window of its own
+    length; repeated rows give repeated results (``row_id`` tells them apart);
+    null doc_ids pass; other columns are ignored; an empty table on either side
+    gives an empty result. Every text is tokenised once, for windows of all lengths."""
     spark = docs.sparkSession
-    items = common.written(item_windows(benchmark, size, min_literals), "item-windows")
-    sizes = [(r.len, r.n) for r in items.groupBy("len").agg(F.count("*").alias("n")).collect()]
-    per_item = items.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows"))
-    small = sum(n for _, n in sizes) <= BROADCAST_WINDOWS
-    rows = tokens(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-                  .withColumn("row_id", F.monotonically_increasing_id()))
-    sides = items.select(F.col("item_id"), F.col("pos").alias("item_pos"), "h", "len",
-                         F.col("raw").alias("item_raw"), F.col("canon").alias("item_canon"))
-    met = None
-    for length, _ in sizes:  # at most ``size`` different lengths
-        mine = sides.where(F.col("len") == length)
-        # a table of checked size is broadcast; a larger one meets the windows by shuffling hashes
-        mine = F.broadcast(mine) if small else mine
-        got = windows(rows, length, "row_id", "doc_id", "tkey").join(mine, "h").where(F.col("canon") == F.col("item_canon"))
-        met = got if met is None else met.unionByName(got)
-    if met is None:
-        return spark.createDataFrame(
-            [], "row_id long, doc_id long, tkey long, item_id long, windows int, item_windows long, cover double, "
-                "first_token int, new_slots long")
-    slots = F.filter(F.arrays_zip("item_canon", "item_raw", "raw"), lambda s: s["item_canon"].startswith("<"))
-    pair = F.transform(slots, lambda s: F.struct(s["item_canon"].alias("kind"), F.lower(s["item_raw"]).alias("was"),
-                                                 F.lower(s["raw"]).alias("now")))
-    groups = (met.select("row_id", "doc_id", "tkey", "item_id", "item_pos", "pos", pair.alias("slots"))
-              .groupBy("row_id", "doc_id", "tkey", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-              .agg(F.collect_set("item_pos").alias("places"), F.min("pos").alias("first_token"),
-                   F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
-    filled = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"])))
-    consistent = F.size(filled) == F.size("slots")
-    found = (groups.where(consistent).groupBy("row_id", "doc_id", "tkey", "item_id")
-             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"),
-                  F.min("first_token").alias("first_token"),
-                  F.sum(F.size(F.filter("slots", lambda s: s["was"] != s["now"]))).alias("new_slots")))
-    return (found.join(per_item, "item_id").withColumn("cover", F.col("windows") / F.col("item_windows"))
-            .where(F.col("cover") >= min_cover)
-            .select("row_id", "doc_id", "tkey", "item_id", "windows", "item_windows", "cover", "first_token", "new_slots"))
-
-
-def _keyed(rows: DataFrame, size, min_literals: int) -> DataFrame:
-    """``rows`` (raw, canon, low, flags, pos) with the window's key ``h`` and
-    ``few``: windows of few literals are keyed by their raw tokens."""
-    def cut(c):
-        return F.slice(c, F.col("pos") + 1, size)
-
-    few = F.length(F.array_join(cut("flags"), "")) < min_literals
-    return rows.withColumn("few", few).withColumn(
-        "h", F.when(F.col("few"), F.xxhash64(cut("low"))).otherwise(F.xxhash64(cut("canon"))))
-
-
-def _marked(rows: DataFrame) -> DataFrame:
-    """``tokens`` plus lower-cased raw tokens and a mark for each literal."""
-    return tokens(rows).withColumn("low", F.transform("raw", F.lower)).withColumn(
-        "flags", F.transform("canon", lambda w: F.when(w.startswith("<"), "").otherwise("1")))
-
-
-def _placed(rows: DataFrame, size) -> DataFrame:
-    last = F.size("canon") - size
-    return rows.withColumn("pos", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
-        F.array().cast("array<int>"))))
-
-
-def leaked(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_cover: float = MIN_COVER,
-           min_literals: int = MIN_LITERALS, run: int = RUN) -> DataFrame:
-    """The columns of ``contaminated`` by its rule and those for verbatim
-    copies (see the module). ``windows`` and ``item_windows`` count all windows
-    of the item; an item counts as found by its share of them, by its share of
-    those with ``min_literals``, or by a run. Rows as in ``contaminated``."""
-    spark = docs.sparkSession
-    own = _marked(benchmark.where("text is not null").select("item_id", "text")).where(F.size("canon") > 0)
-    own = own.withColumn("len", F.least(F.size("canon"), F.lit(size)))
-    length = F.col("len")
+    own = tokens(benchmark.where("text is not null").select("item_id", "text")).where(F.size("canon") > 0)
+    short = [r.n for r in own.select(F.size("canon").alias("n")).where(F.col("n") < size).distinct().collect()]  # under ``size`` numbers
+    sizes = sorted({*short, size})
+    whole = F.col("len") == F.least(F.size("canon"), F.lit(size))
     items = common.written(
-        _keyed(_placed(own, length), length, min_literals).select(
+        _windows(own, sizes, min_literals).where(whole).select(
             "item_id", F.col("pos").alias("item_pos"), "len", "h", F.col("few").alias("item_few"),
-            F.slice("canon", F.col("pos") + 1, length).alias("item_canon"),
-            F.slice("low", F.col("pos") + 1, length).alias("item_low")).distinct(), "leak-windows")
-    sizes = [(r.len, r.n) for r in items.groupBy("len").agg(F.count("*").alias("n")).collect()]
-    if not sizes:
+            cut("canon").alias("item_canon"), cut("low").alias("item_low")).distinct(), "leak-windows")
+    words = F.array_join(F.concat("item_canon", "item_low"), " ")
+    n, bytes_ = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(words) + 200), F.lit(0))).first()
+    if not n:
         return spark.createDataFrame(
             [], "row_id long, doc_id long, tkey long, item_id long, windows int, item_windows long, cover double, "
                 "first_token int, new_slots long")
     literal = F.countDistinct(F.when(~F.col("item_few"), F.col("item_pos")))
     per_item = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), literal.alias("item_literal"))
-    small = sum(n for _, n in sizes) <= BROADCAST_WINDOWS
-    rows = _marked(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-                   .withColumn("row_id", F.monotonically_increasing_id())).drop("text", "raw")
-    met = None
-    for n, _ in sizes:  # at most ``size`` different lengths
-        mine = items.where(F.col("len") == n)
-        mine = F.broadcast(mine) if small else mine
-        at = _keyed(_placed(rows, n), n, min_literals).select(
-            "row_id", "doc_id", "tkey", "pos", "h", F.slice("canon", F.col("pos") + 1, n).alias("canon"),
-            F.slice("low", F.col("pos") + 1, n).alias("low"))
-        got = at.join(mine, "h").where((F.col("canon") == F.col("item_canon")) & (~F.col("item_few") | (F.col("low") == F.col("item_low"))))
-        met = got if met is None else met.unionByName(got)
+    rows = tokens(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
+                  .withColumn("row_id", F.monotonically_increasing_id())).drop("text")
+    # items of checked size are broadcast; larger ones meet the windows by shuffling their keys
+    mine = items.withColumnRenamed("len", "item_len")
+    mine = F.broadcast(mine) if bytes_ <= BROADCAST_BYTES else mine
+    at = _windows(rows, sizes, min_literals).select("row_id", "doc_id", "tkey", "pos", "len", "h", cut("canon").alias("canon"), cut("low").alias("low"))
+    # joined on the key alone: arrays are cut and compared for hits only (as a range, since an
+    # equality would become part of the key)
+    equal = (F.col("canon") <= F.col("item_canon")) & (F.col("canon") >= F.col("item_canon"))
+    few_equal = ~F.col("item_few") | ((F.col("low") <= F.col("item_low")) & (F.col("low") >= F.col("item_low")))
+    met = at.join(mine, "h").where(equal & few_equal)
     slots = F.filter(F.arrays_zip("item_canon", "item_low", "low"),
-                     lambda s: s["item_canon"].startswith("<") & (s["item_low"] != s["low"]))
+                     lambda s: s["item_canon"].isin(KINDS) & (s["item_low"] != s["low"]))
     changed = F.transform(slots, lambda s: F.struct(s["item_canon"].alias("kind"), s["item_low"].alias("was"), s["low"].alias("now")))
     # a group has a window for each place of the item at most
     groups = (met.withColumn("changed", changed)
@@ -222,11 +163,6 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return _without(docs, leaked(docs, benchmark, **options))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that the template rule alone finds."""
-    return _without(docs, contaminated(docs, benchmark, **options))
-
-
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
     bad = found.select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__key"]), "left_anti")
