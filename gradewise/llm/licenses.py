@@ -5,8 +5,11 @@ same run in the templates. A hit votes for the diagonal (word number in the
 text less word number in the template) on which a copied passage lies. Votes
 are gathered per (text, template, diagonal) as a bit mask of the template places
 seen; neighbouring diagonals, which an inserted or lost word brings about, are
-merged; a merged span stands if it covers enough of the template. A phrase is a
-short template that must be covered wholly on one diagonal.
+merged. Spans are verified by their masks, which say what word pairs of the template the
+text really has: a span stands if it covers enough of the template and every pair
+that tells this template from its neighbours (templates of other labels that share
+half of its pairs); of standing spans that overlap, only the best one counts. A phrase
+is a short template that must be covered wholly on one diagonal; it always counts.
 """
 
 from __future__ import annotations
@@ -36,9 +39,18 @@ TEMPLATES = [
                    "License at"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
             "that the following conditions are met"),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
             "General Public License as published by the Free Software Foundation"),
@@ -61,11 +73,27 @@ def template_places(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -
         for label, text in group:
             words = ascii_words(text)
             for at in range(0, len(words), PIECE_WORDS):
-                h = gram_hashes(word_hashes(b" ".join(words[at:at + PIECE_WORDS])), K).view(np.int64).tolist()
-                rows += [(v, number, i, label, base, len(h)) for i, v in enumerate(h)]
+                h = _pairs_of(words[at:at + PIECE_WORDS])
+                must = 0 if base else telling_places(label, h, templates)
+                rows += [(v, number, i, label, base, len(h), must) for i, v in enumerate(h)]
                 number += 1
-    rows.append((_COUNT, -1, 0, None, False, 0))
-    return spark.createDataFrame(rows, "h long, template int, place int, label string, base boolean, grams int")
+    rows.append((_COUNT, -1, 0, None, False, 0, 0))
+    return spark.createDataFrame(rows, "h long, template int, place int, label string, base boolean, grams int, must long")
+
+
+def _pairs_of(words: list[bytes]) -> list[int]:
+    return gram_hashes(word_hashes(b" ".join(words)), K).view(np.int64).tolist()
+
+
+def telling_places(label: str, pairs: list[int], templates=TEMPLATES) -> int:
+    """Mask of the places whose word pair a neighbour lacks: a template of another
+    label that has at least half of these pairs."""
+    must = 0
+    for other, text in templates:
+        has = set(_pairs_of(ascii_words(text)))
+        if other != label and 2 * sum(p in has for p in pairs) >= len(pairs):
+            must |= sum(1 << i for i, p in enumerate(pairs) if p not in has)
+    return must
 
 
 def _grams(batches):
@@ -104,18 +132,31 @@ def votes(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     return (grams.join(F.broadcast(places), "h").withColumn("diagonal", F.col("pos") - F.col("place"))
             .repartition("row").groupBy("row", "template", "diagonal")
             .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"), F.max("doc_id").alias("doc_id"),
-                 F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams")))
+                 F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"),
+                 F.first("must").alias("must")))
 
 
 def spans(found: DataFrame, slack: int = SLACK, min_cover: float = MIN_COVER) -> DataFrame:
     """``votes`` with ``place`` (a phrase stands here), ``cover`` (share of the
     template on this diagonal and its neighbours; null on a text's own row)
-    and ``stands`` (the merged span is a copy of the template)."""
+    and ``stands`` (the merged span is a verified copy of the template, and no better
+    one of another label overlaps it)."""
     near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-slack, slack)
-    cover = F.bit_count(F.bit_or("mask").over(near)) / F.col("grams")
-    return (found.withColumn("cover", F.when(F.col("template") >= 0, cover))
-            .withColumn("place", F.col("base") & (F.bit_count("mask") == F.col("grams")))
-            .withColumn("stands", ~F.col("base") & (F.col("cover") >= min_cover)))
+    d = found.withColumn("merged", F.bit_or("mask").over(near))
+    d = (d.withColumn("cover", F.when(F.col("template") >= 0, F.bit_count("merged") / F.col("grams")))
+         .withColumn("place", F.col("base") & (F.bit_count("mask") == F.col("grams")))
+         .withColumn("verified", ~F.col("base") & (F.col("cover") >= min_cover)
+                     & (F.col("merged").bitwiseAND(F.col("must")) == F.col("must"))))
+    # spans that overlap start within the length of a piece, so a frame holds a bounded number of them
+    reach = PIECE_WORDS + slack
+    around = Window.partitionBy("row").orderBy("diagonal").rangeBetween(-reach, reach)
+    own = F.struct("cover", "grams", "label")
+    rivals = F.collect_set(F.when(F.col("verified"), F.struct(own.alias("rank"), "diagonal"))).over(around)
+    beaten = F.exists("rivals", lambda r: (
+        (r["rank"]["label"] != F.col("label")) & (r["rank"] > own)
+        & (r["diagonal"] <= F.col("diagonal") + F.col("grams")) & (F.col("diagonal") <= r["diagonal"] + r["rank"]["grams"])))
+    return (d.withColumn("rivals", rivals).withColumn("stands", F.col("verified") & ~beaten)
+            .drop("merged", "verified", "rivals", "must"))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:

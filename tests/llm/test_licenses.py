@@ -23,18 +23,27 @@ def plain(text):
         if here:
             base.add(label)
             score = 1.0
-    for label, t in lic.TEMPLATES:
+    stand = []
+    pairs = [set(zip(plain_words(t), plain_words(t)[1:])) for _, t in lic.TEMPLATES]
+    for (label, t), mine in zip(lic.TEMPLATES, pairs):
         t = plain_words(t)
+        own = list(zip(t, t[1:]))
+        telling = {j for (other, _), has in zip(lic.TEMPLATES, pairs) if other != label and 2 * sum(p in has for p in own) >= len(own)
+                   for j, p in enumerate(own) if p not in has}
         hits = {}
         for i in range(len(words) - 1):
-            for j in range(len(t) - 1):
-                if words[i:i + 2] == t[j:j + 2]:
+            for j in range(len(own)):
+                if (words[i], words[i + 1]) == own[j]:
                     hits.setdefault(i - j, set()).add(j)
         for d in hits:
-            cover = len(set().union(*(hits.get(d + e, set()) for e in range(-lic.SLACK, lic.SLACK + 1)))) / (len(t) - 1)
-            if cover >= lic.MIN_COVER:
-                labels.add(label)
-                score = max(score, cover)
+            seen = set().union(*(hits.get(d + e, set()) for e in range(-lic.SLACK, lic.SLACK + 1)))
+            if len(seen) / len(own) >= lic.MIN_COVER and telling <= seen:
+                stand.append((len(seen) / len(own), len(own), label, d))
+    for c, n, label, d in stand:
+        if not any(b > (c, n, label) and b[2] != label and b[3] <= d + n and d <= b[3] + b[1] for b in
+                   [(*x[:3], x[3]) for x in stand] if b[:3] > (c, n, label)):
+            labels.add(label)
+            score = max(score, c)
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
             ",".join(sorted(base | labels)), round(score, 9))
 
@@ -67,3 +76,35 @@ def test_long_templates_are_cut(spark):
     df = spark.createDataFrame([(1, "x y " + long, 1, "x", 0)], SCHEMA)
     (r,) = lic.scan(df, templates=[("long", long)]).collect()
     assert (r.labels, r.score, r.base_labels) == ("long", 1.0, "")
+
+
+HAND = {  # text -> labels that a reader would give (base phrases included)
+    "Licensed under CC BY 4.0": "cc-by",
+    "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+    "Licensed under CC BY-NC 4.0 by the author": "cc-by,cc-by-nc",
+    "licensed under cc by-nc-nd 4.0": "cc-by,cc-by-nc-nd",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "cc-by-nc-nd",
+    "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+    "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+    "You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "gpl,lgpl",
+    "Licensed under the Apache License, Version 2.0 (the License)": "apache-2.0",
+    "Released under the MIT License": "mit", "All rights reserved": "reserved",
+    "Creative people in common attribute 4 works to an international licence": "", "Released under the moon": "",
+    "licensed under a permit of the city": "",
+}
+
+
+def test_labels_written_by_hand(spark):
+    rows = [(i, "Some words before. " + t + " Some words behind.", 0, "", 0) for i, t in enumerate(HAND)]
+    got = {r.doc_id: r.labels for r in lic.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: got[i] for i, t in enumerate(HAND)} == HAND
+
+
+def test_every_template_is_its_own(spark):
+    rows = [(i, t, 0, "", 0) for i, (_, t) in enumerate(lic.TEMPLATES)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in lic.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    base = {"cc-by", "gpl"}  # phrases inside longer templates
+    for i, (label, _) in enumerate(lic.TEMPLATES):
+        assert label in got[i] and got[i] - {label} <= base, (label, got[i])
