@@ -36,10 +36,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
         enc = tokens.encoder(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at, count in tokens.portions(batch.column(1)):
                 cols = [[], [], [], [], [], []]
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                for doc_id, blob in zip(batch.column(0).slice(at, 256).to_pylist(), enc.encode(texts, end)):
+                texts = batch.column(1).slice(at, count).to_pylist()
+                for doc_id, blob in zip(batch.column(0).slice(at, count).to_pylist(), enc.encode(texts, end)):
                     raw = memoryview(blob)
                     for piece, b in enumerate(range(0, len(blob), 4 * capacity)):
                         part = raw[b:b + 4 * capacity]

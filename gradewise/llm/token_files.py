@@ -49,9 +49,9 @@ def _segments(tokenizer: str, end_id: int, segment_tokens: int):
 
         for batch in batches:
             texts = batch.column(1)
-            for at in range(0, len(texts), 256):
-                part_texts = texts.slice(at, 256).to_pylist()
-                for doc_id, blob in zip(batch.column(0).slice(at, 256).to_pylist(), enc.encode(part_texts, end)):
+            for at, count in tokens.portions(texts):
+                part_texts = texts.slice(at, count).to_pylist()
+                for doc_id, blob in zip(batch.column(0).slice(at, count).to_pylist(), enc.encode(part_texts, end)):
                     ids.append(doc_id)
                     blobs.append(blob)
                     size += len(blob) // 4

@@ -4,8 +4,10 @@ The tokenizer file is a parameter (a local path that exists on every worker,
 as an installed package gives it). A text is cut at blanks and newlines, which
 no token of a tokenizer with a white-space-dropping pre-tokenizer crosses, and
 each distinct piece is encoded once by the library and remembered per Python
-worker, up to a fixed number of pieces. The ids equal those of encoding the
-whole text; ``tests/llm/test_tokens.py`` compares the two.
+worker. The memory has two generations of a fixed number of pieces: a piece that is
+used moves to the young one, and when that is full the old one, with all that was not
+used since, is let go. The ids equal those of encoding the whole text;
+``tests/llm/test_tokens.py`` compares the two.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ import os
 
 import numpy as np
 
-CACHE_PIECES = 900_000
+CACHE_PIECES = 450_000  # of a generation
+PORTION_BYTES = 4 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -28,24 +31,38 @@ class _Later(bytes):
 
 
 class _Known(dict):
-    """Piece -> id bytes. Letters with one full stop or comma behind them are
-    put together from the two parts, which the pre-tokenizer always separates;
-    pieces that have to be encoded first are noted in ``wanted``."""
+    """Piece -> id bytes, the young generation. Letters with one full stop or comma
+    behind them are put together from the two parts, which the pre-tokenizer
+    always separates; pieces that have to be encoded first are noted in ``wanted``."""
 
     def __init__(self):
         super().__init__({b"": b""})
+        self.old: dict[bytes, bytes] = {}
         self.wanted: set[bytes] = set()
 
     def __missing__(self, piece: bytes) -> bytes:
+        ids = self.old.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
         stem, stop = piece[:-1], piece[-1:]
         if (stop == b"," or stop == b".") and stem.isalpha():
-            if stem in self and stop in self:
-                return self[stem] + self[stop]
+            first, last = self.get(stem) or self.old.get(stem), self.get(stop) or self.old.get(stop)
+            if first and last:
+                # remembered too: the next time it is one look
+                self[piece] = ids = first + last
+                return ids
             self.wanted.update((stem, stop))
         else:
             self.wanted.add(piece)
         return _Later(piece)
 
+    def turn(self) -> None:
+        """The young generation becomes the old one."""
+        self.old = dict(self)
+        self.clear()
+        self[b""] = b""
+
 
 class Encoder:
     """Encodes texts to little-endian uint32 id bytes. For tokenizers that
@@ -67,7 +84,7 @@ class Encoder:
     def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
         """Id bytes of each text (null: empty), each followed by ``end``."""
         if len(self.known) > self.limit:
-            self.known = _Known()
+            self.known.turn()
         lists, get = [], self.known.__getitem__
         for text in texts:
             raw = (text or "").encode("utf-8", "replace")
@@ -80,6 +97,22 @@ class Encoder:
         return [b"".join(ids) + end for ids in lists]
 
 
+def portions(texts, limit: int = PORTION_BYTES) -> list[tuple[int, int]]:
+    """(first, count) of consecutive rows of an Arrow text column that hold about
+    ``limit`` bytes together (a longer text alone): many pieces are learned at a time,
+    and what a call holds does not depend on how long texts are."""
+    import pyarrow.compute as pc
+    out, first, size = [], 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if size + n > limit and i > first:
+            out.append((first, i - first))
+            first, size = i, 0
+        size += n
+    if len(texts) > first:
+        out.append((first, len(texts) - first))
+    return out
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file (kept between tasks)."""
     if path not in _ENCODERS:

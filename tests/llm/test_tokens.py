@@ -130,3 +130,21 @@ def test_packing_empty(spark):
     assert packing.pack_documents(docs_of(spark, [])).collect() == []
     rows = packing.pack_documents(docs_of(spark, [None, "", "a"], [1, 1, None])).collect()
     assert sorted((r.length, r.offset) for r in rows) == [(1, 2), (1, 3), (2, 0)]
+
+
+def test_portions_and_generations(tmp_path):
+    import pyarrow as pa
+    from gradewise.llm import tokens
+    texts = ["ab" * n for n in (1, 3, 0, 50, 2, 2, 2)] + [None, "z" * 500, "é", ""]
+    got = tokens.portions(pa.array(texts), 20)
+    assert [x for a, n in got for x in texts[a:a + n]] == texts and all(
+        n == 1 or sum(len((t or "").encode()) for t in texts[a:a + n]) <= 20 for a, n in got)
+    assert tokens.portions(pa.array([], pa.string())) == []
+    path = tokens.default_tokenizer()
+    small, large = tokens.Encoder(path, 5), tokens.Encoder(path)
+    words = ["Alpha", "beta,", "gamma.", "x%%%", "12", "alpha", "delta", "beta", "...", ",", "it's", ".,"]
+    for i in range(40):
+        text = " ".join(words[(i * k) % len(words)] for k in range(i % 7))
+        want = np.asarray(large.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert small.encode([text]) == large.encode([text]) == [want]
+    assert len(small.known) < 30 and small.known.old
