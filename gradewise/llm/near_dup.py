@@ -29,8 +29,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gradewise.llm import common
+from gradewise.llm.common import released
 from gradewise.llm.components import connected_components
-from gradewise.llm.words import blank_words, gram_hashes, lowered, mix, word_hashes
+from gradewise.llm.words import gram_hashes, lowered, mix, word_hashes
 
 SHINGLE = 5
 COORDINATES, ROWS = 128, 4
@@ -40,7 +41,10 @@ BLOCK_SHINGLES = 400_000
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Distinct shingle hashes: of k words, or of all words when fewer."""
-    h = word_hashes(lowered(text))
+    return _shingles_of(word_hashes(lowered(text)), k)
+
+
+def _shingles_of(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(h, k if len(h) >= k else len(h))) if len(h) else h
 
 
@@ -77,22 +81,21 @@ SKETCHED = "doc_id long, tkey long, cls binary, n long, bands array<long>"
 
 
 def _sketch_batches(batches):
-    """One row per document: class key of its word sequence (null without
-    words), shingle count and bands. A set of one shingle belongs to its first
-    words: one word repeated any number of times is one class."""
+    """One row per document: class key of its word sequence (a digest of its word
+    hashes; null without words), shingle count and bands. A set of one shingle belongs to
+    its first words: one word repeated any number of times is one class."""
     import pyarrow as pa
     import xxhash
-    for batch in batches:
+    for batch in released(batches):
         ids, keys, texts = (c for c in batch.columns)
         at = 0
         while at < batch.num_rows:
             cls, sets, total, first = [], [], 0, at
             while at < batch.num_rows and total < BLOCK_SHINGLES:
-                text = texts[at].as_py()
-                words = blank_words(text)
-                sets.append(shingles(text))
+                words = word_hashes(lowered(texts[at].as_py()))
+                sets.append(_shingles_of(words))
                 own = words[:SHINGLE] if len(sets[-1]) == 1 else words
-                cls.append(xxhash.xxh3_128_digest(b" ".join(own)) if words else None)
+                cls.append(xxhash.xxh3_128_digest(own.tobytes()) if len(words) else None)
                 total += len(sets[-1])
                 at += 1
             some = [i for i, s in enumerate(sets) if len(s)]
@@ -108,7 +111,7 @@ def _sketch_batches(batches):
 
 def _set_batches(batches):
     import pyarrow as pa
-    for batch in batches:
+    for batch in released(batches):
         nodes, texts = batch.columns
         for at in range(0, batch.num_rows, 64):
             sets = [shingles(t) for t in texts.slice(at, 64).to_pylist()]

@@ -379,15 +379,13 @@ class Scorer:
 def score_column(spark, model: dict):
     """Column function text -> score (0 to 1), with the model broadcast."""
     shared = spark.sparkContext.broadcast(model)
-    scorers: dict[int, Scorer] = {}
 
-    @F.pandas_udf("double")
-    def udf(text):
+    def run(texts):
         import pandas as pd
-        if 0 not in scorers:
-            scorers[0] = Scorer(shared.value)
-        return pd.Series(scorers[0].score([t if isinstance(t, str) else None for t in text]), dtype=float)
-    return udf
+        scorer = Scorer(shared.value)
+        for text in common.released(texts):
+            yield pd.Series(scorer.score([t if isinstance(t, str) else None for t in text]), dtype=float)
+    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
 
 
 def score_documents(docs: DataFrame, model: dict, name: str = "tox_score") -> DataFrame:
