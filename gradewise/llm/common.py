@@ -43,19 +43,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def released(batches):
-    """The batches of a task; behind the last one the memory that the worker no longer
-    uses goes back to the system, since workers live on between stages."""
+def give_back() -> None:
+    """Memory that this Python process no longer uses goes back to the system."""
     import ctypes
     import gc
 
     import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def released(batches):
+    """The batches of a task, with ``give_back`` behind the last one: workers live on
+    between stages."""
     try:
         yield from batches
     finally:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # a C library without it
-            pass
+        give_back()

@@ -408,7 +408,12 @@ def train_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
     got = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
            .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
            .orderBy("doc_id").collect())
-    return train([r.text for r in got], [int(r.toxic > 0) for r in got], **options)
+    texts, toxic = [r.text for r in got], [int(r.toxic > 0) for r in got]
+    del got
+    model = train(texts, toxic, **options)
+    del texts
+    common.give_back()
+    return model
 
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
