@@ -79,4 +79,4 @@ def test_stages(spark, folder, tmp_path):
     assert len({r[5] for r in packed}) <= -(-sum(w[1] for w in want.values()) // packing.CAPACITY) + 1
     # run() is these stages, and everything goes the same way again
     assert sorted(r[:5] for r in packed) == sorted(tuple(r)[:5] for r in cp.run(spark, folder).collect())
-    assert decontamination.contaminated(now, spark.read.parquet(f"{folder}/benchmark.parquet")).isEmpty()
+    assert decontamination.leaked(now, spark.read.parquet(f"{folder}/benchmark.parquet")).isEmpty()
