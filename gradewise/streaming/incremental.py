@@ -1,8 +1,8 @@
 """Grade responses as their files arrive (the streaming form of "resume").
 
 New response files in a folder are a file stream; keyword rules are a
-static table joined to it (stream-static join, rules broadcast after their
-size check); the per-response fold is stateless, so each micro-batch is
+static table joined to it (stream-static join; the planner builds the side of
+the rules where it is small); the per-response fold is stateless, so each micro-batch is
 scored independently and appended to the ``metric_scores`` table. Progress
 lives in a checkpoint under the cluster's shared ``spark.checkpoint.dir``,
 so a restarted or re-scheduled job continues where it stopped and an
