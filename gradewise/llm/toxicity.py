@@ -7,10 +7,12 @@ character n-gram embeddings. A window's states of both directions are pooled
 by attention into one logit; a text's score is a logistic function of the
 logits of its three highest windows (fewer windows: the lowest repeats).
 
-Training is bounded by documented parameters: at most ``TRAIN_DOCS`` labelled
-documents, chosen by a hash of their id, and ``TRAIN_WINDOWS`` windows of each,
-spread over the whole text. Labels belong to documents, so every epoch trains
-on each document's highest window and one other. Scoring has no bounds.
+Training is bounded by one documented parameter: at most ``TRAIN_DOCS`` labelled
+documents, chosen by a hash of their id. Labels belong to documents, so every
+epoch trains on each document's highest of all its windows and, of a clean one,
+one other. Spark tasks read the sample's whole texts, count the first evidence
+and choose the windows; the driver gets at most two windows of ``WINDOW`` words
+and ``TOP_WINDOWS`` logits of each document. Scoring has no bounds.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from gradewise.llm.words import ascii_words
 
 WINDOW, STRIDE = 64, 48
 THRESHOLD = 0.3
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH = 6000, 24, 6, 128
+TRAIN_DOCS, EPOCHS, BATCH = 6000, 6, 128
 WORD_BUCKETS, CHAR_BITS, CHAR_ORDERS = 1 << 14, 15, (3, 5)
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 4, 4, 8, 8
 TOP_WINDOWS = 3
@@ -205,83 +207,105 @@ def _summed(rows: np.ndarray, values: np.ndarray, like: np.ndarray) -> np.ndarra
     return np.stack(columns, axis=1).astype(like.dtype)
 
 
-def _evidence(features: list[np.ndarray], labels: np.ndarray, buckets: int) -> np.ndarray:
+def evidence_counts(texts: list[str | None], labels) -> dict:
+    """Per kind of input (``word`` and each character order) and bucket: the
+    texts that hold the bucket, and the positive ones among them."""
+    sizes = {"word": WORD_BUCKETS, **dict.fromkeys(CHAR_ORDERS, 1 << CHAR_BITS)}
+    out = {kind: np.zeros((2, size), np.int64) for kind, size in sizes.items()}
+    for text, y in zip(texts, labels):
+        words = list(set(ascii_words(text)))
+        if words:
+            inputs = word_inputs(words)
+            for kind, (have, pos) in out.items():
+                held = np.unique(inputs[kind] if kind == "word" else inputs[kind][0])
+                have[held] += 1
+                pos[held] += int(y)
+    return out
+
+
+def _evidence(counts: np.ndarray, share: float) -> np.ndarray:
     """Per bucket: how far its document count among the positive documents
     exceeds its share, in standard deviations, squashed."""
-    have, pos = np.zeros(buckets), np.zeros(buckets)
-    for f, y in zip(features, labels):
-        have[f] += 1
-        pos[f] += y
-    share = labels.mean()
+    have, pos = counts
     return np.tanh((pos - have * share) / np.sqrt(have * share * (1 - share) + 1) / 6) * 2
 
 
-def _top(logits: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-    """(docs, TOP_WINDOWS) highest window logits of each document, falling."""
+def _top(logits: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(docs, TOP_WINDOWS) highest window logits of each document, falling, and
+    the place of its highest."""
     order = np.lexsort((-logits, owner))
     first = np.searchsorted(owner[order], np.arange(docs))
     count = np.bincount(owner, minlength=docs)
-    return logits[order[first[:, None] + np.minimum(np.arange(TOP_WINDOWS), count[:, None] - 1)]]
+    return logits[order[first[:, None] + np.minimum(np.arange(TOP_WINDOWS), count[:, None] - 1)]], order[first]
+
+
+def teaching_windows(p: dict, epoch: int, texts: list[str | None], labels) -> list[list[bytes]]:
+    """Per text the windows, words between blanks, that an epoch trains on: the
+    highest of all, and of a clean text one other, by a hash of text and epoch (a
+    positive text's other windows may be clean)."""
+    _, highest = Scorer(p).top(texts)
+    out = []
+    for text, y, at in zip(texts, labels, highest):
+        words = ascii_words(text)
+        starts = window_starts(len(words))
+        chosen = [starts[at]]
+        if not y:
+            chosen.append(starts[zlib.crc32((text or "").encode("utf-8", "replace"), epoch) % len(starts)])
+        out.append([b" ".join(words[a:a + WINDOW]) for a in chosen])
+    return out
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> dict:
-    """Model from labelled texts. The first word dimension starts as each
-    bucket's evidence in the training documents; Adam trains everything."""
+def fit(labels, evidence, choose, top, epochs: int = EPOCHS, seed: int = 7) -> dict:
+    """Model from documents with labels of 0 or 1, which ``evidence()``,
+    ``choose(model, epoch)`` and ``top(model)`` read, in the order of the labels.
+    The first dimensions start as each bucket's evidence; Adam trains everything."""
     p = new_model(seed)
     y = np.asarray(labels, np.float32)
     if not len(y) or not 0 < y.mean() < 1:
         p["w"][:] = 0
         p["b"][0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -2.0
         return p
-    number: dict[bytes, int] = {}
-    docs = [np.asarray([number.setdefault(w, len(number) + 1) for w in ascii_words(t)], np.int64) for t in texts]
-    names = list(number) or [b"-"]
-    inputs = word_inputs(names)
-
-    def words(numbers):
-        return take_words(inputs, numbers - 1)
-
-    uniques = [np.unique(rows) - 1 for rows in docs]
-    p["Ew"][:, 0] = _evidence([np.unique(inputs["word"][u]) for u in uniques], y, WORD_BUCKETS)
-    for n in CHAR_ORDERS:
-        grams = [np.unique(take_words(inputs, u)[n][0]) if len(u) else u for u in uniques]
-        p[f"E{n}"][:, 0] = _evidence(grams, y, 1 << CHAR_BITS)
+    for kind, counts in evidence().items():
+        p["Ew" if kind == "word" else f"E{kind}"][:, 0] = _evidence(counts, float(y.mean()))
     p["b"][0] = np.log(y.mean() / (1 - y.mean()))
     rng = np.random.default_rng(seed)
-    parts, owner = [], []
-    for d, rows in enumerate(docs):
-        w = windows(rows)
-        if len(w) > TRAIN_WINDOWS:
-            w = w[np.linspace(0, len(w) - 1, TRAIN_WINDOWS).astype(int)]
-        parts.append(w)
-        owner.append(np.full(len(w), d))
-    parts, owner = np.concatenate(parts), np.concatenate(owner)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
-    steps = epochs * -(-2 * len(docs) // BATCH)
-    for _ in range(epochs):
-        scores = _window_logits(p, parts, words)
-        order = np.lexsort((-scores, owner))
-        first = order[np.searchsorted(owner[order], np.arange(len(docs)))]
-        noise = np.lexsort((rng.random(len(owner)), owner))
-        other = noise[np.searchsorted(owner[noise], np.arange(len(docs)))]
-        other = other[y[owner[other]] == 0]  # a positive text's other windows may be clean
-        pick = rng.permutation(np.concatenate([first, other]))
+    steps = epochs * -(-2 * len(y) // BATCH)
+    for epoch in range(epochs):
+        number: dict[bytes, int] = {}
+        parts, of = [], []
+        for d, some in enumerate(choose(p, epoch)):
+            for window in some:
+                parts.append(windows(np.asarray([number.setdefault(w, len(number) + 1) for w in window.split()], np.int64)))
+                of.append(y[d])
+        parts, of = np.concatenate(parts), np.asarray(of, np.float32)
+        inputs = word_inputs(list(number) or [b"-"])
+
+        def words(numbers):
+            return take_words(inputs, numbers - 1)
+
+        pick = rng.permutation(len(parts))
         for at in range(0, len(pick), BATCH):
             some = pick[at:at + BATCH]
-            _, g = loss_and_gradients(p, parts[some], y[owner[some]], words)
+            _, g = loss_and_gradients(p, parts[some], of[some], words)
             step += 1
             rate = 0.01 * min(1.0, step / 20) * (1 - 0.9 * step / max(steps, step))
             for k in g:
                 m[k] += 0.1 * (g[k] - m[k])
                 s[k] += 0.001 * (g[k] * g[k] - s[k])
                 p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.999 ** step)) + 1e-6)
-    top = _top(_window_logits(p, parts, words), owner, len(docs))
-    p["top"] = _logistic(top, y)
+    p["top"] = _logistic(top(p), y)
     return p
 
 
+def train(texts: list[str | None], labels: list[int], **options) -> dict:
+    """``fit`` over texts at hand."""
+    return fit(labels, lambda: evidence_counts(texts, labels), lambda p, epoch: teaching_windows(p, epoch, texts, labels),
+               lambda p: Scorer(p).top(texts)[0], **options)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights and shift of a ridge logistic regression (Newton steps)."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(float)
@@ -295,17 +319,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _window_logits(p, parts, words) -> np.ndarray:
-    out = np.zeros(len(parts), np.float32)
-    for at in range(0, len(parts), SCORE_WINDOWS):
-        part = parts[at:at + SCORE_WINDOWS].T
-        used, place = np.unique(part, return_inverse=True)
-        x = embed(p, words(np.maximum(used, 1)))
-        proj = x @ p["W"] + p["c"][:, None]
-        out[at:at + SCORE_WINDOWS] = forward(p, proj[:, place.reshape(part.shape)], (part > 0).astype(np.float32))
-    return out
-
-
 # --------------------------------------------------------------- scoring
 class Scorer:
     """Scores whole texts. Projected inputs of words seen before are kept, up
@@ -330,17 +343,19 @@ class Scorer:
     def _rows(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.row.__getitem__, words), np.int32, len(words))
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """Probability of each text from its highest windows (no words: a
-        window without words)."""
+    def top(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the logits of its highest windows (fewer windows: the lowest
+        repeats; no words: a window without words), and the number of the highest."""
         best = np.full((len(texts), TOP_WINDOWS), -np.inf)
+        highest = np.zeros(len(texts), np.int64)
         parts, owner, held = [], [], 0
 
         def flush():
             nonlocal parts, owner, held
             if not held:
                 return
-            every, own = np.concatenate(parts), np.concatenate(owner)
+            every, own = np.concatenate(parts), np.concatenate([np.full(len(n), i) for i, n in owner])
+            number = np.concatenate([n for _, n in owner])
             size = (every > 0).sum(axis=1)
             order = np.argsort(size, kind="stable")  # windows of like length share a batch
             logits = np.zeros(len(every), np.float32)
@@ -349,7 +364,9 @@ class Scorer:
                 part = np.ascontiguousarray(every[some, :max(1, size[some[-1]])].T)
                 logits[some] = forward(self.p, self.table[:, part], (part > 0).astype(np.float32))
             ids, place = np.unique(own, return_inverse=True)
-            new = _top(logits, place, len(ids))
+            new, first = _top(logits, place, len(ids))
+            better = new[:, 0] > best[ids, 0]
+            highest[ids[better]] = number[first[better]]
             count = np.bincount(place)
             new[np.arange(TOP_WINDOWS) >= count[:, None]] = -np.inf
             best[ids] = -np.sort(-np.concatenate([best[ids], new], axis=1), axis=1)[:, :TOP_WINDOWS]
@@ -364,16 +381,22 @@ class Scorer:
             if new:
                 self._learn(new)
             for i, words in enumerate(lists, at):
-                w = windows(self._rows(words))
-                parts.append(w)
-                owner.append(np.full(len(w), i))
-                held += len(w)
-                if held >= 4 * SCORE_WINDOWS:
-                    flush()
+                every = windows(self._rows(words))
+                for a in range(0, len(every), 4 * SCORE_WINDOWS):  # a very long text goes in portions
+                    w = every[a:a + 4 * SCORE_WINDOWS]
+                    parts.append(w)
+                    owner.append((i, np.arange(a, a + len(w))))
+                    held += len(w)
+                    if held >= 4 * SCORE_WINDOWS:
+                        flush()
         flush()
         for k in range(1, TOP_WINDOWS):
             best[:, k] = np.where(np.isinf(best[:, k]), best[:, k - 1], best[:, k])
-        return _sigmoid(best @ self.p["top"][:-1] + self.p["top"][-1])
+        return best, highest
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of each text from its highest windows."""
+        return _sigmoid(self.top(texts)[0] @ self.p["top"][:-1] + self.p["top"][-1])
 
 
 def score_column(spark, model: dict):
@@ -396,22 +419,85 @@ def score_documents(docs: DataFrame, model: dict, name: str = "tox_score") -> Da
     return docs.withColumn(name, score_column(docs.sparkSession, model)("text"))
 
 
+def _in_tasks(run):
+    """``run(ids, texts, labels)`` -> columns, over the batches of a task."""
+    def batches_of(batches):
+        for batch in common.released(batches):
+            ids, texts, labels = (batch.column(i).to_pylist() for i in range(3))
+            yield run(ids, texts, labels)
+    return batches_of
+
+
+class Sample:
+    """The training documents (doc_id, text, toxic) as a table in the shared
+    folder that Spark tasks read for every step of the training."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self.labels = [r.toxic for r in rows.select("doc_id", "toxic").orderBy("doc_id").collect()]
+
+    def _collect(self, run, schema: str) -> list:
+        """Rows of all documents in the order of the labels."""
+        return sorted(self.rows.mapInArrow(_in_tasks(run), schema).collect(), key=lambda r: r.doc_id)
+
+    def _with_model(self, model: dict, run, schema: str) -> list:
+        shared = self.rows.sparkSession.sparkContext.broadcast(model)
+        try:
+            return self._collect(lambda ids, texts, labels: run(shared.value, ids, texts, labels), schema)
+        finally:
+            shared.destroy()
+
+    def evidence(self) -> dict:
+        kinds = ["word", *CHAR_ORDERS]
+
+        def run(ids, texts, labels):
+            import pyarrow as pa
+            counts = evidence_counts(texts, labels)
+            held = [np.flatnonzero(counts[k][0]) for k in kinds]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(len(kinds)), [len(h) for h in held]), pa.int32()), pa.array(np.concatenate(held), pa.int32()),
+                 *(pa.array(np.concatenate([counts[k][i][h] for k, h in zip(kinds, held)]), pa.int64()) for i in (0, 1))],
+                ["kind", "bucket", "have", "pos"])
+
+        # a row per bucket at most
+        got = (self.rows.mapInArrow(_in_tasks(run), "kind int, bucket int, have long, pos long")
+               .groupBy("kind", "bucket").agg(F.sum("have").alias("have"), F.sum("pos").alias("pos")).toPandas())
+        out = {k: np.zeros((2, WORD_BUCKETS if k == "word" else 1 << CHAR_BITS), np.int64) for k in kinds}
+        for i, k in enumerate(kinds):
+            of = got[got["kind"] == i]
+            out[k][:, of["bucket"]] = of["have"], of["pos"]
+        return out
+
+    def choose(self, model: dict, epoch: int) -> list[list[bytes]]:
+        def run(p, ids, texts, labels):
+            import pyarrow as pa
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(
+                teaching_windows(p, epoch, texts, labels), pa.list_(pa.binary()))], ["doc_id", "windows"])
+        return [r.windows for r in self._with_model(model, run, "doc_id long, windows array<binary>")]
+
+    def top(self, model: dict) -> np.ndarray:
+        def run(p, ids, texts, labels):
+            import pyarrow as pa
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(
+                list(Scorer(p).top(texts)[0]), pa.list_(pa.float64()))], ["doc_id", "logits"])
+        return np.asarray([r.logits for r in self._with_model(model, run, "doc_id long, logits array<double>")])
+
+
 def train_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, **options) -> dict:
     """Model from a bounded sample of labelled documents outside the
     evaluation fold: the ``train_docs`` label rows with the smallest id
-    hashes. Null labels and ids teach nothing; of several label rows for one
-    id the larger label holds; of several texts, the smallest."""
+    hashes, each with its whole text. Null labels and ids teach nothing; of
+    several label rows for one id the larger label holds; of several texts, the
+    smallest. No text reaches the driver; a window's words do, as long as they are."""
     rows = (labels.where(F.col("toxic").isNotNull() & ~common.held_out("doc_id"))
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     # at most train_docs rows of two numbers: bounded, so broadcast
-    got = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-           .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-           .orderBy("doc_id").collect())
-    texts, toxic = [r.text for r in got], [int(r.toxic > 0) for r in got]
-    del got
-    model = train(texts, toxic, **options)
-    del texts
+    chosen = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+              .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+              .select(F.col("doc_id").cast("long"), "text", (F.col("toxic") > 0).cast("int").alias("toxic")))
+    held = Sample(common.written(chosen, "toxicity-sample"))
+    model = fit(held.labels, held.evidence, held.choose, held.top, **options)
     common.give_back()
     return model
 

@@ -74,6 +74,36 @@ def test_batches_do_not_matter():
         assert np.isclose(tx.Scorer(p | {"top": np.asarray(top)}).score([one])[0], want, atol=1e-4)
 
 
+def test_highest_window_of_all():
+    """A long text's windows all count, also behind a portion's end."""
+    rng = np.random.default_rng(5)
+    p = tx.new_model()
+    words = [f"v{rng.integers(400)}" for _ in range(5000 * tx.STRIDE)]
+    starts = tx.window_starts(len(words))
+    assert len(starts) > 4 * tx.SCORE_WINDOWS
+    parts = [" ".join(words[a:a + tx.WINDOW]) for a in starts]
+    each = tx.Scorer(p).top(parts)[0][:, 0]
+    best, highest = tx.Scorer(p).top([parts[0], " ".join(words)])
+    assert highest[0] == 0 and each[highest[1]] >= each.max() - 1e-5
+    assert np.allclose(best[1], np.sort(each)[::-1][:tx.TOP_WINDOWS], atol=1e-5)
+    (first, other), (only,) = tx.teaching_windows(p, 0, [" ".join(words)] * 2, [0, 1])
+    assert first == only == parts[highest[1]].encode() and other.decode() in parts
+
+
+def test_training_in_tasks(spark):
+    """Training over a table gives the model of the same texts at hand; null and
+    empty texts, repeated ids and a long text included."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(("bad" if i % 3 == 0 and rng.random() < 0.2 else f"v{rng.integers(300)}")
+                         for _ in range(rng.integers(1, 400))), int(i % 3 == 0)) for i in range(60)]
+    rows += [(60, None, 0), (61, "", 1), (62, " ".join(f"v{rng.integers(300)}" for _ in range(20_000)) + " bad", 1)]
+    df = spark.createDataFrame([*rows, rows[4], (63, "no label", None), (None, "no id", 1)], "doc_id long, text string, toxic int")
+    got = tx.train_documents(df.select("doc_id", "text"), df.select("doc_id", "toxic"), epochs=2)
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    want = tx.train([r[1] for r in taught], [r[2] for r in taught], epochs=2)
+    assert all(np.allclose(got[k], want[k], atol=1e-3) for k in want)
+
+
 def test_words():
     assert ascii_words("It's A-b é3\x7fZ[~`") == [b"it", b"s", b"a", b"b", "é3".encode(), b"z"]
     assert blank_words("A\x0bB c d\x1ce É") == [b"a", b"b", "c d\x1ce".encode(), "É".encode()]
