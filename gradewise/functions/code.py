@@ -183,15 +183,18 @@ def brace_cut(code, start_depth: Column, is_java: Column) -> Column:
 
 
 def _brace_cut(c: Column, start_depth: Column, is_java: Column) -> Column:
-    chars = F.split(c, "", -1)
-    init = F.struct(start_depth.cast("int").alias("d"), F.lit(0).alias("i"), F.lit(-1).alias("cut"))
-
-    def step(acc, ch):
-        d = acc["d"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        cut = F.when((acc["cut"] < 0) & (d == 0), acc["i"]).otherwise(acc["cut"])
-        return F.struct(d.alias("d"), (acc["i"] + 1).alias("i"), cut.alias("cut"))
-
-    cut = F.aggregate(chars, init, step)["cut"]
+    # The depth changes at braces alone: a piece runs up to its brace (the last has none).
+    pieces = F.split(c, "(?<=[{}])", -1)
+    at_once = (start_depth == 0) & ~F.regexp_like(c, F.lit("^[{}]"))
+    init = F.struct(start_depth.cast("int").alias("d"), F.lit(0).alias("i"), F.when(at_once, 0).otherwise(-1).alias("cut"))
+
+    def step(acc, piece):
+        d = acc["d"] + F.when(F.endswith(piece, F.lit("{")), 1).when(F.endswith(piece, F.lit("}")), -1).otherwise(0)
+        i = acc["i"] + F.length(piece)
+        cut = F.when((acc["cut"] < 0) & (d == 0), i - 1).otherwise(acc["cut"])
+        return F.struct(d.alias("d"), i.alias("i"), cut.alias("cut"))
+
+    cut = F.aggregate(pieces, init, step)["cut"]
     main_pos = F.instr(c, "public static void main")
     j = F.when(main_pos > 0, F.concat(F.substring(c, F.lit(1), main_pos - 1), F.lit("}"))).otherwise(c)
     j = let(_last_brace_cut(j), lambda v: F.when(occurrences(v, "{") - 1 == occurrences(v, "}"),

@@ -128,6 +128,27 @@ def test_brace_cut(spark):
     assert _one(spark, cd.remove_last_block(F.lit("a{b}c}d"), F.lit("javascript"))) == "a{b}c}"
 
 
+def test_brace_cut_looks_at_braces_only(spark):
+    """Against a walk over the characters; the fold has a step per brace, not per character."""
+    import random
+    rnd = random.Random(4)
+
+    def walk(text, depth):
+        for i, ch in enumerate(text):
+            depth += (ch == "{") - (ch == "}")
+            if depth == 0:
+                return text[:i + 1]
+        return text[:text.rindex("}") + 1] if "}" in text else text
+    rows = [("".join(rnd.choice("{}ab\né😀") for _ in range(rnd.randrange(30))), rnd.randrange(3)) for _ in range(300)]
+    rows = [(t, d) for t, d in rows if t] + [("x" * 5000 + "}" + "y" * 5000, 1), ("{", 1), ("}", 1), ("ab", 0)]
+    df = spark.createDataFrame(rows, "t string, d int")
+    got = df.select("t", "d", cd.brace_cut(F.col("t"), F.col("d"), F.lit(False)).alias("c"))
+    assert [r.c for r in got.collect()] == [walk(t, d) for t, d in rows]
+    assert _one(spark, cd.brace_cut(F.lit(None).cast("string"), F.lit(1), F.lit(False))) is None
+    plan = str(got._jdf.queryExecution().optimizedPlan())
+    assert "(?<=[{}])" in plan and ", , -1)" not in plan  # split behind braces, nowhere into characters
+
+
 def test_fenced_blocks_and_longest(spark):
     t = "intro\n```py\na\n```\nmid\n```\nb\nc\n```\n```"
     assert _one(spark, cd.extract_code(F.lit(t), F.lit("python"))) == "a\n\nb\nc"
