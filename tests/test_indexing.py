@@ -52,3 +52,22 @@ def test_auto_blocks_on_sparse_keys(spark, data):
     finally:
         ix.AUTO_BLOCK_ROWS = old
     assert got == want
+
+
+def test_arrival_index_files_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """More scan tasks, more CSV files; the same numbers."""
+    import hashlib
+    from gradewise.plans import q_grading
+    from gradewise.sources import writers
+    rows = [(i, f"s{i % 3}", None if i % 11 == 0 else f"line {i}\nnext") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    parts, write = [], writers.write_csv
+    monkeypatch.setattr(writers, "write_csv", lambda d, path: (parts.append(d.rdd.getNumPartitions()), write(d, path)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = {(r.filename, r.sample_no): (r.completion_md5, r.was_null) for r in q_grading.arrival_index(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert parts[0] >= 7
+    assert got == {(s, i // 3): (hashlib.md5((t or "").encode()).hexdigest(), t is None) for i, s, t in rows}
