@@ -296,6 +296,58 @@ def test_alignment_of_many_templates():
     assert got[-1].as_py()["spans"] == _aligned_by_definition("use [blank].", "use it.")[1]
 
 
+def _by_places(texts):
+    """The kernel that holds a place for every cell, for one pair at a time."""
+    from gradewise.functions import lcs
+    out = []
+    for t, r in texts:
+        matched, places = lcs._Group([lcs._codes(t)], [lcs._codes(r)]).align()
+        out.append((int(matched[0]), places[0][:len(t)].tolist()))
+    return out
+
+
+def test_alignment_by_signs(monkeypatch):
+    """Signs of neighbours give the places of the cell rules, whole and in blocks, long responses and short ones
+    together, and where too many ties leave a row to the cells' places."""
+    import random
+    from gradewise.functions import lcs
+    rand = random.Random(3)
+    pick = lambda letters, n: "".join(rand.choices(letters, k=n))
+    tied = lcs._Signs([("abcdefgh" * 20, "xyz" * 400), ("ab", "aab")], []).align()[1]
+    assert tied[0] is None and tied[1] == _by_places([("ab", "aab")])[0][1]
+    for room, long in ((lcs.SIGN_BYTES, lcs.LONG), (0, 30), (3000, 30)):
+        monkeypatch.setattr(lcs, "SIGN_BYTES", room)
+        monkeypatch.setattr(lcs, "LONG", long)
+        for letters in ("a", "ab", "abc", "abcdefgh"):
+            t = pick(letters, rand.randint(1, 40))
+            r = [pick(letters + "xyz"[:rand.randint(0, 3)], rand.randint(1, 90)) for _ in range(8)] + [t + "zz", "xyz" * 150]
+            assert lcs.align_all(t, r) == _by_places([(t, x) for x in r])
+
+
+def test_alignment_by_signs_takes_less_time():
+    import random
+    import time
+    import pyarrow as pa
+    from gradewise.functions import lcs
+    rand = random.Random(5)
+    words = ["".join(rand.choices("etaoinshrdlu", k=rand.randint(2, 8))) for _ in range(200)]
+    refs = [" ".join(rand.choices(words, k=40)) for _ in range(100)]
+    t = [f"Use [blank] with {x} done." for x in refs]
+    r = [f"Use it with {x} done.\n" + " ".join(rand.choices(words, k=400)) for x in refs]
+    t, r = zip(*sorted(zip(t, r), key=lambda x: -len(x[0] + x[1])))
+    start = time.process_time()
+    got = lcs.grader_alignment_batch(pa.array(t), pa.array(r))
+    middle = time.process_time()
+    some = lcs._columns(max(map(len, t)), max(map(len, t)) + max(map(len, r)))
+    want, at = [], 0
+    while at < 100:
+        matched, places = lcs._Group([lcs._codes(x) for x in t[at:at + some]], [lcs._codes(x) for x in r[at:at + some]]).align()
+        want += [(int(m), p[:len(x)].tolist()) for m, p, x in zip(matched, places, t[at:at + some])]
+        at += some
+    assert middle - start < time.process_time() - middle
+    assert [(x["matched"], x["spans"]) for x in got.to_pylist()] == want
+
+
 def test_conditions():
     from gradewise.functions.keywords import normalise_cond
     for text in ("context[-1].startswith('match')", 'context[-1].startswith("match")', "grading_details[-1] == 'match'",
