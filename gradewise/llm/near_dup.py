@@ -17,7 +17,10 @@
    share of their shingles that occur elsewhere; in a round the next pivots (1,
    then 8, 64, ...) meet the members behind them that are still in another
    component and can reach the threshold by the shingles that they share with
-   other components, each pair in the first band that it shares. Rounds end when every
+   other components, each pair in the first band that it shares. A pair that the parity
+   bits of its sets (``_parity``) tell apart is not made: an odd cell in which two sets differ
+   holds a shingle of one of them only, so that differing bits bound what they can have in
+   common. It is exact, and leaves few of the near misses of a large group. Rounds end when every
    pair of a bucket was met or lies in one component: no link between
    different components is lost, and inside a group of mutual copies the first
    pivots link everything.
@@ -25,8 +28,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradewise.llm import common
 from gradewise.llm.common import released
@@ -37,6 +42,7 @@ SHINGLE = 5
 COORDINATES, ROWS = 128, 4
 FIRST_BANDS, WIDER = 4, 8
 BLOCK_SHINGLES = 400_000
+PARITY_WORDS = 16  # of 64 cells
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -120,8 +126,21 @@ def _set_batches(batches):
                 ["node", "shingles"])
 
 
+def _parity(s: str) -> Column:
+    """For grouped shingles ``s``: words of one bit a cell, set where an odd number of shingles falls."""
+    bit = F.expr(f"shiftleft(1L, CAST({s} & 63 AS INT))")
+    word = F.shiftright(F.col(s), 6).bitwiseAND(F.lit(PARITY_WORDS - 1))
+    return F.array(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(PARITY_WORDS)])
+
+
+def _differing(a: str, b: str) -> Column:
+    """How many parity bits of two sets differ: their symmetric difference is no smaller."""
+    return functools.reduce(Column.__add__, [
+        F.bit_count(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))) for k in range(PARITY_WORDS)])
+
+
 def _shared_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(node, n, c, shared) of the classes in ``members`` that can have a
+    """(node, n, c, shared, parity) of the classes in ``members`` that can have a
     partner: shared are its shingles that occur in another of these classes."""
     reps = members.select("node").distinct().join(classes, "node").select("node", "n", "rep.*")
     one = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
@@ -133,9 +152,9 @@ def _shared_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, percen
     sets = common.written(single.mapInArrow(_set_batches, "node long, shingles array<long>"), "dup-sets")
     rows = sets.select("node", F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
-    kept = rows.join(often, "s").groupBy("node").agg(F.collect_list("s").alias("shared"))
+    kept = rows.join(often, "s").groupBy("node").agg(F.collect_list("s").alias("shared"), _parity("s").alias("parity"))
     return kept.join(members.select("node", "n").distinct(), "node").select(
-        "node", "n", F.size("shared").cast("long").alias("c"), "shared").where(f"100 * c >= {percent} * n")
+        "node", "n", F.size("shared").cast("long").alias("c"), "shared", "parity").where(f"100 * c >= {percent} * n")
 
 
 def docs_repeat(docs: DataFrame) -> bool:
@@ -155,18 +174,22 @@ def _reach(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
 
 def _pairs(ranked: DataFrame, reach: DataFrame, bands: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs (a, b) between the pivots of ranks low..high-1 of each bucket and
-    the members behind them, in other components and within reach by counts.
+    the members behind them, in other components and within reach by counts and parity.
     A pair belongs to the first band that both share, so it appears once."""
     now = ranked.where(F.col("last") > low).drop("c").join(reach, "node")
     both = now.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
     now = now.join(both.where("least <> most").select("bucket"), "bucket").join(bands, "node")
     pivot = now.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
         "bucket", F.col("rank").alias("p_rank"), F.col("node").alias("p"), F.col("n").alias("p_n"),
-        F.col("c").alias("p_c"), F.col("comp").alias("p_comp"), F.col("bands").alias("p_bands"))
+        F.col("c").alias("p_c"), F.col("comp").alias("p_comp"), F.col("bands").alias("p_bands"),
+        F.col("whole").alias("p_whole"), F.col("parity").alias("p_parity"))
+    # twice what both can have in common
+    twice = F.col("whole") + F.col("p_whole") - _differing("parity", "p_parity")
     earlier = F.arrays_overlap(F.slice("bands", 1, F.col("band")), F.slice("p_bands", 1, F.col("band")))
     met = now.where(F.col("rank") > low).join(pivot, "bucket").where(
         (F.col("rank") > F.col("p_rank")) & (F.col("comp") != F.col("p_comp"))
-        & ((100 + percent) * F.least("c", "p_c") >= percent * (F.col("n") + F.col("p_n"))) & ~earlier)
+        & ((100 + percent) * F.least("c", "p_c") >= percent * (F.col("n") + F.col("p_n")))
+        & ((100 + percent) * twice >= 2 * percent * (F.col("n") + F.col("p_n"))) & ~earlier)
     return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
 
 
@@ -193,7 +216,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = 75) -> tupl
         able.select("bucket", "band", "node", "n", "c", (F.row_number().over(order) - 1).alias("rank"),
                     (F.count("*").over(size) - 1).alias("last")).where("last > 0"), "dup-ranked")
     most = ranked.agg(F.max("last")).first()[0] or 0
-    bands = common.written(classes.select("node", "bands").join(ranked.select("node").distinct(), "node"), "dup-bands")
+    parity = sets.select("node", F.col("c").alias("whole"), "parity")
+    bands = common.written(classes.select("node", "bands").join(ranked.select("node").distinct(), "node").join(parity, "node"),
+                           "dup-bands")
     comps = common.written(bands.select("node", F.col("node").alias("comp")), "dup-comps")
     # the first pivots meet in a few bands first, so that what links there is not met again
     few = F.col("band") < FIRST_BANDS

@@ -77,6 +77,23 @@ def test_big_group_of_near_copies(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_near_misses_make_few_pairs(spark):
+    """A bucket of near misses: parity bits leave every link and few other pairs of the 4,950."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-1 << 63, 1 << 63, 150)
+    sets = [set(base[rng.random(150) > rng.choice([0.02, 0.3])].tolist()) | set(rng.integers(0, 1 << 63, 5).tolist())
+            for _ in range(100)]
+    rows = spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "node long, s long")
+    bands = rows.groupBy("node").agg(nd._parity("s").alias("parity"), F.count("*").alias("whole")).withColumn(
+        "bands", F.array(F.lit(7).cast("long")))
+    ranked = bands.select("node", F.col("whole").alias("n"), F.col("whole").alias("c"), F.lit(7).alias("bucket"), F.lit(0).alias("band"),
+                          F.col("node").alias("rank"), F.lit(99).alias("last"))
+    reach = ranked.select("node", F.col("node").alias("comp"), "c")
+    got = {(r.a, r.b) for r in nd._pairs(ranked, reach, bands, 0, 100, 75).collect()}
+    links = {(i, j) for j in range(100) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(links) > 50 and links <= got and len(got) < len(links) + 200
+
+
 def test_repeated_rows_and_null_ids(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(5, long, 0, "", 0)] * 3 + [(None, long + " end", 0, "", 0), (9, long + " more", 0, "", 0), (7, "x", 0, "", 0),
