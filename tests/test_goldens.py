@@ -371,6 +371,37 @@ def test_alignment_by_signs_takes_less_time():
     assert [(x["matched"], x["spans"]) for x in got.to_pylist()] == want
 
 
+def test_alignment_of_many_pairs_by_words(monkeypatch):
+    """Pairs side by side in 64-bit words: the places of the cell rules, whatever the lengths (a response that ends at a word's
+    end among them), in one run and in many; and less time than a pair at a time."""
+    import random
+    import time
+    import pyarrow as pa
+    from gradewise.functions import lcs
+    rand = random.Random(11)
+    pick = lambda letters, n: "".join(rand.choices(letters, k=n))
+    lengths = [1, 2, 62, 63, 64, 65, 126, 127, 128, 129, 191, 192, 300]
+    for letters, run in (("a", 40), ("ab", 3), ("abc ", 10_000), ("abcdefgh\u00e9\U0001f600", 20)):
+        texts = [(pick(letters, rand.randint(1, 50)), pick(letters + "xyz"[:rand.randint(0, 3)], m)) for m in lengths * 2]
+        texts += [(texts[5][0], texts[5][0] + "zz"), ("abcdefgh" * 3, "xyz" * 150)]
+        want = _by_places(texts)
+        monkeypatch.setattr(lcs, "FEW_WORDS", 0)
+        monkeypatch.setattr(lcs, "RUN_WORDS", run)
+        got = lcs.grader_alignment_batch(*(pa.array(x) for x in zip(*texts))).to_pylist()
+        assert [(x["matched"], x["spans"]) for x in got] == want
+    monkeypatch.undo()
+    words = [pick("etaoinshrdlu", rand.randint(2, 8)) for _ in range(200)]
+    t = [f"Use [blank] with {' '.join(rand.choices(words, k=40))} done." for _ in range(300)]
+    r = [x + " ".join(rand.choices(words, k=600)) for x in t]
+    start = time.process_time()
+    got = lcs.grader_alignment_batch(pa.array(t), pa.array(r))
+    middle = time.process_time()
+    monkeypatch.setattr(lcs, "FEW_WORDS", 1 << 60)
+    alone = lcs.grader_alignment_batch(pa.array(t), pa.array(r))
+    assert got == alone
+    assert middle - start < 0.95 * (time.process_time() - middle)
+
+
 def test_conditions():
     from gradewise.functions.keywords import normalise_cond
     for text in ("context[-1].startswith('match')", 'context[-1].startswith("match")', "grading_details[-1] == 'match'",
