@@ -32,6 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Spark gives shuffle files, broadcasts and plans of earlier steps back only when the driver's JVM
+    collects garbage: asked for after a round of many small jobs, it keeps the driver's heap
+    from growing to its limit with what nobody uses any more."""
+    import gc
+    gc.collect()
+    try:
+        spark.sparkContext._jvm.System.gc()
+    except Exception:  # noqa: BLE001 - no JVM at hand (e.g. a Connect session)
+        pass
+
+
 def held_out(doc_id) -> Column:
     """The evaluation fold: crc32 of the id as text, modulo 4, is 2. A null
     id belongs to no fold (held out, so that nothing is learned from it)."""

@@ -228,12 +228,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = 75) -> tupl
         low, width = low + width, width * WIDER
     links, reach = None, ranked.select("node", F.col("node").alias("comp"), "c").distinct()
     for low, high, some in rounds if most else []:
+        common.sweep(docs.sparkSession)
         if links is not None:
             reach = common.written(_reach(sets, comps, percent), "dup-reach")
             if low and reach.isEmpty():
                 break
         pairs = _pairs(ranked.where(some), reach, bands, low, high, percent)
         found = common.written(_verified(pairs, sets, percent), "dup-links")
+        common.sweep(docs.sparkSession)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             # components of components: links between labels, then one step back
